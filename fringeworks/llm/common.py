@@ -47,6 +47,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_join(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows.join(totals, keys): totals has a row a key, aggregated by these keys, and rows may have very many for one. A redundant key, a hash of the keys, makes the
+    join deal out both sides itself, after the aggregate; only such an exchange does adaptive execution split where a key is skewed."""
+    more = F.xxhash64(*keys)
+    return rows.withColumn("_split", more).join(totals.withColumn("_split", more), [*keys, "_split"], how).drop("_split")
+
+
 # ---------------------------------------------------------------- hashes
 
 

@@ -70,5 +70,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = rows.where("maybe").select("doc_id", "text_sha256")
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
     groups = some.groupBy("text_sha256").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    together = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    together = common.split_join(some, groups, ["text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(together)
