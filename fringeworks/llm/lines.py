@@ -155,7 +155,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     swap = entry.where("at >= 0").groupBy("key", "at").agg(F.min(F.struct("place", "hash")).alias("best"), F.max("hash").alias("hi"), F.min("hash").alias("lo")).where("lo <> hi").select("key", "at", "best")
     longer = entry.where("at >= 0").groupBy("key").agg(F.min(F.struct("place", "hash")).alias("best"))
     shorter = entry.where("at < 0").select("key", F.struct("place", "hash").alias("best"))
-    one = entry.where("at >= 0").join(swap, ["key", "at"]).select("hash", "place", "best")
+    one = common.split_join(entry.where("at >= 0"), swap, ["key", "at"]).select("hash", "place", "best")
     two = entry.where("at >= 0").join(shorter, "key").select("hash", "place", "best")
     three = entry.where("at < 0").join(longer, "key").select("hash", "place", "best")
     partner = one.unionByName(two).unionByName(three).where("best.place < place").select("hash", F.col("best.hash").alias("partner"))
@@ -165,7 +165,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = partner.join(words, "hash").join(words.select(F.col("hash").alias("partner"), F.col("words").alias("other")), "partner").select("hash", "words", "other")
     near = both.mapInArrow(_verified, "hash bigint").distinct().withColumn("near", F.lit(True))
 
-    judged = kept_first.join(lines.select("hash", "first").join(near, "hash", "left"), "hash")
+    judged = common.split_join(kept_first, lines.select("hash", "first").join(near, "hash", "left"), ["hash"])
     first = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line") == F.col("line"))
     return judged.where(~first | F.coalesce("near", F.lit(False))).select("doc_id", "line", F.when(first, "near").otherwise("exact").alias("why"))
 

@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     member = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
     shared = member.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("centre"), F.max("doc_id").alias("last")).where("centre.doc_id < last").drop("last")
-    member = common.written(member.join(shared, "bucket"), "buckets")
+    member = common.written(common.split_join(member, shared, ["bucket"]), "buckets")
 
     def pairs(centred: DataFrame) -> DataFrame:
         near = centred.where(f"doc_id <> centre.doc_id and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(MAX_ROUNDS):
         placed = member.select("bucket", "doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
         mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("centre")).where("lo < hi").drop("lo", "hi")
-        fresh = common.written(pairs(placed.join(mixed, "bucket").where("c <> centre.c")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        fresh = common.written(pairs(common.split_join(placed, mixed, ["bucket"]).where("c <> centre.c")).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
         more = common.written(_confirmed(fresh, texts, width, percent), "links")
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    rep = some.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2"]).drop("set1", "set2")
+    rep = common.split_join(some.select("doc_id", "n_shingles", "set1", "set2"), classes, ["set1", "set2"]).drop("set1", "set2")
     done = rep.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     none = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return done.unionByName(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
