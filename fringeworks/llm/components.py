@@ -1,37 +1,76 @@
-"""Connected components of an edge table, wholly on the executors: large-star and small-star rounds until nothing changes.
+"""Connected components of an edge table, wholly on the executors, by rounds of contraction.
 
-A round gives every node the smallest neighbour that it knows, by aggregates that combine before the shuffle and by joins that adaptive
-execution can split, so that the centre of a large star is no hot spot. No neighbour lists are gathered.
+In a round each task joins the edges of its own partition (union-find over what a partition holds) and gives every node its smallest local root. Then rows meet by node: the
+smallest root is the node's label, and roots that one node got in different partitions are the edges of the next round, which sees roots only. A star's edges
+may lie anywhere, so a hot centre is at most one row a partition. Rounds end when no node has two roots; labels are then followed upwards, round by round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+_ROWS = "node bigint, root bigint, clash boolean"
+
+
+def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            p, q = find(u), find(v)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    nodes = list(root)
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "root"])
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that are sorted by node and root: the first root of a node is its label; each further one clashes with it."""
+    node = label = last = None
+    for b in batches:
+        out: list[tuple[int, int, bool]] = []
+        for n, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if n != node:
+                node, label = n, r
+                out.append((n, r, False))
+            elif r != last:
+                out.append((r, label, True))
+            last = r
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["node", "root", "clash"])
+
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (u, v); self-loops and repeated edges do no harm."""
-    now = common.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    rounds: list[DataFrame] = []
+    now = edges.select("u", "v")
     for _ in range(max_rounds):
-        # large star: each neighbour above a node goes to the smallest of the node and its neighbours
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = common.split_join(both, least, ["u"]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: each neighbour below a node, and the node, go to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = common.split_join(large, least, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = common.written(small, "edges")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
-        # a star forest that a round leaves as it was: every node has one edge, to its root
-        if state == before and state[0] == state[2]:
+        local = now.mapInArrow(_local_roots, "node bigint, root bigint")
+        met = local.repartition("node").sortWithinPartitions("node", "root").mapInArrow(_labels, _ROWS)
+        met = common.written(met, "labels")
+        rounds.append(met.where("not clash").select("node", F.col("root").alias("component")))
+        now = met.where("clash").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        if now.isEmpty():
             break
-        before = state
     else:
         raise RuntimeError(f"components: not settled in {max_rounds} rounds")
-    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return leaves.unionByName(roots)
+    done = rounds.pop()
+    while rounds:
+        above = done.select(F.col("node").alias("component"), F.col("component").alias("_top"))
+        done = rounds.pop().join(above, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+    return done

@@ -27,7 +27,7 @@ from .components import components
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 TRIES = 48
-MAX_ROUNDS = 8
+MAX_ROUNDS = 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: TRIES draws of a bin for each bin.
 _DRAWS = (common.mix(np.arange(1, TRIES * BINS + 1, dtype=np.uint64) * common._MUL) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
@@ -120,10 +120,9 @@ def _sets(width: int, wanted):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach percent: 100 * intersection >= percent * union."""
-    ids = common.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    wanted = pairs.sparkSession.sparkContext.broadcast(common.key_filter(ids, "doc_id", ids.count()))
-    sets = texts.mapInArrow(_sets(width, wanted), "doc_id bigint, shingles array<bigint>")
-    sets = common.written(sets.join(ids, "doc_id", "left_semi"), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    wanted = pairs.sparkSession.sparkContext.broadcast(common.key_filter(ids, "doc_id", 2 * pairs.count()))
+    sets = common.written(texts.mapInArrow(_sets(width, wanted), "doc_id bigint, shingles array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -134,8 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = common.written(texts.mapInArrow(_sketch(width), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"), "sketches")
     some = sketched.where("n_shingles > 0")
-    classes = some.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
-    reps = common.written(some.select("doc_id", "n_shingles", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
+    best = F.min(F.struct("doc_id", "n_shingles", "bands"))
+    classes = common.written(some.groupBy("set1", "set2").agg(best.alias("r")).select("set1", "set2", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.bands").alias("bands")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "bands")
 
     member = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
     shared = member.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("centre"), F.max("doc_id").alias("last")).where("centre.doc_id < last").drop("last")
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    rep = common.split_join(some.select("doc_id", "n_shingles", "set1", "set2"), classes, ["set1", "set2"]).drop("set1", "set2")
+    rep = common.split_join(some.select("doc_id", "n_shingles", "set1", "set2"), classes.select("set1", "set2", "rep"), ["set1", "set2"]).drop("set1", "set2")
     done = rep.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     none = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return done.unionByName(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
