@@ -4,7 +4,7 @@ A line is its sequence of words (parted by ASCII white space). Its place is (doc
 1. One pass over the texts hashes every line. Equal lines form one class, whose first place stays.
 2. For near lines (MIN_WORDS words or more, edit distance 1 in words): by the pigeonhole principle one half of the longer line is unchanged, so a line none of
    whose half keys occurs with another line has no partner. The keys that two different lines have fill a bit filter of bounded size.
-3. A second pass emits for the lines that pass it the deletion neighbourhood as hashed keys: the line itself, and the line less each word. Variants that are equal with
+3. A second pass emits for the lines that pass it the deletion neighbourhood as hashed keys: the line itself, and the line less each word of the half that isn't shared. Variants that are equal with
    the same word taken out differ in that word alone; a variant that equals a whole line lacks one word of it. So the earliest partner of a line is a
    minimum per key: no pairs are formed, however many lines share a key.
 4. The edit distance of each line and its partner is verified on their words. A line with an earlier partner goes; it needn't have stayed itself.
@@ -65,15 +65,16 @@ class _Lines:
             keys.append(self.part(hi - (longer - head), hi, 2) ^ common.mix(longer.astype(np.uint64)))
         return np.stack(keys, axis=1)
 
-    def without(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of line i less each of its words, and the places of those words; of a run of equal words only the first."""
+    def without(self, i: int, in_head: bool, in_tail: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of line i less each word of its head or tail, and the places of those words; of a run of equal words only the first."""
         lo, hi = int(self.lo[i]), int(self.hi[i])
         _, inverse = common._pow(hi + 2)
-        at = np.arange(lo, hi)
         w = self.words[lo:hi]
-        at = at[np.append(True, w[1:] != w[:-1])]
-        step = inverse[1]
-        total = (self.sums[at] - self.sums[lo]) + (self.sums[hi] - self.sums[at + 1]) * step
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        last = np.append(first[1:], hi - lo) - 1
+        half = (hi - lo) // 2
+        at = lo + first[((first < half) & in_head) | ((last >= half) & in_tail)]
+        total = (self.sums[at] - self.sums[lo]) + (self.sums[hi] - self.sums[at + 1]) * inverse[1]
         return common.mix(total * inverse[lo] + np.uint64((hi - lo - 1) * int(common._MUL) & common._MASK)), at - lo
 
 
@@ -99,15 +100,19 @@ def _variants(wanted):
             for lo, hi in common.slabs(texts):
                 x = _Lines(texts[lo:hi])
                 some = np.flatnonzero(x.n >= MIN_WORDS)
-                if len(some):
-                    hit = common.with_hits(wanted.value, x.halves(some).reshape(-1), 2).reshape(-1, 4).any(axis=1)
-                    some = some[hit]
+                if not len(some):
+                    continue
+                # of equal lines of the slab the first is enough
+                some = some[np.sort(np.unique(x.whole()[some], return_index=True)[1])]
+                hit = common.with_hits(wanted.value, x.halves(some).reshape(-1), 2).reshape(-1, 4)
+                some, hit = some[hit.any(axis=1)], hit[hit.any(axis=1)]
                 if not len(some):
                     continue
                 whole = x.whole()[some]
                 out = [(whole, np.full(len(some), -1), np.arange(len(some)))]
-                for k, i in enumerate(some):
-                    keys, at = x.without(i)
+                for k in np.flatnonzero(hit[:, 0] | hit[:, 1]):
+                    # where the head is shared the edit is in the tail, and the other way round; a shorter line is met as it is
+                    keys, at = x.without(some[k], bool(hit[k, 1]), bool(hit[k, 0]))
                     out.append((keys, at, np.full(len(at), k)))
                 keys, at, k = (np.concatenate([o[j] for o in out]) for j in range(3))
                 text = [b" ".join(x.buf[x.starts[x.lo[i]] : x.ends[x.hi[i] - 1]].tobytes().split()).decode() for i in some]
@@ -149,8 +154,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept_first = places.select("doc_id", "line", "hash")
     variants = texts.mapInArrow(_variants(wanted), "key bigint, at int, hash bigint, doc_id bigint, line int, words string")
     variants = common.written(variants, "variants")
-    # a line of a class is emitted once for each of its places; the class is its earliest
-    entry = variants.groupBy("key", "at", "hash").agg(F.min(place).alias("place"))
+    # most variants are of one line only; the few that several lines have go on
+    several = variants.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
+    several = common.written(several, "several")
+    # a line of a class is emitted for each of its places; the class is its earliest
+    entry = variants.select("key", "at", "hash", "doc_id", "line").join(several, "key").groupBy("key", "at", "hash").agg(F.min(place).alias("place"))
     entry = common.written(entry, "entries")
     swap = entry.where("at >= 0").groupBy("key", "at").agg(F.min(F.struct("place", "hash")).alias("best"), F.max("hash").alias("hi"), F.min("hash").alias("lo")).where("lo <> hi").select("key", "at", "best")
     longer = entry.where("at >= 0").groupBy("key").agg(F.min(F.struct("place", "hash")).alias("best"))
