@@ -146,9 +146,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     places = common.written(texts.mapInArrow(_first_pass, "doc_id bigint, line int, hash bigint, halves array<bigint>"), "lines")
     place = F.struct("doc_id", "line")
-    lines = common.written(places.groupBy("hash").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "classes")
+    lines = common.written(places.groupBy("hash").agg(F.min(place).alias("first")), "classes")
 
-    keys = lines.select(F.explode("halves").alias("key"), "hash").groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
+    keys = places.select(F.explode("halves").alias("key"), "hash").groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
     keys = common.written(keys, "halves")
     wanted = docs.sparkSession.sparkContext.broadcast(common.key_filter(keys, "key", keys.count()))
     kept_first = places.select("doc_id", "line", "hash")
