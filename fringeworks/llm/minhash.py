@@ -42,7 +42,7 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
     counts = np.diff(cuts)
     rolled = np.zeros(len(words), np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(words))):
         rolled[: len(words) - j] += words[j:] * _PLACES[j]
     rolled = common.mix(rolled)
     out: list[np.ndarray] = []
