@@ -20,7 +20,7 @@ def fit(d: np.ndarray, m: np.ndarray, good: np.ndarray, kind: str = "complex", i
     g = np.ones((d.shape[0], d.shape[2]), complex)
     done = 0
     for k in range(1, iterations + 1):
-        y = g[:, None, None, :] * np.conj(m.swapaxes(2, 3))  # g_q m_qp
+        y = g[:, None, None, :] * m.swapaxes(2, 3)  # g_q m_qp
         jhr = (d * y).sum(axis=(1, 3))
         jhj = (np.abs(y) ** 2).sum(axis=(1, 3))
         if kind == "phase":
