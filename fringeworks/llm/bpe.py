@@ -37,7 +37,9 @@ _LATIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]*")
 _L = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _QUICK = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _NEVER = np.int64(1 << 40)
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
+#: Characters that are encoded together: equal words among them are looked up once.
+TOGETHER = 1 << 20
 
 
 def _byte_chars() -> dict[str, int]:
@@ -332,8 +334,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for lo, hi in common.slabs(texts, TOGETHER):
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(codec.encode_batch(texts[lo:hi]), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
 

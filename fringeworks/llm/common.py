@@ -101,11 +101,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * inverse[starts] ^ ((ends - starts).astype(np.uint64) * _MUL))
 
 
-def slabs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLAB bytes; a longer text stands alone."""
+def slabs(texts: list[bytes] | list[str], size: int = SLAB) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about size bytes or characters; a longer text stands alone."""
     at = total = 0
     for i, t in enumerate(texts):
-        if i > at and total + len(t) > SLAB:
+        if i > at and total + len(t) > size:
             yield at, i
             at, total = i, 0
         total += len(t) + 1

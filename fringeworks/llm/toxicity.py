@@ -59,7 +59,7 @@ class Grammar:
         got = self.known.get(word)
         if got is None:
             got = max([self.weights.get(k, 0.0) for k in keys(word)] + [1.0 if word in THREAT and self.weights else 0.0])
-            if len(self.known) < 500_000:
+            if len(self.known) < 200_000:
                 self.known[word] = got
         return got
 
