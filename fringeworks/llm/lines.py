@@ -179,9 +179,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    """Texts less the lines whose numbers are gone."""
+    """Texts less the lines whose numbers are gone; no numbers: as it is."""
     out = []
     for text, numbers in zip(texts, gone, strict=True):
+        if numbers is None:
+            out.append(text)
+            continue
         without = set(numbers)
         out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in without))
     return pd.Series(out)
@@ -194,5 +197,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cut = F.pandas_udf(_cut, "string")
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
     out = joined.withColumns({"_n_lines": lines, "_n_exact": F.coalesce("_n_exact", F.lit(0)), "_n_near": F.coalesce("_n_near", F.lit(0))})
-    some = out.where(F.col("_gone").isNotNull()).withColumn(text_col, cut(F.col(text_col), F.col("_gone")))
-    return some.unionByName(out.where(F.col("_gone").isNull())).drop("_gone", "_id")
+    # one branch for all rows, so that texts move once
+    return out.withColumn(text_col, cut(F.col(text_col), F.col("_gone"))).drop("_gone", "_id")
