@@ -48,3 +48,45 @@ def hermitian(vis: DataFrame) -> DataFrame:
 
 def interval(column: str, size: int) -> Column:
     return F.floor(F.col(column) / size)
+
+
+def complete_grid(vis: DataFrame, ants: int) -> DataFrame:
+    """Every (t, ant1 < ant2) of the observed times, and whether it has no row: the grid comes from exploded antenna numbers, the absences from an outer join."""
+    have = vis.where("ant1 <> ant2").select("t", "ant1", "ant2").distinct().withColumn("_have", F.lit(True))
+    grid = vis.select("t").distinct().select("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ants - 2).cast("bigint"))).alias("ant1"))
+    grid = grid.select("t", "ant1", F.explode(F.sequence(F.col("ant1") + 1, F.lit(ants - 1).cast("bigint"))).alias("ant2"))
+    return grid.join(have, ["t", "ant1", "ant2"], "left").select("t", "ant1", "ant2", F.col("_have").isNull().alias("missing"))
+
+
+def merged_spans(spans: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
+    """Overlapping spans [lo, hi] become one: by, first, last, n."""
+    order = Window.partitionBy(*by).orderBy(lo, hi)
+    reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col(lo) > reach), 1).otherwise(0)
+    part = spans.withColumn("_new", begins).withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy(*by, "_part").agg(F.min(lo).alias("first"), F.max(hi).alias("last"), F.count(F.lit(1)).alias("n")).drop("_part")
+
+
+def chunks_by_slots(times: DataFrame, by: list[str], time: str, jump: float, slots: int) -> DataFrame:
+    """chunk: islands between jumps, cut after so many slots each; times are the distinct ones of an axis."""
+    laid = islands(times, by, [time], time, jump)
+    place = F.row_number().over(Window.partitionBy(*by, "island").orderBy(time)) - 1
+    laid = laid.withColumn("_part", F.floor(place / slots))
+    return laid.withColumn("chunk", F.dense_rank().over(Window.partitionBy(*by).orderBy("island", "_part")) - 1).drop("_part", "island")
+
+
+def chunks_by_length(times: DataFrame, by: list[str], time: str, length: float) -> DataFrame:
+    """chunk: a new one begins length or more after the one before began. The choice depends on all earlier ones, so the distinct times of a group are walked in order."""
+    import numpy as np
+    import pandas as pd
+
+    def walk(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(time, kind="stable")
+        x, out, at, k = p[time].to_numpy(), np.zeros(len(p), np.int64), 0, 0
+        while at < len(x):
+            to = max(int(np.searchsorted(x, x[at] + length)), at + 1)
+            out[at:to], at, k = k, to, k + 1
+        return p.assign(chunk=out)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in times.schema)
+    return times.groupBy(*by).applyInPandas(walk, f"{fields}, chunk bigint")

@@ -47,3 +47,31 @@ def interpolated(targets: DataFrame, solutions: DataFrame, keys: list[str], axis
     slope = (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
     value = F.when(F.col("a.x") == F.col("b.x"), F.col("a.y")).otherwise(F.col("a.y") + slope * (F.col("x") - F.col("a.x")))
     return laid.select(*keys, F.col("x").alias(axis), value.alias("value"))
+
+
+def latest_at_or_before(asks: DataFrame, starts: DataFrame, keys: list[str], axis: str, value: str) -> DataFrame:
+    """asks with the value that began last at or before them; before the first, the first. A merged order of both, never pairs of them."""
+    from pyspark.sql.window import Window
+
+    rest = [c for c in asks.columns if c not in (*keys, axis)]
+    a = asks.select(*keys, axis, F.struct(*rest).alias("_rest"), F.lit(None).cast(starts.schema[value].dataType).alias(value), F.lit(1).alias("_ask"))
+    s = starts.select(*keys, axis, F.lit(None).cast(a.schema["_rest"].dataType).alias("_rest"), value, F.lit(0).alias("_ask"))
+    order = Window.partitionBy(*keys).orderBy(axis, "_ask")
+    last = F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first(value, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    laid = a.unionByName(s).withColumn("_v", F.coalesce(last, first)).where("_ask = 1")
+    return laid.select(*keys, axis, "_rest.*", F.col("_v").alias(value))
+
+
+def cube(solutions: DataFrame, keys: list[str], axis: str) -> DataFrame:
+    """Every slice on the union grid of the axis, absences masked; the grid of one axis is collected into one row for all slices."""
+    grid = solutions.agg(F.sort_array(F.collect_set(axis)).alias("_grid"))
+    full = solutions.select(*keys).distinct().join(F.broadcast(grid)).select(*keys, F.explode("_grid").alias(axis))
+    return lookup(full, solutions, [*keys, axis])
+
+
+def norm01(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """n: value scaled to [0, 1] within groups; a group of one value gets 0."""
+    ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    n = F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return rows.join(ends, by).withColumn("n", n).drop("_lo", "_hi")

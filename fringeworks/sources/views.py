@@ -42,3 +42,16 @@ def time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VT = "vt as (select event_id as id, epoch_us(ts) / 1e6 as time, user_id as ant, event_type as corr, value as amp from events)"
+
+#: Parts of a row in each of the four correlations: of re, of mre, of im, of the weight.
+CORRS = ((0, 1.0, 0.0, 1.0, 1.0), (1, 0.0, 0.1, 0.5, 0.5), (2, 0.0, 0.1, -0.5, 0.25), (3, 0.5, 0.5, -1.0, 2.0))
+
+
+def correlations(cells: DataFrame) -> DataFrame:
+    """Of re-binned cells: t, chan, ant1, ant2, corr 0 to 3, re, im, mre, mim, w, fl."""
+    k = F.explode(F.array(*[F.struct(F.lit(c).cast("bigint").alias("corr"), *[F.lit(x).alias(n) for n, x in zip("abcd", rest, strict=True)]) for c, *rest in CORRS])).alias("k")
+    x = cells.select("*", k)
+    return x.select("t", "chan", "ant1", "ant2", "k.corr", (F.col("re") * F.col("k.a") + F.col("mre") * F.col("k.b")).alias("re"), (F.col("im") * F.col("k.c")).alias("im"), (F.col("mre") * F.col("k.a")).alias("mre"), F.lit(0.0).alias("mim"), (F.col("w") * F.col("k.d")).alias("w"), "fl")
+
+
+VC = f"""vc as (select t, chan, ant1, ant2, corr, re * a + mre * b as re, im * c as im, mre * a as mre, 0.0::double as mim, w * d as w, fl from rb, (values {", ".join(f"({c}::bigint, {', '.join(f'{x}::double' for x in rest)})" for c, *rest in CORRS)}) as k(corr, a, b, c, d))"""
