@@ -1,0 +1,228 @@
+"""Fits of 2 x 2 gains, robust ones, phase slopes and chains of terms. A chunk, whose extent in time and frequency is bounded, is one grouped-map call; dense cubes exist in it alone.
+
+Minimises sum |D_pq - G_p M_pq G_q^H|^2 by G_p <- [sum_q D_pq G_q M_qp] [sum_q (G_q M_qp)^H (G_q M_qp)]^-1; each even update takes the mean with the gains before.
+Samples count whose flags are 0 and whose numbers are finite; an antenna without any keeps unit gains.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+KINDS = ("full", "diag", "phase", "amp", "scalar", "leakage")
+#: Which axes a slope depends on: t time, f frequency, i inverse frequency.
+SLOPES = {"f-slope": "f", "t-slope": "t", "tf-plane": "tf", "if-slope": "i", "fif-slope": "fi"}
+GAINS = "chunk bigint, term bigint, t bigint, chan bigint, ant bigint, c1 bigint, c2 bigint, g_re double, g_im double"
+SLOPE_ROWS = "chunk bigint, ant bigint, c bigint, param bigint, value double"
+RESIDUALS = "chunk bigint, t bigint, chan bigint, ant1 bigint, ant2 bigint, corr bigint, r_re double, r_im double"
+
+
+@dataclass(frozen=True)
+class Term:
+    """A gain term: its kind, and its solution intervals in slots and channels (0: the whole chunk)."""
+
+    kind: str = "full"
+    t_int: int = 1
+    f_int: int = 0
+    robust: bool = False
+
+
+def h(x: np.ndarray) -> np.ndarray:
+    return np.conj(np.swapaxes(x, -1, -2))
+
+
+def inverse(a: np.ndarray, eps: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of 2 x 2 matrices, zero where singular, and where that is."""
+    det = a[..., 0, 0] * a[..., 1, 1] - a[..., 0, 1] * a[..., 1, 0]
+    bad = np.abs(det) <= eps
+    adj = np.stack([np.stack([a[..., 1, 1], -a[..., 0, 1]], -1), np.stack([-a[..., 1, 0], a[..., 0, 0]], -1)], -2)
+    return np.where(bad[..., None, None], 0, adj / np.where(bad, 1, det)[..., None, None]), bad
+
+
+def binned(x: np.ndarray, t_int: int, f_int: int) -> np.ndarray:
+    """Sums over intervals of the first two axes; the last interval may be short."""
+    x = np.add.reduceat(x, np.arange(0, x.shape[0], t_int or x.shape[0]), axis=0)
+    return np.add.reduceat(x, np.arange(0, x.shape[1], f_int or x.shape[1]), axis=1)
+
+
+def spread(g: np.ndarray, t_int: int, f_int: int, nt: int, nf: int) -> np.ndarray:
+    return g[np.arange(nt) // (t_int or nt)][:, np.arange(nf) // (f_int or nf)]
+
+
+def corrupted(g: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """G_p M_pq G_q^H for gains t x f x ant x 2 x 2."""
+    return g[:, :, :, None] @ m @ h(g)[:, :, None]
+
+
+def digamma(x: float) -> float:
+    """By recurrence up to 6, then the asymptotic series."""
+    shift = 0.0
+    while x < 6:
+        shift, x = shift - 1 / x, x + 1
+    y = 1 / (x * x)
+    return shift + float(np.log(x)) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+
+
+def student_weights(r: np.ndarray, good: np.ndarray, v: float, npol: int = 4) -> tuple[np.ndarray, float]:
+    """Weights (v + npol) / (v + r^H C^-1 r) of mean 1 with a diagonal C, and the v of a grid of 2 to 100 that fits them best."""
+    flat = np.abs(r.reshape(*r.shape[:-2], 4)) ** 2
+    c = np.maximum(flat[good].mean(axis=0) if good.any() else np.ones(4), 1e-12)
+    w = np.where(good, (v + npol) / (v + (flat / c).sum(-1)), 0)
+    if not good.any():
+        return w, v
+    mean = float((np.log(w[good]) - w[good]).mean())
+    cost = [abs(np.log(k / 2) - digamma(k / 2) + mean + 1 + digamma((v + npol) / 2) - np.log((v + npol) / 2)) for k in range(2, 101)]
+    return w / w[good].mean(), float(2 + int(np.argmin(cost)))
+
+
+def limited(new: np.ndarray, jhr: np.ndarray, jhj: np.ndarray, old: np.ndarray, kind: str) -> np.ndarray:
+    """An update with its kind's restrictions; where the matrix is singular, the gains before."""
+    if kind == "full":
+        return new
+    diag = np.arange(2)
+    a, b = jhr[..., diag, diag], jhj[..., diag, diag].real
+    if kind == "scalar":
+        a, b = a.sum(-1, keepdims=True) + 0 * a, b.sum(-1, keepdims=True) + 0 * b
+    g = np.divide(a, b, out=old[..., diag, diag].copy(), where=b > 0)
+    out = np.zeros_like(old)
+    if kind == "leakage":
+        off = new.copy()
+        off[..., diag, diag] = 1
+        return off
+    size = np.abs(g)
+    out[..., diag, diag] = np.where(size > 0, g / np.maximum(size, 1e-300), 1) if kind == "phase" else size if kind == "amp" else g
+    return out
+
+
+def step(d: np.ndarray, m: np.ndarray, w: np.ndarray, g: np.ndarray, term: Term, mean: bool) -> np.ndarray:
+    """One update of a term's gains (interval x interval x ant x 2 x 2)."""
+    nt, nf = d.shape[:2]
+    y = spread(g, term.t_int, term.f_int, nt, nf)[:, :, None] @ np.swapaxes(m, 2, 3)  # G_q M_qp, by p and q
+    wy = w[..., None, None] * y
+    jhr = binned((d @ wy).sum(axis=3), term.t_int, term.f_int)
+    jhj = binned((h(y) @ wy).sum(axis=3), term.t_int, term.f_int)
+    inv, bad = inverse(jhj)
+    new = limited(np.where(bad[..., None, None], g, jhr @ inv), jhr, jhj, g, term.kind)
+    return (new + g) / 2 if mean else new
+
+
+def fit_chain(d: np.ndarray, m: np.ndarray, good: np.ndarray, terms: list[Term], iters: list[int], epsilon: float = 1e-6) -> list[np.ndarray]:
+    """Gains of each term of a product G_0 G_1 ...: iters is a recipe of updates, dealt to the terms in turn. Terms to the right go into the model, those to the left are taken off the data."""
+    if not terms or any(t.kind not in KINDS for t in terms):
+        raise ValueError(f"kinds: {', '.join(KINDS)}")
+    nt, nf, na = d.shape[:3]
+    d, m = (np.where(good[..., None, None], x, 0) for x in (d, m))
+    unit = np.broadcast_to(np.eye(2, dtype=complex), (nt, nf, na, 2, 2))
+    gains = [binned(unit, t.t_int, t.f_int) * 0 + np.eye(2) for t in terms]
+    v = 2.0
+    for turn, count in enumerate(iters):
+        k = turn % len(terms)
+        full = [spread(g, t.t_int, t.f_int, nt, nf) for g, t in zip(gains, terms, strict=True)]
+        left, right = unit, unit
+        for x in full[:k]:
+            left = left @ x
+        for x in full[k + 1 :]:
+            right = right @ x
+        off, bad = inverse(left)
+        mk, dk = corrupted(right, m), corrupted(off, d)
+        ok = good & ~(bad[:, :, :, None] | bad[:, :, None, :])
+        for i in range(1, count + 1):
+            w = ok.astype(float)
+            if terms[k].robust:
+                w, v = student_weights(dk - corrupted(spread(gains[k], terms[k].t_int, terms[k].f_int, nt, nf), mk), ok, v)
+            new = step(dk, mk, w, gains[k], terms[k], i % 2 == 0)
+            change = (np.abs(new - gains[k]) ** 2).sum() / max((np.abs(gains[k]) ** 2).sum(), 1e-300)
+            gains[k] = new
+            if change <= epsilon**2:
+                break
+    return gains
+
+
+def fit_slopes(d: np.ndarray, m: np.ndarray, good: np.ndarray, kind: str, t: np.ndarray, f: np.ndarray, iterations: int = 40, epsilon: float = 1e-8) -> np.ndarray:
+    """Parameters (ant x 2 x 1 + slopes) of phases p0 + sum of slope * x for each antenna and polarisation; each variable x is scaled to [0, 1] within the chunk. Each update is halved; antenna 0 is the reference."""
+    scaled = lambda x: (x - x.min()) / (np.ptp(x) or 1.0)
+    axes = {"t": scaled(t)[:, None] + 0 * f[None], "f": scaled(f)[None] + 0 * t[:, None], "i": scaled(1 / f)[None] + 0 * t[:, None]}
+    x = np.stack([np.ones((len(t), len(f))), *[axes[c] for c in SLOPES[kind]]], -1)
+    d, m = (np.where(good[..., None, None], v, 0) for v in (d, m))
+    p = np.zeros((d.shape[2], 2, x.shape[-1]))
+    for _ in range(iterations):
+        g = np.zeros((*x.shape[:2], *p.shape[:2], 2), complex)
+        g[..., np.arange(2), np.arange(2)] = np.exp(1j * np.einsum("tfk,ack->tfac", x, p))
+        y = g[:, :, None] @ np.swapaxes(m, 2, 3)
+        jhr = np.einsum("tfacc,tfacc->tfac", np.conj(g), (d @ y).sum(axis=3)).imag
+        jhj = np.einsum("tfpqij,tfpqij->tfpj", np.conj(y), y).real
+        a = np.einsum("tfk,tfl,tfac->ackl", x, x, jhj)
+        b = np.einsum("tfk,tfac->ack", x, jhr)
+        change = np.stack([[np.linalg.lstsq(a[i, c], b[i, c], rcond=1e-10)[0] for c in (0, 1)] for i in range(len(p))])
+        p = p + change / 2
+        if np.abs(change).max() <= epsilon:
+            break
+    return p - p[:1]
+
+
+def _cubes(p: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Hermitian cubes t x f x ant x ant x 2 x 2 of rows by correlation, and the axes."""
+    ts, fs, ants = np.unique(p["t"]), np.unique(p["chan"]), np.unique(np.r_[p["ant1"], p["ant2"]])
+    shape = (len(ts), len(fs), len(ants), len(ants), 2, 2)
+    d, m, seen = np.zeros(shape, complex), np.zeros(shape, complex), np.zeros(shape, bool)
+    t, f, a, b = np.searchsorted(ts, p["t"]), np.searchsorted(fs, p["chan"]), np.searchsorted(ants, p["ant1"]), np.searchsorted(ants, p["ant2"])
+    c1, c2 = p["corr"].to_numpy() // 2, p["corr"].to_numpy() % 2
+    there, back = (t, f, a, b, c1, c2), (t, f, b, a, c2, c1)
+    for cube, x in ((d, p["re"].to_numpy() + 1j * p["im"].to_numpy()), (m, p["mre"].to_numpy() + 1j * p["mim"].to_numpy())):
+        cube[there], cube[back] = x, np.conj(x)
+    fine = (p["fl"].to_numpy() == 0) & np.isfinite(p[["re", "im", "mre", "mim"]].to_numpy()).all(axis=1)
+    seen[there] = seen[back] = fine
+    return d, m, seen.all(axis=(-1, -2)), ts, fs, ants
+
+
+def solve_chain(rows: DataFrame, terms: list[Term], iters: list[int]) -> DataFrame:
+    """Gains by (chunk, term, t, chan, ant, c1, c2), intervals by their first slot and channel, of unique rows (chunk, t, chan, ant1 < ant2, corr, re, im, mre, mim, fl)."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        d, m, good, ts, fs, ants = _cubes(p)
+        out = []
+        for k, (term, g) in enumerate(zip(terms, fit_chain(d, m, good, terms, iters), strict=True)):
+            i = np.indices(g.shape).reshape(5, -1)
+            out.append(pd.DataFrame({"chunk": p["chunk"].iloc[0], "term": k, "t": ts[i[0] * (term.t_int or len(ts))], "chan": fs[i[1] * (term.f_int or len(fs))], "ant": ants[i[2]], "c1": i[3], "c2": i[4], "g_re": g.real.ravel(), "g_im": g.imag.ravel()}))
+        return pd.concat(out)
+
+    return rows.groupBy("chunk").applyInPandas(one, GAINS)
+
+
+def residuals(rows: DataFrame, terms: list[Term], iters: list[int], correct: bool = False) -> DataFrame:
+    """What a solve leaves: data less the corrupted model, or with correct, that taken back through the inverse gains, by sample."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        d, m, good, ts, fs, ants = _cubes(p)
+        g = np.broadcast_to(np.eye(2, dtype=complex), (*d.shape[:3], 2, 2))
+        for term, x in zip(terms, fit_chain(d, m, good, terms, iters), strict=True):
+            g = g @ spread(x, term.t_int, term.f_int, *d.shape[:2])
+        r = np.where(good[..., None, None], d - corrupted(g, m), 0)
+        if correct:
+            r = corrupted(inverse(g)[0], r)
+        at = np.searchsorted(ts, p["t"]), np.searchsorted(fs, p["chan"]), np.searchsorted(ants, p["ant1"]), np.searchsorted(ants, p["ant2"]), p["corr"] // 2, p["corr"] % 2
+        return p[["chunk", "t", "chan", "ant1", "ant2", "corr"]].assign(r_re=r[at].real, r_im=r[at].imag)
+
+    return rows.groupBy("chunk").applyInPandas(one, RESIDUALS)
+
+
+def solve_slopes(rows: DataFrame, kind: str) -> DataFrame:
+    """Phase offset (param 0) and slopes by (chunk, ant, c)."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        d, m, good, ts, fs, ants = _cubes(p)
+        x = fit_slopes(d, m, good, kind, ts.astype(float), fs.astype(float) + 1)
+        i = np.indices(x.shape).reshape(3, -1)
+        return pd.DataFrame({"chunk": p["chunk"].iloc[0], "ant": ants[i[0]], "c": i[1], "param": i[2], "value": x.ravel()})
+
+    return rows.groupBy("chunk").applyInPandas(one, SLOPE_ROWS)
+
+
+def first_delays(d: np.ndarray, pad: int = 8) -> np.ndarray:
+    """Peak of the padded transform over channels for each baseline of antenna 0, in turns a channel."""
+    n = d.shape[1] * pad
+    peak = np.abs(np.fft.fft(d[:, :, 0].sum(axis=0), n, axis=0)).argmax(axis=0)
+    return np.where(peak > n // 2, peak - n, peak) / n

@@ -75,3 +75,36 @@ def norm01(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     n = F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     return rows.join(ends, by).withColumn("n", n).drop("_lo", "_hi")
+
+
+def interpolated_plane(targets: DataFrame, solutions: DataFrame, keys: list[str], axes: tuple[str, str]) -> DataFrame:
+    """Bilinear interpolation along two axes, clamped outside the grid. Absent grid points are filled along the first axis, then from the nearest filled line.
+    One call a parameter's plane (keys): its grid is bounded by the two axes."""
+    import numpy as np
+    import pandas as pd
+
+    x, y = axes
+
+    def one(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(t) or not len(s):
+            return t[[*keys, x, y]].assign(value=np.nan)
+        xs, ys = np.unique(s[x]), np.unique(s[y])
+        plane = np.full((len(xs), len(ys)), np.nan)
+        plane[np.searchsorted(xs, s[x]), np.searchsorted(ys, s[y])] = s["value"]
+        for j in range(len(ys)):
+            ok = np.isfinite(plane[:, j])
+            if ok.any():
+                plane[:, j] = np.interp(xs, xs[ok], plane[ok, j])
+        filled = np.flatnonzero(np.isfinite(plane[0]))
+        if not len(filled):
+            return t[[*keys, x, y]].assign(value=np.nan)
+        plane = plane[:, filled[np.abs(ys[filled][None] - ys[:, None]).argmin(axis=1)]]
+        i, j = (np.clip(np.searchsorted(g, v, side="right") - 1, 0, max(len(g) - 2, 0)) for g, v in ((xs, t[x]), (ys, t[y])))
+        part = lambda g, v, k: np.clip((v - g[k]) / np.maximum(g[np.minimum(k + 1, len(g) - 1)] - g[k], 1e-300), 0, 1)
+        a, b = part(xs, t[x].to_numpy(float), i), part(ys, t[y].to_numpy(float), j)
+        i2, j2 = np.minimum(i + 1, len(xs) - 1), np.minimum(j + 1, len(ys) - 1)
+        value = (plane[i, j] * (1 - a) + plane[i2, j] * a) * (1 - b) + (plane[i, j2] * (1 - a) + plane[i2, j2] * a) * b
+        return t[[*keys, x, y]].assign(value=value)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.select(*keys, x, y).schema)
+    return targets.groupBy(*keys).cogroup(solutions.groupBy(*keys)).applyInPandas(one, f"{fields}, value double")

@@ -1,0 +1,105 @@
+"""Closed loops: gains put into simulated data come back out."""
+
+import numpy as np
+import pytest
+
+from fringeworks.operators.machines import KINDS, Term, binned, corrupted, digamma, first_delays, fit_chain, fit_slopes, inverse, spread, student_weights
+
+T, NF, N = 4, 6, 9
+
+
+def sky(rng):
+    m = rng.normal(size=(T, NF, N, N, 2, 2)) + 1j * rng.normal(size=(T, NF, N, N, 2, 2)) + 3 * np.eye(2)
+    return m + np.conj(np.swapaxes(np.swapaxes(m, 2, 3), -1, -2))
+
+
+GOOD = np.broadcast_to(~np.eye(N, dtype=bool), (T, NF, N, N))
+
+
+def misfit(d, model):
+    relative = np.sort(np.abs(d - model)[GOOD].ravel() / (np.abs(d[GOOD]).ravel() + 1e-9)) + 1e-12
+    return 10 * np.log10(np.median(relative)), 10 * np.log10(relative[int(0.95 * len(relative))])
+
+
+def gains(rng, kind, t, f):
+    g = np.zeros((t, f, N, 2, 2), complex)
+    phase, size = rng.normal(0, 0.3, (t, f, N, 2)), rng.uniform(0.8, 1.2, (t, f, N, 2))
+    diag = {"phase": np.exp(1j * phase), "amp": size + 0j, "scalar": size[..., :1] * np.exp(1j * phase[..., :1]) + 0 * phase, "leakage": np.ones_like(phase) + 0j}.get(kind, size * np.exp(1j * phase))
+    g[..., [0, 1], [0, 1]] = diag
+    if kind in ("full", "leakage"):
+        g[..., [0, 1], [1, 0]] = 0.1 * (rng.normal(size=phase.shape) + 1j * rng.normal(size=phase.shape))
+    return g
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("intervals", [(1, 0), (3, 4)])
+def test_one_term(kind, intervals):
+    rng = np.random.default_rng(3)
+    m, term = sky(rng), Term(kind, *intervals)
+    shape = binned(np.zeros((T, NF, 1)), *intervals).shape[:2]
+    d = corrupted(spread(gains(rng, kind, *shape), *intervals, T, NF), m)
+    got = fit_chain(d, m, GOOD, [term], [80], 1e-9)[0]
+    mid, top = misfit(d, corrupted(spread(got, *intervals, T, NF), m))
+    assert mid <= -30 and top <= -25
+
+
+def test_chain():
+    rng = np.random.default_rng(4)
+    m, terms = sky(rng), [Term("diag", 1, 0), Term("diag", 0, 1)]
+    g, b = spread(gains(rng, "diag", T, 1), 1, 0, T, NF), spread(gains(rng, "diag", 1, NF), 0, 1, T, NF)
+    d = corrupted(g @ b, m)
+    x, y = fit_chain(d, m, GOOD, terms, [20] * 12)
+    mid, top = misfit(d, corrupted(spread(x, 1, 0, T, NF) @ spread(y, 0, 1, T, NF), m))
+    assert mid <= -30 and top <= -25
+
+
+def test_robust_resists_outliers():
+    rng = np.random.default_rng(5)
+    m = sky(rng)
+    g = spread(gains(rng, "full", 1, 1), 0, 0, T, NF)
+    d = corrupted(g, m)
+    d += 0.01 * (rng.normal(size=d.shape) + 1j * rng.normal(size=d.shape))
+    dirty = d.copy()
+    dirty[rng.random((T, NF, N, N)) < 0.03] += 60
+    errors = [np.abs(corrupted(spread(fit_chain(dirty, m, GOOD, [Term("full", 0, 0, r)], [60])[0], 0, 0, T, NF), m) - d)[GOOD].mean() for r in (False, True)]
+    assert errors[1] < errors[0] / 2
+
+
+@pytest.mark.parametrize("kind, axes", [("f-slope", "f"), ("t-slope", "t"), ("tf-plane", "tf")])
+def test_slopes(kind, axes):
+    rng = np.random.default_rng(6)
+    m, t, f = sky(rng), np.arange(T) * 2.0, 1 + np.arange(NF) / 3
+    x = {"t": (t / t.max())[:, None, None, None], "f": ((f - 1) / (f.max() - 1))[None, :, None, None]}
+    want = rng.normal(0, 0.4, (N, 2, 1 + len(axes)))
+    phase = want[..., 0] + sum(x[c] * want[..., k + 1] for k, c in enumerate(axes))
+    g = np.zeros((T, NF, N, 2, 2), complex)
+    g[..., [0, 1], [0, 1]] = np.exp(1j * phase)
+    got = fit_slopes(corrupted(g, m), m, GOOD, kind, t, f, 200)
+    assert np.abs(got[..., 1:] - (want - want[:1])[..., 1:]).max() < 1e-3
+
+
+def test_no_data_keeps_unit_gains():
+    z = np.zeros((T, NF, N, N, 2, 2), complex)
+    got = fit_chain(z, z, GOOD & False, [Term("full", robust=True)], [5])[0]
+    assert np.array_equal(got, np.broadcast_to(np.eye(2), got.shape))
+
+
+def test_singular_inverse():
+    inv, bad = inverse(np.array([[[1, 2], [2, 4]], [[2, 0], [0, 4]]], complex))
+    assert bad.tolist() == [True, False] and not inv[0].any() and np.allclose(inv[1], [[0.5, 0], [0, 0.25]])
+
+
+def test_digamma():
+    assert abs(digamma(1) + 0.5772156649015329) < 1e-8
+    assert abs(digamma(10) - 2.2517525890667211) < 1e-8
+
+
+def test_student_weights_fall_with_the_residual():
+    r = np.zeros((1, 1, 1, 3, 2, 2)) + np.array([0.1, 1, 10])[:, None, None]
+    w, _ = student_weights(r, np.ones((1, 1, 1, 3), bool), 2.0)
+    assert w[0, 0, 0, 0] > w[0, 0, 0, 1] > w[0, 0, 0, 2] and abs(w.mean() - 1) < 1e-9
+
+
+def test_delays():
+    d = np.exp(2j * np.pi * 0.125 * np.arange(16))[None, :, None, None] * np.ones((1, 16, 2, 2))
+    assert np.allclose(first_delays(d), 0.125)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from fringeworks.plans import queries  # noqa: F401
+from fringeworks.plans import extensions, queries, sky, solving, statistics, tiles  # noqa: F401
 from fringeworks.plans.registry import QUERIES, SQL
 
 
@@ -25,7 +25,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "embeddings", "supplier"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     want = con.sql(SQL[name])
