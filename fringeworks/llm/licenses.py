@@ -55,7 +55,7 @@ def word_array(text: Column) -> Column:
     """Words of a text, A-Z in lower case; null is empty. lower() changes further letters, of which only two become ASCII."""
     text = F.coalesce(text, F.lit(""))
     capitals = "".join(map(chr, range(65, 91)))
-    low = F.when(F.contains(text, F.lit("İ")) | F.contains(text, F.lit("K")), F.translate(text, capitals, capitals.lower())).otherwise(F.lower(text))
+    low = F.when(F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a")), F.translate(text, capitals, capitals.lower())).otherwise(F.lower(text))
     return F.array_remove(F.split(low, SEPARATOR), "")
 
 

@@ -12,6 +12,7 @@ import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fringeworks.llm import bpe, components, exact, gif, langid, licenses, lines, minhash, mixing, queries, secrets, toxicity
@@ -247,3 +248,10 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_license_words_lower_ascii_only(spark):
+    """The Kelvin sign and the dotted capital I have lower-case forms with ASCII letters; they stay as they are."""
+    texts = ["AK İB Kx", "Key", "KEY Z"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(licenses.word_array(F.col("text")).alias("w")).collect()
+    assert [r["w"] for r in got] == [["aK", "İb", "kx"], ["Key"], ["key", "z"]]
