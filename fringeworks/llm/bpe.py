@@ -49,18 +49,17 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """Tables of a vocabulary, from the text of its file."""
+class Vocabulary:
+    """The bytes of each token, from the text of a vocabulary's file: all that decoding needs."""
 
     def __init__(self, text: str):
-        spec = json.loads(text)
+        self.spec = spec = json.loads(text)
         if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer") or spec["model"].get("ignore_merges"):
             raise ValueError("a byte-level BPE vocabulary without normaliser and prefix space is asked for")
         chars = _byte_chars()
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes: list[bytes] = [b""] * size
+        self.bytes: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for t, i in vocab.items():
             self.bytes[i] = bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode()
         for t, i in self.special.items():
@@ -68,6 +67,27 @@ class Codec:
         self.size = np.array([len(x) for x in self.bytes], np.int64)
         self.offset = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return ragged(self.flat, self.offset, self.size, ids.astype(np.int64)).tobytes().decode("utf-8", errors="replace")
+
+
+class Decoder(Vocabulary):
+    """Keeps the bytes of the tokens only."""
+
+    def __init__(self, text: str):
+        super().__init__(text)
+        del self.spec, self.bytes, self.special
+
+
+class Codec(Vocabulary):
+    """Tables for both ways."""
+
+    def __init__(self, text: str):
+        super().__init__(text)
+        spec, chars, size = self.spec, _byte_chars(), len(self.bytes)
+        vocab: dict[str, int] = spec["model"]["vocab"]
+        del self.spec
         self.rank = np.full(size, -1, np.int64)
         self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -259,9 +279,6 @@ class Codec:
         stop = np.append(0, np.cumsum(size[back]))[np.searchsorted(starts, edges)]
         return [whole[a:b].tobytes() for a, b in zip(stop[:-1], stop[1:], strict=True)]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return ragged(self.flat, self.offset, self.size, ids.astype(np.int64)).tobytes().decode("utf-8", errors="replace")
-
 
 def ragged(flat: np.ndarray, offset: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The pieces flat[offset : offset + size] of which, one after another."""
@@ -312,16 +329,28 @@ for _c in range(0x250):
     _KIND[_c] = 0 if 9 <= _c <= 13 or _c == 32 else 1 if chr(_c).isalpha() else 2 if 48 <= _c <= 57 else 3
 
 
-_codecs: dict[str, Codec] = {}
+_made: dict[type[Vocabulary], tuple[str, Vocabulary]] = {}
 
 
-def _codec(text: str) -> Codec:
-    """One per vocabulary and process."""
+def _kept[T: Vocabulary](kind: type[T], text: str) -> T:
+    """One of a kind per process: that of the last vocabulary."""
     key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(text)
-    return _codecs[key]
+    if kind not in _made or _made[kind][0] != key:
+        _made[kind] = (key, kind(text))
+    return _made[kind][1]
+
+
+def _encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for lo, hi in common.slabs(texts, TOGETHER):
+                yield part.column(0).slice(lo, hi - lo), codec.encode_batch(texts[lo:hi])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,15 +359,24 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for lo, hi in common.slabs(texts, TOGETHER):
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(codec.encode_batch(texts[lo:hi]), pa.binary())], ["doc_id", "ids"])
+        for doc_id, ids in _encoded(_kept(Codec, sent.value), batches):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: a task has one Python worker, and ids cross over to the JVM once."""
+    with open(path, encoding="utf-8") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _kept(Codec, sent.value)
+        for doc_id, ids in _encoded(codec, batches):
+            decoded = [codec.decode(np.frombuffer(x, "<u4")) for x in ids]
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -347,11 +385,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value)
+        decoder = _kept(Decoder, sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 ids = part.column(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([codec.decode(np.frombuffer(x, "<u4")) for x in ids.to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([decoder.decode(np.frombuffer(x, "<u4")) for x in ids.to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded string")

@@ -255,3 +255,10 @@ def test_license_words_lower_ascii_only(spark):
     texts = ["AK İB Kx", "Key", "KEY Z"]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select(licenses.word_array(F.col("text")).alias("w")).collect()
     assert [r["w"] for r in got] == [["aK", "İb", "kx"], ["Key"], ["key", "z"]]
+
+
+def test_bpe_round_trip_is_decode_of_encode(odd, none):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    for docs in (odd, none):
+        once, twice = bpe.round_trip(docs, path), bpe.decode(bpe.encode(docs, path), path)
+        assert once.schema == twice.schema and sorted(once.collect()) == sorted(twice.collect())
