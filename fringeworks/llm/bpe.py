@@ -3,7 +3,7 @@
 A word (a piece that the pre-tokeniser cuts) is first cut greedily into the longest tokens. Such a cut is the merge order's result exactly if each adjacent pair
 of tokens is compatible: undoing the two tokens' merges from the boundary outwards, the later merge first, never meets two parts that would have
 merged with one another before they merged otherwise. That test runs over all pairs of a batch at once on numpy arrays; only words that fail it are merged step by step. Results are
-kept per word within a worker, up to a bound.
+kept per word within a task, up to a bound.
 
 Vocabularies are tokenizers JSON files with a byte-level BPE model; the driver reads the file, whose size bounds what is broadcast.
 
@@ -37,7 +37,7 @@ _LATIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]*")
 _L = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _QUICK = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _NEVER = np.int64(1 << 40)
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 #: Characters that are encoded together: equal words among them are looked up once.
 TOGETHER = 1 << 20
 
@@ -341,12 +341,12 @@ def _kept[T: Vocabulary](kind: type[T], text: str) -> T:
 
 
 def _encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for lo, hi in common.slabs(texts, TOGETHER):
-                yield part.column(0).slice(lo, hi - lo), codec.encode_batch(texts[lo:hi])
+    for part in common.pieces(batches):
+        texts = [t or "" for t in part.column(1).to_pylist()]
+        for lo, hi in common.slabs(texts, TOGETHER):
+            yield part.column(0).slice(lo, hi - lo), codec.encode_batch(texts[lo:hi])
+    # the worker goes on to other tasks, which may be another stage's
+    codec.known = codec.specials()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -386,10 +386,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _kept(Decoder, sent.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = part.column(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([decoder.decode(np.frombuffer(x, "<u4")) for x in ids.to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
+        for part in common.pieces(batches):
+            ids = part.column(1)
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([decoder.decode(np.frombuffer(x, "<u4")) for x in ids.to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded string")

@@ -79,7 +79,7 @@ class _Lines:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.pieces(batches):
         texts, ids = common.text_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
         for lo, hi in common.slabs(texts):
             x = _Lines(texts[lo:hi])
@@ -95,7 +95,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _variants(wanted):
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.pieces(batches):
             texts, ids = common.text_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in common.slabs(texts):
                 x = _Lines(texts[lo:hi])

@@ -82,7 +82,7 @@ def signatures(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.pieces(batches):
             texts = common.text_bytes(b.column(1))
             for lo, hi in common.slabs(texts):
                 hashes, cuts = shingles(texts[lo:hi], width)
@@ -108,7 +108,7 @@ def _sets(width: int, wanted):
     """Full sets of the documents whose ids may be wanted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.pieces(batches):
             b = b.filter(pa.array(common.with_hits(wanted.value, common.hash_column(b.column(0)), 2)))
             texts = common.text_bytes(b.column(1))
             for lo, hi in common.slabs(texts):
