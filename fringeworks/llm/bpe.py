@@ -362,7 +362,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for doc_id, ids in _encoded(_kept(Codec, sent.value), batches):
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary")
+    return common.over_texts(_texts(docs, id_col, text_col), run, "doc_id bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,7 +376,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             decoded = [codec.decode(np.frombuffer(x, "<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary, decoded string")
+    return common.over_texts(_texts(docs, id_col, text_col), run, "doc_id bigint, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -18,7 +18,10 @@ SLAB = 1 << 18
 #: Largest bit filter that is sent to the tasks (bits): 32 MiB, whatever the input. A fuller filter lets more rows through, never fewer.
 MAX_FILTER_BITS = 1 << 28
 SEGMENT_BITS = 1 << 16
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1000
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POLY = 0x100000001B3
 _MASK = (1 << 64) - 1
@@ -113,6 +116,15 @@ def slabs(texts: list[bytes] | list[str], size: int = SLAB) -> Iterator[tuple[in
         yield at, len(texts)
 
 
+def over_texts(texts: DataFrame, f, schema: str) -> DataFrame:
+    """texts.mapInArrow(f, schema) by batches of BATCH_ROWS rows, where the session leaves Spark's default, of 10,000: whole texts may be long, and a batch is held by the
+    JVM and by Python. Spark reads this setting of the session when the plan runs, so it stays set."""
+    conf = texts.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return texts.mapInArrow(f, schema)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut into short ones, so that few texts at a time are Python objects."""
     for b in batches:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 KEEP, BACKGROUND, PREVIOUS = 1, 2, 3
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 #: A histogram has 64 bins: two bits each of red, green and blue.
@@ -340,4 +342,4 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([stored(payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return common.over_texts(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, n_bytes bigint, media binary")

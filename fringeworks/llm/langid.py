@@ -149,4 +149,4 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                         score[good[lo + k]] = min(1.0, float(total[k, j]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, "doc_id bigint, lang_pred string, score double")
+    return common.over_texts(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), judge, "doc_id bigint, lang_pred string, score double")

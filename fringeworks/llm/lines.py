@@ -144,7 +144,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line (from 0) and why (exact or near) for every line that goes."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    places = common.written(texts.mapInArrow(_first_pass, "doc_id bigint, line int, hash bigint, halves array<bigint>"), "lines")
+    places = common.written(common.over_texts(texts, _first_pass, "doc_id bigint, line int, hash bigint, halves array<bigint>"), "lines")
     place = F.struct("doc_id", "line")
     lines = common.written(places.groupBy("hash").agg(F.min(place).alias("first")), "classes")
 
@@ -152,7 +152,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = common.written(keys, "halves")
     wanted = docs.sparkSession.sparkContext.broadcast(common.key_filter(keys, "key", keys.count()))
     kept_first = places.select("doc_id", "line", "hash")
-    variants = texts.mapInArrow(_variants(wanted), "key bigint, at int, hash bigint, doc_id bigint, line int, words string")
+    variants = common.over_texts(texts, _variants(wanted), "key bigint, at int, hash bigint, doc_id bigint, line int, words string")
     variants = common.written(variants, "variants")
     # most variants are of one line only; the few that several lines have go on
     several = variants.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")

@@ -122,7 +122,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """The pairs (a, b) whose full sets reach percent: 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     wanted = pairs.sparkSession.sparkContext.broadcast(common.key_filter(ids, "doc_id", 2 * pairs.count()))
-    sets = common.written(texts.mapInArrow(_sets(width, wanted), "doc_id bigint, shingles array<bigint>"), "sets")
+    sets = common.written(common.over_texts(texts, _sets(width, wanted), "doc_id bigint, shingles array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -131,7 +131,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of documents linked at percent similarity of their sets of width-word shingles."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = common.written(texts.mapInArrow(_sketch(width), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"), "sketches")
+    sketched = common.written(common.over_texts(texts, _sketch(width), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"), "sketches")
     some = sketched.where("n_shingles > 0")
     best = F.min(F.struct("doc_id", "n_shingles", "bands"))
     classes = common.written(some.groupBy("set1", "set2").agg(best.alias("r")).select("set1", "set2", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.bands").alias("bands")), "classes")

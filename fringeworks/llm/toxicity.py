@@ -193,4 +193,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 part = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, "doc_id bigint, score double")
+    return common.over_texts(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), judge, "doc_id bigint, score double")
