@@ -6,7 +6,9 @@
 3. Representatives that share a bucket form a star: its centre is paired with each member, so a bucket of n gives n - 1 pairs. Pairs of clearly unequal set sizes
    can't reach the threshold and go. The others are confirmed on their full sets of 64-bit shingle hashes.
 4. Confirmed links give components. Buckets whose members still lie in several components get another centre, drawn anew for each bucket and round, and only pairs
-   across components are tried, until a round finds no link. Two similar texts share many buckets, and in each round one of them may be the centre in any of these.
+   across components are tried, for at most MAX_ROUNDS rounds or until one finds no link. This joins the bulk and leaves nothing out:
+5. Every pair across components that shares a bucket is tried then, unless its set sizes rule it out. Of buckets of SMALL members or fewer these are listed as pairs. Members of
+   larger ones are dealt into blocks by bucket, size, component and weight; each two blocks that share a bucket meet once in a task, which compares full sets and gives links only.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles, stand alone and are kept; shorter texts than a shingle are one shingle;
 repeated rows and ties fall to the smallest id; an empty table gives an empty result; other columns of the input are ignored.
@@ -28,6 +30,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 TRIES = 48
 MAX_ROUNDS = 4
+#: Buckets of more members aren't listed as pairs. Shingles of a block, about.
+SMALL, BLOCK = 32, 1 << 18
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: TRIES draws of a bin for each bin.
 _DRAWS = (common.mix(np.arange(1, TRIES * BINS + 1, dtype=np.uint64) * common._MUL) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
@@ -128,6 +132,69 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _links_of_blocks(percent: int):
+    """Links between the documents of two blocks (side 0 and 1), or within one block (side 0 only), that share a band; one link for each two components that they join."""
+
+    def links(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, c, side = (group.column(x).to_numpy() for x in ("doc_id", "c", "side"))
+        c = c.copy()
+        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(ids), BANDS)
+        sets = [np.asarray(x.values) for x in group.column("shingles")]
+        n = np.array([len(x) for x in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        cuts = np.append(0, np.cumsum(n))
+        codes = [codes[cuts[i] : cuts[i + 1]] for i in range(len(ids))]
+        flag = np.zeros(max(int(x.max()) for x in codes) + 1, np.int64)
+        within = not side.any()
+        right = np.arange(len(ids)) if within else np.flatnonzero(side == 1)
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(side == 0):
+            to = right[right > i] if within else right
+            to = to[(c[to] != c[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
+            to = to[(bands[to] == bands[i]).any(axis=1)]
+            if not len(to):
+                continue
+            flag[codes[i]] = 1
+            shared = np.add.reduceat(flag[np.concatenate([codes[j] for j in to])], np.append(0, np.cumsum(n[to])[:-1]))
+            flag[codes[i]] = 0
+            good = to[100 * shared >= percent * (n[to] + n[i] - shared)]
+            for j in good:
+                if c[j] != c[i]:
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    c[c == c[j]] = c[i]
+        return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(x) for _, x in out], pa.int64())})
+
+    return links
+
+
+def _block_links(hot: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across components among the members (bucket, doc_id, n, c) of large buckets; each two documents that share one are compared once."""
+    # a similarity of percent is impossible beyond neighbouring size classes
+    spread = max(float(np.log(100 / percent)), 0.01) * 1.001
+    home = hot.groupBy("doc_id").agg(F.min("bucket").alias("home"), F.first("n").alias("n"), F.first("c").alias("c")).withColumn("class", F.floor(F.log("n") / spread))
+    home = common.written(home, "homes")
+    # a component that fills a block has its own, as its documents needn't meet each other
+    own = home.groupBy("home", "class", "c").agg(F.sum("n").alias("weight")).where(F.col("weight") >= BLOCK).select("home", "class", "c", F.col("c").alias("own"))
+    home = common.written(common.split_join(home, own, ["home", "class", "c"], "left"), "homes")
+    parts = home.groupBy("home", "class", "own").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    parts = parts.withColumn("own_key", F.coalesce("own", F.lit(-1))).withColumn("is_own", F.col("own").isNotNull()).drop("own")
+    home = home.withColumn("own_key", F.coalesce("own", F.lit(-1))).withColumn("is_own", F.col("own").isNotNull())
+    home = common.split_join(home, parts, ["home", "class", "own_key", "is_own"])
+    block = F.struct("home", "class", "is_own", "own_key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    home = common.written(home.select("doc_id", "c", block.alias("block")), "blocks")
+    in_bucket = common.written(hot.select("bucket", "doc_id").join(home.select("doc_id", "block"), "doc_id").select("bucket", "block").distinct(), "blocks")
+    x, y = in_bucket.select("bucket", F.col("block").alias("x")), in_bucket.select("bucket", F.col("block").alias("y"))
+    apart = (F.abs(F.col("x.class") - F.col("y.class")) > 1) | (F.col("x.is_own") & F.col("y.is_own") & (F.col("x.own_key") == F.col("y.own_key")))
+    meet = common.written(x.join(y, "bucket").where((F.col("x") <= F.col("y")) & ~apart).select("x", "y").distinct(), "meetings")
+    sides = meet.select(F.col("x").alias("block"), "x", "y", F.lit(0).alias("side")).unionByName(meet.where("x <> y").select(F.col("y").alias("block"), "x", "y", F.lit(1).alias("side")))
+    wanted = hot.sparkSession.sparkContext.broadcast(common.key_filter(home, "doc_id", home.count()))
+    sets = common.over_texts(texts, _sets(width, wanted), "doc_id bigint, shingles array<bigint>")
+    # a repeated id has several sets, as in the list of pairs
+    full = common.written(home.join(reps.select("doc_id", "bands"), "doc_id").join(sets, "doc_id"), "sets")
+    return full.join(sides, "block").select("x", "y", "side", "doc_id", "c", "bands", "shingles").groupBy("x", "y").applyInArrow(_links_of_blocks(percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of documents linked at percent similarity of their sets of width-word shingles."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -148,8 +215,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = common.written(pairs(member), "pairs")
     links = common.written(_confirmed(tried, texts, width, percent), "links")
     found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+
+    def placed_in(found: DataFrame) -> DataFrame:
+        return member.select("bucket", "doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+
     for turn in range(MAX_ROUNDS):
-        placed = member.select("bucket", "doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        placed = placed_in(found)
         mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("centre")).where("lo < hi").drop("lo", "hi")
         fresh = common.written(pairs(common.split_join(placed, mixed, ["bucket"]).where("c <> centre.c")).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
@@ -161,6 +232,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
+    placed = placed_in(found)
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("bucket", "k")
+    left = common.written(common.split_join(placed, mixed, ["bucket"]), "left")
+    few, hot = left.where(F.col("k") <= SMALL).drop("k"), left.where(F.col("k") > SMALL).drop("k")
+    other = few.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    fresh = few.join(other, "bucket").where(f"doc_id < b and c <> d and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
+    fresh = common.written(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = [common.written(_confirmed(fresh, texts, width, percent), "links")] if not fresh.isEmpty() else []
+    if not hot.isEmpty():
+        more.append(common.written(_block_links(hot, reps, texts, width, percent), "links"))
+    if more:
+        for x in more:
+            links = links.unionByName(x)
+        found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+
     rep = common.split_join(some.select("doc_id", "n_shingles", "set1", "set2"), classes.select("set1", "set2", "rep"), ["set1", "set2"]).drop("set1", "set2")
     done = rep.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     none = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

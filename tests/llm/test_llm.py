@@ -262,3 +262,30 @@ def test_bpe_round_trip_is_decode_of_encode(odd, none):
     for docs in (odd, none):
         once, twice = bpe.round_trip(docs, path), bpe.decode(bpe.encode(docs, path), path)
         assert once.schema == twice.schema and sorted(once.collect()) == sorted(twice.collect())
+
+
+@pytest.mark.parametrize("block", [None, 2000])
+def test_near_duplicates_of_a_template_family(spark, monkeypatch, block):
+    """Every part that varies is shared by many, so that similar texts have no small bucket of their own and are rarely a centre."""
+    if block:
+        monkeypatch.setattr(minhash, "BLOCK", block)
+    rnd = random.Random(11)
+    texts = [[f"c{i}" for i in range(60)] + [f"s{i}v{rnd.randrange(4)}" for i in range(20)] for _ in range(400)]
+    # a large component in the same buckets: its members differ in one slot
+    texts += [texts[0][:79] + [f"s19v{i}"] for i in range(10, 60)]
+    sets, up = [set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                p, q = find(i), find(j)
+                up[max(p, q)] = min(p, q)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, width=1).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
