@@ -66,14 +66,11 @@ class _Lines:
         return np.stack(keys, axis=1)
 
     def without(self, i: int, in_head: bool, in_tail: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of line i less each word of its head or tail, and the places of those words; of a run of equal words only the first."""
+        """Hashes of line i less each word of its head or tail, and the places of those words. Words of a run give equal hashes at several places: the line it meets there may have no run."""
         lo, hi = int(self.lo[i]), int(self.hi[i])
         _, inverse = common._pow(hi + 2)
-        w = self.words[lo:hi]
-        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        last = np.append(first[1:], hi - lo) - 1
         half = (hi - lo) // 2
-        at = lo + first[((first < half) & in_head) | ((last >= half) & in_tail)]
+        at = np.arange(lo if in_head else lo + half, hi if in_tail else lo + half)
         total = (self.sums[at] - self.sums[lo]) + (self.sums[hi] - self.sums[at + 1]) * inverse[1]
         return common.mix(total * inverse[lo] + np.uint64((hi - lo - 1) * int(common._MUL) & common._MASK)), at - lo
 

@@ -289,3 +289,23 @@ def test_near_duplicates_of_a_template_family(spark, monkeypatch, block):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, width=1).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def dropped_by_brute_force(docs):
+    """Of (doc_id, text): the lines that go, by comparing each line with every earlier one."""
+    places = sorted((d, i, " ".join(x.split())) for d, t in docs for i, x in enumerate(t.split("\n")) if x.split())
+    first, near = {}, set()
+    for d, i, w in places:
+        if w not in first:
+            if len(w.split()) >= lines.MIN_WORDS and any(len(v.split()) >= lines.MIN_WORDS and lines.within_one_edit(w, v) for v in first):
+                near.add(w)
+            first[w] = (d, i)
+    return {(d, i, "exact" if first[w] != (d, i) else "near") for d, i, w in places if first[w] != (d, i) or w in near}
+
+
+def test_lines_of_repeated_words(spark):
+    rnd = random.Random(2)
+    pairs = ["0 0 0 0 0 0 1\n0 0 0 5 0 0 1", "it was very very late that day\nit was very much late that day", "- - - - - - - -\n- - - - + - - -\n- - - - - - -"]
+    docs = list(enumerate(pairs + ["\n".join(" ".join(rnd.choice("aab") + str(k) * (rnd.random() < 0.2) for _ in range(rnd.randint(6, 11))) for _ in range(2)) for k in range(150)]))
+    got = lines.dropped_lines(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(dropped_by_brute_force(docs))
