@@ -99,7 +99,8 @@ def _variants(wanted):
                 some = np.flatnonzero(x.n >= MIN_WORDS)
                 if not len(some):
                     continue
-                # of equal lines of the slab the first is enough
+                # of equal lines of the slab the earliest is enough, whatever the order of rows
+                some = some[np.lexsort((x.number[some], ids[lo:hi][x.owner[some]]))]
                 some = some[np.sort(np.unique(x.whole()[some], return_index=True)[1])]
                 hit = common.with_hits(wanted.value, x.halves(some).reshape(-1), 2).reshape(-1, 4)
                 some, hit = some[hit.any(axis=1)], hit[hit.any(axis=1)]
@@ -154,7 +155,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # most variants are of one line only; the few that several lines have go on
     several = variants.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
     several = common.written(several, "several")
-    # a line of a class is emitted for each of its places; the class is its earliest
+    # a class is emitted once a slab, at its earliest place there; the class is its earliest
     entry = variants.select("key", "at", "hash", "doc_id", "line").join(several, "key").groupBy("key", "at", "hash").agg(F.min(place).alias("place"))
     entry = common.written(entry, "entries")
     swap = entry.where("at >= 0").groupBy("key", "at").agg(F.min(F.struct("place", "hash")).alias("best"), F.max("hash").alias("hi"), F.min("hash").alias("lo")).where("lo <> hi").select("key", "at", "best")

@@ -309,3 +309,15 @@ def test_lines_of_repeated_words(spark):
     docs = list(enumerate(pairs + ["\n".join(" ".join(rnd.choice("aab") + str(k) * (rnd.random() < 0.2) for _ in range(rnd.randint(6, 11))) for _ in range(2)) for k in range(150)]))
     got = lines.dropped_lines(spark.createDataFrame(docs, "doc_id bigint, text string"))
     assert sorted(map(tuple, got.collect())) == sorted(dropped_by_brute_force(docs))
+
+
+def test_lines_in_any_row_order(spark):
+    """Copies of a line, and near copies of it, over documents that aren't in the order of their ids within a partition."""
+    a, b = "this line is the one that stays", "this line is the one that goes"
+    rnd = random.Random(4)
+    docs = [(9, a), (1, a), (5, b)] + [(d, "\n".join(f"group {rnd.randrange(12)} has a line of seven {rnd.choice('xyz')}" for _ in range(2))) for d in range(10, 90)]
+    want = sorted(dropped_by_brute_force(docs))
+    for shuffled, parts in ((docs, 1), (rnd.sample(docs, len(docs)), 1), (rnd.sample(docs, len(docs)), 5)):
+        table = spark.createDataFrame(shuffled, "doc_id bigint, text string")
+        got = lines.dropped_lines(table.coalesce(1) if parts == 1 else table.repartition(parts))
+        assert sorted(map(tuple, got.collect())) == want
