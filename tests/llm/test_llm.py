@@ -321,3 +321,22 @@ def test_lines_in_any_row_order(spark):
         table = spark.createDataFrame(shuffled, "doc_id bigint, text string")
         got = lines.dropped_lines(table.coalesce(1) if parts == 1 else table.repartition(parts))
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_few_texts_among_keys(spark):
+    """One in a hundred candidates is text, and one key is copied into many rows: as Benjamini-Hochberg over the distinct candidates says, exactly."""
+    rnd = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rnd.choice(letters) for _ in range(40)) for _ in range(1500)]
+    words = ["version1" * 4 + f"versio{chr(97 + i)}1" for i in range(15)]
+    tokens = keys + words + keys[:1] * 1500
+    places = spark.createDataFrame([(i, 0, 40, t) for i, t in enumerate(tokens)], "doc_id bigint, start bigint, end bigint, match string")
+    p = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
+    for name, column in secrets.battery().items():
+        p = p.withColumn(name, column)
+    p = {r.token: r.p for r in p.select("token", "p").collect()}
+    order = sorted(p.values())
+    cut = max([x for i, x in enumerate(order) if x <= secrets.FDR * (i + 1) / len(order)], default=-1)
+    want = {i for i, t in enumerate(tokens) if p[t] > cut and re.search("[0-9]", t) and re.search("[A-Za-z]", t)}
+    found = {r.doc_id for r in secrets.random_spans(places).collect()}
+    assert found == want and not found & set(range(1500, 1515))
