@@ -7,7 +7,9 @@ kept per word within a task, up to a bound.
 
 Vocabularies are tokenizers JSON files with a byte-level BPE model; the driver reads the file, whose size bounds what is broadcast.
 
-Defined cases: null and empty texts have no tokens and decode to the empty text; special tokens in a text become their ids, as in the library by default; bytes
+Equal words of a batch are brought together by hashes and then compared character by character.
+
+Defined cases: null and empty texts have no tokens and decode to the empty text; null and repeated ids stay as they are; special tokens in a text become their ids, as in the library by default; bytes
 that aren't UTF-8 after decoding of foreign ids become U+FFFD; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -243,9 +245,7 @@ class Codec(Vocabulary):
         plain = [i for i, t in enumerate(texts) if _LATIN.fullmatch(t) and not (self.cut and self.cut.search(t))]
         out: list[bytes] = [b""] * len(texts)
         for i in set(range(len(texts))).difference(plain):
-            p = self.parts(texts[i])
-            self.ready(p)
-            out[i] = b"".join(map(self.known.__getitem__, p))
+            out[i] = self._by_word(texts[i])
         if plain:
             for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
                 out[i] = ids
@@ -260,6 +260,11 @@ class Codec(Vocabulary):
                 fresh = {w for w in words if w not in self.known}
             self.learn(fresh)
 
+    def _by_word(self, text: str) -> bytes:
+        p = self.parts(text)
+        self.ready(p)
+        return b"".join(map(self.known.__getitem__, p))
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Texts of ASCII and Latin letters: words are found, and equal words brought together, on arrays of characters."""
         text = "".join(texts)
@@ -268,6 +273,8 @@ class Codec(Vocabulary):
         starts = word_starts(chars, edges)
         ends = np.append(starts[1:], len(chars))
         _, first, back = np.unique(common.span_hashes(chars, starts, ends), return_index=True, return_inverse=True)
+        if not same_words(chars, starts, ends, first[back]):
+            return [self._by_word(t) for t in texts]
         words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         ids = list(map(self.known.get, words))
         if None in ids:
@@ -287,6 +294,15 @@ def ragged(flat: np.ndarray, offset: np.ndarray, size: np.ndarray, which: np.nda
     return flat[np.repeat(offset[which] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
 
 
+def same_words(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, as_word: np.ndarray) -> bool:
+    """Whether each word has the characters of the word that as_word names: equal hashes are not taken on trust. Words stand side by side and fill chars."""
+    size, words = ends - starts, max(1, TOGETHER // 8)
+    if not np.array_equal(size[as_word], size):
+        return False
+    parts = ((i, min(len(starts), i + words)) for i in range(0, len(starts), words))
+    return all(np.array_equal(ragged(chars, starts, size, as_word[a:b]), chars[starts[a] : ends[b - 1]]) for a, b in parts)
+
+
 def word_starts(chars: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Where the pre-tokeniser's words begin in texts of ASCII and Latin letters; edges: where texts begin, and the end."""
     kind = _KIND[chars]
@@ -362,7 +378,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for doc_id, ids in _encoded(_kept(Codec, sent.value), batches):
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return common.over_texts(_texts(docs, id_col, text_col), run, "doc_id bigint, ids binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,7 +392,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             decoded = [codec.decode(np.frombuffer(x, "<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return common.over_texts(_texts(docs, id_col, text_col), run, "doc_id bigint, ids binary, decoded string")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -21,9 +21,7 @@ SEGMENT_BITS = 1 << 16
 #: Rows of an Arrow batch of whole texts.
 BATCH_ROWS = 1000
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_POLY = 0x100000001B3
 _MASK = (1 << 64) - 1
 
 
@@ -42,12 +40,47 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Folders of intermediate tables of this process.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder, read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no plan reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.table_path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes every table of written() in this process: for callers that have stored their results."""
+    for path in list(_tables):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _tables.remove(path)
+
+
+def internal(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that df doesn't have: underscores are put before until they differ (Spark compares without case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def split_join(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -67,23 +100,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64 and of its inverse, at least n of them; kept within the process."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size, inverse = max(n, 4 * SLAB), pow(_POLY, -1, 1 << 64)
-        out = []
-        for base in (_POLY, inverse):
-            a = np.ones(size, np.uint64)
-            a[1:] = np.uint64(base)
-            out.append(np.cumprod(a, dtype=np.uint64))
-        _powers = (out[0], out[1])
-    return _powers
-
-
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in UTF-8 bytes; words are parted by ASCII white space."""
     word = np.empty(len(buf) + 2, np.int8)
@@ -94,14 +110,29 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes, equal hashes, wherever they stand."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    power, inverse = _pow(len(buf) + 1)
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] ^ ((ends - starts).astype(np.uint64) * _MUL))
+    """A 64-bit hash of each span of bytes or characters: the sum over its places of a mixed pair of place and value, so no arithmetic rule holds between places. Equal
+    spans, equal hashes, wherever they stand. Some SLAB values are taken at a time, also within a long span."""
+    out = np.zeros(len(starts), np.uint64)
+    size = np.cumsum(ends - starts)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(size, size[at] + SLAB)))
+        lo, hi = int(starts[at]), int(ends[to - 1])
+        if to == at + 1 and hi - lo > SLAB:
+            for cut in range(lo, hi, SLAB):
+                out[at] += placed(buf[cut : min(hi, cut + SLAB)], np.arange(cut - lo, min(hi, cut + SLAB) - lo)).sum(dtype=np.uint64)
+        else:
+            s = starts[at:to] - lo
+            values = placed(buf[lo:hi], np.arange(hi - lo) - np.repeat(s, np.diff(np.append(s, hi - lo))))
+            edges = np.stack([s, ends[at:to] - lo], axis=1).reshape(-1)[:-1]
+            out[at:to] = np.add.reduceat(values, edges)[::2]
+        at = to
+    return mix(out ^ (ends - starts).astype(np.uint64) * _MUL)
+
+
+def placed(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of value and place."""
+    return mix((place.astype(np.uint64) + np.uint64(1)) * _MUL ^ values.astype(np.uint64))
 
 
 def slabs(texts: list[bytes] | list[str], size: int = SLAB) -> Iterator[tuple[int, int]]:
@@ -116,13 +147,9 @@ def slabs(texts: list[bytes] | list[str], size: int = SLAB) -> Iterator[tuple[in
         yield at, len(texts)
 
 
-def over_texts(texts: DataFrame, f, schema: str) -> DataFrame:
-    """texts.mapInArrow(f, schema) by batches of BATCH_ROWS rows, where the session leaves Spark's default, of 10,000: whole texts may be long, and a batch is held by the
-    JVM and by Python. Spark reads this setting of the session when the plan runs, so it stays set."""
-    conf = texts.sparkSession.conf
-    if conf.get(_BATCH) == "10000":
-        conf.set(_BATCH, str(BATCH_ROWS))
-    return texts.mapInArrow(f, schema)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows for the session, whose owner calls this: whole texts may be long, and a batch is held by the JVM and by Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -207,5 +234,11 @@ def hash_column(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
+def hash_threshold(rows: int, sample: int) -> int:
+    """A signed 64-bit value that sample of so many uniform hashes, and hardly more, lie below: eight standard deviations more."""
+    share = (sample + 8 * sample**0.5) / max(1, rows)
+    return (1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

@@ -7,7 +7,8 @@ shuffle, as (digest, id) without the text. The filter has at most MAX_FILTER_BIT
 result stays exact, as groups are formed on the SHA-256 digest.
 
 Defined cases: a null text is the empty text; equal texts are one group, however large (counts are combined before the shuffle, the join is
-one that adaptive execution can split); with no rows the result has none; other columns of the input are ignored; a null id is an error of the caller.
+one that adaptive execution can split); of rows equal in id and text one stays; a null id stays only where no other row has the text; with no rows the
+result has none; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -67,8 +68,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
     rows = common.written(rows.mapInArrow(maybe, "doc_id bigint, text_sha256 string, maybe boolean"), "exact")
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = rows.where("maybe").select("doc_id", "text_sha256")
+    # rows equal in id and text are counted as one, and dealt out again at the end: one of them stays
+    some = rows.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    groups = some.groupBy("text_sha256").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    together = common.split_join(some, groups, ["text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
-    return alone.unionByName(together)
+    groups = some.groupBy("text_sha256").agg(best.alias("keep_id"), F.sum("times").alias("group_size"))
+    together = common.split_join(some, groups, ["text_sha256"]).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
+    return alone.unionByName(together.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))

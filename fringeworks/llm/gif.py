@@ -1,7 +1,7 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames with colour histograms.
 
-Both directions work on numpy arrays. Decoding reads a whole run of codes between clear codes at once: code widths follow from a code's place in its run, string
-lengths and source places from the codes' parents by pointer doubling, so that no string table is built. Encoding looks up pairs of values only, a whole run at once.
+Decoding works on numpy arrays and reads a whole run of codes between clear codes at once: code widths follow from a code's place in its run, string
+lengths and source places from the codes' parents by pointer doubling, so that no string table is built. Encoding is the usual greedy search of the longest entry.
 
 Defined cases: decode raises ValueError on data that is no GIF, is cut off, or has a code that can't stand where it does; the table operator gives such a row one line
 with the message in error; null media give the same; frames may be interlaced, have own palettes and lie anywhere within the screen.
@@ -58,33 +58,38 @@ def _layout(first: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return width, np.cumsum(width) - width
 
 
-#: Values that a run begins with as they are, before pairs of values are looked up among the entries that these have made.
-LITERALS = 1022
-
-
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
-    """A code stream in runs that each begin with a clear code and fill the table once at most. A run's first LITERALS values make an entry for each pair of neighbours; of the
-    rest, a pair at an even place takes one code where such an entry is there. Longer matches are forgone: so the whole run is coded on arrays."""
+    """A code stream: the longest entry each time, a new entry for it and the value behind it, and a clear code when the table is full."""
     clear = 1 << bits
-    value = np.frombuffer(data, np.uint8).astype(np.int64)
+    codes, lengths = [], []
     longest = 4096 - clear - 2
-    codes, places = [], []
-    for lo in range(0, len(value), longest):
-        part = value[lo : lo + longest]
-        head, tail = part[:LITERALS], part[LITERALS:]
-        out = head
-        if len(tail):
-            entry = np.full(1 << 2 * bits, -1)
-            entry[head[:-1] << bits | head[1:]] = clear + 2 + np.arange(len(head) - 1)
-            even = len(tail) // 2 * 2
-            code = entry[tail[0:even:2] << bits | tail[1:even:2]]
-            both = np.stack([np.where(code < 0, tail[0:even:2], code), np.where(code < 0, tail[1:even:2], -1)], axis=1).reshape(-1)
-            out = np.concatenate([head, both[both >= 0], tail[even:]])
-        codes += [[clear], out]
-        places += [[len(codes) > 2 and len(codes[-3])], np.arange(len(out))]
-    end = len(codes[-1]) if codes else 0
-    code = np.concatenate([*codes, [clear + 1]] if codes else [[clear, clear + 1]]).astype(np.int64)
-    place = np.concatenate([*places, [end]] if codes else [[0, 0]]).astype(np.int64)
+    run: list[int] = []
+    table: dict[int, int] = {}
+    get, free, prefix = table.get, clear + 2, -1
+    for v in data:
+        if prefix < 0:
+            prefix = v
+            continue
+        key = prefix << 8 | v
+        entry = get(key)
+        if entry is not None:
+            prefix = entry
+            continue
+        run.append(prefix)
+        table[key] = free
+        free += 1
+        prefix = v
+        if len(run) == longest:
+            codes.append(run)
+            run, free = [], clear + 2
+            table.clear()
+    if prefix >= 0:
+        run.append(prefix)
+    codes.append(run)
+    # each run has a clear code before it, whose width is that of the code that would have come there
+    lengths = [len(r) for r in codes]
+    code = np.concatenate([x for r in codes for x in ([clear], r)] + [[clear + 1]]).astype(np.int64)
+    place = np.concatenate([x for n, before in zip(lengths, [0, *lengths]) for x in ([before], np.arange(n))] + [[lengths[-1]]]).astype(np.int64)
     width = _width(place, bits)
     at = np.cumsum(width) - width
     size = (int(at[-1] + width[-1]) + 7) // 8
@@ -290,34 +295,38 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(flat[:, 0] << 4 | flat[:, 1] << 2 | flat[:, 2], minlength=BINS)
 
 
-FRAMES = "id bigint, frame int, start_ms bigint, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, histogram array<bigint>, pixels binary, error string"
+FRAMES = "id bigint, frame int, start_ms bigint, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, own_palette int, histogram array<bigint>, pixels binary, error string"
 
 
-def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each frame of each file: its times, rectangle, rules, the screen's colour histogram and its own rectangle's red, green, blue and alpha bytes."""
+def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", also: tuple[str, ...] = (), grey: bool = False) -> DataFrame:
+    """A row for each frame of each file, a file's frames one after another: its times, rectangle, rules, colours of its own palette, the screen's colour histogram and its own rectangle's
+    red, green, blue and alpha bytes (grey: its red ones only). Columns of media that also names stand on each of its rows."""
+    kinds = [("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), *((n, pa.int32()) for n in ("left", "top", "width", "height", "disposal", "transparent", "own_palette")), ("histogram", pa.list_(pa.int64())), ("pixels", pa.binary()), ("error", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), *((n, pa.int32()) for n in ("left", "top", "width", "height", "disposal", "transparent")), ("histogram", pa.list_(pa.int64())), ("pixels", pa.binary()), ("error", pa.string())])
         for b in batches:
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for at, (i, data) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 rows, error = [], None
                 try:
                     for k, s in enumerate(decode(data if data is not None else b"")):
-                        f = s.frame
-                        rows.append((i, k, s.start_ms, f.delay * 10, f.left, f.top, f.indices.shape[1], f.indices.shape[0], f.disposal, f.transparent, histogram(s.screen).tolist(), s.own().tobytes(), None))
+                        f, own = s.frame, s.own()
+                        pixels = (own[..., 0] if grey else own).tobytes()
+                        rows.append((i, k, s.start_ms, f.delay * 10, f.left, f.top, f.indices.shape[1], f.indices.shape[0], f.disposal, f.transparent, None if f.palette is None else len(f.palette), histogram(s.screen).tolist(), pixels, None))
                 except ValueError as e:
                     error = str(e)
                 if error or not rows:
-                    rows = [(i, *[None] * 11, error or "GIF without frames")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
+                    rows = [(i, *[None] * (len(kinds) - 2), error or "GIF without frames")]
+                more = [b.column(2 + j).slice(at, 1).take(pa.array([0] * len(rows))) for j in range(len(also))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds, strict=True)] + more, [n for n, _ in kinds] + list(also))
 
-    return media.select(F.col(id_col).cast("bigint"), F.col(media_col)).mapInArrow(run, FRAMES)
+    kept = media.select(F.col(id_col).cast("bigint"), F.col(media_col), *also)
+    return kept.mapInArrow(run, ", ".join([FRAMES, *(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in also)]))
 
 
 # ---------------------------------------------------------------- texts as media
 
 UNIT = 192
-FRAME_ROWS = 64
+FRAME_ROWS = 16
 
 
 def payload(text: str | None) -> bytes:
@@ -327,9 +336,28 @@ def payload(text: str | None) -> bytes:
 
 
 def stored(data: bytes) -> bytes:
-    """A payload as grey samples, UNIT a row and FRAME_ROWS rows a frame, a tenth of a second each."""
+    """A payload as grey samples, UNIT a row and FRAME_ROWS rows a frame, all at the screen's top, a tenth of a second each. The file's palette has the greys that occur, in order, and one more entry for
+    transparency; a frame whose own greys need fewer bits has its own palette. Frames stay, give the screen back to the one before, or clear their rectangle, in turn. Samples that
+    the screen shows already are transparent. Read back by these rules, each frame's rectangle holds its samples."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, UNIT)
-    return encode([Frame(rows[i : i + FRAME_ROWS]) for i in range(0, len(rows), FRAME_ROWS)])
+    every = np.unique(rows)
+    bits = max(2, len(every).bit_length())
+    screen = np.full((min(FRAME_ROWS, len(rows)), UNIT), -1)
+    out = []
+    for k, at in enumerate(range(0, len(rows), FRAME_ROWS)):
+        part = rows[at : at + FRAME_ROWS]
+        greys = np.unique(part)
+        own = max(2, len(greys).bit_length()) < bits
+        have = greys if own else every
+        shown = screen[: len(part)] == part
+        disposal = (KEEP, PREVIOUS, BACKGROUND)[k % 3]
+        palette = np.repeat(np.append(have, 0)[:, None], 3, axis=1).astype(np.uint8) if own else None
+        out.append(Frame(np.where(shown, len(have), np.searchsorted(have, part)).astype(np.uint8), disposal=disposal, transparent=len(have), palette=palette))
+        if disposal == KEEP:
+            screen[: len(part)] = part
+        elif disposal == BACKGROUND:
+            screen[: len(part)] = -1
+    return encode(out, np.repeat(np.append(every, 0)[:, None], 3, axis=1).astype(np.uint8))
 
 
 def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,4 +370,4 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([stored(payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return common.over_texts(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")

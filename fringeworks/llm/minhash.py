@@ -1,17 +1,17 @@
 """Near-duplicate documents: one-permutation MinHash with optimal densification, banded buckets, star-shaped candidate edges.
 
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit identity of the set, and the hashes of its bands. A hash of a shingle
-   chooses one of BINS bins and the bin keeps its smallest hash; an empty bin takes the value of a filled one that a 2-universal sequence of bins names.
+   chooses one of BINS bins and the bin keeps its smallest hash; an empty bin takes the value of the first filled one that its own sequence of random bins, however long, comes to.
 2. Documents with equal sets are one class; its smallest id stands for it from here on, so groups of copies cost one row.
 3. Representatives that share a bucket form a star: its centre is paired with each member, so a bucket of n gives n - 1 pairs. Pairs of clearly unequal set sizes
    can't reach the threshold and go. The others are confirmed on their full sets of 64-bit shingle hashes.
 4. Confirmed links give components. Buckets whose members still lie in several components get another centre, drawn anew for each bucket and round, and only pairs
-   across components are tried, for at most MAX_ROUNDS rounds or until one finds no link. This joins the bulk and leaves nothing out:
+   across components are tried, as long as a round confirms one in YIELD of its pairs. This only joins the bulk cheaply; whatever it left is done by step 5:
 5. Every pair across components that shares a bucket is tried then, unless its set sizes rule it out. Of buckets of SMALL members or fewer these are listed as pairs. Members of
    larger ones are dealt into blocks by bucket, size, component and weight; each two blocks that share a bucket meet once in a task, which compares full sets and gives links only.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles, stand alone and are kept; shorter texts than a shingle are one shingle;
-repeated rows and ties fall to the smallest id; an empty table gives an empty result; other columns of the input are ignored.
+repeated rows and ties fall to the smallest id; rows that repeat an id are one document of several texts, linked by any of them; a row without an id stands alone and is kept; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +28,33 @@ from .components import components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-TRIES = 48
-MAX_ROUNDS = 4
+#: Another round of stars is worth its jobs while one in so many of its pairs is a link; what rounds leave is tried pair by pair.
+YIELD = 10
 #: Buckets of more members aren't listed as pairs. Shingles of a block, about.
 SMALL, BLOCK = 32, 1 << 18
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: TRIES draws of a bin for each bin.
-_DRAWS = (common.mix(np.arange(1, TRIES * BINS + 1, dtype=np.uint64) * common._MUL) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
-_PLACES = common.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def _first_draws() -> np.ndarray:
+    """BINS x BINS: when the endless sequence of random bins that belongs to a bin comes to another for the first time."""
+    first, turn = np.full((BINS, BINS), -1), 0
+    while (first < 0).any():
+        to = (common.mix(np.arange(turn * BINS, (turn + 1) * BINS, dtype=np.uint64) * common._MUL) % np.uint64(BINS)).astype(np.int64)
+        new = first[np.arange(BINS), to] < 0
+        first[np.flatnonzero(new), to[new]] = turn
+        turn += 1
+    return first
+
+
+_FIRST = _first_draws()
+
+
+def rolled(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of width words in a row; each word is mixed into what stands before it."""
+    out = common.mix(words[: len(words) - width + 1])
+    for j in range(1, width):
+        out = common.mix(out * common._MUL + words[j : len(words) - width + 1 + j])
+    return out
 
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,16 +64,13 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     words = common.span_hashes(buf, starts, ends)
     cuts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
     counts = np.diff(cuts)
-    rolled = np.zeros(len(words), np.uint64)
-    for j in range(min(width, len(words))):
-        rolled[: len(words) - j] += words[j:] * _PLACES[j]
-    rolled = common.mix(rolled)
+    whole = rolled(words, width) if len(words) >= width else words[:0]
     out: list[np.ndarray] = []
     for i, n in enumerate(counts):
         if n >= width:
-            out.append(np.unique(rolled[cuts[i] : cuts[i + 1] - width + 1]))
+            out.append(np.unique(whole[cuts[i] : cuts[i + 1] - width + 1]))
         elif n:
-            out.append(common.mix((words[cuts[i] : cuts[i + 1]] * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
+            out.append(rolled(words[cuts[i] : cuts[i + 1]], int(n)))
         else:
             out.append(np.empty(0, np.uint64))
     return np.concatenate(out) if out else np.empty(0, np.uint64), np.cumsum([0] + [len(x) for x in out])
@@ -68,19 +84,9 @@ def signatures(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     np.minimum.at(sig, owner * BINS + (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), common.mix(hashes))
     sig = sig.reshape(n, BINS)
     for i in np.flatnonzero((sig == _EMPTY).any(axis=1) & (np.diff(cuts) > 0)):
-        filled = sig[i] != _EMPTY
-        empty, row = np.flatnonzero(~filled), sig[i].copy()
-        for draw in _DRAWS:
-            to = draw[empty]
-            good = filled[to]
-            row[empty[good]] = sig[i][to[good]]
-            empty = empty[~good]
-            if not len(empty):
-                break
-        if len(empty):  # few shingles: the next filled bin, around the end
-            at = np.flatnonzero(filled)
-            row[empty] = sig[i][at[np.searchsorted(at, empty) % len(at)]]
-        sig[i] = row
+        filled = np.flatnonzero(sig[i] != _EMPTY)
+        empty = np.flatnonzero(sig[i] == _EMPTY)
+        sig[i, empty] = sig[i, filled[_FIRST[empty][:, filled].argmin(axis=1)]]
     return sig
 
 
@@ -126,10 +132,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """The pairs (a, b) whose full sets reach percent: 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     wanted = pairs.sparkSession.sparkContext.broadcast(common.key_filter(ids, "doc_id", 2 * pairs.count()))
-    sets = common.written(common.over_texts(texts, _sets(width, wanted), "doc_id bigint, shingles array<bigint>"), "sets")
+    sets = common.written(texts.mapInArrow(_sets(width, wanted), "doc_id bigint, shingles array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    links = common.written(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
+    common.release(sets)
+    return links
 
 
 def _links_of_blocks(percent: int):
@@ -189,7 +197,7 @@ def _block_links(hot: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
     meet = common.written(x.join(y, "bucket").where((F.col("x") <= F.col("y")) & ~apart).select("x", "y").distinct(), "meetings")
     sides = meet.select(F.col("x").alias("block"), "x", "y", F.lit(0).alias("side")).unionByName(meet.where("x <> y").select(F.col("y").alias("block"), "x", "y", F.lit(1).alias("side")))
     wanted = hot.sparkSession.sparkContext.broadcast(common.key_filter(home, "doc_id", home.count()))
-    sets = common.over_texts(texts, _sets(width, wanted), "doc_id bigint, shingles array<bigint>")
+    sets = texts.mapInArrow(_sets(width, wanted), "doc_id bigint, shingles array<bigint>")
     # a repeated id has several sets, as in the list of pairs
     full = common.written(home.join(reps.select("doc_id", "bands"), "doc_id").join(sets, "doc_id"), "sets")
     return full.join(sides, "block").select("x", "y", "side", "doc_id", "c", "bands", "shingles").groupBy("x", "y").applyInArrow(_links_of_blocks(percent), "a bigint, b bigint")
@@ -197,9 +205,10 @@ def _block_links(hot: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of documents linked at percent similarity of their sets of width-word shingles."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = common.written(common.over_texts(texts, _sketch(width), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"), "sketches")
-    some = sketched.where("n_shingles > 0")
+    every = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = every.where("doc_id is not null")
+    sketched = common.written(every.mapInArrow(_sketch(width), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"), "sketches")
+    some = sketched.where("n_shingles > 0 and doc_id is not null")
     best = F.min(F.struct("doc_id", "n_shingles", "bands"))
     classes = common.written(some.groupBy("set1", "set2").agg(best.alias("r")).select("set1", "set2", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.bands").alias("bands")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "bands")
@@ -213,24 +222,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return near.select(F.least("doc_id", "centre.doc_id").alias("a"), F.greatest("doc_id", "centre.doc_id").alias("b")).distinct()
 
     tried = common.written(pairs(member), "pairs")
-    links = common.written(_confirmed(tried, texts, width, percent), "links")
+    links = _confirmed(tried, texts, width, percent)
     found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     def placed_in(found: DataFrame) -> DataFrame:
         return member.select("bucket", "doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
 
-    for turn in range(MAX_ROUNDS):
+    turn, good = 0, True
+    while good:
         placed = placed_in(found)
         mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("centre")).where("lo < hi").drop("lo", "hi")
         fresh = common.written(pairs(common.split_join(placed, mixed, ["bucket"]).where("c <> centre.c")).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
+        if not (n_fresh := fresh.count()):
             break
-        more = common.written(_confirmed(fresh, texts, width, percent), "links")
-        tried = tried.unionByName(fresh)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+        more = _confirmed(fresh, texts, width, percent)
+        tried, n_more, turn = tried.unionByName(fresh), more.count(), turn + 1
+        good = n_more * YIELD >= n_fresh
+        if n_more:
+            links = links.unionByName(more)
+            found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     placed = placed_in(found)
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("bucket", "k")
@@ -239,15 +249,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = few.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     fresh = few.join(other, "bucket").where(f"doc_id < b and c <> d and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
     fresh = common.written(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = [common.written(_confirmed(fresh, texts, width, percent), "links")] if not fresh.isEmpty() else []
+    more = [_confirmed(fresh, texts, width, percent)] if not fresh.isEmpty() else []
     if not hot.isEmpty():
         more.append(common.written(_block_links(hot, reps, texts, width, percent), "links"))
     if more:
         for x in more:
             links = links.unionByName(x)
         found = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    common.release(member, left)
 
     rep = common.split_join(some.select("doc_id", "n_shingles", "set1", "set2"), classes.select("set1", "set2", "rep"), ["set1", "set2"]).drop("set1", "set2")
     done = rep.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    none = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return done.unionByName(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = sketched.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return done.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,24 +1,25 @@
-"""Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
+"""Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks, then seeded selection of blocks.
 
 The catalogue of sources (name, rows, words) is all that reaches the driver: one row per source, and more than MAX_SOURCES is an error. There,
 targets are set by filling up to the caps, and the mix's blocks of BLOCK words go to the sources by the highest quotients target / (2 k + 1).
-A source's documents are dealt by a seeded hash into shards of about SHARD_ROWS rows, so a source with a third of all rows has
-as many more shards, and the source's blocks go to its shards by the highest quotients of their words. In a shard, documents
-stand in a seeded order and form a ring of words; the shard's quota of blocks is taken from a seeded block of the ring on, as often round as it lasts. A
-document takes what falls on its stretch of the ring, at most ceil(quota / ring) times its size, and never over its cap.
-
-Defined cases: a null text has no words and takes none; a null source is a source of its own, last in order; an empty table gives an
-empty result; ties in quotients go to the earlier source or shard; equal ids in one source would stand side by side in the ring;
-other columns of the input are ignored. Reruns agree: everything hangs on ids, sizes and the seed.
+A source's documents are dealt by a seeded hash into shards of about SHARD_ROWS rows, and shards into about as many divisions as a division has shards. A source's blocks go to its
+divisions, and a division's to its shards, by the highest quotients of their words, none above its cap: a source with a third of all rows has as many more shards, and no task sees more
+than the square root of their number. In a shard, documents stand in a seeded order and form a row of words, cut into blocks (the last may be short). Of a quota of q blocks, each of the b blocks
+is taken q // b times, and the q % b blocks with the smallest seeded hashes once more. A document takes what falls on it, at most cap times its size.
+
+Defined cases: a null text has no words and takes none; a null source is a source of its own, last in order; null ids stand first in a shard; an empty table gives an
+empty result; ties in quotients go to the earlier source, division or shard; rows equal in id and size are interchangeable; names of the mix's own columns are changed where the
+input has them. Reruns agree: everything hangs on ids, sizes and the seed.
 """
 
 from __future__ import annotations
 
 import heapq
+from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +30,7 @@ CAP = 3
 BLOCK = 32
 SHARD_ROWS = 500
 MAX_SOURCES = 100_000
+WORD = r"[^\x20\x09-\x0D]+"
 SEED = 17
 
 
@@ -50,29 +52,46 @@ def targets(sizes: list[int], weights: list[float], total: float, cap: float = C
             return out
 
 
-def apportion(votes: list[float] | np.ndarray, seats: int) -> np.ndarray:
-    """Sainte-Lague: seats by the highest quotients votes / (2 k + 1), ties to the earlier. Starts from a divisor that gives at most the seats."""
+def apportion(votes: list[float] | np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
+    """Sainte-Lague: seats by the highest quotients votes / (2 k + 1), ties to the earlier, none above most. Starts from a divisor that gives at most the seats."""
     votes = np.asarray(votes, float)
     total = votes.sum()
-    got = np.zeros(len(votes), np.int64)
+    most = np.full(len(votes), max(seats, 0)) if most is None else np.asarray(most)
     if seats <= 0 or total <= 0:
-        return got
+        return np.zeros(len(votes), np.int64)
     # a little above the mean votes of a seat the rounded shares can't exceed the seats; the rest go one by one
     got = np.maximum(0, np.ceil(votes * max(0.0, seats - 0.5 * len(votes)) / total - 0.5)).astype(np.int64)
-    heap = [(-v / (2 * k + 1), i) for i, (v, k) in enumerate(zip(votes, got, strict=True)) if v > 0]
+    got = np.minimum(got, most)
+    heap = [(-v / (2 * k + 1), i) for i, (v, k) in enumerate(zip(votes, got, strict=True)) if v > 0 and k < most[i]]
     heapq.heapify(heap)
     for _ in range(seats - int(got.sum())):
+        if not heap:
+            break
         _, i = heap[0]
         got[i] += 1
-        heapq.heapreplace(heap, (-votes[i] / (2 * got[i] + 1), i))
+        if got[i] < most[i]:
+            heapq.heapreplace(heap, (-votes[i] / (2 * got[i] + 1), i))
+        else:
+            heapq.heappop(heap)
     return got
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """For every document: doc_id, source, size, source_size, target and taken (words). taken is made of copies full turns, the first head words, and tail words from tail_from on."""
-    spark = docs.sparkSession
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), common.SPACE), "")).cast("bigint")
-    sized = common.written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
+def _dealt(parts: DataFrame, group: list[str], part: str) -> DataFrame:
+    """The quota of a group's blocks dealt to its parts: rows of (group..., part, words, most, quota), where quota came in as the group's."""
+
+    def deal(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(part)
+        return g.assign(quota=apportion(g["words"].to_numpy(), int(g["quota"].iloc[0]), g["most"].to_numpy()))
+
+    return parts.groupBy(*group).applyInPandas(deal, parts.schema)
+
+
+def _words(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def _shards(sized: DataFrame, weights: tuple[float, ...], cap: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of (source, size, turn): the plan of sources (broadcast: bounded), and for each shard (sid, shard) its blocks, how often all of them are taken, and the hash up to which they are once more."""
     catalogue = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(catalogue) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -80,43 +99,74 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = [r["size"] for r in catalogue]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], float(sum(sizes)), cap) if sizes else []
     quotas = apportion(aims, round(sum(aims) / block))
-    schema = "source string, sid int, source_size bigint, target double, blocks bigint, shards int"
-    plan = spark.createDataFrame([(r["source"], i, r["size"], float(t), int(q), -(-r["n"] // SHARD_ROWS)) for i, (r, t, q) in enumerate(zip(catalogue, aims, quotas, strict=True))], schema)
-
-    placed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.col("shards").cast("bigint"))).withColumn("turn", order)
-    rings = placed.groupBy("sid", "shard").agg(F.sum("size").alias("ring"), F.first("blocks").alias("blocks"))
-
-    def by_shard(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
-        return group[["sid", "shard", "ring"]].assign(quota=apportion(group["ring"].to_numpy(), int(group["blocks"].iloc[0])))
-
-    quota = rings.groupBy("sid").applyInPandas(by_shard, "sid int, shard bigint, ring bigint, quota bigint")
-    before = Window.partitionBy("sid", "shard").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = placed.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    laid = laid.join(quota, ["sid", "shard"])
-    many = F.least(F.col("quota") * block, F.col("ring") * cap)
-    laid = laid.withColumns({"copies": F.when(F.col("ring") > 0, F.floor(many / F.col("ring"))).otherwise(0).cast("bigint"), "many": many})
-    laid = laid.withColumn("rest", F.col("many") - F.col("copies") * F.col("ring"))
-    starts = F.when(F.col("ring") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), F.col("sid"), F.col("shard")), F.ceil(F.col("ring") / block)) * block).otherwise(0).cast("bigint")
-    laid = laid.withColumn("start", starts).withColumns({"lo1": F.col("start"), "hi1": F.least(F.col("start") + F.col("rest"), F.col("ring"))})
-    laid = laid.withColumn("hi2", F.greatest(F.col("start") + F.col("rest") - F.col("ring"), F.lit(0)))
+    rows = [(r["source"], i, r["size"], float(t), int(q), -(-r["n"] // SHARD_ROWS)) for i, (r, t, q) in enumerate(zip(catalogue, aims, quotas, strict=True))]
+    rows = [(*r, isqrt(max(r[-1] - 1, 0)) + 1) for r in rows]
+    plan = F.broadcast(sized.sparkSession.createDataFrame(rows, "source string, sid int, source_size bigint, target double, quota bigint, shards int, per_division int"))
+
+    placed = in_shards(sized, plan, seed)
+    shards = placed.groupBy("sid", "shard", "per_division", "quota").agg(F.sum("size").alias("words"))
+    shards = shards.select("sid", F.floor(F.col("shard") / F.col("per_division")).alias("division"), "shard", "words", F.ceil(F.col("words") / block).alias("blocks"), (F.ceil(F.col("words") / block) * cap).alias("most"), "quota")
+    shards = common.written(shards, "shards")
+    divisions = _dealt(shards.groupBy("sid", "division", "quota").agg(F.sum("words").alias("words"), F.sum("most").alias("most")), ["sid"], "division")
+    dealt = _dealt(shards.drop("quota").join(divisions.select("sid", "division", "quota"), ["sid", "division"]), ["sid", "division"], "shard")
+    turns = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0)
+    dealt = dealt.select("sid", "shard", "blocks", turns.cast("bigint").alias("turns"), (F.col("quota") - turns * F.col("blocks")).cast("int").alias("more"))
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: _draw(j, seed)))
+    dealt = dealt.withColumn("up_to", F.when(F.col("more") > 0, F.element_at(drawn, F.greatest(F.col("more"), F.lit(1)))))
+    return plan, common.written(dealt.drop("blocks", "more"), "quotas")
+
+
+def _draw(block: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 2), F.col("sid"), F.col("shard"), block)
+
+
+def in_shards(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """sized with the columns of plan, shard and turn (a row's place in the order of its shard)."""
+    placed = sized.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return placed.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.col("shards").cast("bigint")), "turn": F.xxhash64("doc_id", "size", F.lit(seed))})
+
+
+def _taken(sized: DataFrame, plan: DataFrame, quotas: DataFrame, block: int, seed: int) -> DataFrame:
+    """sized with turns (how often the whole text is taken) and runs (array of (from, n): the words that are taken once more)."""
+    before = Window.partitionBy("sid", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = in_shards(sized, plan, seed).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    laid = laid.join(quotas, ["sid", "shard"])
     end = F.col("at") + F.col("size")
-    laid = laid.withColumns({"tail": F.greatest(F.least(end, F.col("hi1")) - F.greatest(F.col("at"), F.col("lo1")), F.lit(0)), "head": F.greatest(F.least(end, F.col("hi2")) - F.col("at"), F.lit(0))})
-    return laid.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("tail") + F.col("head")).alias("taken"), "copies", "head", F.greatest(F.col("lo1") - F.col("at"), F.lit(0)).alias("tail_from"), "tail")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents with the input's columns: a row per full copy, and one for each stretch of words that is taken besides."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "copies", "head", "tail_from", "tail")
-    joined = docs.join(plan, F.col(id_col) == F.col("_id"))
-    piece = F.explode(F.concat(F.array_repeat(F.struct(F.lit(-1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("n")), F.col("copies").cast("int")), F.filter(F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("head").alias("n")), F.struct(F.col("tail_from").alias("a"), F.col("tail").alias("n"))), lambda x: x["n"] > 0)))
-    joined = joined.withColumn("_piece", piece)
-    words = F.array_remove(F.split(F.col(text_col), common.SPACE), "")
-    text = F.when(F.col("_piece.a") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.col("_piece.a").cast("int") + 1, F.col("_piece.n").cast("int")), " "))
-    out = joined.withColumn(text_col, text)
+    blocks = F.filter(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block)), lambda j: _draw(j, seed) <= F.col("up_to"))
+    piece = F.transform(blocks, lambda j: F.struct((F.greatest(j * block, F.col("at")) - F.col("at")).alias("from"), (F.least((j + 1) * block, end) - F.greatest(j * block, F.col("at"))).alias("n")))
+    none = F.array().cast("array<struct<from:bigint,n:bigint>>")
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["from"].alias("from"), (last["n"] + x["n"]).alias("n"))))
+        return F.when(F.size(acc) == 0, F.array(x)).when(last["from"] + last["n"] == x["from"], grown).otherwise(F.concat(acc, F.array(x)))
+
+    runs = F.when((F.col("size") > 0) & F.col("up_to").isNotNull(), F.aggregate(piece, none, joined)).otherwise(none)
+    return laid.withColumn("runs", runs)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """For every document: doc_id, source, size, source_size, target and taken (words), which is made of turns (full copies) and runs (array of (from, n) of words)."""
+    sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(text_col).alias("size"))
+    sized = common.written(sized, "sizes")
+    plan, quotas = _shards(sized, weights, cap, block, seed)
+    taken = F.col("turns") * F.col("size") + F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    return _taken(sized, plan, quotas, block, seed).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "turns", "runs")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix as documents with the input's columns: a row per full copy, and one for each run of words that is taken besides."""
+    own = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(text_col).alias("size")]
+    sizes = common.written(docs.select(*own), "sizes")
+    plan, quotas = _shards(sizes, weights, cap, block, seed)
+    # the documents' own columns lie in a struct, so no name can clash, and texts move once
+    laid = _taken(docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), plan, quotas, block, seed)
+    whole = F.array_repeat(F.struct(F.lit(-1).cast("bigint").alias("from"), F.lit(0).cast("bigint").alias("n")), F.when(F.col("size") > 0, F.col("turns")).otherwise(0).cast("int"))
+    laid = laid.select("row", F.explode(F.concat(whole, F.col("runs"))).alias("piece"))
+    words = F.array_remove(F.split(F.col("row")[text_col], common.SPACE), "")
+    text = F.when(F.col("piece.from") < 0, F.col("row")[text_col]).otherwise(F.array_join(F.slice(words, F.col("piece.from").cast("int") + 1, F.col("piece.n").cast("int")), " "))
+    laid = laid.select("row", text.alias("text"))
+    out = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return laid.select(*[x.alias(c) for c, x in out.items()])

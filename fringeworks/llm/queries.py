@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from . import bpe, common, exact, gif, langid, licenses, lines, minhash, mixing, secrets, toxicity
 
-documents = common.documents
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return common.documents(spark, sf_dir)
 
 
 def _remainder(n: int) -> Column:
@@ -38,27 +42,39 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+_MEDIA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+
+
 def _media_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file, from its frames, which follow one another."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = [c.split()[0] for c in _MEDIA.split(", ")]
+    file = done = None
+
+    def closed() -> tuple:
+        bins = ",".join(f"{i}:{k}" for i, k in enumerate(file["bins"]) if k)
+        feature = f"frames={file['frames']};own={file['own']};ms={file['ms']};{bins}"
+        return (file["id"], file["n_bytes"], file["size"], file["sha"].hexdigest(), zlib.crc32(file["tail"]), file["media_bytes"], file["media_sha256"], feature)
+
     for b in batches:
-        rows = []
-        for doc_id, n, media in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            payload, bins, frames, clock = hashlib.sha256(), np.zeros(gif.BINS, np.int64), 0, 0
-            size, tail = 0, b""
-            for s in gif.decode(media):
-                part = s.own()[..., 0].tobytes()
-                payload.update(part)
-                size, tail, frames, clock = size + len(part), part[-16:], frames + 1, s.start_ms + s.frame.delay * 10
-                bins += gif.histogram(s.own())
-            feature = f"frames={frames};ms={clock};" + ",".join(f"{i}:{k}" for i, k in enumerate(bins) if k)
-            rows.append((doc_id, n, size, payload.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+        done = []
+        for i, frame, start, delay, own, histogram, pixels, n_bytes, media_bytes, media_sha256 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if frame == 0:
+                if file:
+                    done.append(closed())
+                file = {"id": i, "n_bytes": n_bytes, "media_bytes": media_bytes, "media_sha256": media_sha256, "sha": hashlib.sha256(), "size": 0, "frames": 0, "own": 0, "bins": np.zeros(gif.BINS, np.int64)}
+            file["sha"].update(pixels)
+            file |= {"size": file["size"] + len(pixels), "tail": pixels[-16:], "frames": frame + 1, "own": file["own"] + (own is not None), "ms": start + delay, "bins": file["bins"] + np.array(histogram)}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
+    if file:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(closed(), types, strict=True)], names)
 
 
 def op3_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = gif.texts_as_media(documents(spark, sf_dir))
-    return media.mapInArrow(_media_digests, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    media = gif.texts_as_media(documents(spark, sf_dir)).withColumns({"media_bytes": F.length("media").cast("bigint"), "media_sha256": F.sha2("media", 256)})
+    kept = ("n_bytes", "media_bytes", "media_sha256")
+    frames = gif.frames(media, also=kept, grey=True)
+    return frames.select("id", "frame", "start_ms", "delay_ms", "own_palette", "histogram", "pixels", *kept).mapInArrow(_media_digests, _MEDIA)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,17 +144,18 @@ def _list(words: list[str]) -> str:
 def _license_sql() -> str:
     capitals = "".join(map(chr, range(65, 91)))
     base = ", ".join(f"({_text(label)}, {_list(licenses.split_words(t))})" for t, label in licenses.PHRASES)
-    rows = []
-    for t, label in licenses.TEMPLATES:
+    rows, step = [], licenses.step_of()
+    for t, label, must in licenses.TEMPLATES:
         words = sorted(set(licenses.split_words(t)))
-        rows.append(f"({_text(label)}, {_list(words)}, {ceil(licenses.CONTAINMENT * len(words) - 1e-9)})")
+        rows.append(f"({_text(label)}, {_list(words)}, {ceil(licenses.CONTAINMENT * len(words) - 1e-9)}, {_list([f' {m} ' for m in must])})")
     return f"""
 with w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '{licenses.SEPARATOR}'), lambda x: x <> '') as w from documents),
 phrase(label, seq) as (values {base}),
-template(label, words, need) as (values {", ".join(rows)}),
+template(label, words, need, must) as (values {", ".join(rows)}),
 place as (select doc_id, label, s from (select doc_id, w, unnest(range(len(w))) as s from w) p, phrase where p.w[s + 1] = seq[1] and p.w[s + 1 : s + len(seq)] = seq),
-block as (select doc_id, list_distinct(w[s + 1 : s + {2 * licenses.STEP}]) as b from (select doc_id, w, unnest(range(0, len(w), {licenses.STEP})) as s from w)),
-met as (select distinct doc_id, label, len(list_intersect(b, words))::double / len(words) as c from block, template where len(list_intersect(b, words)) >= need),
+block as (select doc_id, w[s + 1 : s + {2 * step}] as b from (select doc_id, w, unnest(range(0, len(w), {step})) as s from w)),
+met as (select distinct doc_id, label, len(list_intersect(list_distinct(b), words))::double / len(words) as c from block, template
+  where len(list_intersect(list_distinct(b), words)) >= need and len(list_filter(must, lambda m: not contains(' ' || array_to_string(b, ' ') || ' ', m))) = 0),
 p as (select doc_id, count(*) as n, min(s) as lo, max(s) as hi, list(distinct label) as labels from place group by doc_id),
 m as (select doc_id, max(c) as c, list(distinct label) as labels from met group by doc_id)
 select w.doc_id, len(w.w)::bigint as n_words, coalesce(p.n, 0)::bigint as n_base, p.lo::bigint as first_word, p.hi::bigint as last_word,
@@ -160,7 +177,7 @@ select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, w.doc_i
 from w left join n using (doc_id) join (select doc_id, min(r) as component_id from reach group by doc_id) c using (doc_id)"""
 
 _EXACT_SQL = """
-select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, row_number() over (partition by coalesce(text, '') order by doc_id desc) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))"""
 
 

@@ -1,22 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The text is a sequence of words and clause marks. Five transducers read each clause: negation and reported speech set a state that lasts to
-the end of the clause (or to "but"), target marks a person that is spoken of or to, insult and threat emit a weight when their pattern ends. The composed
-machine gives the clause's score: weights of its insults and threats, raised when a target stands in the clause, lowered under negation or reported speech. Scores of the
-matched clauses, not of lone words, are gathered into a document's features, and a logistic function of these is the document's score.
+Words and clause marks are symbols; a transducer reads a symbol in a state and writes one, with a weight. Five of them form a cascade, each reading what the one before it wrote:
+negation and reported speech rewrite insults and threat verbs in their scope (to the clause's end, or to "but"), target marks insults behind a person that is spoken of or to, insult
+writes a match for insults (more if aimed, most behind "you are") and for idioms of several words, and threat for intent and verb ("will hurt"), verb and target ("hurt you"), or all three. compose() makes one
+machine of the five, a table of states x symbols that is built once and sent to the tasks. Its matches are summed by clause and channel; these sums, never words by themselves, make a
+document's features, and a logistic function of the features is its score. A word of neither list has no symbol of its own.
 
-Function words of the grammar are fixed lists. Insult and threat words are learned: whole words and word beginnings of 4 to 6 letters whose document frequency among toxic
-rows of the sample is far above that among the others, with log odds as weights. Learning takes at most SAMPLE labelled rows (the smallest seeded hashes of their
-ids); at most LEXICON entries and a row of numbers for each sampled document reach the driver.
+Word lists of the grammar are fixed. Insults are those of a list and learned ones: words, and beginnings of words (as inflected languages need), that at least SHARE of the toxic rows
+of the sample have, with log odds above ODDS; odds are the weights. A beginning of which a longer entry accounts for nearly all toxic rows is left to that entry. Learning takes at most
+SAMPLE labelled rows (the smallest seeded hashes of their ids); at most LEXICON entries and a row of numbers for each sampled document reach the driver.
 
 Defined cases: null and empty texts have no clauses and get the score of a text without matches; with no labelled rows, or labels of one kind only, every score
-is the share of toxic labels (0 with none); repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
+is the share of toxic labels (0 with none); null and repeated ids stay as they are, equal texts get equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,98 +29,206 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, LEXICON, SEED = 8000, 600, 23
-PREFIXES = (4, 5, 6)
-LEAST = 3
-NEGATION = frozenset("not no never isn aren wasn don doesn didn nicht kein keine nie pas jamais ne nunca jamás".split())
-TURN = frozenset("but however aber sondern mais pero sino".split())
-REPORT = frozenset("said says told wrote claimed called quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
-TARGET = frozenset("you your yours u he she they him her them people all du dein ihr euch sie tu te toi ton vous votre tú tus usted ustedes vosotros".split())
-THREAT = frozenset("kill hurt destroy beat shoot stab burn hang töten schlagen umbringen tuer frapper matar golpear".split())
+SHARE, ODDS, LEAST, BEGINNINGS = 0.05, 2.0, 5, (4, 5, 6, 7, 8)
+#: Words whose symbols a task keeps.
+KEPT = 200_000
+#: Words of the grammar by symbol.
+WORDS = {
+    "neg": "not no never isn aren wasn don doesn didn nicht kein keine nie pas jamais ne nunca jamás",
+    "turn": "but however aber sondern mais pero sino",
+    "report": "said says told wrote claimed called quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó",
+    "target": "you your yours u he she they him her them people all du dein ihr euch sie tu te toi ton vous votre tú tus usted ustedes vosotros",
+    "copula": "are is were was be bist ist seid sind es est êtes sont eres son sois",
+    "intent": "will gonna going shall should werde wirst wird vais va vas voy vamos",
+    "verb": "kill hurt destroy beat shoot stab burn hang töten schlagen umbringen tuer frapper matar golpear",
+    "insult": "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumbass bastard vermin imbecile dumm dummkopf trottel abschaum versager widerlich wertlos imbécile crétin débile ordure minable idiota estúpido imbécil basura escoria patético",
+}
+#: Insults of several words that follow one another.
+IDIOMS = ("piece of garbage", "waste of space", "good for nothing", "drop dead", "go to hell", "stück dreck", "fahr zur hölle", "va en enfer", "vete al infierno")
+MARKS = ".!?;:\n"
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-_MARK = frozenset(".!?;:\n")
-FEATURES = 9
+CHANNELS = ("plain", "aimed", "threat", "negated", "reported")
+FEATURES = len(CHANNELS) + 3
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def keys(word: str) -> list[str]:
-    """What a word may be found under: itself, and its beginnings, which end in *."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+# ---------------------------------------------------------------- transducers
 
+#: What a transducer does with a symbol in a state: next state, symbol written, weight (0: no match).
+Step = Callable[[object, str], tuple[object, str, float]]
 
-class Grammar:
-    """weights: of learned words and beginnings."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = {k: v for k, v in weights.items()}
-        self.known: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        """Of an insult or threat; 0 of any other word. Kept for words seen before, up to a bound."""
-        got = self.known.get(word)
-        if got is None:
-            got = max([self.weights.get(k, 0.0) for k in keys(word)] + [1.0 if word in THREAT and self.weights else 0.0])
-            if len(self.known) < 200_000:
-                self.known[word] = got
+@dataclass(frozen=True)
+class Transducer:
+    start: object
+    step: Step
+
+
+def _scope(opens: str, mark: str, also: tuple[str, ...] = ()) -> Transducer:
+    """From the symbol opens to the clause's end, or a turn, insults and verbs (and their rewritten forms in also) get the mark."""
+
+    def step(state: object, s: str) -> tuple[object, str, float]:
+        if s in ("end", "turn"):
+            return False, s, 0.0
+        if state and s in ("insult", "verb", *also):
+            return True, s.split(".")[0] + mark, 0.0
+        return state or s == opens, s, 0.0
+
+    return Transducer(False, step)
+
+
+def _target_step(state: object, s: str) -> tuple[object, str, float]:
+    if s == "insult" and state:
+        return state, "insult.aimed", 0.0
+    return (False if s == "end" else state or s == "target"), s, 0.0
+
+
+def _insult_step(state: object, s: str) -> tuple[object, str, float]:
+    """States: whether a target has stood in the clause (1), and a copula behind it (2), and the idiom words so far."""
+    place, idiom = state
+    if s in ("insult", "insult.aimed", "insult.neg", "insult.rep"):
+        channel = {"insult": "plain", "insult.aimed": "aimed", "insult.neg": "negated", "insult.rep": "reported"}[s]
+        return (place, ()), channel, 1.5 if channel == "aimed" and place == 2 else 1.25 if channel == "aimed" else 1.0
+    place = 0 if s == "end" else 2 if s == "copula" and place else max(place, 1) if s == "target" else place
+    # the longest idiom beginning that ends here
+    words = (*idiom, s)
+    while words and not any(i[: len(words)] == words for i in _IDIOMS):
+        words = words[1:]
+    if words in _IDIOMS:
+        return (place, ()), "aimed" if place else "plain", 1.25 if place else 1.0
+    return (place, words), s, 0.0
+
+
+def _threat_step(state: object, s: str) -> tuple[object, str, float]:
+    """States: nothing, intent, verb (and of which kind), threat (a verb behind intent)."""
+    if s == "end":
+        return "", s, 0.0
+    if s == "intent":
+        return "intent", s, 0.0
+    if s.startswith("verb"):
+        kind = {"verb": "threat", "verb.neg": "negated", "verb.rep": "reported"}[s]
+        return (f"done {kind}", kind, 1.0) if state == "intent" else (f"verb {kind}", s, 0.0)
+    if s == "target" and state.startswith(("verb", "done")):
+        return "", state[5:], 1.0
+    return state, s, 0.0
+
+
+def _symbol(word: str) -> str:
+    return _BY_WORD.get(word, f"idiom {word}")
+
+
+_BY_WORD = {w: s for s, words in WORDS.items() for w in words.split()} | {m: "end" for m in MARKS}
+_IDIOMS = frozenset(tuple(map(_symbol, i.split())) for i in IDIOMS)
+#: Word by symbol: those of the lists, and those of idioms, which are symbols by themselves.
+SYMBOL = _BY_WORD | {w: _symbol(w) for i in IDIOMS for w in i.split()}
+#: "other" stands for words without a symbol.
+ALPHABET = ("other", *sorted(set(SYMBOL.values()) - {"other"}))
+CASCADE = (_scope("neg", ".neg"), _scope("report", ".rep", ("insult.neg", "verb.neg")), Transducer(False, _target_step), Transducer((0, ()), _insult_step), Transducer("", _threat_step))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that gives b what a writes; a match of a is written through."""
+
+    def step(state: object, s: str) -> tuple[object, str, float]:
+        x, y = state
+        x, out, weight = a.step(x, s)
+        if weight:
+            # b sees no symbol of a match
+            return (x, y), out, weight
+        y, out, weight = b.step(y, out)
+        return (x, y), out, weight
+
+    return Transducer((a.start, b.start), step)
+
+
+class Machine:
+    """A transducer as tables over numbered states and symbols: next, channel (-1: no match) and weight."""
+
+    def __init__(self, t: Transducer):
+        number, queue, rows = {t.start: 0}, [t.start], []
+        while len(rows) < len(queue):
+            row = []
+            for s in ALPHABET:
+                to, out, weight = t.step(queue[len(rows)], s)
+                if to not in number:
+                    number[to] = len(queue)
+                    queue.append(to)
+                row.append((number[to], CHANNELS.index(out) if weight else -1, weight))
+            rows.append(row)
+        self.rows = rows
+
+
+MACHINE = Machine(reduce(compose, CASCADE))
+
+
+def entries(word: str) -> list[str]:
+    """What a word may be found under, the longest first: itself, and its beginnings, which end in *."""
+    return [word, *(word[:n] + "*" for n in reversed(BEGINNINGS) if len(word) > n)]
+
+
+class _Symbols(dict):
+    """(symbol, weight, whether it can lead to a match) of words, None for words without a symbol; beginnings are looked up once a word."""
+
+    def __missing__(self, word: str) -> tuple[int, float, bool] | None:
+        got = next((self[e] for e in entries(word)[1:] if e in self), None)
+        if len(self) < KEPT:
+            self[word] = got
         return got
 
-    def clause(self, words: list[str]) -> tuple[float, float, float, int]:
-        """The composed machine on one clause: plain, negated and reported weight, and matches."""
-        negated = reported = target = False
-        plain = under = told = 0.0
-        n = 0
-        for w in words:
-            if w in TURN:
-                negated = reported = False
-            elif w in NEGATION:
-                negated = True
-            elif w in REPORT:
-                reported = True
-            elif w in TARGET:
-                target = True
-            elif x := self.weight(w):
-                n += 1
-                if reported:
-                    told += x
-                elif negated:
-                    under += x
-                else:
-                    plain += x
-        boost = 1.25 if target else 1.0
-        return plain * boost, under, told, n
+
+class Grammar:
+    """weights: of the insults, words or beginnings; other words of the grammar weigh 1."""
+
+    def __init__(self, weights: dict[str, float]):
+        numbers = {s: i for i, s in enumerate(ALPHABET)}
+        hot = {s for s in ALPHABET if s in ("insult", "verb") or s.startswith("idiom")}
+        self.symbol = _Symbols({w: (numbers[s], weights.get(w, 1.0), s in hot) for w, s in SYMBOL.items()})
+        self.symbol.update({w: (numbers["insult"], x, True) for w, x in weights.items() if w not in SYMBOL})
+        self.rows = MACHINE.rows
+
+    def clause(self, words: list[str]) -> list[float]:
+        """Weights of a clause's matches by channel."""
+        return self._run([self.symbol[w] for w in words])
+
+    def _run(self, symbols: list[tuple[int, float, bool] | None]) -> list[float]:
+        """Runs of words without a symbol count as one: the machine stays where one took it."""
+        out, state, rows, gap = [0.0] * len(CHANNELS), 0, self.rows, False
+        for got in symbols:
+            if got is None:
+                gap = True
+                continue
+            if gap:
+                state, gap = rows[state][0][0], False
+            state, channel, weight = rows[state][got[0]]
+            if channel >= 0:
+                out[channel] += weight * got[1]
+        return out
 
     def features(self, text: str) -> list[float]:
-        words = tokens(text)
-        known, weight = self.known, self.weight
-        hits = [i for i, w in enumerate(words) if (known[w] if w in known else weight(w))]
-        out = [0.0] * FEATURES
-        seen: set[str] = set()
-        done = -1
-        for i in hits:
-            seen.add(words[i])
-            if i <= done:
+        """Sums by channel, matched clauses, the heaviest clause, and the share of clauses matched."""
+        symbols, end = list(map(self.symbol.__getitem__, tokens(text))), self.symbol["."]
+        hot, done, sums, matched, most = [i for i, x in enumerate(symbols) if x and x[2]], -1, [0.0] * len(CHANNELS), 0, 0.0
+        for i in hot:
+            if i < done:
                 continue
-            lo, hi = i, i
-            while lo > 0 and words[lo - 1] not in _MARK:
+            lo, done = i, i
+            while lo > 0 and symbols[lo - 1] != end:
                 lo -= 1
-            while hi < len(words) and words[hi] not in _MARK:
-                hi += 1
-            done = hi
-            plain, under, told, n = self.clause(words[lo:hi])
-            out[0] += plain
-            out[1] = max(out[1], plain)
-            out[2] += 1.0
-            out[3] += under
-            out[4] += told
-            out[5] += n
-        out[0], out[2], out[3], out[4] = (float(np.log1p(out[k])) for k in (0, 2, 3, 4))
-        out[6] = float(np.log1p(len(seen)))
-        out[7] = min(1.0, 20.0 * out[5] / max(20, len(words)))
-        out[5] = float(min(out[5], 4.0))
-        out[8] = float(bool(hits))
-        return out
+            while done < len(symbols) and symbols[done] != end:
+                done += 1
+            got = self._run(symbols[lo:done])
+            if any(got):
+                matched += 1
+                most = max(most, got[0] + got[1] + got[2])
+                sums = [a + b for a, b in zip(sums, got, strict=True)]
+        clauses = 1 + symbols.count(end) if matched else 1
+        return [*(float(np.log1p(x)) for x in sums), float(np.log1p(matched)), most, matched / clauses]
+
+
+# ---------------------------------------------------------------- learning
 
 
 class Model:
@@ -144,20 +255,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.nd
     return w[:-1], float(w[-1])
 
 
-def _distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out, label = [], []
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            have = {k for w in set(tokens(text or "")) for k in keys(w)}
+            have = {e for w in set(tokens(text or "")) - set(MARKS) for e in entries(w)}
             out += have
             label += [y] * len(have)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int64())], ["key", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int64())], ["entry", "toxic"])
+
+
+def specific(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Weights of entries (toxic rows, weight) less the beginnings of which a longer entry has nine tenths of the toxic rows."""
+    return {e: x for e, (a, x) in found.items() if not any(len(o) >= len(e) and o != e and o.startswith(e[:-1]) and 10 * m >= 9 * a for o, (m, _) in found.items()) or e[-1] != "*"}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from at most sample of the labels' rows; their ids are sent to the tasks, so texts of other rows don't move."""
     chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("bigint").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id", "toxic").limit(sample)
+    turn = F.xxhash64("_id", F.lit(SEED))
+    # the threshold leaves little more than the sample to the sort, however many partitions there are
+    chosen = chosen.where(turn <= common.hash_threshold(chosen.count(), sample)).orderBy(turn, "_id", "toxic").limit(sample)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "toxic")
     rows = common.written(rows, "labelled")
     totals = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
@@ -165,11 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     nothing = np.zeros(FEATURES)
     if not bad or bad == n:
         return Model(Grammar({}), nothing, nothing + 1, nothing, 30.0 if bad else -30.0)
-    counts = rows.mapInArrow(_distinct_keys, "key string, toxic bigint").groupBy("key").agg(F.sum("toxic").alias("a"), (F.count(F.lit(1)) - F.sum("toxic")).alias("b"))
+    counts = rows.mapInArrow(_distinct_entries, "entry string, toxic bigint").groupBy("entry").agg(F.sum("toxic").alias("a"), (F.count(F.lit(1)) - F.sum("toxic")).alias("b"))
     rate = (F.col("a") + 0.25) / (bad + 0.5) / ((F.col("b") + 0.25) / (n - bad + 0.5))
-    best = counts.where(F.col("a") >= LEAST).withColumn("odds", F.log(rate)).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("a")), "key").limit(LEXICON)
+    best = counts.where(F.col("a") >= max(LEAST, SHARE * bad)).withColumn("odds", F.log(rate)).where(F.col("odds") > ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("a")), "entry").limit(LEXICON)
     top = float(np.log(n))
-    grammar = Grammar({r["key"]: min(1.0, r["odds"] / top) for r in best.collect()})
+    grammar = Grammar(specific({r["entry"]: (r["a"], min(1.0, r["odds"] / top)) for r in best.collect()}))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,6 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
 
     got = rows.mapInArrow(measured, "x array<double>, toxic bigint").collect()
+    common.release(rows)
     got.sort(key=lambda r: (r["toxic"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -188,9 +307,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, score for every row."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1).to_pylist()))], ["doc_id", "score"])
+        for b in common.pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return common.over_texts(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), judge, "doc_id bigint, score double")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, "doc_id bigint, score double")
