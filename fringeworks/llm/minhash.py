@@ -8,7 +8,7 @@
 4. Confirmed links give components. Buckets whose members still lie in several components get another centre, drawn anew for each bucket and round, and only pairs
    across components are tried, as long as a round confirms one in YIELD of its pairs. This only joins the bulk cheaply; whatever it left is done by step 5:
 5. Every pair across components that shares a bucket is tried then, unless its set sizes rule it out. Of buckets of SMALL members or fewer these are listed as pairs. Members of
-   larger ones are dealt into blocks by bucket, size, component and weight; each two blocks that share a bucket meet once in a task, which compares full sets and gives links only.
+   larger ones are dealt into blocks by clusters of buckets, size, component and weight; each two blocks that share a bucket meet once in a task, which compares full sets and gives links only.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles, stand alone and are kept; shorter texts than a shingle are one shingle;
 repeated rows and ties fall to the smallest id; rows that repeat an id are one document of several texts, linked by any of them; a row without an id stands alone and is kept; an empty table gives an empty result; other columns of the input are ignored.
@@ -32,6 +32,8 @@ BANDS = BINS // ROWS
 YIELD = 10
 #: Buckets of more members aren't listed as pairs. Shingles of a block, about.
 SMALL, BLOCK = 32, 1 << 18
+#: Blocks of a cluster of buckets, about, that all may meet one another.
+CLUSTER = 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -177,11 +179,18 @@ def _links_of_blocks(percent: int):
 
 
 def _block_links(hot: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links across components among the members (bucket, doc_id, n, c) of large buckets; each two documents that share one are compared once."""
+    """Links across components among the members (bucket, doc_id, n, c, k) of large buckets of k; each two documents that share one are compared once."""
     # a similarity of percent is impossible beyond neighbouring size classes
     spread = max(float(np.log(100 / percent)), 0.01) * 1.001
-    home = hot.groupBy("doc_id").agg(F.min("bucket").alias("home"), F.first("n").alias("n"), F.first("c").alias("c")).withColumn("class", F.floor(F.log("n") / spread))
+    home = hot.groupBy("doc_id").agg(F.min("bucket").alias("least"), F.max_by("bucket", F.struct("k", "bucket")).alias("most"), F.first("n").alias("n"), F.first("c").alias("c"))
     home = common.written(home, "homes")
+    # buckets that hang together by their members are one home, so that these are dealt into few blocks; too large a cluster has a home for each largest bucket
+    edges = hot.select("doc_id", F.col("bucket").alias("v")).join(home.select("doc_id", F.col("least").alias("u")), "doc_id").select("u", "v").distinct()
+    cluster = components(edges).select(F.col("node").alias("least"), F.col("component").alias("cluster"))
+    home = common.split_join(home, cluster, ["least"])
+    small = home.groupBy("cluster").agg(F.sum("n").alias("weight")).where(F.col("weight") <= CLUSTER * BLOCK).select("cluster", F.lit(True).alias("small"))
+    home = common.split_join(home, small, ["cluster"], "left").withColumn("home", F.when(F.col("small"), F.col("cluster")).otherwise(F.col("most")))
+    home = common.written(home.select("doc_id", "home", "n", "c", F.floor(F.log("n") / spread).alias("class")), "homes")
     # a component that fills a block has its own, as its documents needn't meet each other
     own = home.groupBy("home", "class", "c").agg(F.sum("n").alias("weight")).where(F.col("weight") >= BLOCK).select("home", "class", "c", F.col("c").alias("own"))
     home = common.written(common.split_join(home, own, ["home", "class", "c"], "left"), "homes")
@@ -245,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed_in(found)
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("bucket", "k")
     left = common.written(common.split_join(placed, mixed, ["bucket"]), "left")
-    few, hot = left.where(F.col("k") <= SMALL).drop("k"), left.where(F.col("k") > SMALL).drop("k")
+    few, hot = left.where(F.col("k") <= SMALL).drop("k"), left.where(F.col("k") > SMALL)
     other = few.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     fresh = few.join(other, "bucket").where(f"doc_id < b and c <> d and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
     fresh = common.written(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
