@@ -61,35 +61,27 @@ def _layout(first: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """A code stream: the longest entry each time, a new entry for it and the value behind it, and a clear code when the table is full."""
     clear = 1 << bits
-    codes, lengths = [], []
-    longest = 4096 - clear - 2
-    run: list[int] = []
-    table: dict[int, int] = {}
-    get, free, prefix = table.get, clear + 2, -1
+    runs, table = [], {}
+    # codes are kept a byte to the left, where the value behind them fits in; a table's keys, in the order they came, are the codes of its run
+    free, full, prefix = clear + 2 << 8, 4096 << 8, -1
     for v in data:
-        if prefix < 0:
-            prefix = v
-            continue
-        key = prefix << 8 | v
-        entry = get(key)
-        if entry is not None:
-            prefix = entry
-            continue
-        run.append(prefix)
-        table[key] = free
-        free += 1
-        prefix = v
-        if len(run) == longest:
-            codes.append(run)
-            run, free = [], clear + 2
-            table.clear()
-    if prefix >= 0:
-        run.append(prefix)
-    codes.append(run)
+        key = prefix | v
+        if key in table:
+            prefix = table[key]
+        elif prefix < 0:
+            prefix = v << 8
+        else:
+            table[key] = free
+            free += 256
+            prefix = v << 8
+            if free == full:
+                runs.append(np.fromiter(table, np.int64, len(table)) >> 8)
+                table, free = {}, clear + 2 << 8
+    last = [prefix >> 8] if prefix >= 0 else []
+    runs.append(np.append(np.fromiter(table, np.int64, len(table)) >> 8, np.array(last, np.int64)))
     # each run has a clear code before it, whose width is that of the code that would have come there
-    lengths = [len(r) for r in codes]
-    code = np.concatenate([x for r in codes for x in ([clear], r)] + [[clear + 1]]).astype(np.int64)
-    place = np.concatenate([x for n, before in zip(lengths, [0, *lengths]) for x in ([before], np.arange(n))] + [[lengths[-1]]]).astype(np.int64)
+    code = np.concatenate([x for r in runs for x in ([clear], r)] + [[clear + 1]])
+    place = np.concatenate([x for r, before in zip(runs, [0, *map(len, runs)]) for x in ([before], np.arange(len(r)))] + [[len(runs[-1])]])
     width = _width(place, bits)
     at = np.cumsum(width) - width
     size = (int(at[-1] + width[-1]) + 7) // 8
@@ -136,7 +128,8 @@ def lzw_decode(data: bytes, bits: int, size: int) -> np.ndarray:
         at, fresh, stop = bit, 0, None
         while stop is None:  # codes of this run, some thousand at a time
             width, offset = _layout(min(fresh, 4096), bits)
-            offset = at + offset
+            most = min(4096, (have - at) // (bits + 1) + 1)
+            width, offset = width[:most], at + offset[:most]
             width = width[offset + width <= have]
             offset = offset[: len(width)]
             if not len(width):
@@ -274,11 +267,9 @@ def decode(data: bytes) -> Iterator[Shown]:
         disposal, delay, transparent = control
         before = screen.copy() if disposal == PREVIOUS else None
         part = screen[top : top + h, left : left + w]
-        rgba = np.c_[colours, np.full(len(colours), 255, np.uint8)]
-        if transparent is None:
-            part[:] = rgba[x]
-        else:
-            part[x != transparent] = rgba[x[x != transparent]]
+        rgba = np.full((len(colours), 4), 255, np.uint8)
+        rgba[:, :3] = colours
+        np.copyto(part.view(np.uint32)[..., 0], rgba.view(np.uint32)[:, 0].take(x), where=True if transparent is None else x != transparent)
         yield Shown(Frame(x, delay, left, top, disposal, transparent, own), clock, screen)
         clock += delay * 10
         if disposal == BACKGROUND:
@@ -290,9 +281,8 @@ def decode(data: bytes) -> Iterator[Shown]:
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels in BINS colour bins."""
-    flat = rgba.reshape(-1, 4)
-    flat = flat[flat[:, 3] > 0].astype(np.int64) >> 6
-    return np.bincount(flat[:, 0] << 4 | flat[:, 1] << 2 | flat[:, 2], minlength=BINS)
+    r, g, b = (rgba[..., i] >> 6 for i in range(3))
+    return np.bincount((r << 4 | g << 2 | b)[rgba[..., 3] > 0], minlength=BINS)
 
 
 FRAMES = "id bigint, frame int, start_ms bigint, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, own_palette int, histogram array<bigint>, pixels binary, error string"
