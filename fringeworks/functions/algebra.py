@@ -34,3 +34,16 @@ def evaluated(vis: DataFrame, spec: str, components: dict[str, Cx], keep: list[s
                 total = total + c if sign > 0 else total - c
             cells.append(F.struct(F.lit(k).cast("bigint").alias("model"), F.lit(d).cast("bigint").alias("dir"), total.re.alias("m_re"), total.im.alias("m_im")))
     return vis.select(*keep, F.explode(F.array(*cells)).alias("_m")).select(*keep, "_m.*")
+
+
+def weights(vis: DataFrame, spec: str, sample: list[str]) -> Column:
+    """A product of weight columns, 'A*B~': a name with ~ stands for the mean over a sample's correlations."""
+    from pyspark.sql.window import Window
+
+    out = F.lit(1.0)
+    for name in spec.split("*"):
+        column = name.strip().rstrip("~")
+        if column not in vis.columns:
+            raise ValueError(f"no column {column!r} of {spec!r}")
+        out = out * (F.avg(column).over(Window.partitionBy(*sample)) if name.strip().endswith("~") else F.col(column))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,18 @@ def mat_inverse(a: Mat, eps: float) -> tuple[Mat, Column]:
     bad = det.abs2() <= eps * eps
     zero = lambda x: Cx(F.when(bad, 0.0).otherwise(x.re), F.when(bad, 0.0).otherwise(x.im))
     return ((zero(a[1][1].over(det)), zero((-a[0][1]).over(det))), (zero((-a[1][0]).over(det)), zero(a[0][0].over(det)))), bad
+
+
+def diagonal_inverse(a: Cx, b: Cx, eps: float) -> tuple[Cx, Cx, Column]:
+    """Reciprocals of a diagonal's elements, zero where the square of their product's size is within eps^2, and whether that is so."""
+    bad = (a * b).abs2() <= eps * eps
+    one = lambda x: Cx(F.when(bad, 0.0).otherwise(x.re / F.when(~bad, x.abs2())), F.when(bad, 0.0).otherwise(-x.im / F.when(~bad, x.abs2())))
+    return one(a), one(b), bad
+
+
+def rotated_hands(vis: DataFrame, sign: int) -> DataFrame:
+    """P_p V P_q^H for circular hands, as rows by corr (0 to 3): P is diag(exp(i a), exp(-i a)) with the angles a1 and a2 of both ends, times sign."""
+    p, q = F.col("a1") * sign, F.col("a2") * sign
+    phase = F.when(F.col("corr") == 0, p - q).when(F.col("corr") == 1, p + q).when(F.col("corr") == 2, -p - q).otherwise(q - p)
+    out = cx("re", "im") * polar(phase)
+    return vis.withColumns({"re": out.re, "im": out.im})

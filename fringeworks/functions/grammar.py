@@ -37,3 +37,19 @@ def parse_bin(spec: str | int) -> tuple[int, float | None]:
     if not m or m[2].lower() not in _UNITS:
         raise ValueError(f"no bin: {spec!r}")
     return (int(m[1]), None) if not m[2] else (0, float(m[1]) * _UNITS[m[2].lower()])
+
+
+def globbed(column: Column, pattern: str) -> Column:
+    """Whether names match a pattern of file names (*, ?, [...], [!...]) as a whole."""
+    parts, at = [], 0
+    while at < len(pattern):
+        c = pattern[at]
+        end = pattern.find("]", at + 2) if c == "[" else -1
+        if end > 0:
+            inner = pattern[at + 1 : end].replace("\\", "\\\\")
+            parts.append(f"[{'^' + inner[1:] if inner[0] == '!' else inner}]")
+            at = end
+        else:
+            parts.append({"*": ".*", "?": "."}.get(c) or re.escape(c))
+        at += 1
+    return column.rlike(f"(?s)^{''.join(parts)}$")

@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.cx import Cx, cx
 
-#: Gains tables of at most so many rows are broadcast: their size is counted first.
-BROADCAST_ROWS = 1_000_000
-
 
 def with_gains(vis: DataFrame, gains: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Gains of both ends, gp_re .. gq_im; gains has (keys, ant, g_re, g_im). Beyond BROADCAST_ROWS gains the join shuffles both sides by key and antenna."""
+    """Gains of both ends, gp_re .. gq_im; gains has (keys, ant, g_re, g_im). Adaptive execution broadcasts gains where they turn out to be small; else the joins shuffle by key and antenna."""
     keys = keys or []
-    small = gains.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if small else lambda x: x
     for end, ant in (("gp", "ant1"), ("gq", "ant2")):
         g = gains.select(*keys, F.col("ant").alias(ant), F.col("g_re").alias(f"{end}_re"), F.col("g_im").alias(f"{end}_im"))
-        vis = vis.join(side(g), [*keys, ant])
+        vis = vis.join(g, [*keys, ant])
     return vis
 
 
+def with_interval_gains(vis: DataFrame, gains: DataFrame, t_int: int, f_int: int, directions: int) -> DataFrame:
+    """Gains of both ends at a sample's interval and direction: gains has (ti, fi, gdir, ant, g_re, g_im) and a direction d takes gdir = d mod directions."""
+    keyed = vis.withColumns({"ti": F.floor(F.col("t") / t_int), "fi": F.floor(F.col("chan") / f_int), "gdir": F.col("dir") % directions})
+    return with_gains(keyed, gains, ["ti", "fi", "gdir"])
+
+
+def corrupted_sum(vis: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum over directions of gp m conj(gq) for each sample: keys, k_re, k_im."""
+    m = cx("gp_re", "gp_im") * cx("mre", "mim") * cx("gq_re", "gq_im").conj()
+    return vis.groupBy(*keys).agg(F.sum(m.re).alias("k_re"), F.sum(m.im).alias("k_im"))
+
+
 def corrected(vis: DataFrame) -> DataFrame:
     """c = d / (gp conj(gq)); where the product is zero there is no correction."""
     g = cx("gp_re", "gp_im") * cx("gq_re", "gq_im").conj()
@@ -53,3 +60,12 @@ def scalar_gains(both: DataFrame, iterations: int = 2) -> DataFrame:
         new = x.groupBy(F.col("ant1").alias("ant")).agg((F.sum(F.col("re") * m) / F.sum(m * m)).alias("u"))
         g = new.join(F.broadcast(g), "ant").select("ant", ((F.col("u") + F.col("g")) / 2 if k % 2 == 0 else F.col("u")).alias("g"))
     return g
+
+
+def hand_phase(vis: DataFrame, by: list[str]) -> DataFrame:
+    """pzd: the phase of the sum of d conj(m) / |m| over XY (corr 1) and the conjugate of YX (corr 2); 0 without data, samples without a model don't count."""
+    m = cx("mre", "mim")
+    d = cx("re", "im") * m.conj()
+    size = F.when(m.abs() > 0, m.abs())
+    im = F.when(F.col("corr") == 1, d.im).otherwise(-d.im) / size
+    return vis.where("corr in (1, 2)").groupBy(*by).agg(F.coalesce(F.atan2(F.sum(im), F.sum(d.re / size)), F.lit(0.0)).alias("pzd"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import C
@@ -13,21 +13,35 @@ from ..functions.sky import C
 MAX_SOURCES = 100_000
 
 
-def predicted(vis: DataFrame, sources: DataFrame, keep: list[str]) -> DataFrame:
-    """Sum over sources of flux exp(-2 pi i (u l + v m + w (n - 1)) f / c) for each sample; vis has u, v, w_m (metres) and freq, sources l, m and flux.
-    The catalogue goes as one array to every task, its size checked; samples never shuffle."""
+def predicted(vis: DataFrame, sources: DataFrame, keep: list[str], freq0: float = 1e9) -> DataFrame:
+    """Sum over sources of their flux, by spectrum and shape, times exp(-2 pi i (u l + v m + w (n - 1)) f / c) for each sample; vis has u, v, w_m (metres) and freq, sources l, m, flux, and
+    alpha (spectral index), lx, mx (projections of the major axis) and ratio of a Gaussian's axes, 0, 0 and 1 for a point. The catalogue goes as one array to every task, its size
+    checked; samples never shuffle."""
     if sources.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: cluster them")
     n1 = F.sqrt(1 - F.col("l") * F.col("l") - F.col("m") * F.col("m")) - 1
-    sky = sources.agg(F.collect_list(F.struct("l", "m", n1.alias("n1"), F.col("flux").alias("s"))).alias("_sky"))
-    k = -2 * math.pi / C
-    phase = lambda s: (F.col("u") * s["l"] + F.col("v") * s["m"] + F.col("w_m") * s["n1"]) * F.col("freq") * k
-    total = lambda fn: F.aggregate("_sky", F.lit(0.0), lambda acc, s: acc + s["s"] * fn(phase(s)))
+    sky = sources.agg(F.collect_list(F.struct("l", "m", n1.alias("n1"), F.col("flux").alias("s"), "alpha", "lx", "mx", "ratio")).alias("_sky"))
+    k = math.pi / C
+    f = F.col("freq")
+
+    def amplitude(s: Column) -> Column:
+        major = (F.col("u") * s["lx"] + F.col("v") * s["mx"]) * f * k
+        minor = (F.col("u") * s["mx"] - F.col("v") * s["lx"]) * s["ratio"] * f * k
+        return s["s"] * F.pow(f / freq0, s["alpha"]) * F.exp(-(major * major + minor * minor) / (4 * math.log(2)))
+
+    phase = lambda s: -2 * (F.col("u") * s["l"] + F.col("v") * s["m"] + F.col("w_m") * s["n1"]) * f * k
+    total = lambda fn: F.aggregate("_sky", F.lit(0.0), lambda acc, s: acc + amplitude(s) * fn(phase(s)))
     return vis.join(F.broadcast(sky)).select(*keep, total(F.cos).alias("m_re"), total(F.sin).alias("m_im"))
 
 
+def grouped(sources: DataFrame) -> DataFrame:
+    """Sources by cluster tag, beam and type (point or gaussian): their number and flux."""
+    kind = F.when(F.col("ex") > 0, "gaussian").otherwise("point")
+    return sources.groupBy("tag", "beam", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"), F.sum("flux").alias("flux"), F.min("id").alias("first"))
+
+
 def clusters(sources: DataFrame, step: float) -> DataFrame:
-    """Sources of a cell of the sky become one of their summed flux at their mean place, weighted by flux."""
-    g = sources.groupBy("tag", F.floor(F.col("l") / step).alias("cl"), F.floor(F.col("m") / step).alias("cm"))
+    """Sources of a cell of the sky become one of their summed flux at their mean place, with their mean spectral index, weighted by flux."""
+    g = sources.groupBy(F.floor(F.col("l") / step).alias("cl"), F.floor(F.col("m") / step).alias("cm"))
     mean = lambda c: (F.sum(F.col(c) * F.col("flux")) / F.sum("flux")).alias(c)
-    return g.agg(mean("l"), mean("m"), F.sum("flux").alias("flux"), F.count(F.lit(1)).alias("n"))
+    return g.agg(mean("l"), mean("m"), mean("alpha"), F.sum("flux").alias("flux"), F.count(F.lit(1)).alias("n"))

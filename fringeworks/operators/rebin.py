@@ -90,3 +90,15 @@ def chunks_by_length(times: DataFrame, by: list[str], time: str, length: float)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in times.schema)
     return times.groupBy(*by).applyInPandas(walk, f"{fields}, chunk bigint")
+
+
+def baselines(ants: DataFrame) -> DataFrame:
+    """Of antennas (ant, name, x, y, z), a bounded table: ant1 < ant2, name (both antennas' less the beginning that all have) and length."""
+    ends = ants.agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    # what the first and the last name begin with, all do
+    same = F.filter(F.sequence(F.lit(0), F.length("a")), lambda n: F.substring(F.col("a"), F.lit(1), n) == F.substring(F.col("b"), F.lit(1), n))
+    short = ants.join(F.broadcast(ends.select(F.array_max(same).alias("_n")))).withColumn("name", F.substring(F.col("name"), F.col("_n") + 1, F.length("name"))).drop("_n")
+    every = short.agg(F.collect_list(F.struct(*[F.col(c).alias(f"{c}2") for c in ("ant", "name", "x", "y", "z")])).alias("_b"))
+    pairs = short.join(F.broadcast(every)).select("ant", "name", "x", "y", "z", F.explode("_b").alias("b")).select("*", "b.*").where("ant < ant2")
+    d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
+    return pairs.select(F.col("ant").alias("ant1"), "ant2", F.concat("name", F.lit("-"), "name2").alias("name"), F.sqrt(d2).alias("length"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,9 +57,57 @@ def split_boxes(box: DataFrame, size: int) -> DataFrame:
     return g.withColumns(ends).drop("gx", "gy")
 
 
-def overlapping(box: DataFrame, size: int) -> DataFrame:
-    """Pairs a < b of boxes that share a point. Boxes meet in the grid cells that they touch; a pair counts in the cell of its common corner alone."""
-    cell = box.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
-    a, b = (cell.select("gx", "gy", *[F.col(c).alias(f"{c}{e}") for c in ("id", "x0", "x1", "y0", "y1")]) for e in "ab")
+def _in_cells(box: DataFrame, size: int) -> DataFrame:
+    """A row for each cell of the grid that a box (x0, x1, y0, y1) touches: gx, gy."""
+    cell = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    return box.withColumn("gx", cell("x0", "x1")).withColumn("gy", cell("y0", "y1"))
+
+
+def overlapping(hull: DataFrame, size: int, gap: float = 0.5) -> DataFrame:
+    """Pairs a < b of outlines that no normal of an edge keeps more than gap apart. Their boxes, padded by 2, meet in the grid cells that they touch; a pair counts in the cell of its common corner alone."""
+    e = edges(hull)
+    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
+    shape = e.groupBy("id").agg((F.min("x") - 2).alias("x0"), (F.max("x") + 2).alias("x1"), (F.min("y") - 2).alias("y0"), (F.max("y") + 2).alias("y1"), F.collect_list(F.struct("x", "y", (F.col("nx") / length).alias("nx"), (F.col("ny") / length).alias("ny"))).alias("e"))
+    cell = _in_cells(shape, size)
+    a, b = (cell.select("gx", "gy", *[F.col(c).alias(f"{c}{k}") for c in ("id", "x0", "x1", "y0", "y1", "e")]) for k in "ab")
     met = a.join(b, ["gx", "gy"]).where("ida < idb and x0a <= x1b and x0b <= x1a and y0a <= y1b and y0b <= y1a")
-    return met.where((F.floor(F.greatest("x0a", "x0b") / size) == F.col("gx")) & (F.floor(F.greatest("y0a", "y0b") / size) == F.col("gy"))).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    met = met.where((F.floor(F.greatest("x0a", "x0b") / size) == F.col("gx")) & (F.floor(F.greatest("y0a", "y0b") / size) == F.col("gy")))
+
+    def apart(n: Column) -> Column:
+        pa, pb = (F.transform(c, lambda v: v["x"] * n["nx"] + v["y"] * n["ny"]) for c in ("ea", "eb"))
+        return (F.array_min(pb) - F.array_max(pa) > gap) | (F.array_min(pa) - F.array_max(pb) > gap)
+
+    return met.where(~F.exists(F.concat("ea", "eb"), apart)).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+
+def containing(hull: DataFrame, points: DataFrame, size: int, tolerance: float = 0.5) -> DataFrame:
+    """Points (point, x, y) within each outline, or at most tolerance outside an edge: id, point. Both meet in grid cells."""
+    e = edges(hull)
+    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
+    shape = e.groupBy("id").agg((F.min("x") - 1).alias("x0"), (F.max("x") + 1).alias("x1"), (F.min("y") - 1).alias("y0"), (F.max("y") + 1).alias("y1"), F.collect_list(F.struct(F.col("x").alias("ex"), F.col("y").alias("ey"), (F.col("nx") / length).alias("nx"), (F.col("ny") / length).alias("ny"))).alias("e"))
+    at = points.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
+    met = _in_cells(shape, size).join(at, ["gx", "gy"])
+    return met.where(F.forall("e", lambda s: (F.col("x") - s["ex"]) * s["nx"] + (F.col("y") - s["ey"]) * s["ny"] >= -tolerance)).select("id", "point")
+
+
+def extracted(hull: DataFrame, image: DataFrame, width: int, height: int, outside: float = 0.0) -> DataFrame:
+    """The window of each outline's box out of an image of pixels (x, y, value; absent ones are 0): id, x, y, value, where pixels outside the outline or the image have the value outside."""
+    box = boxes(hull)
+    window = box.select("id", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("id", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    inner = rasterised(hull).withColumn("_in", F.lit(True))
+    inside = F.col("_in").isNotNull() & F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    got = window.join(inner, ["id", "x", "y"], "left").join(image.select("x", "y", "value"), ["x", "y"], "left")
+    return got.select("id", "x", "y", F.when(inside, F.coalesce("value", F.lit(0.0))).otherwise(outside).alias("value"))
+
+
+def aligned(hull: DataFrame, square: bool = False, odd: bool = True) -> DataFrame:
+    """The box of each outline: id, x0, x1, y0, y1; square ones around the truncated mean of the corners; with odd, of odd sides."""
+    b = boxes(hull)
+    if square:
+        trunc = lambda c: F.when(F.avg(c) >= 0, F.floor(F.avg(c))).otherwise(F.ceil(F.avg(c)))
+        b = b.join(hull.groupBy("id").agg(trunc("x").alias("cx"), trunc("y").alias("cy")), "id")
+        side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1
+        b = b.withColumn("_n", side).withColumn("_r", F.floor(side / 2))
+        b = b.select("id", *[x.cast("bigint").alias(n) for c, k in (("cx", "x"), ("cy", "y")) for n, x in ((f"{k}0", F.col(c) - F.col("_r")), (f"{k}1", F.col(c) + F.col("_n") - F.col("_r") - 1))])
+    more = lambda k: F.col(f"{k}1") + ((F.col(f"{k}1") - F.col(f"{k}0")) % 2 if odd else 0)
+    return b.withColumns({"x1": more("x"), "y1": more("y")}).select("id", "x0", "x1", "y0", "y1")

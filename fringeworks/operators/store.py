@@ -33,14 +33,15 @@ def interpolated(targets: DataFrame, solutions: DataFrame, keys: list[str], axis
 
     point = solutions.select(*keys, F.col(axis).alias("x"), F.col("value").alias("y"), F.lit(0).alias("ask"))
     ask = targets.select(*keys, F.col(axis).alias("x"), F.lit(None).cast("double").alias("y"), F.lit(1).alias("ask"))
-    order = Window.partitionBy(*keys).orderBy("x", "ask")
-    p = F.when(F.col("ask") == 0, F.struct("x", "y"))
-    laid = point.unionByName(ask).withColumn("p", p)
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
-    laid = laid.withColumn("prev", F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    laid = laid.withColumns({"lo": F.last("p", ignorenulls=True).over(before), "hi": F.first("p", ignorenulls=True).over(after), "lo2": F.last(F.when(F.col("ask") == 0, F.col("prev")), ignorenulls=True).over(before)})
-    nxt = F.first("p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    laid = laid.withColumn("next", nxt).withColumn("hi2", F.first(F.when(F.col("ask") == 0, F.struct(F.col("next").alias("n"))), ignorenulls=True).over(after)["n"])
+    # frames run from the beginning only, as a frame to the end is summed anew for each row: what comes after is what came before in the order turned round
+    up, down = Window.partitionBy(*keys).orderBy("x", "ask"), Window.partitionBy(*keys).orderBy(F.desc("x"), F.desc("ask"))
+    past, so_far = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+    laid = point.unionByName(ask).withColumn("p", F.when(F.col("ask") == 0, F.struct("x", "y")))
+    last = lambda c, w, frame: F.last(c, ignorenulls=True).over(w.rowsBetween(*frame))
+    laid = laid.withColumns({"lo": last("p", up, so_far), "prev": last("p", up, past)})
+    laid = laid.withColumn("lo2", last(F.when(F.col("ask") == 0, F.struct(F.col("prev").alias("n"))), up, so_far)["n"])
+    laid = laid.withColumns({"hi": last("p", down, past), "next": last("p", down, past)})
+    laid = laid.withColumn("hi2", last(F.when(F.col("ask") == 0, F.struct(F.col("next").alias("n"))), down, past)["n"])
     a = F.when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.coalesce("lo2", "lo")).otherwise(F.col("lo"))
     b = F.when(F.col("lo").isNull(), F.coalesce("hi2", "hi")).when(F.col("hi").isNull(), F.col("lo")).otherwise(F.col("hi"))
     laid = laid.where("ask = 1").withColumns({"a": a, "b": b})
@@ -58,14 +59,22 @@ def latest_at_or_before(asks: DataFrame, starts: DataFrame, keys: list[str], axi
     s = starts.select(*keys, axis, F.lit(None).cast(a.schema["_rest"].dataType).alias("_rest"), value, F.lit(0).alias("_ask"))
     order = Window.partitionBy(*keys).orderBy(axis, "_ask")
     last = F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(value, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # before the first there is the first of the key, which is one aggregate
+    first = F.min_by(value, F.when(F.col("_ask") == 0, F.col(axis))).over(Window.partitionBy(*keys))
     laid = a.unionByName(s).withColumn("_v", F.coalesce(last, first)).where("_ask = 1")
     return laid.select(*keys, axis, "_rest.*", F.col("_v").alias(value))
 
 
+#: Points of an axis at most, as every slice gets all of them.
+MAX_AXIS = 1_000_000
+
+
 def cube(solutions: DataFrame, keys: list[str], axis: str) -> DataFrame:
-    """Every slice on the union grid of the axis, absences masked; the grid of one axis is collected into one row for all slices."""
-    grid = solutions.agg(F.sort_array(F.collect_set(axis)).alias("_grid"))
+    """Every slice on the union grid of the axis, absences masked. The grid goes to all tasks as one array, its size checked."""
+    points = solutions.select(axis).distinct()
+    if points.limit(MAX_AXIS + 1).count() > MAX_AXIS:
+        raise ValueError(f"more than {MAX_AXIS} points of {axis}")
+    grid = points.agg(F.collect_list(axis).alias("_grid"))
     full = solutions.select(*keys).distinct().join(F.broadcast(grid)).select(*keys, F.explode("_grid").alias(axis))
     return lookup(full, solutions, [*keys, axis])
 

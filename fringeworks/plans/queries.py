@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions.cx import Cx, cx, mat_inverse, polar, sandwich
 from ..functions.grammar import in_range
-from ..operators import flags, gains, rebin, solve, stats, store
+from ..operators import flags, gains, rebin, stats, store
 from ..schema import FL
-from ..sources.views import SLOT_DAYS, VE, VL, VT, spectra, time_axis, visibilities
+from ..sources.tables import written
+from ..sources.views import SLOT_DAYS, VC, VE, VL, VT, correlations, spectra, time_axis, visibilities
 from .registry import query
 
 RB = f"""rb as (select floor(tslot / {SLOT_DAYS})::bigint as t, chan, ant1, ant2, sum(w * re) / sum(w) as re, sum(w * im) / sum(w) as im, avg(mre) as mre, avg(mim) as mim, sum(w) as w, 0::bigint as fl from vl where fl = 0 group by 1, 2, 3, 4)"""
@@ -79,17 +80,24 @@ def sel_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.outside_baselines(uv, 2.0, 10.0).select("tslot", "chan", "ant1", "ant2", "w", "fl")
 
 
-@query(f"with {VL} select tslot, (dense_rank() over (order by tslot) - 1)::bigint as ordinal from (select distinct tslot from vl)")
+@query(f"with {VL} select seq, tslot, (dense_rank() over (order by tslot) - 1)::bigint as ordinal from vl")
 def uniq_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebin.dense_index(visibilities(spark, sf_dir), "tslot").withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    """An ordinal for each row; only the distinct values are ranked."""
+    v = visibilities(spark, sf_dir)
+    return v.select("seq", "tslot").join(rebin.dense_index(v, "tslot"), "tslot").select("seq", "tslot", F.col("ordinal").cast("bigint").alias("ordinal"))
+
 
+#: Nations as antennas: name and place from what their suppliers have.
+ANT = """an as (select n_nationkey::bigint as ant, 'ANT-' || n_name as name, avg(s_acctbal) as x, min(s_acctbal) as y, max(s_acctbal) as z from nation join supplier on s_nationkey = n_nationkey group by all),
+ pre as (select max(n) + 1 as p from (select unnest(range(0, 40)) as n, min(name) as a, max(name) as b from an) where a[1:n] = b[1:n] and n <= len(a))"""
 
-@query("select a.s_suppkey % 7 as ant1, b.s_suppkey % 7 as ant2, count(*) as n, max(sqrt((a.s_acctbal - b.s_acctbal) * (a.s_acctbal - b.s_acctbal))) as length from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey group by 1, 2", "length")
+
+@query(f"with {ANT} select a.ant as ant1, b.ant as ant2, a.name[(select p from pre):] || '-' || b.name[(select p from pre):] as name, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as length from an a join an b on a.ant < b.ant", "length", 4)
 def meta_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal")
-    pairs = s.alias("a").join(s.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    d = F.col("a.s_acctbal") - F.col("b.s_acctbal")
-    return pairs.groupBy((F.col("a.s_suppkey") % 7).alias("ant1"), (F.col("b.s_suppkey") % 7).alias("ant2")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(d * d)).alias("length"))
+    """Baselines of antennas, few beside their data: short names (less what all begin with) and lengths."""
+    s, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    ants = n.join(s, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").cast("bigint").alias("ant"), F.concat(F.lit("ANT-"), "n_name").alias("name"))
+    return rebin.baselines(ants.agg(F.avg("s_acctbal").alias("x"), F.min("s_acctbal").alias("y"), F.max("s_acctbal").alias("z")))
 
 
 @query(f"with {VL} select tslot, chan, ant1, ant2, w * re as weight, sqrt(w) as whitened, sqrt(w * (w + 1)) as offdiag from vl", "weight whitened offdiag")
@@ -114,15 +122,19 @@ def rebin_vis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebin.rebin_vis(rebin.slots(visibilities(spark, sf_dir), SLOT_DAYS)).drop("mim")
 
 
-@query(f"with {VL} select floor(chan / 3)::bigint as out_chan, min(chan) as lo, max(chan) as hi, (min(chan) + max(chan)) / 2.0::double as centre, count(*) as n from vl group by 1")
+@query(f"with {VL}, f as (select distinct chan, 1e9::double + chan * 1e6::double as freq from vl) select floor(chan / 3)::bigint as out_chan, min(chan) as lo, max(chan) as hi, (min(freq) + max(freq)) / 2 as centre, max(freq) - min(freq) + 1e6::double as width from f group by 1")
 def rebin_chan_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = visibilities(spark, sf_dir).groupBy(F.floor(F.col("chan") / 3).alias("out_chan"))
-    return v.agg(F.min("chan").alias("lo"), F.max("chan").alias("hi"), ((F.min("chan") + F.max("chan")) / F.lit(2.0)).alias("centre"), F.count(F.lit(1)).alias("n"))
+    """Output channels: their inputs, centre and width, from the outer edges of the merged ones."""
+    axis = visibilities(spark, sf_dir).select("chan").distinct().withColumns({"lo_edge": 1e9 + F.col("chan") * 1e6 - 5e5, "hi_edge": 1e9 + F.col("chan") * 1e6 + 5e5})
+    g = axis.groupBy(F.floor(F.col("chan") / 3).alias("out_chan"))
+    return g.agg(F.min("chan").alias("lo"), F.max("chan").alias("hi"), ((F.min("lo_edge") + F.max("hi_edge")) / 2).alias("centre"), (F.max("hi_edge") - F.min("lo_edge")).alias("width"))
 
 
-@query(f"with {VL} select floor(tslot / {SLOT_DAYS})::bigint as t, avg(tslot) as time, max(ant2) as ant, count(*) as n from vl group by 1", "time")
+@query(f"with {VL} select floor(tslot / {SLOT_DAYS})::bigint as t, avg(tslot) as time, arg_max(ant2, seq * 100000 + ant2 * 10000 + scan) as ant, arg_max(scan, seq * 100000 + ant2 * 10000 + scan) as ddid, count(*) as n from vl group by 1", "time")
 def rebin_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebin.slots(visibilities(spark, sf_dir), SLOT_DAYS).groupBy("t").agg(F.avg("tslot").alias("time"), F.max("ant2").alias("ant"), F.count(F.lit(1)).alias("n"))
+    """Mean time, and the last row's antenna and description."""
+    last = F.struct("seq", "ant2", "scan")
+    return rebin.slots(visibilities(spark, sf_dir), SLOT_DAYS).groupBy("t").agg(F.avg("tslot").alias("time"), F.max_by("ant2", last).alias("ant"), F.max_by("scan", last).alias("ddid"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {VL}, {RB} select v.tslot, v.chan, v.ant1, v.ant2, v.w, rb.re as bin_re from vl v join rb on rb.t = floor(v.tslot / {SLOT_DAYS}) and rb.chan = v.chan and rb.ant1 = v.ant1 and rb.ant2 = v.ant2", "bin_re")
@@ -160,14 +172,19 @@ def pivot_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- flags
 
 
-@query(f"with {VL} select tslot, chan, ant1, ant2, w, fl | (case when (fl & 32769) <> 0 then 1 else 0 end) as fl from vl")
+@query(f"with {VL} select tslot, chan, ant1, ant2, w, fl | (case when (fl & 32769) <> 0 or (case when scan = 1995 then 2 else 32768 end & 32769) <> 0 then 1 else 0 end) as fl from vl")
 def flag_apply_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flags.apply_bits(visibilities(spark, sf_dir), 32769).select("tslot", "chan", "ant1", "ant2", "w", "fl")
+    """Bits of a sample or of its row."""
+    v = visibilities(spark, sf_dir).withColumn("row_bits", F.when(F.col("scan") == 1995, 2).otherwise(32768))
+    return flags.apply_bits(v, 32769, "row_bits").select("tslot", "chan", "ant1", "ant2", "w", "fl")
 
 
-@query(f"with {VL} select tslot, chan, ant1, ant2, w, fl | (case when re = 0 and im = 0 then 4 else 0 end) | (case when w = 0 then 8192 else 0 end) as fl from vl")
+@query(f"with {VL}, {RB}, {VC} select t, chan, ant1, ant2, corr, case when chan = 0 and corr in (0, 3) then fl | 4 else fl end | (case when w = 0 then 8192 else 0 end) as fl from vc")
 def flag_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flags.weights(flags.invalid(visibilities(spark, sf_dir))).select("tslot", "chan", "ant1", "ant2", "w", "fl")
+    """Channel 0 is all zero: diagonal correlations are invalid there, the others aren't."""
+    c = correlations(cells(spark, sf_dir))
+    c = c.withColumns({x: F.when(F.col("chan") == 0, 0.0).otherwise(F.col(x)) for x in ("re", "im")})
+    return flags.weights(flags.invalid(c)).select("t", "chan", "ant1", "ant2", "corr", "fl")
 
 
 @query(f"with {VL} select scan, count(*) as total, count(*) filter (fl <> 0) as flagged from vl group by 1")
@@ -195,13 +212,16 @@ def flag_gain_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.from_gains(c, bad, FL["NOSOL"]).select("t", "chan", "ant1", "ant2", "w", "fl")
 
 
-@query(f"""with {VL}, {RB}, {BOTH}, c as (select t, ant1 as ant, sum((re - mre) * (re - mre) + im * im) as chi2, count(*) as n from b group by 1, 2), f as (select *, chi2 > 1.2 * (select median(chi2) from c) or n < 0.5 * (select median(n) from c) as bad from c)
- select t, ant, chi2, n, bad or avg(bad::int) over (partition by t) > 0.5 as bad from f""", "chi2")
+@query(f"""with {VL}, {RB}, {BOTH}, c as (select t, ant1 as ant, sum((re - mre) * (re - mre) + im * im) as chi2, count(*) as n from b group by 1, 2), f as (select *, chi2 > 1.2 * (select median(chi2) from c) or n < 0.5 * (select median(n) from c) as bad from c),
+ r as (select t, ant, chi2, n, bad or avg(bad::int) over (partition by t) > 0.5 or avg(bad::int) over (partition by ant) > 0.5 as bad from f) select t, ant, chi2, n, bad or avg(bad::int) over (partition by ant % 2) > 0.5 as bad from r""", "chi2")
 def postmortem_chisq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = stats.chi_squared(rebin.hermitian(cells(spark, sf_dir)))
-    mid = c.agg(stats.median_of(F.col("chi2")).alias("m"), stats.median_of(F.col("n")).alias("k"))
+    """Cells far above the median chi-squared, or with few samples; then rows and columns that are bad for the most part, and after these whole descriptions (of every other antenna)."""
+    c = written(stats.chi_squared(rebin.hermitian(cells(spark, sf_dir))), "chi2")
+    mid = stats.medians(c, [], "chi2", "m").join(stats.medians(c, [], "n", "k"))
     bad = c.join(F.broadcast(mid)).withColumn("bad", (F.col("chi2") > 1.2 * F.col("m")) | (F.col("n") < 0.5 * F.col("k"))).drop("m", "k")
-    return stats.dense_flags(bad, "bad", ["t"], 0.5)
+    rows, columns = (stats.dense_flags(bad, "bad", [k], 0.5) for k in ("t", "ant"))
+    both = rows.join(columns.select("t", "ant", F.col("bad").alias("too")), ["t", "ant"]).withColumn("bad", F.col("bad") | F.col("too")).drop("too")
+    return stats.dense_flags(both.withColumn("ddid", F.col("ant") % 2), "bad", ["ddid"], 0.5).select("t", "ant", "chi2", "n", "bad")
 
 
 # ---------------------------------------------------------------- statistics
@@ -241,9 +261,10 @@ def mad_bl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mad_by_baseline(_residuals(spark, sf_dir))
 
 
-@query(f"with {VL}, {RES} select ant1, ant2, chan, median(absres) as mad from r where fl = 0 and absres <> 0 group by 1, 2, 3", "mad")
+@query(f"with {VL}, {RB}, {VC}, r as (select ant1, ant2, corr, sqrt((re - mre) * (re - mre) + im * im) as a from vc where fl = 0) select ant1, ant2, corr, median(a) as mad from r where a <> 0 group by all", "mad")
 def mad_bl_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.mad_by_baseline(_residuals(spark, sf_dir), ["chan"])
+    c = correlations(cells(spark, sf_dir))
+    return stats.mad_by_baseline(c.withColumn("absres", (cx("re", "im") - cx("mre", "mim")).abs()), ["corr"])
 
 
 @query(f"with {VL}, {RES}, m as (select ant1, ant2, median(absres) as mad from r where fl = 0 and absres <> 0 group by 1, 2) select median(mad) as mmad, count(*) as baselines from m", "mmad")
@@ -266,9 +287,11 @@ def mad_antenna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(F.broadcast(mid)).join(F.broadcast(dev)).select("ant", "mad", (F.col("mad") > F.col("mid") + 2 * 1.4826 * F.col("dev")).alias("bad"))
 
 
-@query(f"with {VL}, {RES}, m as (select ant1, ant2, median(absres) as mad from r where fl = 0 and absres <> 0 group by 1, 2) select ant1, ant2, mad from m order by mad desc, ant1, ant2 limit 3", "mad")
+@query(f"with {VL}, {RES}, m as (select ant1, ant2, median(absres) as mad from r where fl = 0 and absres <> 0 group by 1, 2), k as (select *, row_number() over (order by mad desc, ant1, ant2) as place, count(*) over () as n from m) select ant1, ant2, mad, place from k where place <= 3 or place = (n + 1) // 2", "mad")
 def topk_worst_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.mad_by_baseline(_residuals(spark, sf_dir)).orderBy(F.desc("mad"), "ant1", "ant2").limit(3)
+    """The three worst baselines and the median one."""
+    k = stats.mad_by_baseline(_residuals(spark, sf_dir)).withColumns({"place": F.row_number().over(Window.orderBy(F.desc("mad"), "ant1", "ant2")).cast("bigint"), "n": F.count(F.lit(1)).over(Window.partitionBy())})
+    return k.where("place <= 3 or place = (n + 1) div 2").select("ant1", "ant2", "mad", "place")
 
 
 # ---------------------------------------------------------------- gains
@@ -327,9 +350,12 @@ def ifr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("ant1", "ant2").agg(F.avg(size).alias("mean"), F.stddev_pop(size).alias("spread"), F.avg("g_re").alias("re"), F.avg("g_im").alias("im"))
 
 
-@query(f"with {VL} select floor(tslot / {SLOT_DAYS})::bigint as t, atan2(sum(im), sum(re)) as pzd from vl where fl = 0 group by 1", "pzd")
+@query(f"""with {VL}, {RB}, {VC}, x as (select floor(t / 4)::bigint as ti, corr, re, im, 0.1::double * abs(re) + 0.1 as mr, 0.05::double * im as mi from vc where corr in (1, 2) and fl = 0 and ant1 <> ant2),
+ d as (select ti, corr, (re * mr + im * mi) / sqrt(mr * mr + mi * mi) as dr, (im * mr - re * mi) / sqrt(mr * mr + mi * mi) as di from x) select ti, atan2(sum(case corr when 1 then di else -di end), sum(dr)) as pzd from d group by 1""", "pzd")
 def pzd_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebin.slots(visibilities(spark, sf_dir).where("fl = 0"), SLOT_DAYS).groupBy("t").agg(F.atan2(F.sum("im"), F.sum("re")).alias("pzd"))
+    """Phase between the hands by interval, against a model of the cross hands."""
+    c = correlations(cells(spark, sf_dir)).where("ant1 <> ant2 and fl = 0").withColumns({"mre": 0.1 * F.abs("re") + 0.1, "mim": 0.05 * F.col("im")})
+    return gains.hand_phase(c.withColumn("ti", rebin.interval("t", 4)), ["ti"])
 
 
 @query(f"""with {VL}, {RB}, {BOTH}, g0 as (select distinct ant1 as ant, 1.0::double as g from b), u1 as (select ant1 as ant, sum(re * g * mre) / sum(g * mre * g * mre) as g from b join g0 on g0.ant = ant2 group by 1),
@@ -338,27 +364,6 @@ def solve_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gains.scalar_gains(rebin.hermitian(cells(spark, sf_dir)), 2)
 
 
-def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, sf_dir).where("ant1 <> ant2").withColumn("chunk", F.floor(F.col("t") / 8))
-
-
-@query()
-def solve_complex_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.solve(_chunked(spark, sf_dir), "complex")
-
-
-@query()
-def solve_phase_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.solve(_chunked(spark, sf_dir), "phase")
-
-
-@query()
-def mode_sc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunked(spark, sf_dir)
-    g = solve.solve(c, "complex").select("t", "ant", "g_re", "g_im")
-    return gains.corrected(gains.with_gains(c, g, ["t"])).select("t", "chan", "ant1", "ant2", "c_re", "c_im")
-
-
 # ---------------------------------------------------------------- solution store
 
 SOL = f"sol as (select ant1 as ant, chan, floor(tslot / {SLOT_DAYS})::bigint as time, avg(re) as value from vl where fl = 0 and floor(tslot / {SLOT_DAYS})::bigint % 3 <> 1 group by 1, 2, 3)"
@@ -393,12 +398,6 @@ def join_db_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.interpolated(_grid(spark, sf_dir), _solutions(spark, sf_dir), ["ant", "chan"], "time")
 
 
-@query(f"with {VL} select ant1 as ant, chan, arg_max(re, tslot * 1000000000 + w * 1000000 + re * 1000) as value from vl where fl = 0 group by 1, 2", "value")
-def db_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = visibilities(spark, sf_dir).where("fl = 0").select(F.col("ant1").alias("ant"), "chan", (F.col("tslot") * 1000000000 + F.col("w") * 1000000 + F.col("re") * 1000).alias("seq"), F.col("re").alias("value"))
-    return store.latest(log, ["ant", "chan"], "seq")
-
-
 @query(f"with {VL}, {SOL} select ant, list_sort(list(distinct chan)) as chans, count(distinct time) as times, min(value) as lo, max(value) as hi from sol group by 1", "lo hi")
 def param_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _solutions(spark, sf_dir)

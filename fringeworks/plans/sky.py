@@ -34,10 +34,13 @@ def radec2lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).select("id", "l", "m")
 
 
-@query(f"with {SRC} select id, flux * pow(1.4::double, alpha + curve * log10(1.4::double)) as stokes_i, 0.1 * flux * pow(1.4::double, alpha + curve * log10(1.4::double)) as stokes_q from src", "stokes_i stokes_q")
+_SP = "pow(1.4::double, alpha + curve * log10(1.4::double))"
+
+
+@query(f"with {SRC} select id, flux * {_SP} as stokes_i, 0.1 * flux * {_SP} as stokes_q, -0.05 * flux * {_SP} as stokes_u, 0.01 * flux * {_SP} as stokes_v from src", "stokes_i stokes_q stokes_u stokes_v")
 def spectrum_pl(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sky.power_law(F.lit(1.4e9), F.lit(1e9), [F.col("alpha"), F.col("curve")])
-    return sources(spark, sf_dir).select("id", (F.col("flux") * s).alias("stokes_i"), (0.1 * F.col("flux") * s).alias("stokes_q"))
+    return sources(spark, sf_dir).select("id", *[(share * F.col("flux") * s).alias(f"stokes_{c}") for c, share in (("i", 1.0), ("q", 0.1), ("u", -0.05), ("v", 0.01))])
 
 
 @query(f"with {SRC} select id, ex * sin(pa) as lx, ex * cos(pa) as mx, case when ex = 0 then 1 else ey / ex end as ratio from src", "lx mx ratio")
@@ -46,22 +49,25 @@ def gauss_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).select("id", lx.alias("lx"), mx.alias("mx"), ratio.alias("ratio"))
 
 
-CL = "cl as (select tag, floor(l / 0.02)::bigint as cl, floor(m / 0.02)::bigint as cm, sum(l * flux) / sum(flux) as l, sum(m * flux) / sum(flux) as m, sum(flux) as flux, count(*) as n from lm group by 1, 2, 3)"
+@query(f"with {SRC} select tag, id % 2 as beam, case when ex > 0 then 'gaussian' else 'point' end as type, count(*) as n, sum(flux) as flux, min(id) as first from src group by all", "flux")
+def cluster_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.grouped(sources(spark, sf_dir).withColumn("beam", F.col("id") % 2))
 
 
-@query(f"with {SRC}, {LM}, {CL} select * from cl", "l m flux")
-def cluster_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict.clusters(sources(spark, sf_dir), 0.02)
+CL = "cl as (select floor(l / 0.02)::bigint as cl, floor(m / 0.02)::bigint as cm, sum(l * flux) / sum(flux) as l, sum(m * flux) / sum(flux) as m, sum(alpha * flux) / sum(flux) as alpha, sum(flux) as flux, count(*) as n from lm group by 1, 2)"
 
 
-NAT = "nat as (select (n_nationkey - 12) / 100.0::double as l, (n_regionkey - 2) / 50.0::double as m, 1.0::double + n_nationkey % 7 as flux from nation)"
+@query(f"with {SRC}, {LM}, {CL} select * from cl", "l m alpha flux")
+def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.clusters(sources(spark, sf_dir), 0.02)
 
 
-@query(f"""with {VL}, {RB}, {NAT}, v as (select *, 10.0::double * (ant2 - ant1) as u, 5.0::double * (t % 10) as v, 2.0::double * ant1 as w_m, 1e9::double + chan * 1e7::double as freq from rb),
- p as (select v.*, flux, -2 * pi() * (u * l + v * m + w_m * (sqrt(1 - l * l - m * m) - 1)) * freq / 299792458.0::double as ph from v, nat) select t, chan, ant1, ant2, sum(flux * cos(ph)) as m_re, sum(flux * sin(ph)) as m_im from p group by 1, 2, 3, 4""", "m_re m_im")
+@query(f"""with {VL}, {RB}, {SRC}, {LM}, {CL}, v as (select *, 10.0::double * (ant2 - ant1) as u, 5.0::double * (t % 10) as v, 2.0::double * ant1 as w_m, 1e9::double + chan * 1e7::double as freq from rb), s as (select l, m, flux, alpha, 0.001::double * (n % 3) as lx, 0.002::double * (n % 2) as mx from cl),
+ p as (select v.*, -2 * pi() * (u * l + v * m + w_m * (sqrt(1 - l * l - m * m) - 1)) * freq / 299792458.0::double as ph, flux * pow(freq / 1e9::double, alpha) * exp(-(pow((u * lx + v * mx) * freq * pi() / 299792458.0::double, 2) + pow((u * mx - v * lx) * 0.5 * freq * pi() / 299792458.0::double, 2)) / (4 * ln(2.0::double))) as a from v, s)
+ select t, chan, ant1, ant2, sum(a * cos(ph)) as m_re, sum(a * sin(ph)) as m_im from p group by 1, 2, 3, 4""", "m_re m_im", 3)
 def predict_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    cat = n.select(((F.col("n_nationkey") - 12) / 100.0).alias("l"), ((F.col("n_regionkey") - 2) / 50.0).alias("m"), (1.0 + F.col("n_nationkey") % 7).alias("flux"))
+    """Customers as a sky, merged by cell; merged sources have a size, a spectrum and a shape."""
+    cat = predict.clusters(sources(spark, sf_dir), 0.02).withColumns({"lx": 0.001 * (F.col("n") % 3), "mx": 0.002 * (F.col("n") % 2), "ratio": F.lit(0.5)})
     v = cells(spark, sf_dir).withColumns({"u": 10.0 * (F.col("ant2") - F.col("ant1")), "v": 5.0 * (F.col("t") % 10), "w_m": 2.0 * F.col("ant1"), "freq": 1e9 + F.col("chan") * 1e7})
     return predict.predicted(v, cat, ["t", "chan", "ant1", "ant2"])
 
@@ -85,7 +91,7 @@ def mjd_to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
 _J = "select tslot, chan, ant1, ant2, w, 1 + ant1 / 10.0::double as a, 0.1 * mre as b, 0.05 * im as c, 1 - ant1 / 20.0::double as d, 1 + ant2 / 10.0::double as e, re, im, mre from vl"
 
 
-@query(f"with {VL}, j as ({_J}) select tslot, chan, ant1, ant2, w, (a * re + b * 0.2) * e + (a * mre + b * w) * 0.3 as v00_re, a * im * e as v00_im from j", "v00_re v00_im")
+@query(f"with {VL}, j as ({_J}) select tslot, chan, ant1, ant2, w, (a * re + b * 0.2) * e + (a * mre + b * w) * 0.3 as v00_re, a * im * e as v00_im from j", "v00_re v00_im", 4)
 def jones_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = lambda c: Cx(c if hasattr(c, "alias") else F.lit(float(c)), F.lit(0.0))
     v = visibilities(spark, sf_dir)
@@ -151,9 +157,37 @@ def region_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.stitched(w.withColumn("value", F.col("id") % 10))
 
 
-@query(f"with {QUAD}, b as (select id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from h group by 1) select a.id as a, b.id as b from b a join b on a.id < b.id and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1")
+@query(f"""with {QUAD}, {EDGES}, b as (select id, min(x) - 2 as x0, max(x) + 2 as x1, min(y) - 2 as y0, max(y) + 2 as y1 from h group by 1), c as (select a.id as a, b.id as b from b a join b on a.id < b.id and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1),
+ n as (select a, b, k + 4 * (id = b)::int as k, (y - y2) / sqrt((y - y2) ** 2 + (x2 - x) ** 2) as nx, (x2 - x) / sqrt((y - y2) ** 2 + (x2 - x) ** 2) as ny from c join e on e.id = a or e.id = b),
+ pa as (select a, b, n.k, min(x * nx + y * ny) as lo, max(x * nx + y * ny) as hi from n join h on h.id = a group by all), pb as (select a, b, n.k, min(x * nx + y * ny) as lo, max(x * nx + y * ny) as hi from n join h on h.id = b group by all)
+ select a, b from pa join pb using (a, b, k) group by 1, 2 having not bool_or(pb.lo - pa.hi > 0.5 or pa.lo - pb.hi > 0.5)""")
 def region_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.overlapping(regions.boxes(outlines(spark, sf_dir)), 16)
+    return regions.overlapping(outlines(spark, sf_dir), 16)
+
+
+@query(f"with {QUAD}, {EDGES}, p as (select c_custkey as point, c_custkey * 11 % 400 as px, c_custkey * 17 % 300 as py from customer) select e.id, p.point from p join e on px between e.x - 40 and e.x + 40 and py between e.y - 40 and e.y + 40 group by 1, 2 having count(*) = 4 and bool_and(((px - x) * (y - y2) + (py - y) * (x2 - x)) / sqrt((y - y2) ** 2 + (x2 - x) ** 2) >= -0.5)")
+def region_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    p = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("point"), (k * 11 % 400).alias("x"), (k * 17 % 300).alias("y"))
+    return regions.containing(outlines(spark, sf_dir), p, 16)
+
+
+IMAGE = "im as (select c_custkey % 400 as x, c_custkey * 3 % 300 as y, sum(c_acctbal) as value from customer group by 1, 2)"
+
+
+@query(f"with {QUAD}, {EDGES}, {PIX}, {IMAGE} select c.id, c.px as x, c.py as y, case when p.id is null or c.px > 399 or c.py > 299 then -1 else coalesce(im.value, 0) end as value from cand c left join pix p on p.id = c.id and p.x = c.px and p.y = c.py left join im on im.x = c.px and im.y = c.py", "value", 3)
+def region_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    image = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy((k % 400).alias("x"), (k * 3 % 300).alias("y")).agg(F.sum("c_acctbal").alias("value"))
+    return regions.extracted(outlines(spark, sf_dir), image, 400, 300, -1.0)
+
+
+@query(f"with {QUAD}, b as (select id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, floor(avg(x))::bigint as cx, floor(avg(y))::bigint as cy from h group by 1), s as (select *, greatest(x1 - x0, y1 - y0) + 1 as n from b) select id, x0, x1 + (x1 - x0) % 2 as x1, y0, y1 + (y1 - y0) % 2 as y1, cx - n // 2 as sx0, cx + n - n // 2 - 1 + (n - 1) % 2 as sx1, cy - n // 2 as sy0, cy + n - n // 2 - 1 + (n - 1) % 2 as sy1 from s")
+def box_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of odd sides along the axes, and square ones."""
+    o = outlines(spark, sf_dir)
+    square = regions.aligned(o, square=True).select("id", *[F.col(c).alias(f"s{c}") for c in ("x0", "x1", "y0", "y1")])
+    return regions.aligned(o).join(square, "id")
 
 
 @query(f"""with {QUAD}, b as (select id, min(x) - 2 as x0, max(x) + 2 as x1, min(y) - 2 as y0, max(y) + 2 as y1 from h group by 1), g as (select *, unnest(range(floor(x0 / 8)::bigint, floor(x1 / 8)::bigint + 1)) as gx from b), f as (select *, unnest(range(floor(y0 / 8)::bigint, floor(y1 / 8)::bigint + 1)) as gy from g)

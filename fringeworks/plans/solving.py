@@ -15,11 +15,6 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrs(spark, sf_dir).where("ant1 <> ant2").withColumn("chunk", F.floor(F.col("t") / 8))
 
 
-@query()
-def solve_complex_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.solve_chain(chunks(spark, sf_dir), [Term("full")], [20])
-
-
 @query()
 def solve_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.solve_chain(chunks(spark, sf_dir), [Term("leakage", 0)], [20])
@@ -54,13 +49,3 @@ def solve_t_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def solve_tf_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.solve_slopes(chunks(spark, sf_dir), "tf-plane")
-
-
-@query()
-def mode_ss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.residuals(chunks(spark, sf_dir), [Term("full")], [20])
-
-
-@query()
-def mode_sr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.residuals(chunks(spark, sf_dir), [Term("full")], [20], correct=True)

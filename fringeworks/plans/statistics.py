@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cx import Cx, cx
-from ..operators import flags, rebin, stats, store
+from ..functions.grammar import globbed
+from ..operators import flags, gains, rebin, stats, store
 from ..schema import FL, FLAG_BITS
 from ..sources.views import SLOT_DAYS, VC, VE, VL, spectra, visibilities
 from .queries import BOTH, RB, SOL, _solutions, cells
@@ -19,9 +20,12 @@ ROWS = ["tslot", "chan", "ant1", "ant2", "w"]
 # ---------------------------------------------------------------- flags
 
 
-@query(f"with {VL} select {ROW}, case when fl & 1 = 1 or ant1 = 0 then fl | 1 else fl end as fl from vl")
+@query(f"with {VL} select {ROW}, seq, case when bool_or(fl & 1 = 1) over (partition by tslot, chan, ant1, ant2) or ant1 = 0 then fl | 1 else fl end as fl from vl")
 def flag_apply_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibilities(spark, sf_dir).select(*ROWS, flags.raised(flags.has(1) | (F.col("ant1") == 0), FL["PRIOR"]).alias("fl"))
+    """Any correlation's flag (here: of the rows of one sample), or the row's, which antenna 0 stands for."""
+    v = visibilities(spark, sf_dir)
+    some = v.groupBy("tslot", "chan", "ant1", "ant2").agg(F.bool_or(flags.has(1)).alias("some"))
+    return v.join(some, ["tslot", "chan", "ant1", "ant2"]).select(*ROWS, "seq", flags.raised(F.col("some") | (F.col("ant1") == 0), FL["PRIOR"]).alias("fl"))
 
 
 @query(f"with {VL} select {ROW}, case when fl <> 0 then 4 else 0 end::bigint as bits from vl")
@@ -29,16 +33,20 @@ def flag_fill_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibilities(spark, sf_dir).select(*ROWS, F.when(F.col("fl") != 0, 4).otherwise(0).cast("bigint").alias("bits"))
 
 
-@query(f"with {VL} select tslot, chan, ant1, ant2, w, case when w - 10 = 0 then fl | {FL['NULLWGHT']} else fl end as fl from vl")
+@query(f"with {VL} select {ROW}, case when w > 45 then fl | {FL['INVWGHT']} when w <= 2 then fl | {FL['NULLWGHT']} else fl end as fl from vl")
 def flag_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = visibilities(spark, sf_dir).withColumn("w", F.col("w") - 10)
-    return flags.weights(v).select("tslot", "chan", "ant1", "ant2", (F.col("w") + 10).alias("w"), "fl")
+    """Weights of two models: invalid if any isn't finite, null if all are zero."""
+    w = F.col("w")
+    models = F.array(F.when(w > 45, float("inf")).when(w <= 2, 0.0).otherwise(w), F.when(w <= 3, 0.0).otherwise(w))
+    return visibilities(spark, sf_dir).select(*ROWS, flags.model_weights(models).alias("fl"))
 
 
-@query(f"with {VL} select {ROW}, case when mre = 0 or re > 9 then fl | {FL['INVMODEL']} else fl end as fl from vl")
+@query(f"with {VL} select {ROW}, case when re > 9 or (chan = 0 and scan = 1995) then fl | {FL['INVMODEL']} else fl end as fl from vl")
 def flag_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.when(F.col("re") > 9, float("nan")).otherwise(F.col("mre"))
-    return visibilities(spark, sf_dir).select(*ROWS, flags.raised(F.isnan(m) | (m == 0), FL["INVMODEL"]).alias("fl"))
+    """Models of two directions: invalid if any isn't finite, or all are zero."""
+    zero = (F.col("chan") == 0) & (F.col("scan") == 1995)
+    models = F.array(F.when(zero, 0.0).when(F.col("re") > 9, float("nan")).otherwise(F.col("mre")), F.when(zero & (F.col("re") <= 9), 0.0).when(F.col("re") > 9, float("nan")).otherwise(1.0))
+    return visibilities(spark, sf_dir).select(*ROWS, flags.models(models).alias("fl"))
 
 
 @query("with n as (select distinct event_type as name from events), k as (select name, row_number() over (order by name) - 1 as bit from n) select name, bit, (1::bigint << bit) as mask, (select sum(1::bigint << bit)::bigint from k where name <> 'click') as rest from k")
@@ -85,12 +93,27 @@ def chi2_offdiag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chi(corrs(spark, sf_dir), "corr in (1, 2)")
 
 
-@query(f"with {VL}, {RB}, n as (select chan, count(*) / sum({R2}) as inv from rb group by 1) select t, sum(({R2}) * inv) / count(*) as chi2, count(*) as n from rb join n using (chan) group by 1", "chi2")
+#: Noise by channel from differences of adjacent channels; the first channel has the second's.
+NOISE = """d as (select t, ant1, ant2, chan, re - lag(re) over u as dr, im - lag(im) over u as di, chan - lag(chan) over u as gap from rb window u as (partition by t, ant1, ant2 order by chan)),
+ nz as (select chan, sum((dr * dr + di * di) / 4) / count(*) as v from d where gap = 1 group by 1), iv as (select chan, 1 / v as inv from nz union all select 0, 1 / v from nz where chan = 1)"""
+
+
+@query(f"with {VL}, {RB}, {NOISE} select t, sum(({R2}) * inv) as total, count(*) as n, sum(({R2}) * inv) / (2 * count(*)) as chi2 from rb join iv using (chan) group by 1", "total chi2", 3)
 def chi2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r2 = Cx(F.col("re") - F.col("mre"), F.col("im") - F.col("mim")).abs2()
-    c = cells(spark, sf_dir).withColumn("r2", r2)
-    inverse = c.groupBy("chan").agg((F.count(F.lit(1)) / F.sum("r2")).alias("inv"))
-    return c.join(inverse, "chan").groupBy("t").agg((F.sum(F.col("r2") * F.col("inv")) / F.count(F.lit(1))).alias("chi2"), F.count(F.lit(1)).alias("n"))
+    """Squared residuals over the noise of their channel, by slot and by its number of equations."""
+    c = cells(spark, sf_dir)
+    c = c.join(F.broadcast(stats.inverse_variance(c)), "chan").withColumn("x", Cx(F.col("re") - F.col("mre"), F.col("im") - F.col("mim")).abs2() * F.col("inv"))
+    return c.groupBy("t").agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n")).withColumn("chi2", F.col("total") / (2 * F.col("n")))
+
+
+@query(f"""with {VL}, r0 as (select floor(tslot / {SLOT_DAYS})::bigint as t, chan, ant1, ant2, sum(w * re) filter (fl = 0) / sum(w) filter (fl = 0) as re, sum(w * im) filter (fl = 0) / sum(w) filter (fl = 0) as im, count(*) filter (fl = 0) = 0 as bad from vl group by 1, 2, 3, 4),
+ d as (select t, ant1, ant2, chan, re - lag(re) over u as dr, im - lag(im) over u as di, chan - lag(chan) over u as gap, bad or lag(bad) over u as bad from r0 window u as (partition by t, ant1, ant2 order by chan)), x as (select t, chan, unnest([ant1, ant2]) as ant, (dr * dr + di * di) / 4 as p from d where gap = 1 and not bad and ant1 <> ant2)
+ select chan, ant, t, sqrt(sum(p) / count(*)) as noise, count(*) as n from x group by grouping sets ((chan, ant), (t, ant), (t, chan))""", "noise")
+def noise_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise by channel and antenna, slot and antenna, slot and channel, from differences of adjacent channels of which neither is flagged."""
+    c = rebin.rebin_vis(rebin.slots(visibilities(spark, sf_dir), SLOT_DAYS))
+    d = stats.channel_differences(c.where("ant1 <> ant2")).select("t", "chan", F.explode(F.array("ant1", "ant2")).alias("ant"), "p")
+    return stats.marginals(d, [["chan", "ant"], ["t", "ant"], ["t", "chan"]], F.sqrt(F.sum("p") / F.count(F.lit(1))).alias("noise"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {VL}, {RB}, {BOTH} select floor(t / 4)::bigint as ti, ant1 as ant, 4 * count(*) as eqs, 4 * count(*) >= 8 as enough, case when 4 * count(*) > 8 then 4 * count(*) / (4 * count(*) - 8) else null end as reduced from b group by 1, 2", "reduced")
@@ -105,10 +128,13 @@ def eq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumns({"eqs": 2 * F.col("records"), "norm": 1 / (2.0 * F.col("records"))})
 
 
-@query(f"with {VL}, s as (select scan, chan, avg(re) as x from vl group by all) select scan, max(x) filter (chan = 0) as c0, max(x) filter (chan = 1) as c1, max(x) filter (chan = 2) as c2 from s group by 1", "c0 c1 c2")
+_STEPS = ", ".join(f"max(x) filter (chan = {k}) as c{k}" for k in range(7))
+
+
+@query(f"with {VL}, s as (select scan, chan, avg(re) as x from vl group by all) select scan, {_STEPS} from s group by 1", " ".join(f"c{k}" for k in range(7)))
 def stat_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = visibilities(spark, sf_dir).groupBy("scan").pivot("chan", [0, 1, 2]).agg(F.avg("re"))
-    return wide.select("scan", *[F.col(str(k)).alias(f"c{k}") for k in (0, 1, 2)])
+    wide = visibilities(spark, sf_dir).groupBy("scan").pivot("chan", list(range(7))).agg(F.avg("re"))
+    return wide.select("scan", *[F.col(str(k)).alias(f"c{k}") for k in range(7)])
 
 
 @query(f"with {VL} select 're' as field, max(abs(re)) > 0 as used from vl union all select 'im', max(abs(im)) > 0 from vl union all select 'mim', max(abs(mim)) > 0 from vl")
@@ -133,18 +159,22 @@ def _absres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibilities(spark, sf_dir).withColumn("absres", Cx(F.col("re") - F.col("mre"), F.col("im") - F.col("mim")).abs())
 
 
-@query(f"with {VL}, {ABS}, {MAD} select tslot, chan, ant1, ant2, w, case when fl = 0 and x > 4 / 1.4826 * mad then fl | {FL['MAD']} else fl end as fl from r left join m using (ant1, ant2)")
+@query(f"""with {VL}, {RB}, {VC}, r as (select *, sqrt({R2}) as x from vc), m as (select ant1, ant2, corr, median(x) as mad from r where fl = 0 and x <> 0 group by all)
+ select t, chan, ant1, ant2, bool_or(corr in (0, 3) and x > 3 / 1.4826 * mad and fl = 0) as bad, count(*) as corrs from r left join m using (ant1, ant2, corr) group by 1, 2, 3, 4""")
 def mad_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.mad_flags(_absres(spark, sf_dir), 4, 1e9, FL["MAD"]).select(*ROWS, "fl")
+    """A sample goes if it is valid and any of the chosen correlations is above its threshold."""
+    c = corrs(spark, sf_dir).withColumn("absres", Cx(F.col("re") - F.col("mre"), F.col("im") - F.col("mim")).abs())
+    c = c.join(F.broadcast(stats.mad_by_baseline(c, ["corr"])), ["ant1", "ant2", "corr"], "left")
+    over = F.col("corr").isin(0, 3) & (F.col("absres") > 3 / 1.4826 * F.col("mad")) & (F.col("fl") == 0)
+    return c.groupBy("t", "chan", "ant1", "ant2").agg(F.bool_or(F.coalesce(over, F.lit(False))).alias("bad"), F.count(F.lit(1)).alias("corrs"))
 
 
-@query(f"with {VL}, {ABS}, {MAD} select a.ant1, a.ant2, median(b.mad) as local from m a join m b on abs((b.ant2 - b.ant1) - (a.ant2 - a.ant1)) <= 1 and not (a.ant1 = b.ant1 and a.ant2 = b.ant2) group by 1, 2", "local")
+@query(f"with {VL}, {ABS}, {MAD}, l as (select *, sqrt(power(3.0::double * (ant1 * ant1 - ant2 * ant2), 2) + power(7.0::double * (ant1 - ant2), 2)) as length from m where ant1 <> ant2) select a.ant1, a.ant2, median(b.mad) as local from l a join l b on b.length > 0.8 * a.length and b.length < 1.2 * a.length and not (a.ant1 = b.ant1 and a.ant2 = b.ant2) group by 1, 2", "local")
 def mad_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median over other baselines of like length; lengths meet on whole numbers, so each baseline stands under its own and both adjacent ones."""
-    m = stats.mad_by_baseline(_absres(spark, sf_dir)).withColumn("length", F.col("ant2") - F.col("ant1"))
-    a = m.select("ant1", "ant2", F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length"))
-    b = m.select("length", F.col("ant1").alias("b1"), F.col("ant2").alias("b2"), "mad")
-    return a.join(b, "length").where("not (ant1 = b1 and ant2 = b2)").groupBy("ant1", "ant2").agg(F.percentile("mad", 0.5).alias("local"))
+    """Median over the other baselines whose length is within a fifth."""
+    square = lambda x: x * x
+    length = F.sqrt(square(3.0 * (F.col("ant1") * F.col("ant1") - F.col("ant2") * F.col("ant2"))) + square(7.0 * (F.col("ant1") - F.col("ant2"))))
+    return stats.local_medians(stats.mad_by_baseline(_absres(spark, sf_dir)).where("ant1 <> ant2").withColumn("length", length))
 
 
 @query(f"with {VL}, {ABS}, {MAD} select ant1, ant2, count(*) filter (fl = 0 and x > 2 / 1.4826 * mad) as new, count(*) filter (fl <> 0) as old, count(*) as total from r left join m using (ant1, ant2) group by all")
@@ -186,9 +216,37 @@ def get_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.cube(_solutions(spark, sf_dir), ["ant", "chan"], "time")
 
 
-@query(f"with {VL}, {SOL} select chan, min(time) as t_lo, max(time) as t_hi, min(value) as lo, max(value) as hi from sol group by rollup (chan)", "lo hi")
+@query(f"with {VL}, {RB}, x as (select t, chan, re, im, sqrt(re * re + im * im) as amp, atan2(im, re) as ph from rb) select chan, min(t) as t_lo, max(t) as t_hi, min(amp) as a_lo, max(amp) as a_hi, min(ph) as p_lo, max(ph) as p_hi, least(min(re), min(im)) as x_lo, greatest(max(re), max(im)) as x_hi from x group by rollup (chan)", "a_lo a_hi p_lo p_hi x_lo x_hi")
 def sols_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _solutions(spark, sf_dir).rollup("chan").agg(F.min("time").alias("t_lo"), F.max("time").alias("t_hi"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    """Limits of times, amplitudes, phases and parts, by channel and over all."""
+    g = cx("re", "im")
+    x = cells(spark, sf_dir).select("t", "chan", "re", "im", g.abs().alias("amp"), g.arg().alias("ph"))
+    ends = [f(c).alias(f"{n}_{e}") for c, n in (("t", "t"), ("amp", "a"), ("ph", "p")) for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    return x.rollup("chan").agg(*ends, F.least(F.min("re"), F.min("im")).alias("x_lo"), F.greatest(F.max("re"), F.max("im")).alias("x_hi"))
+
+
+@query("select s_suppkey as ant, s_name as name from supplier where s_name glob '*[0-4]?' and s_name glob 'Supp*'")
+def glob_ants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Antennas by patterns of file names."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ant"), F.col("s_name").alias("name"))
+    return s.where(globbed(F.col("name"), "*[0-4]?") & globbed(F.col("name"), "Supp*"))
+
+
+@query(f"with {VL}, s as (select ant1, ant2, chan, re, im, mre from vl where fl = 0 and ant1 <> ant2), g as (select ant1, ant2, sum(mre * re) / sum(re * re + im * im) as gr, -sum(mre * im) / sum(re * re + im * im) as gi from s group by 1, 2) select ant1, ant2, corr, case when corr in (1, 2) then 1 else gr * 1.1 - gi * 0.2 end as g_re, case when corr in (1, 2) then 0 else gr * 0.2 + gi * 1.1 end as g_im from g, (values (0::bigint), (1::bigint), (2::bigint), (3::bigint)) c(corr)", "g_re g_im")
+def ifr_gain_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of baselines over all frequencies, times those of an earlier run; off-diagonal ones are 1."""
+    g = gains.baseline_gains(visibilities(spark, sf_dir).where("fl = 0 and ant1 <> ant2"), ["ant1", "ant2"])
+    out = cx("g_re", "g_im") * Cx(F.lit(1.1), F.lit(0.2))
+    c = g.select("ant1", "ant2", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(4)])).alias("corr"), out.re.alias("re"), out.im.alias("im"))
+    off = F.col("corr").isin(1, 2)
+    return c.select("ant1", "ant2", "corr", F.when(off, 1.0).otherwise(F.col("re")).alias("g_re"), F.when(off, 0.0).otherwise(F.col("im")).alias("g_im"))
+
+
+@query(f"with {VL}, {RB}, {VC}, b as (select t, ant1 as ant, corr % 2 as dir, bool_or(abs(im) > 0.5) as bad from vc group by all), p as (select t, ant, bool_or(bad) as any_bad, bool_and(bad) as all_bad, bool_or(bad) filter (dir = 1) as own from b group by 1, 2) select t, ant, false as never, any_bad as always, all_bad as in_all, coalesce(own, false) as of_one from p")
+def flag_gain_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an antenna's flagged gains reach the data, by policy over directions: never, for any of them, for all of them, or for the chosen one."""
+    g = corrs(spark, sf_dir).groupBy("t", F.col("ant1").alias("ant"), (F.col("corr") % 2).alias("dir")).agg(F.bool_or(F.abs("im") > 0.5).alias("gflag"))
+    return flags.gain_policies(g, 1)
 
 
 @query(f"with {VL}, {RB}, {VC} select t, chan, ant1, avg(re) filter (corr = 0) as g00, avg(re) filter (corr = 1) as g01, avg(re) filter (corr = 2) as g10, avg(re) filter (corr = 3) as g11 from vc where ant1 in (1, 2) and t >= 5 and t < 20 group by all", "g00 g01 g10 g11")

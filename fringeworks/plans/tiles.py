@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.algebra import evaluated
-from ..functions.cx import cx
+from ..functions.algebra import evaluated, weights
+from ..functions.cx import cx, rotated_hands
+from ..functions.grammar import parse_bin
 from ..functions.sky import nearest
 from ..operators import flags, gains, rebin, store
 from ..schema import FL
@@ -49,9 +50,16 @@ def weight_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.join(F.broadcast(mean.agg(F.avg("w_mean").alias("_all")))).withColumn("w_norm", F.col("w_mean") / F.col("_all")).drop("_all")
 
 
-@query(f"with {VL} select tslot, chan, ant1, ant2, w, round(re * 1.0000001, 3) as m from vl", "m")
+@query(f"with {VL} select tslot, chan, ant1, ant2, seq, round(mre, 16) as m_re, round(im, 16) as m_im from vl", "m_re m_im")
 def round_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibilities(spark, sf_dir).select("tslot", "chan", "ant1", "ant2", "w", F.round(F.col("re") * 1.0000001, 3).alias("m"))
+    return visibilities(spark, sf_dir).select("tslot", "chan", "ant1", "ant2", "seq", F.round("mre", 16).alias("m_re"), F.round("im", 16).alias("m_im"))
+
+
+@query(f"with {VL}, {RB}, {VC} select {KEY}, corr, w * avg(abs(re)) over (partition by {KEY}) as weight from vc", "weight")
+def weight_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product of columns, W*Q~: a column with ~ stands for its mean over correlations."""
+    c = corrs(spark, sf_dir).withColumns({"W": F.col("w"), "Q": F.abs("re")})
+    return c.withColumn("weight", weights(c, "W*Q~", SAMPLE)).select(*SAMPLE, "corr", "weight")
 
 
 @query(f"""with {VL} select tslot, chan, ant1, ant2, w, 0::bigint as model, 0::bigint as dir, re - mre as m_re, im - mim as m_im from vl union all select tslot, chan, ant1, ant2, w, 0, 1, mre, mim from vl
@@ -63,11 +71,13 @@ def model_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- look-up joins
 
 
-@query("select s_suppkey as row, n_nationkey::bigint as ddid, r_regionkey::bigint as spw, 1e9::double + r_regionkey * 1e6::double as freq from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+@query("select s_suppkey as row, n_nationkey::bigint as ddid, n_regionkey::bigint as spw, chan, 1e9::double + n_regionkey * 1e8::double + chan * 1e6::double as freq from supplier join nation on s_nationkey = n_nationkey join (select r_regionkey, unnest(range(r_regionkey::bigint + 2)) as chan from region) c on n_regionkey = r_regionkey")
 def join_ddid_spw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row's description names its window, and windows have different numbers of channels."""
     rows, dd, spw = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation", "region"))
+    spw = spw.select("r_regionkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("r_regionkey").cast("bigint") + 1)).alias("chan"))
     out = rows.join(dd, F.col("s_nationkey") == F.col("n_nationkey")).join(spw, F.col("n_regionkey") == F.col("r_regionkey"))
-    return out.select(F.col("s_suppkey").alias("row"), F.col("n_nationkey").cast("bigint").alias("ddid"), F.col("r_regionkey").cast("bigint").alias("spw"), (1e9 + F.col("r_regionkey") * 1e6).alias("freq"))
+    return out.select(F.col("s_suppkey").alias("row"), F.col("n_nationkey").cast("bigint").alias("ddid"), F.col("r_regionkey").cast("bigint").alias("spw"), "chan", (1e9 + F.col("r_regionkey") * 1e8 + F.col("chan") * 1e6).alias("freq"))
 
 
 @query(f"with {VL}, {RB}, s as (select floor(t / 4)::bigint as ti, floor(chan / 2)::bigint as fi, ant1, avg(re) as gain from rb group by all) select {KEY}, gain from rb join s using (ant1) where ti = floor(t / 4) and fi = floor(chan / 2)", "gain")
@@ -136,10 +146,39 @@ def chunk_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis.groupBy(F.floor(F.col("chan") / 3).alias("fchunk")).agg(F.min(f).alias("lo"), F.max(f).alias("hi"), F.count("chan").alias("channels"))
 
 
-@query(f"with {VL} select chan, freq, freq > lag(freq) over (order by chan) as rising from (select distinct chan, 1e9::double + chan * 1e6::double as freq from vl)")
+@query(f"with {VL}, a as (select distinct ant1 % 2 as ddid, chan, 1e9::double + (ant1 % 2) * 1e8::double + chan * 1e6::double as freq from vl) select ddid, chan, freq, freq > lag(freq) over (order by ddid, chan) as rising, row_number() over (order by ddid, chan) - 1 as place, min(row_no) over (partition by ddid) as first from (select *, row_number() over (order by ddid, chan) - 1 as row_no from a)")
 def freq_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = visibilities(spark, sf_dir).select("chan", (1e9 + F.col("chan") * 1e6).alias("freq")).distinct()
-    return axis.withColumn("rising", F.col("freq") > F.lag("freq").over(Window.orderBy("chan")))
+    """The axes of all descriptions one after another, with each one's first place, and whether frequencies rise."""
+    axis = visibilities(spark, sf_dir).select((F.col("ant1") % 2).alias("ddid"), "chan").distinct().withColumn("freq", 1e9 + F.col("ddid") * 1e8 + F.col("chan") * 1e6)
+    order = Window.orderBy("ddid", "chan")
+    axis = axis.withColumns({"rising": F.col("freq") > F.lag("freq").over(order), "place": (F.row_number().over(order) - 1).cast("bigint")})
+    return axis.withColumn("first", F.min("place").over(Window.partitionBy("ddid")))
+
+
+@query(f"with {VL} select chan, (chan // 3)::bigint as chunk from (select distinct chan from vl)")
+def chunk_freq_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk begins 2.5 MHz or more after the one before began; channels are 1 MHz apart."""
+    _, width = parse_bin("2.5MHz")
+    axis = visibilities(spark, sf_dir).select("chan").distinct().withColumns({"axis": F.lit(0), "freq": 1e9 + F.col("chan") * 1e6})
+    return rebin.chunks_by_length(axis, ["axis"], "freq", width).select("chan", "chunk")
+
+
+@query(f"with {VL}, a as (select *, case when fl & 1 <> 0 then fl | 1 else fl end as f1 from vl where scan = 1996) select tslot, chan, ant1, ant2, seq, re * w as d_re, im * w as d_im, mre * w as m_re, f1 | case when re = 0 and im = 0 then 4 else 0 end | case when w = 0 then 8192 else 0 end | case when re * re + im * im < 4 or re * re + im * im > 100 then 32768 else 0 end as fl from a", "d_re d_im m_re")
+def load_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data, weights, flags and model of one tile: the selection reaches the scan, all else is one projection."""
+    v = flags.apply_bits(visibilities(spark, sf_dir).where("scan = 1996"), FL["PRIOR"])
+    v = flags.outside_baselines(flags.weights(flags.invalid(v)).withColumns({"u": F.col("re"), "v": F.col("im")}), 2.0, 10.0)
+    w = F.col("w")
+    return v.select("tslot", "chan", "ant1", "ant2", "seq", (F.col("re") * w).alias("d_re"), (F.col("im") * w).alias("d_im"), (F.col("mre") * w).alias("m_re"), "fl")
+
+
+@query(f"with {VL}, {RB}, {VC}, x as (select *, 0.1::double * ant1 + 0.01::double * t as ap, 0.1::double * ant2 + 0.01::double * t as aq from vc), y as (select *, -case corr when 0 then ap - aq when 1 then ap + aq when 2 then -ap - aq else aq - ap end as ph from x) select {KEY}, corr, re * cos(ph) - im * sin(ph) as re, re * sin(ph) + im * cos(ph) as im from y", "re im")
+def pa_derotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circular hands are turned back by the angles of both ends, which are looked up by time and antenna."""
+    c = corrs(spark, sf_dir)
+    table = c.select("t", F.explode(F.array("ant1", "ant2")).alias("ant")).distinct().withColumn("angle", 0.1 * F.col("ant") + 0.01 * F.col("t"))
+    p, q = (table.select("t", F.col("ant").alias(f"ant{i}"), F.col("angle").alias(f"a{i}")) for i in (1, 2))
+    return rotated_hands(c.join(p, ["t", "ant1"]).join(q, ["t", "ant2"]), -1).select(*SAMPLE, "corr", "re", "im")
 
 
 @query(f"with {VL} select floor(tslot / {SLOT_DAYS})::bigint as t, chan, ant1, ant2, avg(mre) as m, count(*) as n from vl where fl = 0 group by 1, 2, 3, 4", "m")

@@ -9,7 +9,7 @@ ANTS, SLOT_DAYS = 7, 30
 
 
 def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of lineitem: tslot, chan, ant1 <= ant2, data re/im, weight w, model mre/mim, scan, flags fl. Keys repeat: re-bin before dense use."""
+    """Of lineitem: tslot, chan, ant1 <= ant2, data re/im, weight w, model mre/mim, scan, flags fl, seq (the order of rows). Keys repeat: re-bin before dense use."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     a, b = F.col("l_partkey") % ANTS, F.col("l_suppkey") % ANTS
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
@@ -17,13 +17,14 @@ def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.cast("bigint").alias("tslot"), (F.col("l_linenumber") - 1).cast("bigint").alias("chan"), F.least(a, b).alias("ant1"), F.greatest(a, b).alias("ant2"), (F.col("l_extendedprice") / 1e4).alias("re"),
         (F.when(a > b, -1.0).otherwise(1.0) * F.col("l_discount") * 10).alias("im"), F.col("l_quantity").alias("w"), (F.col("l_extendedprice") / 1e4 * (1 - F.col("l_discount"))).alias("mre"), F.lit(0.0).alias("mim"),
         F.year("l_shipdate").cast("bigint").alias("scan"), (F.when(F.col("l_returnflag") == "R", 1).otherwise(0).bitwiseOR(F.when(a == b, 32768).otherwise(0))).cast("bigint").alias("fl"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"),
     )
 
 
 VL = f"""vl as (select date_diff('day', date '1995-01-01', cast(l_shipdate as date)) as tslot, (l_linenumber - 1)::bigint as chan, least(l_partkey % {ANTS}, l_suppkey % {ANTS}) as ant1,
  greatest(l_partkey % {ANTS}, l_suppkey % {ANTS}) as ant2, l_extendedprice / 1e4 as re, (case when l_partkey % {ANTS} > l_suppkey % {ANTS} then -1.0::double else 1.0::double end) * l_discount * 10 as im,
  l_quantity as w, l_extendedprice / 1e4 * (1 - l_discount) as mre, 0.0::double as mim, year(l_shipdate)::bigint as scan,
- ((case l_returnflag when 'R' then 1 else 0 end) | (case when l_partkey % {ANTS} = l_suppkey % {ANTS} then 32768 else 0 end))::bigint as fl from lineitem)"""
+ ((case l_returnflag when 'R' then 1 else 0 end) | (case when l_partkey % {ANTS} = l_suppkey % {ANTS} then 32768 else 0 end))::bigint as fl, (l_orderkey * 8 + l_linenumber)::bigint as seq from lineitem)"""
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
