@@ -4,8 +4,9 @@ The catalogue of sources (name, rows, words) is all that reaches the driver: one
 targets are set by filling up to the caps, and the mix's blocks of BLOCK words go to the sources by the highest quotients target / (2 k + 1).
 A source's documents are dealt by a seeded hash into shards of about SHARD_ROWS rows, and shards into about as many divisions as a division has shards. A source's blocks go to its
 divisions, and a division's to its shards, by the highest quotients of their words, none above its cap: a source with a third of all rows has as many more shards, and no task sees more
-than the square root of their number. In a shard, documents stand in a seeded order and form a row of words, cut into blocks (the last may be short). Of a quota of q blocks, each of the b blocks
-is taken q // b times, and the q % b blocks with the smallest seeded hashes once more. A document takes what falls on it, at most cap times its size.
+than the square root of their number. In a shard, documents stand in a seeded order and form a row of words, cut into blocks (the last may be short). Of the words of a quota, all
+of the row are taken as often as they fit in, and for the rest blocks by their seeded hashes, the smallest first; the last of these as far as the quota goes. A document takes what falls on
+it, at most cap times its size.
 
 Defined cases: a null text has no words and takes none; a null source is a source of its own, last in order; null ids stand first in a shard; an empty table gives an
 empty result; ties in quotients go to the earlier source, division or shard; rows equal in id and size are interchangeable; names of the mix's own columns are changed where the
@@ -91,7 +92,8 @@ def _words(text_col: str) -> Column:
 
 
 def _shards(sized: DataFrame, weights: tuple[float, ...], cap: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Of (source, size, turn): the plan of sources (broadcast: bounded), and for each shard (sid, shard) its blocks, how often all of them are taken, and the hash up to which they are once more."""
+    """Of (source, size, turn): the plan of sources (broadcast: bounded), and for each shard (sid, shard) how often all its words are taken (turns), the hash up to which blocks are once more, and
+    the block (part) of which some words (left) are."""
     catalogue = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(catalogue) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -105,15 +107,24 @@ def _shards(sized: DataFrame, weights: tuple[float, ...], cap: int, block: int,
 
     placed = in_shards(sized, plan, seed)
     shards = placed.groupBy("sid", "shard", "per_division", "quota").agg(F.sum("size").alias("words"))
-    shards = shards.select("sid", F.floor(F.col("shard") / F.col("per_division")).alias("division"), "shard", "words", F.ceil(F.col("words") / block).alias("blocks"), (F.ceil(F.col("words") / block) * cap).alias("most"), "quota")
+    shards = shards.select("sid", F.floor(F.col("shard") / F.col("per_division")).alias("division"), "shard", "words", F.ceil(F.col("words") / block).alias("blocks"), F.floor(F.col("words") * cap / block).alias("most"), "quota")
     shards = common.written(shards, "shards")
     divisions = _dealt(shards.groupBy("sid", "division", "quota").agg(F.sum("words").alias("words"), F.sum("most").alias("most")), ["sid"], "division")
     dealt = _dealt(shards.drop("quota").join(divisions.select("sid", "division", "quota"), ["sid", "division"]), ["sid", "division"], "shard")
-    turns = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0)
-    dealt = dealt.select("sid", "shard", "blocks", turns.cast("bigint").alias("turns"), (F.col("quota") - turns * F.col("blocks")).cast("int").alias("more"))
-    drawn = F.array_sort(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: _draw(j, seed)))
-    dealt = dealt.withColumn("up_to", F.when(F.col("more") > 0, F.element_at(drawn, F.greatest(F.col("more"), F.lit(1)))))
-    return plan, common.written(dealt.drop("blocks", "more"), "quotas")
+    some = F.when(F.col("words") > 0, F.col("words"))
+    turns = F.coalesce(F.floor(F.col("quota") * block / some), F.lit(0).cast("bigint"))
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("blocks"), F.lit(1)) - 1), lambda j: F.struct(_draw(j, seed).alias("draw"), j.alias("j"))))
+    dealt = dealt.select("sid", "shard", "blocks", turns.alias("turns"), (F.col("quota") * block - turns * F.col("words")).alias("rest"), drawn.alias("drawn"), (F.col("words") - (F.col("blocks") - 1) * block).alias("short"))
+    # whole blocks of the rest, and words of the next one: the short block, by its rank, counts for what it has
+    dealt = dealt.withColumns({"m": F.floor(F.col("rest") / block), "at_short": F.array_position(F.transform("drawn", lambda d: d["j"]), F.col("blocks") - 1) - 1})
+    within = F.col("at_short") < F.col("m")
+    dealt = dealt.withColumn("left", F.col("rest") - F.col("m") * block + F.when(within, block - F.col("short")).otherwise(0))
+    following = F.when(within | (F.col("at_short") > F.col("m")), block).otherwise(F.col("short"))
+    more = F.col("left") >= following
+    dealt = dealt.withColumns({"m": F.col("m") + more.cast("bigint"), "left": F.col("left") - F.when(more, following).otherwise(0)})
+    at = lambda k, c: F.get("drawn", k.cast("int"))[c]
+    dealt = dealt.select("sid", "shard", "turns", F.when(F.col("m") > 0, at(F.col("m") - 1, "draw")).alias("up_to"), F.when(F.col("left") > 0, at(F.col("m"), "j")).alias("part"), "left")
+    return plan, common.written(dealt, "quotas")
 
 
 def _draw(block: Column, seed: int) -> Column:
@@ -132,8 +143,10 @@ def _taken(sized: DataFrame, plan: DataFrame, quotas: DataFrame, block: int, see
     laid = in_shards(sized, plan, seed).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
     laid = laid.join(quotas, ["sid", "shard"])
     end = F.col("at") + F.col("size")
-    blocks = F.filter(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block)), lambda j: _draw(j, seed) <= F.col("up_to"))
-    piece = F.transform(blocks, lambda j: F.struct((F.greatest(j * block, F.col("at")) - F.col("at")).alias("from"), (F.least((j + 1) * block, end) - F.greatest(j * block, F.col("at"))).alias("n")))
+    blocks = F.filter(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block)), lambda j: F.coalesce(_draw(j, seed) <= F.col("up_to"), F.lit(False)) | F.coalesce(j == F.col("part"), F.lit(False)))
+    stop = lambda j: F.least(j * block + F.when(F.coalesce(_draw(j, seed) <= F.col("up_to"), F.lit(False)), block).otherwise(F.col("left")), end)
+    piece = F.transform(blocks, lambda j: F.struct((F.greatest(j * block, F.col("at")) - F.col("at")).alias("from"), (stop(j) - F.greatest(j * block, F.col("at"))).alias("n")))
+    piece = F.filter(piece, lambda p: p["n"] > 0)
     none = F.array().cast("array<struct<from:bigint,n:bigint>>")
 
     def joined(acc: Column, x: Column) -> Column:
@@ -141,7 +154,7 @@ def _taken(sized: DataFrame, plan: DataFrame, quotas: DataFrame, block: int, see
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["from"].alias("from"), (last["n"] + x["n"]).alias("n"))))
         return F.when(F.size(acc) == 0, F.array(x)).when(last["from"] + last["n"] == x["from"], grown).otherwise(F.concat(acc, F.array(x)))
 
-    runs = F.when((F.col("size") > 0) & F.col("up_to").isNotNull(), F.aggregate(piece, none, joined)).otherwise(none)
+    runs = F.when((F.col("size") > 0) & (F.col("up_to").isNotNull() | F.col("part").isNotNull()), F.aggregate(piece, none, joined)).otherwise(none)
     return laid.withColumn("runs", runs)
 
 
