@@ -46,7 +46,7 @@ def globbed(column: Column, pattern: str) -> Column:
         c = pattern[at]
         end = pattern.find("]", at + 2) if c == "[" else -1
         if end > 0:
-            inner = pattern[at + 1 : end].replace("\\", "\\\\")
+            inner = re.sub(r"([\\\[&])", r"\\\1", pattern[at + 1 : end])
             parts.append(f"[{'^' + inner[1:] if inner[0] == '!' else inner}]")
             at = end
         else:

@@ -41,8 +41,9 @@ def dense_index(rows: DataFrame, value: str) -> DataFrame:
 
 
 def hermitian(vis: DataFrame) -> DataFrame:
-    """Each baseline from both ends: (q, p) is the conjugate of (p, q)."""
+    """Each baseline from both ends: (q, p) is the conjugate of (p, q), with the cross correlations (1 and 2) swapped."""
     flip = {"ant1": F.col("ant2"), "ant2": F.col("ant1"), "im": -F.col("im"), "mim": -F.col("mim")}
+    flip["corr"] = F.col("corr") if "corr" not in vis.columns else F.when(F.col("corr") == 1, 2).when(F.col("corr") == 2, 1).otherwise(F.col("corr")).cast("bigint")
     return vis.where("ant1 <> ant2").unionByName(vis.where("ant1 <> ant2").select(*[flip.get(c, F.col(c)).alias(c) for c in vis.columns]))
 
 
@@ -102,3 +103,22 @@ def baselines(ants: DataFrame) -> DataFrame:
     pairs = short.join(F.broadcast(every)).select("ant", "name", "x", "y", "z", F.explode("_b").alias("b")).select("*", "b.*").where("ant < ant2")
     d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
     return pairs.select(F.col("ant").alias("ant1"), "ant2", F.concat("name", F.lit("-"), "name2").alias("name"), F.sqrt(d2).alias("length"))
+
+
+def rebin_uvw(vis: DataFrame, keys: tuple[str, ...], axes: tuple[str, ...]) -> DataFrame:
+    """Coordinates of merged rows: means over unflagged samples, by their weights; without any, plain means."""
+    w = F.when(F.col("fl") == 0, F.col("w"))
+    return vis.groupBy(*keys).agg(*[F.coalesce(F.sum(w * F.col(a)) / F.when(F.sum(w) > 0, F.sum(w)), F.avg(a)).alias(a) for a in axes])
+
+
+def delays(cells: DataFrame, by: list[str], size: int) -> DataFrame:
+    """by, delay, power: the delay (in turns over the padded band, size steps of it) at which a spectrum (chan, re, im) adds up most; of equal ones the least. Sums combine before the shuffle."""
+    import math
+
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("k")
+    x = cells.select(*by, "chan", "re", "im", k)
+    phase = -2 * math.pi * F.col("k") * F.col("chan") / size
+    s = x.groupBy(*by, "k").agg(F.sum(F.col("re") * F.cos(phase) - F.col("im") * F.sin(phase)).alias("a"), F.sum(F.col("re") * F.sin(phase) + F.col("im") * F.cos(phase)).alias("b"))
+    power = F.round(F.col("a") * F.col("a") + F.col("b") * F.col("b"), 6)
+    top = F.max(F.struct(power.alias("power"), (-F.col("k")).alias("k"))).alias("x")
+    return s.groupBy(*by).agg(top).select(*by, (-F.col("x.k") / F.lit(float(size))).alias("delay"), F.sqrt("x.power").alias("power"))

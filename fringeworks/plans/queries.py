@@ -164,9 +164,25 @@ def interval_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(F.sum("re").alias("re"), F.bool_and(F.col("fl") != 0).alias("all_flagged"), F.avg("tslot").alias("centre"))
 
 
-@query(f"with {VL}, {RB}, {BOTH} select t, chan, ant1, ant2, re, im, w from b", "re im w")
+@query(f"with {VL}, {RB}, {VC}, x as (select * from vc where ant1 <> ant2) select t, chan, ant1, ant2, corr, re, im, w from x union all select t, chan, ant2, ant1, case corr when 1 then 2 when 2 then 1 else corr end, re, -im, w from x", "re im w")
 def pivot_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebin.hermitian(cells(spark, sf_dir)).select("t", "chan", "ant1", "ant2", "re", "im", "w")
+    return rebin.hermitian(correlations(cells(spark, sf_dir))).select("t", "chan", "ant1", "ant2", "corr", "re", "im", "w")
+
+
+@query(f"with {VL}, x as (select floor(tslot / {SLOT_DAYS})::bigint as t, ant1, ant2, fl, w, tslot * 10.0::double + ant1 as u, tslot * -3.0::double + ant2 as v from vl) select t, ant1, ant2, coalesce(sum(w * u) filter (fl = 0) / sum(w) filter (fl = 0), avg(u)) as u, coalesce(sum(w * v) filter (fl = 0) / sum(w) filter (fl = 0), avg(v)) as v from x group by 1, 2, 3", "u v", 4)
+def rebin_uvw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = rebin.slots(visibilities(spark, sf_dir), SLOT_DAYS).withColumns({"u": F.col("tslot") * 10.0 + F.col("ant1"), "v": F.col("tslot") * -3.0 + F.col("ant2")})
+    return rebin.rebin_uvw(v, ("t", "ant1", "ant2"), ("u", "v"))
+
+
+@query(f"""with {VL}, {RB}, x as (select floor(t / 8)::bigint as ti, ant2 as ant, chan, re * cos(0.4::double * chan * ant2) - im * sin(0.4::double * chan * ant2) as re, re * sin(0.4::double * chan * ant2) + im * cos(0.4::double * chan * ant2) as im from rb where ant1 = 0 and ant2 > 0),
+ s as (select ti, ant, k, sum(re * cos(-2 * pi() * k * chan / 64) - im * sin(-2 * pi() * k * chan / 64)) as a, sum(re * sin(-2 * pi() * k * chan / 64) + im * cos(-2 * pi() * k * chan / 64)) as b from x, range(64) r(k) group by all)
+ select ti, ant, arg_max(k, round(a * a + b * b, 6)) / 64.0::double as delay, sqrt(max(round(a * a + b * b, 6))) as power from s group by 1, 2""", "delay power", 4)
+def delay_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First delays against antenna 0, from spectra of its baselines (turned, so that there is a delay) padded to 64 channels."""
+    turned = cx("re", "im") * polar(0.4 * F.col("chan") * F.col("ant2"))
+    c = cells(spark, sf_dir).where("ant1 = 0 and ant2 > 0").select(rebin.interval("t", 8).alias("ti"), F.col("ant2").alias("ant"), "chan", turned.re.alias("re"), turned.im.alias("im"))
+    return rebin.delays(c, ["ti", "ant"], 64)
 
 
 # ---------------------------------------------------------------- flags

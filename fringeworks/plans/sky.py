@@ -88,18 +88,23 @@ def mjd_to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("utc_us", F.unix_micros(sky.mjd_to_utc(F.col("mjd_s"))))
 
 
-_J = "select tslot, chan, ant1, ant2, w, 1 + ant1 / 10.0::double as a, 0.1 * mre as b, 0.05 * im as c, 1 - ant1 / 20.0::double as d, 1 + ant2 / 10.0::double as e, re, im, mre from vl"
+#: Jones matrices by antenna, time sample (of ten slots) and band (of three channels): a, b, c, d by rows.
+_J = "jn as (select distinct ant, floor(t / 10)::bigint as ts, chan // 3 as band, 1 + ant / 10.0::double + floor(t / 10) / 50 as a, 0.1::double * ant as b, 0.05::double * (chan // 3) as c, 1 - ant / 20.0::double as d from (select t, chan, unnest([ant1, ant2]) as ant from rb))"
 
 
-@query(f"with {VL}, j as ({_J}) select tslot, chan, ant1, ant2, w, (a * re + b * 0.2) * e + (a * mre + b * w) * 0.3 as v00_re, a * im * e as v00_im from j", "v00_re v00_im", 4)
+@query(f"""with {VL}, {RB}, {_J}, v as (select *, mre as x, 0.2::double as y, w / 100 as z from rb) select t, chan, ant1, ant2, (p.a * re + p.b * y) * q.a + (p.a * x + p.b * z) * q.b as v00_re, p.a * im * q.a as v00_im, (p.c * re + p.d * y) * q.c + (p.c * x + p.d * z) * q.d as v11_re
+ from v join jn p on p.ant = ant1 and p.ts = floor(t / 10) and p.band = chan // 3 join jn q on q.ant = ant2 and q.ts = floor(t / 10) and q.band = chan // 3""", "v00_re v00_im v11_re", 4)
 def jones_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real = lambda c: Cx(c if hasattr(c, "alias") else F.lit(float(c)), F.lit(0.0))
-    v = visibilities(spark, sf_dir)
-    p = ((real(1 + F.col("ant1") / 10), real(0.1 * F.col("mre"))), (real(0.05 * F.col("im")), real(1 - F.col("ant1") / 20)))
-    q = ((real(1 + F.col("ant2") / 10), real(0.3)), (real(0.0), real(1.0)))
-    d = ((cx("re", "im"), real(F.col("mre"))), (real(0.2), real(F.col("w"))))
-    out = sandwich(p, d, q)[0][0]
-    return v.select("tslot", "chan", "ant1", "ant2", "w", out.re.alias("v00_re"), out.im.alias("v00_im"))
+    """J V J^H with both ends' matrices looked up by maps of times and channels."""
+    v = cells(spark, sf_dir).withColumns({"ts": F.floor(F.col("t") / 10), "band": F.floor(F.col("chan") / 3)})
+    at = v.select("ts", "band", F.explode(F.array("ant1", "ant2")).alias("ant")).distinct()
+    j = at.withColumns({"a": 1 + F.col("ant") / 10 + F.col("ts") / 50, "b": 0.1 * F.col("ant"), "c": 0.05 * F.col("band"), "d": 1 - F.col("ant") / 20})
+    for k in (1, 2):
+        v = v.join(j.select("ts", "band", F.col("ant").alias(f"ant{k}"), *[F.col(x).alias(f"{x}{k}") for x in "abcd"]), ["ts", "band", f"ant{k}"])
+    real = lambda c: Cx(c, F.lit(0.0))
+    matrix = lambda k: ((real(F.col(f"a{k}")), real(F.col(f"b{k}"))), (real(F.col(f"c{k}")), real(F.col(f"d{k}"))))
+    out = sandwich(matrix(1), ((cx("re", "im"), real(F.col("mre"))), (real(F.lit(0.2)), real(F.col("w") / 100))), matrix(2))
+    return v.select("t", "chan", "ant1", "ant2", out[0][0].re.alias("v00_re"), out[0][0].im.alias("v00_im"), out[1][1].re.alias("v11_re"))
 
 
 @query(f"with {VL}, {RB}, d as (select t, chan, ant1 as ant, avg(re) as d_re, avg(im) as d_im from rb where ant1 < ant2 group by all) select d.t, d.chan, d.ant, d.d_re - r.d_re as xy_re, d.d_im - r.d_im as xy_im, d.d_re + r.d_re as yx_re, d.d_im - r.d_im as yx_im, coalesce(d.d_re - n.d_re, d.d_re) as diff from d join d r on r.t = d.t and r.chan = d.chan and r.ant = 0 left join d n on n.t = d.t + 1 and n.chan = d.chan and n.ant = d.ant", "xy_re xy_im yx_re yx_im diff")

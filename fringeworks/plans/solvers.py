@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.cx import cx
 from ..operators import gains, gauss_newton, rebin, stats
 from ..schema import FL
-from ..sources.views import VC, VL
-from ..sources.tables import written
+from ..sources.tables import fresh_path, written
+from ..sources.views import SLOT_DAYS, VC, VL, visibilities_of
+from ..streaming import windows
 from .queries import BOTH, RB, cells
 from .registry import query
 from .tiles import KEY, SAMPLE, corrs
@@ -217,3 +218,20 @@ def ref_antenna(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {DIAG}, {ERR} select {I}, ant, name, value, err as error from pe, lateral (values ('gain.re', gr, error), ('gain.im', gi, error), ('phase', atan2(gi, gr), error / size)) as x(name, value, err)", "value error", 4)
 def exportables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gauss_newton.exported(gauss_newton.posterior_errors(_gains(spark, sf_dir)))
+
+
+@query(f"with {_rounds(2)} select {I}, ant, gr as g_re, gi as g_im from g2", "g_re g_im", 4)
+def stream_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each micro-batch of the table as a stream is solved by itself and stored under its number; without a limit on its files, a stream that takes what is there has one."""
+    path = f"{sf_dir}/lineitem.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    def solve(batch: DataFrame) -> DataFrame:
+        both = rebin.hermitian(rebin.good_bins(visibilities_of(batch), SLOT_DAYS))
+        h = gauss_newton.diagonal(written(gauss_newton.normal_sums(gauss_newton.intervals(both, T_INT, F_INT)), "sums"), 2)
+        return gauss_newton.last(h, 2).select("ti", "fi", "ant", "g_re", "g_im")
+
+    out = fresh_path(spark, "stream")
+    run = windows.solved(stream, solve, out, fresh_path(spark, "progress"))
+    run.awaitTermination()
+    return spark.read.parquet(out).select("ti", "fi", "ant", "g_re", "g_im")

@@ -216,10 +216,17 @@ def unpivot_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot(SAMPLE, ["0", "1", "2", "3"], "corr", "re").withColumn("corr", F.col("corr").cast("bigint"))
 
 
-@query(f"with {VL} select tslot, chan, ant1, ant2, bit_or(fl | case when ant1 = ant2 then {FL['SKIPSOL']} else 0 end)::bigint as fl, sum(case when fl <> 0 or ant1 = ant2 then 0 else w end) as w from vl group by all", "w")
+_W = ", ".join(f"case when f <> 0 then 0 else w{k} end as w{k}" for k in range(4))
+_WK = ", ".join(f"max(w) filter (corr = {k}) as w{k}" for k in range(4))
+
+
+@query(f"with {VL}, {RB}, {VC}, x as (select t, chan, ant1, ant2, bit_or(case when im > 0.9 and corr = 0 then fl | 1 else fl end | case when ant1 = ant2 then {FL['SKIPSOL']} else 0 end)::bigint as f, list(re order by corr) as re, {_WK} from vc group by 1, 2, 3, 4) select t, chan, ant1, ant2, f as fl, list_sum(re) as total, {_W} from x", "total w0 w1 w2 w3")
 def chunk_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = visibilities(spark, sf_dir).withColumn("fl", flags.raised(F.col("ant1") == F.col("ant2"), FL["SKIPSOL"]))
-    return v.groupBy("tslot", "chan", "ant1", "ant2").agg(F.bit_or("fl").alias("fl"), F.sum(F.when(F.col("fl") != 0, 0.0).otherwise(F.col("w"))).alias("w"))
+    """Samples with all their correlations: flags of any of them, autocorrelations left out of fits, weights zero where flagged."""
+    c = corrs(spark, sf_dir)
+    c = c.withColumn("fl", flags.raised((F.col("im") > 0.9) & (F.col("corr") == 0), 1)).withColumn("fl", flags.raised(F.col("ant1") == F.col("ant2"), FL["SKIPSOL"]))
+    s = c.groupBy(*SAMPLE).agg(F.bit_or("fl").alias("fl"), F.sum("re").alias("total"), *[F.max(F.when(F.col("corr") == k, F.col("w"))).alias(f"w{k}") for k in range(4)])
+    return s.withColumns({f"w{k}": F.when(F.col("fl") != 0, 0.0).otherwise(F.col(f"w{k}")) for k in range(4)})
 
 
 @query(f"with {VL} select floor(tslot / 8)::bigint as ti, floor(chan / 2)::bigint as fi, ant1, bool_and(fl <> 0) as all_bad, avg(tslot) as time, avg(1e3::double + chan) as freq from vl group by all", "time freq")

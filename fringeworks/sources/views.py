@@ -9,8 +9,11 @@ ANTS, SLOT_DAYS = 7, 30
 
 
 def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of lineitem: tslot, chan, ant1 <= ant2, data re/im, weight w, model mre/mim, scan, flags fl, seq (the order of rows). Keys repeat: re-bin before dense use."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return visibilities_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def visibilities_of(li: DataFrame) -> DataFrame:
+    """Of lineitem, a table or a stream: tslot, chan, ant1 <= ant2, data re/im, weight w, model mre/mim, scan, flags fl, seq (the order of rows). Keys repeat: re-bin before dense use."""
     a, b = F.col("l_partkey") % ANTS, F.col("l_suppkey") % ANTS
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
     return li.select(

@@ -1,8 +1,11 @@
-import numpy as np
+import fnmatch
+
 import pytest
+from pyspark.sql import functions as F
 
-from fringeworks.functions.grammar import parse_bin, parse_range
-from fringeworks.operators.solve import fit
+from fringeworks.functions.algebra import weights
+from fringeworks.functions.cx import cx, diagonal_inverse
+from fringeworks.functions.grammar import globbed, parse_bin, parse_range
 
 
 @pytest.mark.parametrize("spec, want", [("5", [5]), ("5~7", [5, 6, 7]), ("5:8", [5, 6, 7]), ("7:", [7, 8, 9]), ("~9:4", [0, 4, 8]), ("", list(range(10))), (None, list(range(10)))])
@@ -21,18 +24,24 @@ def test_bins():
     assert parse_bin("4MHz") == (0, 4e6)
 
 
-@pytest.mark.parametrize("kind", ["complex", "phase"])
-def test_recovers_gains(kind):
-    """Closed loop: corrected data meet the accuracy rule, median -30 dB and 95th percentile -25 dB."""
-    rng = np.random.default_rng(1)
-    t, f, n = 3, 4, 9
-    g = np.exp(1j * rng.normal(0, 0.4, (t, n))) * (1 if kind == "phase" else rng.uniform(0.8, 1.2, (t, n)))
-    m = rng.normal(size=(t, f, n, n)) + 1j * rng.normal(size=(t, f, n, n))
-    m = m + np.conj(m.swapaxes(2, 3))
-    d = g[:, None, :, None] * m * np.conj(g)[:, None, None, :]
-    good = np.broadcast_to(~np.eye(n, dtype=bool), d.shape)
-    got, _ = fit(d, m, good, kind, 60)
-    back = d / (got[:, None, :, None] * np.conj(got)[:, None, None, :])
-    relative = np.sort(np.abs(back - m)[good] / np.abs(m)[good] + 1e-9)
-    assert 10 * np.log10(np.median(relative)) <= -30
-    assert 10 * np.log10(relative[int(0.95 * len(relative))]) <= -25
+def test_patterns_of_file_names(spark):
+    names = ["EA01", "EA12", "ea01", "VLA[1]", "a.b", "axb"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    for pattern in ("EA*", "EA?[12]", "[!E]*", "*[[]1]", "a.b", "*"):
+        got = {r.n for r in rows.where(globbed(F.col("n"), pattern)).collect()}
+        assert got == {n for n in names if fnmatch.fnmatchcase(n, pattern)}, pattern
+
+
+def test_weight_products(spark):
+    rows = spark.createDataFrame([(0, 0, 2.0, 1.0), (0, 1, 4.0, 3.0), (1, 0, 5.0, 7.0)], "t int, corr int, A double, B double")
+    got = rows.withColumn("w", weights(rows, "A*B~", ["t"])).orderBy("t", "corr").collect()
+    assert [r.w for r in got] == [4.0, 8.0, 35.0]
+    with pytest.raises(ValueError):
+        weights(rows, "A*C", ["t"])
+
+
+def test_diagonal_inverse(spark):
+    rows = spark.createDataFrame([(2.0, 0.0, 0.0, 4.0), (1e-4, 0.0, 1e-4, 0.0)], "a double, b double, c double, d double")
+    x, y, bad = diagonal_inverse(cx("a", "b"), cx("c", "d"), 1e-6)
+    got = rows.select(x.re.alias("x"), y.im.alias("y"), bad.alias("bad")).collect()
+    assert tuple(got[0]) == (0.5, -0.25, False) and tuple(got[1]) == (0.0, 0.0, True)
