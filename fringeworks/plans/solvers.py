@@ -224,7 +224,8 @@ def exportables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each micro-batch of the table as a stream is solved by itself and stored under its number; without a limit on its files, a stream that takes what is there has one."""
     path = f"{sf_dir}/lineitem.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # a stream's source is a folder, or a pattern, which may also meet a single file
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/lineitem.parque[t]")
 
     def solve(batch: DataFrame) -> DataFrame:
         both = rebin.hermitian(rebin.good_bins(visibilities_of(batch), SLOT_DAYS))

@@ -18,7 +18,7 @@ def observed(spark, gain, noise=0.0):
                 for q in range(p + 1, ANTS):
                     m = complex(*rng.normal(1, 0.2, 2))
                     d = gain(p) * m * np.conj(gain(q)) + complex(*rng.normal(0, noise or 1e-12, 2))
-                    rows.append((t, f, p, q, d.real, d.imag, m.real, m.imag, 1.0))
+                    rows.append((t, f, p, q, float(d.real), float(d.imag), float(m.real), float(m.imag), 1.0))
     return spark.createDataFrame(rows, "t bigint, chan bigint, ant1 bigint, ant2 bigint, re double, im double, mre double, mim double, w double")
 
 
