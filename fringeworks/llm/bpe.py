@@ -346,6 +346,7 @@ for _c in range(0x250):
 
 
 _made: dict[type[Vocabulary], tuple[str, Vocabulary]] = {}
+common.caches.append(_made)
 
 
 def _kept[T: Vocabulary](kind: type[T], text: str) -> T:
@@ -357,7 +358,7 @@ def _kept[T: Vocabulary](kind: type[T], text: str) -> T:
 
 
 def _encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    for part in common.pieces(batches):
+    for part in common.pieces(batches, keep=_made):
         texts = [t or "" for t in part.column(1).to_pylist()]
         for lo, hi in common.slabs(texts, TOGETHER):
             yield part.column(0).slice(lo, hi - lo), codec.encode_batch(texts[lo:hi])
@@ -402,7 +403,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _kept(Decoder, sent.value)
-        for part in common.pieces(batches):
+        for part in common.pieces(batches, keep=_made):
             ids = part.column(1)
             yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([decoder.decode(np.frombuffer(x, "<u4")) for x in ids.to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
 

@@ -152,11 +152,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut into short ones, so that few texts at a time are Python objects."""
+#: What modules keep within a process, such as tables of a vocabulary.
+caches: list[dict] = []
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut into short ones, so that few texts at a time are Python objects. A worker serves one stage after another: caches of other operators go, and memory of batches that are
+    done goes back to the system."""
+    for cache in caches:
+        if cache is not keep:
+            cache.clear()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,16 +217,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return judged.where(~first | F.coalesce("near", F.lit(False))).select(*_PLACE, F.when(first, "near").otherwise("exact").alias("why"))
 
 
-def _cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts less the lines whose numbers are gone; no numbers: as it is."""
     out = []
-    for text, numbers in zip(texts, gone, strict=True):
-        if numbers is None:
-            out.append(text)
-            continue
-        without = set(numbers)
-        out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in without))
-    return pd.Series(out)
+    for text, numbers in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+        if numbers is not None:
+            without = set(numbers)
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in without)
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def count_columns(docs: DataFrame) -> list[str]:
@@ -247,5 +245,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.filter(gone, lambda g: g["why"] == F.lit(why))))
 
     # one branch for all rows, so that texts move once
-    out = joined.withColumns({total: lines, exact: many("exact"), near: many("near"), text_col: F.pandas_udf(_cut, "string")(F.col(text_col), F.transform(gone, lambda g: g["line"]))})
+    out = joined.withColumns({total: lines, exact: many("exact"), near: many("near"), text_col: F.arrow_udf(_cut, "string")(F.col(text_col), F.transform(gone, lambda g: g["line"]))})
     return out.drop(gone, key, copy)

@@ -19,7 +19,7 @@ import heapq
 from math import isqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,11 +80,12 @@ def apportion(votes: list[float] | np.ndarray, seats: int, most: np.ndarray | No
 def _dealt(parts: DataFrame, group: list[str], part: str) -> DataFrame:
     """The quota of a group's blocks dealt to its parts: rows of (group..., part, words, most, quota), where quota came in as the group's."""
 
-    def deal(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(part)
-        return g.assign(quota=apportion(g["words"].to_numpy(), int(g["quota"].iloc[0]), g["most"].to_numpy()))
+    def deal(g: pa.Table) -> pa.Table:
+        g = g.sort_by(part)
+        words, most = (g.column(c).to_numpy() for c in ("words", "most"))
+        return g.set_column(g.column_names.index("quota"), "quota", pa.array(apportion(words, g.column("quota")[0].as_py(), most), pa.int64()))
 
-    return parts.groupBy(*group).applyInPandas(deal, parts.schema)
+    return parts.groupBy(*group).applyInArrow(deal, parts.schema)
 
 
 def _words(text_col: str) -> Column:
