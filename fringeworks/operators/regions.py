@@ -64,10 +64,10 @@ def _in_cells(box: DataFrame, size: int) -> DataFrame:
 
 
 def overlapping(hull: DataFrame, size: int, gap: float = 0.5) -> DataFrame:
-    """Pairs a < b of outlines that no normal of an edge keeps more than gap apart. Their boxes, padded by 2, meet in the grid cells that they touch; a pair counts in the cell of its common corner alone."""
+    """Pairs a < b of outlines that no normal of an edge keeps more than gap apart. Their boxes, padded by half the gap, meet in the grid cells that they touch; a pair counts in the cell of its common corner alone."""
     e = edges(hull)
     length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
-    shape = e.groupBy("id").agg((F.min("x") - 2).alias("x0"), (F.max("x") + 2).alias("x1"), (F.min("y") - 2).alias("y0"), (F.max("y") + 2).alias("y1"), F.collect_list(F.struct("x", "y", (F.col("nx") / length).alias("nx"), (F.col("ny") / length).alias("ny"))).alias("e"))
+    shape = e.groupBy("id").agg((F.min("x") - gap / 2).alias("x0"), (F.max("x") + gap / 2).alias("x1"), (F.min("y") - gap / 2).alias("y0"), (F.max("y") + gap / 2).alias("y1"), F.collect_list(F.struct("x", "y", (F.col("nx") / length).alias("nx"), (F.col("ny") / length).alias("ny"))).alias("e"))
     cell = _in_cells(shape, size)
     a, b = (cell.select("gx", "gy", *[F.col(c).alias(f"{c}{k}") for c in ("id", "x0", "x1", "y0", "y1", "e")]) for k in "ab")
     met = a.join(b, ["gx", "gy"]).where("ida < idb and x0a <= x1b and x0b <= x1a and y0a <= y1b and y0b <= y1a")

@@ -162,7 +162,7 @@ def region_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.stitched(w.withColumn("value", F.col("id") % 10))
 
 
-@query(f"""with {QUAD}, {EDGES}, b as (select id, min(x) - 2 as x0, max(x) + 2 as x1, min(y) - 2 as y0, max(y) + 2 as y1 from h group by 1), c as (select a.id as a, b.id as b from b a join b on a.id < b.id and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1),
+@query(f"""with {QUAD}, {EDGES}, b as (select id, min(x) - 0.25 as x0, max(x) + 0.25 as x1, min(y) - 0.25 as y0, max(y) + 0.25 as y1 from h group by 1), c as (select a.id as a, b.id as b from b a join b on a.id < b.id and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1),
  n as (select a, b, k + 4 * (id = b)::int as k, (y - y2) / sqrt((y - y2) ** 2 + (x2 - x) ** 2) as nx, (x2 - x) / sqrt((y - y2) ** 2 + (x2 - x) ** 2) as ny from c join e on e.id = a or e.id = b),
  pa as (select a, b, n.k, min(x * nx + y * ny) as lo, max(x * nx + y * ny) as hi from n join h on h.id = a group by all), pb as (select a, b, n.k, min(x * nx + y * ny) as lo, max(x * nx + y * ny) as hi from n join h on h.id = b group by all)
  select a, b from pa join pb using (a, b, k) group by 1, 2 having not bool_or(pb.lo - pa.hi > 0.5 or pa.lo - pb.hi > 0.5)""")
