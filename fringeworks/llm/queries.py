@@ -13,8 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, gif, langid, licenses, lines, minhash, mixing, secrets, toxicity
-
+from . import bpe, common, exact, gif, langid, licenses, lines, minhash, mixing, periodic, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +124,39 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where in the texts of a tenth of the ids each word from a hashed place on is replaced by the one a period or more before: the input of op11."""
+    text = F.coalesce("text", F.lit(""))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def periodic_text(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(F.flatten(again), F.lit(1), (n - a).cast("int"))), " ")).otherwise("")
+
+    # the words are bound once, as the element of an array
+    words = F.array(F.array_remove(F.split(text, common.SPACE), ""))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.get(F.transform(words, periodic_text), F.lit(0))).otherwise(text).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_runs(documents(spark, sf_dir)))
+    lines_of_runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    # the greatest length, then the smallest start, then the smallest period
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.less") / F.col("best.period")).alias("exponent_milli"), F.sha2(F.when(F.size("runs") > 0, F.concat(lines_of_runs, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_minhash_near_dedup, op3_media_gif, op4_source_mixing, op5_secret_scan, op6_toxicity, op7_bpe, op8_line_dedup, op9_language_id, op10_exact_dedup)
+    found = (op1_license_scan, op2_minhash_near_dedup, op3_media_gif, op4_source_mixing, op5_secret_scan, op6_toxicity, op7_bpe, op8_line_dedup, op9_language_id, op10_exact_dedup, op11_periodic_runs)
     return {f.__name__: f for f in found}
 
 
