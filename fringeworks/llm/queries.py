@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, gif, langid, licenses, lines, minhash, mixing, periodic, secrets, toxicity
+from . import bpe, common, exact, gif, langid, licenses, lines, lm, minhash, mixing, periodic, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +155,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
+    model, counts = lm.train(docs.where(~held_out))
+    scored = lm.score(docs, model, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_minhash_near_dedup, op3_media_gif, op4_source_mixing, op5_secret_scan, op6_toxicity, op7_bpe, op8_line_dedup, op9_language_id, op10_exact_dedup, op11_periodic_runs)
+    found = (op1_license_scan, op2_minhash_near_dedup, op3_media_gif, op4_source_mixing, op5_secret_scan, op6_toxicity, op7_bpe, op8_line_dedup, op9_language_id, op10_exact_dedup, op11_periodic_runs, op13_lm_scoring)
     return {f.__name__: f for f in found}
 
 
