@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, gif, langid, licenses, lines, lm, minhash, mixing, periodic, secrets, toxicity
+from . import bpe, common, exact, gif, langid, licenses, lines, lm, minhash, mixing, periodic, secrets, toxicity, trie
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +155,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and conversations of the input of op12, as trie.prefixes() takes them: each conversation's first h turns are those of the first one of its hundred."""
+    turns = common.written(trie.numbered(conversations), "numbered")
+    own = turns.where("place = 0").select("conv", "total")
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    sizes = own.withColumns({"h": h, "base": F.col("conv") - F.col("conv") % 100}).join(own.select(F.col("conv").alias("base"), F.col("total").alias("n_base")), "base", "left")
+    head = F.least(F.col("h"), F.coalesce("n_base", F.lit(0).cast("bigint")))
+    sizes = common.written(sizes.select("conv", "base", "h", head.alias("head"), (head + F.greatest(F.col("total") - F.col("h"), F.lit(0))).alias("total")), "sizes")
+    later = common.split_join(turns.drop("total").where(F.col("place") >= h), sizes, ["conv"])
+    later = later.select("conv", (F.col("head") + F.col("place") - F.col("h")).alias("place"), "total", "role", "text")
+    first = turns.where((F.col("conv") % 100 == 0) & (F.col("place") < 6)).select(F.col("conv").alias("base"), "place", "role", "text").join(sizes, "base").where("place < h")
+    return later.unionByName(first.select("conv", "place", "total", "role", "text")), sizes.select("conv", "total")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    turns, conversations = rebuilt_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie.trie_nodes(trie.prefixes(turns, conversations))
+
+
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
@@ -164,7 +184,7 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_minhash_near_dedup, op3_media_gif, op4_source_mixing, op5_secret_scan, op6_toxicity, op7_bpe, op8_line_dedup, op9_language_id, op10_exact_dedup, op11_periodic_runs, op13_lm_scoring)
+    found = (op1_license_scan, op2_minhash_near_dedup, op3_media_gif, op4_source_mixing, op5_secret_scan, op6_toxicity, op7_bpe, op8_line_dedup, op9_language_id, op10_exact_dedup, op11_periodic_runs, op12_prefix_trie, op13_lm_scoring)
     return {f.__name__: f for f in found}
 
 
@@ -218,6 +238,20 @@ _EXACT_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, row_number() over (partition by coalesce(text, '') order by doc_id desc) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))"""
 
+_TRIE_SQL = """
+with t as (select conv_id as c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k from conversations where conv_id is not null),
+o as (select c, list(x order by k) as s from t group by c),
+hashed as (select c, s, c - c % 100 as base, xor(list_reduce(list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::ubigint), lambda crc, b:
+  list_reduce(range(8)::ubigint[], lambda a, i: case when a % 2 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end, xor(crc, b)), 4294967295::ubigint), 4294967295::ubigint)::bigint % 6 as h from o),
+r as (select a.c, list_concat(coalesce(b.s, [])[1 : a.h], a.s[a.h + 1 :]) as s from hashed a left join o b on b.c = a.base),
+m as (select c, d, s[1 : d] as p, len(s) = d as ends, coalesce(length(s[d].text), 0) as size from (select c, s, unnest(range(0, len(s) + 1)) as d from r)),
+node as (select p, d, min(c) as conv_id, count(*) as n, any_value(size) as size, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends from m group by p, d),
+child as (select p[1 : d - 1] as p, d - 1 as d, count(*) as n from node where d > 0 group by 1, 2),
+leaf as (select node.*, coalesce(child.n, 0) as n_children from node left join child using (p, d)),
+up as (select p[1 : a] as p, a as d, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n - 1) * size) as saved from (select *, unnest(range(0, d + 1)) as a from leaf) group by 1, 2)
+select leaf.conv_id, leaf.d as depth, parent.conv_id as parent_conv_id, leaf.n as n_convs, leaf.n_children, up.n_leaves::bigint as n_leaves, up.saved::bigint as saved_tokens, leaf.ends as ends_sha256
+from leaf join up using (p, d) left join node parent on parent.d = leaf.d - 1 and parent.p = leaf.p[1 : leaf.d - 1]"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op2_minhash_near_dedup": _NEAR_SQL, "op10_exact_dedup": _EXACT_SQL}
+    return {"op1_license_scan": _license_sql(), "op2_minhash_near_dedup": _NEAR_SQL, "op10_exact_dedup": _EXACT_SQL, "op12_prefix_trie": _TRIE_SQL}

@@ -71,7 +71,8 @@ def test_empty_tables(none):
 
 def sql(name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con.sql(queries.oracle_sql()[name])
 
 
