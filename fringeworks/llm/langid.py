@@ -3,12 +3,12 @@
 Bytes are embedded, filters of several widths slide over windows of WINDOW bytes, each filter keeps its maximum, and a softmax gives the languages.
 A document's score is the mean of its windows' probabilities, weighted by their bytes; all windows of the whole text count.
 
-Training takes at most SAMPLE labelled documents (the smallest seeded hashes of their ids) and from each PIECES windows at hashed places of the whole text.
-Labelled rows are counted first, and executors send rows below a threshold of the hash only, some SAMPLE + 8 sqrt(SAMPLE) however many partitions
-there are; the driver cuts these to SAMPLE. So what reaches it is bounded: about SAMPLE * PIECES * WINDOW characters.
+Training takes at most SAMPLE labelled documents (the smallest seeded hashes of id and text) and from each PIECES windows at hashed places of the whole text.
+Labelled rows are counted first; executors keep rows below a threshold of the hash, and of rows with equal ids and texts one. So about SAMPLE + 8 sqrt(SAMPLE) rows reach the driver at most,
+however many rows repeat an id and however many partitions there are; it cuts these to SAMPLE.
 
-Defined cases: null texts and texts without a letter are "und" with score 0; with no labelled row every document is "und"; null and repeated ids stay as they are (rows that repeat an id get into the sample together, so it may hold fewer of them than rows); texts shorter than a window are
-padded with byte 0; equal texts get equal results; an empty table gives an empty result; other columns of the input are ignored.
+Defined cases: null texts and texts without a letter are "und" with score 0; with no labelled row every document is "und"; null and repeated ids stay as they are; rows that repeat an id and a text enter the
+sample once; texts shorter than a window are padded with byte 0; equal texts get equal results; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -118,9 +118,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Fits on at most sample rows with text and language; None where there are none."""
     text = F.col(text_col)
     places = [F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + i)), F.greatest(F.length(text) - WINDOW // 2, F.lit(1))).cast("int") + 1 for i in range(PIECES)]
-    pieces = labelled.where(F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).alias("lang"), F.array(*[F.substring(text, p, F.lit(WINDOW)) for p in places]).alias("pieces"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("turn"))
-    pieces = pieces.where(F.col("turn") <= common.hash_threshold(labelled.where(F.col(lang_col).isNotNull() & text.isNotNull()).count(), sample))
-    rows = sorted(pieces.collect(), key=lambda r: (r["turn"], r["lang"], r["pieces"]))[:sample]
+    known = labelled.where(F.col(lang_col).isNotNull() & text.isNotNull())
+    pieces = known.select(F.col(lang_col).alias("lang"), F.array(*[F.substring(text, p, F.lit(WINDOW)) for p in places]).alias("pieces"), F.xxhash64(F.col(id_col), text, F.lit(SEED)).alias("turn"))
+    pieces = pieces.where(F.col("turn") <= common.hash_threshold(known.count(), sample)).groupBy("turn").agg(F.min(F.struct("lang", "pieces")).alias("x"))
+    rows = sorted(pieces.select("turn", "x.lang", "x.pieces").collect(), key=lambda r: r["turn"])[:sample]
     cut = [(r["lang"], p.encode()[:WINDOW]) for r in rows for p in dict.fromkeys(r["pieces"]) if _LETTER.search(p)]
     if not cut:
         return None

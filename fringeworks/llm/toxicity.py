@@ -271,13 +271,17 @@ def specific(found: dict[str, tuple[int, float]]) -> dict[str, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from at most sample of the labels' rows; their ids are sent to the tasks, so texts of other rows don't move."""
+    """Learns from at most sample labelled rows. Ids of at most sample labels are sent to the tasks, so texts of other rows don't move; an id may have any number of rows, so these are sampled
+    once more, by the hash of id and text, and rows that are equal in both count once."""
     chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("bigint").alias("toxic"))
     turn = F.xxhash64("_id", F.lit(SEED))
-    # the threshold leaves little more than the sample to the sort, however many partitions there are
-    chosen = chosen.where(turn <= common.hash_threshold(chosen.count(), sample)).orderBy(turn, "_id", "toxic").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "toxic")
-    rows = common.written(rows, "labelled")
+    # below the threshold of the hash there is little more than the sample, however many partitions there are, once equal ids are one
+    chosen = chosen.where(turn <= common.hash_threshold(chosen.count(), sample)).groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(turn, "_id").limit(sample)
+    found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    found = common.written(found.select("text", "toxic", F.xxhash64("_doc", "text", F.lit(SEED)).alias("turn")), "labelled")
+    rows = found.where(F.col("turn") <= common.hash_threshold(found.count(), sample)).groupBy("turn").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = common.written(rows.orderBy("turn").limit(sample).select("text", "toxic"), "sample")
+    common.release(found)
     totals = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n, bad = int(totals[0]), int(totals[1] or 0)
     nothing = np.zeros(FEATURES)
