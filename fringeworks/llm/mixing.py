@@ -10,7 +10,8 @@ it, at most cap times its size.
 
 Defined cases: a null text has no words and takes none; a null source is a source of its own, last in order; null ids stand first in a shard; an empty table gives an
 empty result; ties in quotients go to the earlier source, division or shard; rows equal in id and size are interchangeable; names of the mix's own columns are changed where the
-input has them. Reruns agree: everything hangs on ids, sizes and the seed.
+input has them. Reruns agree: everything hangs on ids, sizes and the seed. Rows that are equal in id, size and source are numbered, across tasks, and the number has a part in their hashes, so they are
+dealt to all shards. Time is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -132,37 +133,60 @@ def _draw(block: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed + 2), F.col("sid"), F.col("shard"), block)
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """sized (a table; at: a number of each row) with copy: 0 for rows alone with their id, size and source, and for others their number among them, from 1. Tasks number their own, after those of other tasks."""
+    key = F.xxhash64("doc_id", "size", "source")
+    several = sized.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = common.split_join(sized.select(key.alias("key"), "at"), several, ["key"]).withColumn("part", F.shiftright("at", 33))
+    rows = common.written(rows, "copies")
+    counts = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")).drop("n")
+    number = F.row_number().over(Window.partitionBy("key", "part").orderBy("at"))
+    rows = rows.withColumn("number", number).join(counts, ["key", "part"]).select("at", (F.col("before") + F.col("number")).alias("copy"))
+    return common.written(sized.join(rows, "at", "left").withColumn("copy", F.coalesce("copy", F.lit(0).cast("bigint"))), "sizes")
+
+
 def in_shards(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """sized with the columns of plan, shard and turn (a row's place in the order of its shard)."""
     placed = sized.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return placed.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.col("shards").cast("bigint")), "turn": F.xxhash64("doc_id", "size", F.lit(seed))})
+    return placed.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "size", "copy", F.lit(seed + 1)), F.col("shards").cast("bigint")), "turn": F.xxhash64("doc_id", "size", "copy", F.lit(seed))})
+
+
+def _runs(piece: Column) -> Column:
+    """Pieces (from, n) that follow one another joined: where the piece before doesn't end, a run begins, and it ends where the piece before the next beginning does."""
+    end = lambda p: p["from"] + p["n"]
+
+    def joined(p: Column) -> Column:
+        first = F.transform(p, lambda x, k: F.struct(k.alias("k"), x["from"].alias("from"), F.coalesce(end(F.get(p, k - 1)) != x["from"], F.lit(True)).alias("begins")))
+
+        def ended(b: Column) -> Column:
+            return F.transform(b, lambda x, i: F.struct(x["from"].alias("from"), (end(F.get(p, F.coalesce(F.get(b, i + 1)["k"], F.size(p)) - 1)) - x["from"]).alias("n")))
+
+        return F.get(F.transform(F.array(F.filter(first, lambda x: x["begins"])), ended), F.lit(0))
+
+    # arrays are bound as elements, so that they are built once
+    return F.get(F.transform(F.array(piece), joined), F.lit(0))
 
 
 def _taken(sized: DataFrame, plan: DataFrame, quotas: DataFrame, block: int, seed: int) -> DataFrame:
     """sized with turns (how often the whole text is taken) and runs (array of (from, n): the words that are taken once more)."""
-    before = Window.partitionBy("sid", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = in_shards(sized, plan, seed).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    before = Window.partitionBy("sid", "shard").orderBy("turn", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    laid = in_shards(sized, plan, seed).withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
     laid = laid.join(quotas, ["sid", "shard"])
-    end = F.col("at") + F.col("size")
-    blocks = F.filter(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block)), lambda j: F.coalesce(_draw(j, seed) <= F.col("up_to"), F.lit(False)) | F.coalesce(j == F.col("part"), F.lit(False)))
+    first = F.col("first")
+    end = first + F.col("size")
+    blocks = F.filter(F.sequence(F.floor(first / block), F.floor((end - 1) / block)), lambda j: F.coalesce(_draw(j, seed) <= F.col("up_to"), F.lit(False)) | F.coalesce(j == F.col("part"), F.lit(False)))
     stop = lambda j: F.least(j * block + F.when(F.coalesce(_draw(j, seed) <= F.col("up_to"), F.lit(False)), block).otherwise(F.col("left")), end)
-    piece = F.transform(blocks, lambda j: F.struct((F.greatest(j * block, F.col("at")) - F.col("at")).alias("from"), (stop(j) - F.greatest(j * block, F.col("at"))).alias("n")))
+    piece = F.transform(blocks, lambda j: F.struct((F.greatest(j * block, first) - first).alias("from"), (stop(j) - F.greatest(j * block, first)).alias("n")))
     piece = F.filter(piece, lambda p: p["n"] > 0)
     none = F.array().cast("array<struct<from:bigint,n:bigint>>")
-
-    def joined(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["from"].alias("from"), (last["n"] + x["n"]).alias("n"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(last["from"] + last["n"] == x["from"], grown).otherwise(F.concat(acc, F.array(x)))
-
-    runs = F.when((F.col("size") > 0) & (F.col("up_to").isNotNull() | F.col("part").isNotNull()), F.aggregate(piece, none, joined)).otherwise(none)
-    return laid.withColumn("runs", runs)
+    return laid.withColumn("runs", F.when((F.col("size") > 0) & (F.col("up_to").isNotNull() | F.col("part").isNotNull()), _runs(piece)).otherwise(none))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """For every document: doc_id, source, size, source_size, target and taken (words), which is made of turns (full copies) and runs (array of (from, n) of words)."""
-    sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(text_col).alias("size"))
-    sized = common.written(sized, "sizes")
+    sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(text_col).alias("size"), F.monotonically_increasing_id().alias("at"))
+    sized = _numbered(common.written(sized, "sizes"))
     plan, quotas = _shards(sized, weights, cap, block, seed)
     taken = F.col("turns") * F.col("size") + F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     return _taken(sized, plan, quotas, block, seed).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "turns", "runs")
@@ -170,16 +194,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix as documents with the input's columns: a row per full copy, and one for each run of words that is taken besides."""
-    own = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(text_col).alias("size")]
-    sizes = common.written(docs.select(*own), "sizes")
+    own = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(text_col).alias("size"), F.monotonically_increasing_id().alias("at")]
+    # the documents' own columns lie in a struct, so no name can clash; the mix is made of sizes alone, and then texts move once, by the number of their row
+    rows = common.written(docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+    sizes = _numbered(rows.drop("row"))
     plan, quotas = _shards(sizes, weights, cap, block, seed)
-    # the documents' own columns lie in a struct, so no name can clash, and texts move once
-    laid = _taken(docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), plan, quotas, block, seed)
-    whole = F.array_repeat(F.struct(F.lit(-1).cast("bigint").alias("from"), F.lit(0).cast("bigint").alias("n")), F.when(F.col("size") > 0, F.col("turns")).otherwise(0).cast("int"))
-    laid = laid.select("row", F.explode(F.concat(whole, F.col("runs"))).alias("piece"))
-    words = F.array_remove(F.split(F.col("row")[text_col], common.SPACE), "")
-    text = F.when(F.col("piece.from") < 0, F.col("row")[text_col]).otherwise(F.array_join(F.slice(words, F.col("piece.from").cast("int") + 1, F.col("piece.n").cast("int")), " "))
-    laid = laid.select("row", text.alias("text"))
+    taken = _taken(sizes, plan, quotas, block, seed).select("at", F.when(F.col("size") > 0, F.col("turns")).otherwise(0).cast("int").alias("turns"), "runs").where("turns > 0 or size(runs) > 0")
+    laid = rows.select("at", "row").join(taken, "at")
+    text = F.col("row")[text_col]
+    # a text's words are bound once for all its runs
+    cut = F.transform(F.array(F.array_remove(F.split(text, common.SPACE), "")), lambda w: F.transform("runs", lambda r: F.array_join(F.slice(w, r["from"].cast("int") + 1, r["n"].cast("int")), " ")))
+    parts = F.when(F.size("runs") > 0, F.get(cut, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    laid = laid.select("row", F.explode(F.concat(F.array_repeat(text, F.col("turns")), parts)).alias("text"))
     out = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
