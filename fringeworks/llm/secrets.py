@@ -3,10 +3,11 @@
 Candidates are long runs of characters that keys are written in and that no span of a fixed form covers. For each, an encoding is inferred (hex, base32, base64 or letters and digits) with its
 alphabet, and three tests ask whether the characters look drawn at random from it: chi-squared uniformity of the alphabet's cells, the number of runs above and below its middle
 (Wald-Wolfowitz), and lag-one serial correlation. Fisher's method combines their p-values into one that is small for text and uniform for keys.
-False-discovery control is over what is reported, and aware of length. The null hypothesis is text: every text gives a piece of its own words for each PIECE characters, joined as
-identifiers and paths are and as long as some class of lengths asks for, and the same battery measures these pieces. A candidate's evidence is the share of its class's pieces that look at least as random
-as it does (GRID steps of log p; one more piece is counted, so that it is never 0). In each class the Benjamini-Hochberg step-up over distinct candidates reports those whose evidence holds at
-rate FDR. What is counted is a table of classes x steps, whatever the input. Reported candidates have digits beside letters: without these the tests have no power at such lengths.
+Reported is what passes both ways. It looks random: the battery doesn't reject it at level LEVEL. And it doesn't look like text, by false-discovery control that is aware of length: the null
+hypothesis is text, and every text gives a piece of its own words for each PIECE characters, joined as identifiers, paths and numbered names are (JOINTS) and as long as some class of lengths asks
+for; the same battery measures these pieces. A candidate's evidence is the share of its class's pieces that look at least as random as it does (GRID steps of log p; one more piece is counted, so
+that it is never 0). In each class the Benjamini-Hochberg step-up over distinct candidates reports those whose evidence holds at rate FDR. What is counted is a table of classes x steps, whatever
+the input. Reported candidates have digits beside letters: without these the tests have no power at such lengths.
 Kinds with a fixed form (assignments, access keys, hex) are found by pattern.
 
 Defined cases: null and empty texts have no spans; spans count code points; every row gets its own result, whether its id is null or repeated, and equal texts get equal spans; without
@@ -15,6 +16,8 @@ any text to compare with nothing random is reported; an empty table gives an emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,25 +35,51 @@ _FOUND = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Classes of lengths by their least; pieces of text have lengths from there on, up to half as much again.
 CLASSES = (20, 28, 40, 64)
-GRID, FDR, PIECE = 1000, 0.05, 4096
+GRID, FDR, LEVEL, PIECE = 1000, 0.05, 0.005, 4096
+#: What stands between the words of a piece of text.
+JOINTS = ("", "-", "_", "/", "2", "-1-", "_v3_", "/4/")
+#: Items of an array that a scan takes at a time.
+BLOCK = 256
 _NONE = "array<struct<start:bigint,end:bigint,kind:string,match:string>>"
 
 
+def _scanned(items: Column, kind: str, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What step(state, item) puts out, item by item, an array of the type kind: it gives the next state and an array. Blocks of items grow an array each, so time is linear in the items."""
+
+    def over(items_: Column, state_: Column, put: Callable[[Column, Column], Column], kind_: str) -> Column:
+        start = F.struct(state_.alias("state"), F.array().cast(kind_).alias("out"))
+        return F.aggregate(items_, start, put)
+
+    def one(acc: Column, x: Column) -> Column:
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        # the state is carried over once more by itself: what is bound to a name is copied, and so would be all blocks before
+        after = F.aggregate(part, acc["state"], lambda state_, x: step(state_, x)[0])
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(over(part, acc["state"], one, kind)["out"])).alias("out"))
+
+    def whole(bound: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(bound) - 1) / BLOCK).cast("int")), lambda i: F.slice(bound, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(bound) > 0, F.flatten(over(parts, state, block, f"array<{kind}>")["out"])).otherwise(F.array().cast(kind))
+
+    return F.get(F.transform(F.array(items), whole), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """(start, end, kind, match) of each match, from what lies between matches: the pieces that split() leaves, one more than matches."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     matches = F.transform(whole, lambda m: F.struct(m.alias("m"), F.length(m).alias("n")))
     if group:
         matches = F.zip_with(whole, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("n")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_NONE).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        lo = at + F.length(x["gap"])
         hi = (lo + F.coalesce(F.length(x["m"]["m"]), F.lit(0))).cast("bigint")
         span = F.struct(lo.cast("bigint").alias("start"), hi.alias("end"), F.lit(kind).alias("kind"), x["m"]["m"].alias("match"))
-        return F.struct(hi.alias("at"), F.when(x["m"]["n"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return hi, F.when(x["m"]["n"] >= least, F.array(span)).otherwise(F.array().cast(_NONE))
 
-    return F.aggregate(F.zip_with(F.split(text, pattern), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m"))), start, step, lambda acc: acc["out"])
+    return _scanned(F.zip_with(F.split(text, pattern), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m"))), _NONE, F.lit(0).cast("bigint"), step)
 
 
 def pattern_spans(text: Column) -> list[Column]:
@@ -109,13 +138,20 @@ def battery(token: str = "token") -> dict[str, Column]:
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
-    """Candidates that lie in no span of a fixed form."""
+    """Candidates that lie in no span of a fixed form: of all spans by their starts, those that the farthest end of fixed forms before them doesn't reach."""
     found = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, "random")).otherwise(F.array().cast(_NONE))
-    return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
+    fixed = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("own"), b["end"].alias("end"), F.lit(None).cast("string").alias("match")))
+    both = F.array_sort(F.concat(fixed, F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("own"), c["end"].alias("end"), c["match"].alias("match")))))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        span = F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind"), x["match"].alias("match"))
+        return F.when(x["own"] == 0, F.greatest(reach, x["end"])).otherwise(reach), F.when((x["own"] == 1) & (reach < x["end"]), F.array(span)).otherwise(F.array().cast(_NONE))
+
+    return F.when(F.size(found) > 0, _scanned(both, _NONE, F.lit(-1).cast("bigint"), step)).otherwise(F.array().cast(_NONE))
 
 
 def text_pieces(text: Column) -> Column:
-    """Pieces of a text as identifiers: a stretch of words at a hashed place in each PIECE characters, joined by nothing or a sign, at a hashed length of some class."""
+    """Pieces of a text as identifiers: a stretch of words at a hashed place in each PIECE characters, joined by one of JOINTS, at a hashed length of some class."""
 
     def piece(i: Column) -> Column:
         draw = F.pmod(F.xxhash64(text, i), F.lit(1 << 20))
@@ -123,7 +159,7 @@ def text_pieces(text: Column) -> Column:
         size = low + F.pmod(F.floor(draw / 16), F.floor(low / 2))
         room = F.least(F.lit(PIECE // 2), F.length(text) - i * PIECE - 2 * size)
         at = i * PIECE + F.pmod(F.floor(draw / 64), F.greatest(room, F.lit(1)))
-        sign = F.element_at(F.array(*map(F.lit, ("", "-", "_", "/"))), (F.pmod(F.floor(draw / 4), F.lit(4)) + 1).cast("int"))
+        sign = F.element_at(F.array(*map(F.lit, JOINTS)), (F.pmod(F.floor(draw / 4), F.lit(len(JOINTS))) + 1).cast("int"))
         words = F.regexp_replace(F.substring(text, (at + 1).cast("int"), 2 * size.cast("int")), F.lit("[^A-Za-z0-9]+"), sign)
         return F.when(F.length(words) >= size, F.substring(words, F.lit(1), size.cast("int")))
 
@@ -142,7 +178,7 @@ def _measured(tokens: DataFrame) -> DataFrame:
 
 
 def cuts(pieces: DataFrame, tested: DataFrame) -> DataFrame:
-    """Of measured pieces of text and distinct candidates: by class the least step that is reported (from_step), by the step-up over their evidence."""
+    """Of measured pieces of text and distinct candidates: by class the least step that is reported (from_step), by the step-up over their evidence among steps that look random."""
     # classes x GRID rows at most
     text = pieces.groupBy("class", "step").agg(F.count(F.lit(1)).alias("texts")).withColumn("tokens", F.lit(0).cast("bigint"))
     asked = tested.groupBy("class", "step").agg(F.count(F.lit(1)).alias("tokens")).withColumn("texts", F.lit(0).cast("bigint"))
@@ -151,7 +187,8 @@ def cuts(pieces: DataFrame, tested: DataFrame) -> DataFrame:
     above = whole.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     evidence = (1 + F.sum("texts").over(above)) / (1 + F.sum("texts").over(whole))
     holds = evidence * F.sum("tokens").over(whole) <= FDR * F.sum("tokens").over(above)
-    return counts.withColumn("holds", holds).where("holds and tokens > 0").groupBy("class").agg(F.min("step").alias("from_step"))
+    looks_random = F.col("step") >= F.floor(F.log10(F.lit(LEVEL)) * (GRID / 12))
+    return counts.withColumn("holds", holds).where(looks_random & F.expr("holds and tokens > 0")).groupBy("class").agg(F.min("step").alias("from_step"))
 
 
 def random_spans(candidates: DataFrame, pieces: DataFrame) -> DataFrame:
