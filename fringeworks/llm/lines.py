@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join: lines that equal an earlier one, or lie within one edit of it, go.
 
 A line is its sequence of words (parted by ASCII white space). Its place is (document id, hash of the text, line number), and "earlier" means a smaller place.
-The edit bound grows with the longer line of a pair: one word from WORDS words on; with fewer words, one character from CHARS characters on (words joined by
-blanks); nothing below. Words and characters are the units of two levels, which run alike.
+The edit bound is a function of the longer line of a pair, with two parameters: one word where it has `words` words or more; with fewer words, one character where it has `chars` characters or
+more (words joined by blanks); else none. With chars = 0 every line has a bound of at least one character, with words = 0 of one word. Words and characters are the units of two levels, which
+run alike.
 1. One pass over the texts hashes every line. Equal lines form one class (by two 64-bit hashes), whose first place stays.
 2. By the pigeonhole principle one half of the longer line is unchanged, so a line none of whose half keys occurs with another line has no partner. The keys
    that two different lines have fill a bit filter of bounded size.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: The usual parameters of the edit bound.
 WORDS, CHARS = 6, 20
 _PLACE = ("doc_id", "copy", "line")
 
@@ -76,7 +78,7 @@ class _Units:
 class _Lines:
     """The lines of a slab of texts that have words: owner (index of the text), number, two hashes, and units of both levels."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], least_words: int, least_chars: int):
         self.buf = buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.starts, self.ends = common.spans(buf)
         words = common.span_hashes(buf, self.starts, self.ends)
@@ -87,50 +89,53 @@ class _Lines:
         some = np.flatnonzero(hi > lo)
         self.lo, self.hi, self.owner, self.number = lo[some], hi[some], owner[some], (np.arange(len(stop)) - first[owner])[some]
         n = self.hi - self.lo
-        self.words = _Units(0, WORDS, np.arange(len(n)), words, n)
+        self.words = _Units(0, least_words, np.arange(len(n)), words, n)
         self.hash = self.words.whole()
         again = common.placed(common.mix(words + common._MUL), np.arange(len(words)) - np.repeat(self.words.lo, n))
         self.hash2 = common.signed(common.mix(np.add.reduceat(again, self.words.lo) if len(n) else again[:0]))
-        short = np.flatnonzero(n < WORDS)
+        short = np.flatnonzero(n < least_words)
         text = [self.text(i) for i in short]
-        long = np.array([len(t) >= CHARS - 1 for t in text], bool)
+        long = np.array([len(t) >= least_chars - 1 for t in text], bool)
         chars = "".join(t for t, x in zip(text, long, strict=True) if x)
         units = common.mix(np.frombuffer(chars.encode("utf-32-le"), np.uint32).astype(np.uint64))
-        self.chars = _Units(1, CHARS, short[long], units, np.array([len(t) for t, x in zip(text, long, strict=True) if x], np.int64))
+        self.chars = _Units(1, least_chars, short[long], units, np.array([len(t) for t, x in zip(text, long, strict=True) if x], np.int64))
 
     def text(self, i: int) -> str:
         """The words of line i, joined by blanks."""
         return b" ".join(self.buf[self.starts[self.lo[i]] : self.ends[self.hi[i] - 1]].tobytes().split()).decode()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Lines, pa.RecordBatch]]:
+def _rows(batches: Iterator[pa.RecordBatch], bound: tuple[int, int]) -> Iterator[tuple[_Lines, pa.RecordBatch]]:
     """Slabs of texts (doc_id, copy, text)."""
     for b in common.pieces(batches):
         texts = common.text_bytes(b.column(2))
         for lo, hi in common.slabs(texts):
-            yield _Lines(texts[lo:hi]), b.slice(lo, hi - lo)
-
-
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x, b in _rows(batches):
-        keys, line = [], []
-        for u in (x.words, x.chars):
-            k, use = u.halves()
-            keys.append(k[use])
-            line.append(np.repeat(u.of, use.sum(axis=1)))
-        line = np.concatenate(line)
-        keys = np.concatenate(keys)[np.argsort(line, kind="stable")]
-        offsets = np.append(0, np.cumsum(np.bincount(line, minlength=len(x.hash)))).astype(np.int32)
-        owner = pa.array(x.owner)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(owner), b.column(1).take(owner), pa.array(x.number, pa.int32()), pa.array(common.signed(x.hash)), pa.array(x.hash2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(common.signed(keys)))],
-            ["doc_id", "copy", "line", "hash", "hash2", "halves"],
-        )
-
-
-def _variants(wanted):
+            yield _Lines(texts[lo:hi], *bound), b.slice(lo, hi - lo)
+
+
+def _first_pass(bound: tuple[int, int]):
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, b in _rows(batches, bound):
+            keys, line = [], []
+            for u in (x.words, x.chars):
+                k, use = u.halves()
+                keys.append(k[use])
+                line.append(np.repeat(u.of, use.sum(axis=1)))
+            line = np.concatenate(line)
+            keys = np.concatenate(keys)[np.argsort(line, kind="stable")]
+            offsets = np.append(0, np.cumsum(np.bincount(line, minlength=len(x.hash)))).astype(np.int32)
+            owner = pa.array(x.owner)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(owner), b.column(1).take(owner), pa.array(x.number, pa.int32()), pa.array(common.signed(x.hash)), pa.array(x.hash2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(common.signed(keys)))],
+                ["doc_id", "copy", "line", "hash", "hash2", "halves"],
+            )
+
+    return first_pass
+
+
+def _variants(wanted, bound: tuple[int, int]):
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, b in _rows(batches):
+        for x, b in _rows(batches, bound):
             copy, ids = (b.column(i).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False) for i in (1, 0))
             # of equal lines of the slab the earliest is enough, whatever the order of rows
             order = np.lexsort((x.number, copy[x.owner], ids[x.owner]))
@@ -168,31 +173,35 @@ def _one_edit(x: Sequence, y: Sequence) -> bool:
     return x[i + (len(x) >= len(y)) :] == y[i + (len(y) >= len(x)) :]
 
 
-def near_lines(a: str, b: str) -> bool:
+def near_lines(a: str, b: str, words: int = WORDS, chars: int = CHARS) -> bool:
     """Whether two lines, as words joined by blanks, lie within the edit bound."""
     x, y = a.split(" "), b.split(" ")
-    if max(len(x), len(y)) >= WORDS:
+    if max(len(x), len(y)) >= words:
         return _one_edit(x, y)
-    return max(len(a), len(b)) >= CHARS and _one_edit(a, b)
+    return max(len(a), len(b)) >= chars and _one_edit(a, b)
+
 
+def _verified(bound: tuple[int, int]):
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [near_lines(x, y, *bound) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        good = [near_lines(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+    return verified
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, chars: int = CHARS) -> DataFrame:
     """doc_id, copy (xxhash64 of the text), line (from 0) and why (exact or near) for every line that goes."""
+    bound = (words, chars)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
-    places = common.written(texts.mapInArrow(_first_pass, "doc_id bigint, copy bigint, line int, hash bigint, hash2 bigint, halves array<bigint>"), "lines")
+    places = common.written(texts.mapInArrow(_first_pass(bound), "doc_id bigint, copy bigint, line int, hash bigint, hash2 bigint, halves array<bigint>"), "lines")
     lines = places.groupBy("hash", "hash2").agg(F.min(F.struct(*_PLACE)).alias("first"))
 
     keys = places.select(F.explode("halves").alias("key"), "hash").groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
     keys = common.written(keys, "halves")
     wanted = docs.sparkSession.sparkContext.broadcast(common.key_filter(keys, "key", keys.count()))
     common.release(keys)
-    variants = texts.mapInArrow(_variants(wanted), "key bigint, at int, hash bigint, hash2 bigint, doc_id bigint, copy bigint, line int, words string")
+    variants = texts.mapInArrow(_variants(wanted, bound), "key bigint, at int, hash bigint, hash2 bigint, doc_id bigint, copy bigint, line int, words string")
     variants = common.written(variants.select("key", "at", F.struct("hash", "hash2").alias("id"), F.struct(*_PLACE).alias("place"), "words"), "variants")
     # most variants are of one line only; the few that several lines have go on
     several = variants.groupBy("key").agg(F.min("id.hash").alias("a"), F.max("id.hash").alias("b")).where("a <> b").select("key")
@@ -209,10 +218,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     partner = one.select("id", "place", "best").unionByName(two.select("id", "place", "best")).unionByName(three.select("id", "place", "best"))
     # a line may have partners by several keys; each is verified, one good one is enough
     partner = common.written(partner.where("best.place < place").select("id", F.col("best.id").alias("partner")).distinct(), "partners")
-    words = variants.where("at < 0").groupBy("id").agg(F.first("words").alias("words"))
-    both = common.split_join(partner, words.select(F.col("id").alias("partner"), F.col("words").alias("other")), ["partner"])
-    both = common.split_join(both, words, ["id"]).select("id.hash", "id.hash2", "words", "other")
-    near = both.mapInArrow(_verified, "hash bigint, hash2 bigint").distinct().withColumn("near", F.lit(True))
+    own = variants.where("at < 0").groupBy("id").agg(F.first("words").alias("words"))
+    both = common.split_join(partner, own.select(F.col("id").alias("partner"), F.col("words").alias("other")), ["partner"])
+    both = common.split_join(both, own, ["id"]).select("id.hash", "id.hash2", "words", "other")
+    near = both.mapInArrow(_verified(bound), "hash bigint, hash2 bigint").distinct().withColumn("near", F.lit(True))
 
     judged = common.split_join(places.select(*_PLACE, "hash", "hash2"), lines.join(near, ["hash", "hash2"], "left"), ["hash", "hash2"])
     first = F.struct(*_PLACE) == F.col("first")
@@ -235,11 +244,11 @@ def count_columns(docs: DataFrame) -> list[str]:
     return common.internal(docs, "_n_lines", "_n_exact", "_n_near")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, chars: int = CHARS) -> DataFrame:
     """Every row with the lines that go taken out of its text, and counts by the names of count_columns()."""
     total, exact, near = count_columns(docs)
     key, copy, gone = common.internal(docs, "_id", "_copy", "_gone")
-    cut = dropped_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)).agg(F.collect_set(F.struct("line", "why")).alias(gone))
+    cut = dropped_lines(docs, id_col, text_col, words, chars).groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)).agg(F.collect_set(F.struct("line", "why")).alias(gone))
     joined = docs.join(cut, F.col(id_col).cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(copy)), "left")
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
 

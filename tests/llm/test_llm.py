@@ -597,6 +597,25 @@ def test_near_lines_of_every_length(spark):
     assert places(lines.dropped_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))) == sorted(want)
 
 
+@pytest.mark.parametrize(("words", "chars"), [(6, 20), (0, 0), (6, 0), (3, 8), (4, 1)])
+def test_edit_bounds(spark, words, chars):
+    """Other bounds than the usual one, and none below which lines are only compared as a whole."""
+    rnd = random.Random(words * 31 + chars)
+    letters = lambda n: "".join(rnd.choice("ab") for _ in range(n))
+    docs = [(d, "\n".join(" ".join(letters(rnd.randint(1, 3)) for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(0, 4)))) for d in range(150)]
+    want, before = set(), []
+    for d, t in docs:
+        for i, x in enumerate(t.split("\n")):
+            if x:
+                a = x.split()
+                near = [v for v in before if v == x or (lines._one_edit(a, v.split()) if max(len(a), len(v.split())) >= words else max(len(x), len(v)) >= chars and lines._one_edit(x, v))]
+                if near:
+                    want.add((d, i, "exact" if x in before else "near"))
+                before.append(x)
+    got = places(lines.dropped_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), words=words, chars=chars))
+    assert got == sorted(want)
+
+
 def thue_morse(n, a, b):
     return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
 
