@@ -32,9 +32,13 @@ def _other(sums: DataFrame, g: DataFrame) -> DataFrame:
     return sums.join(g.select(*KEY, F.col("ant").alias("ant2"), "g_re", "g_im"), [*KEY, "ant2"])
 
 
-def diagonal(sums: DataFrame, iterations: int) -> DataFrame:
-    """History of one complex gain an antenna: g_p = sum z g_q / sum v |g_q|^2; even iterations take the mean with the one before. jhj is the denominator."""
+def diagonal(sums: DataFrame, iterations: int, start: DataFrame | None = None) -> DataFrame:
+    """History of one complex gain an antenna: g_p = sum z g_q / sum v |g_q|^2; even iterations take the mean with the one before. jhj is the denominator. Starts from unit gains, or from those in
+    start (ti, fi, ant, g_re, g_im) where it has them."""
     g = sums.select(*KEY, F.col("ant1").alias("ant")).distinct().withColumns({"k": F.lit(0), "g_re": F.lit(1.0), "g_im": F.lit(0.0), "jhj": F.lit(0.0)})
+    if start is not None:
+        old = start.select(*KEY, "ant", F.col("g_re").alias("_re"), F.col("g_im").alias("_im"))
+        g = written(g.join(old, [*KEY, "ant"], "left").select(*KEY, "ant", "k", F.coalesce("_re", "g_re").alias("g_re"), F.coalesce("_im", "g_im").alias("g_im"), "jhj"), "gains")
     out = g
     for k in range(1, iterations + 1):
         x = _other(sums, g)
@@ -85,8 +89,8 @@ def element_sums(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(products("d", "m", ("i", "k", "j", "l")), "dm"), written(products("m", "m", ("i", "l", "j", "s")), "mm")
 
 
-def full(dm: DataFrame, mm: DataFrame, iterations: int) -> DataFrame:
-    """History of 2 x 2 gains, elements as rows (i, j, g_re, g_im): JHR = sum D G_q M_qp, JHJ = sum (G_q M_qp)^H (G_q M_qp), update JHR JHJ^-1, even iterations the mean with the one before."""
+def full(dm: DataFrame, mm: DataFrame, iterations: int, leakage: bool = False) -> DataFrame:
+    """History of 2 x 2 gains (with leakage, of those with a unit diagonal), elements as rows (i, j, g_re, g_im): JHR = sum D G_q M_qp, JHJ = sum (G_q M_qp)^H (G_q M_qp), update JHR JHJ^-1, even iterations the mean with the one before."""
     unit = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(i == j)).alias("g_re"), F.lit(0.0).alias("g_im")) for i in (0, 1) for j in (0, 1)]
     g = dm.select(*KEY, F.col("ant1").alias("ant")).distinct().select(*KEY, "ant", F.lit(0).alias("n"), F.explode(F.array(*unit)).alias("x")).select(*KEY, "ant", "n", "x.*")
     out = g
@@ -108,6 +112,7 @@ def full(dm: DataFrame, mm: DataFrame, iterations: int) -> DataFrame:
         for i in (0, 1):
             for j in (0, 1):
                 u = (e("r", i, 0) * inverse[0][j] + e("r", i, 1) * inverse[1][j]).over(det)
+                u = cx(F.lit(1.0), F.lit(0.0)) if leakage and i == j else u
                 cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), u.re.alias("u_re"), u.im.alias("u_im")))
         new = both.where(det.abs2() > 0).select(*KEY, F.col("ant1").alias("ant"), F.explode(F.array(*cells)).alias("x")).select(*KEY, "ant", "x.*")
         half = 0.5 if n % 2 == 0 else 0.0

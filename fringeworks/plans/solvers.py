@@ -81,10 +81,12 @@ ELEMENTS = f"""{VL}, {RB}, {VC}, x as (select floor(t / {T_INT})::bigint as ti,
  g0 as (select distinct ti, fi, ant1 as ant, i, j, (i = j)::int::double as gr, 0.0::double as gi from e)"""
 
 
-def _full_rounds(n: int) -> str:
+def _full_rounds(n: int, leakage: bool = False) -> str:
     out = ELEMENTS
     for k in range(1, n + 1):
         half = "(u.ur + g.gr) / 2 as gr, (u.ui + g.gi) / 2 as gi" if k % 2 == 0 else "u.ur as gr, u.ui as gi"
+        if leakage:
+            half = f"case when u.i = u.j then 1 else {half.split(' as gr')[0]} end as gr, case when u.i = u.j then 0 else {half.split(', ')[1].split(' as gi')[0]} end as gi"
         at = lambda t, c, i, j: f"max({c}) filter (i = {i} and j = {j}) as {t}{i}{j}{c}"
         wide = lambda t: ", ".join(at(t, c, i, j) for i in (0, 1) for j in (0, 1) for c in ("re", "im"))
         out += f""", r{k} as (select a.ti, a.fi, ant1 as ant, a.i, a.j, sum(re * gr - im * gi) as re, sum(re * gi + im * gr) as im from dm a join g{k - 1} g on g.ti = a.ti and g.fi = a.fi and g.ant = a.ant2 and g.i = a.k and g.j = a.l group by all),
@@ -100,8 +102,7 @@ def _full_rounds(n: int) -> str:
     return out
 
 
-@query(f"with {_full_rounds(2)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im from g2", "g_re g_im", 5)
-def solve_complex_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The model of the off-diagonals gets a share of the data, as one of zero leaves JHJ diagonal."""
     c = gauss_newton.intervals(corrs(spark, sf_dir).where("ant1 <> ant2"), T_INT, F_INT)
     model = F.col("mre") + F.when(F.col("corr").isin(1, 2), 0.05 * F.col("re")).otherwise(0.0)
@@ -110,8 +111,12 @@ def solve_complex_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = c.groupBy("ti", "fi", *SAMPLE).agg(cells_(F.col("re"), F.col("im")).alias("d"), cells_(model, F.lit(0.0)).alias("m"), F.max("w").alias("w"))
     turned = lambda a: F.array(*[F.struct(F.col(a)[k]["re"].alias("re"), (-F.col(a)[k]["im"]).alias("im")) for k in (0, 2, 1, 3)])
     back = s.select("ti", "fi", "t", "chan", F.col("ant2").alias("ant1"), F.col("ant1").alias("ant2"), turned("d").alias("d"), turned("m").alias("m"), "w")
-    dm, mm = gauss_newton.element_sums(s.unionByName(back))
-    g = gauss_newton.last(gauss_newton.full(dm, mm, 2), 2, "n")
+    return gauss_newton.element_sums(s.unionByName(back))
+
+
+@query(f"with {_full_rounds(2)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im from g2", "g_re g_im", 5)
+def solve_complex_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gauss_newton.last(gauss_newton.full(*elements(spark, sf_dir), 2), 2, "n")
     return g.select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im")
 
 

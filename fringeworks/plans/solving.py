@@ -1,4 +1,4 @@
-"""Iterative fits on whole tables; SQL can't express them, tests hold them in closed loops."""
+"""Robust fits of dense chunks; tests hold them in closed loops. Other fits are joins and sums, see solvers and fits."""
 
 from __future__ import annotations
 
@@ -15,37 +15,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrs(spark, sf_dir).where("ant1 <> ant2").withColumn("chunk", F.floor(F.col("t") / 8))
 
 
-@query()
-def solve_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.solve_chain(chunks(spark, sf_dir), [Term("leakage", 0)], [20])
-
-
 @query()
 def solve_robust_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.solve_chain(chunks(spark, sf_dir), [Term("full", robust=True)], [20])
 
 
-@query()
-def solve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gains by time, a bandpass by frequency."""
-    return machines.solve_chain(chunks(spark, sf_dir), [Term("diag", 1, 0), Term("diag", 0, 1)], [10, 10, 10, 10])
-
-
 @query()
 def solve_chain_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.solve_chain(chunks(spark, sf_dir), [Term("diag", 1, 0, True), Term("full", 0, 0, True)], [10, 10, 10, 10])
-
-
-@query()
-def solve_f_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.solve_slopes(chunks(spark, sf_dir), "f-slope")
-
-
-@query()
-def solve_t_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.solve_slopes(chunks(spark, sf_dir), "t-slope")
-
-
-@query()
-def solve_tf_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.solve_slopes(chunks(spark, sf_dir), "tf-plane")
