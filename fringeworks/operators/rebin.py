@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+
 KEYS = ("t", "chan", "ant1", "ant2")
 
 
@@ -76,21 +78,55 @@ def chunks_by_slots(times: DataFrame, by: list[str], time: str, jump: float, slo
     return laid.withColumn("chunk", F.dense_rank().over(Window.partitionBy(*by).orderBy("island", "_part")) - 1).drop("_part", "island")
 
 
+def following(points: DataFrame, by: list[str], value: str, at: Column, name: str) -> DataFrame:
+    """points with name: the smallest value of their group at or above `at`, by one pass over values and questions in descending order."""
+    rows = points.select("*", F.lit(True).alias("_point"), F.col(value).alias("_at")).unionByName(points.select("*", F.lit(False).alias("_point"), at.alias("_at")))
+    order = Window.partitionBy(*by).orderBy(F.desc("_at"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("_point"), F.col("_at")), ignorenulls=True).over(order)
+    return rows.withColumn(name, found).where("not _point").drop("_point", "_at")
+
+
+def orbit(steps: DataFrame, by: list[str], value: str, after: str) -> DataFrame:
+    """(by, value): of a group's points the first, the one that its step leads to (after; null ends), and so on. Steps are doubled: each round takes what is reached as far again, so a walk of n
+    steps needs log n rounds of joins, and no group is walked in order."""
+    reached = written(steps.groupBy(*by).agg(F.min(value).alias(value)), "reached")
+    jump = steps.where(F.col(after).isNotNull()).select(*by, value, after)
+    while True:
+        more = written(reached.join(jump, [*by, value]).select(*by, F.col(after).alias(value)), "reached")
+        if more.isEmpty():
+            return reached
+        reached = written(reached.unionByName(more), "reached")
+        far = jump.select(*by, F.col(value).alias(after), F.col(after).alias("_far"))
+        jump = written(jump.join(far, [*by, after]).select(*by, value, F.col("_far").alias(after)), "jumps")
+
+
+def _parts(rows: DataFrame, by: list[str], value: str, starts: DataFrame, name: str) -> DataFrame:
+    """rows with name: how many starts lie at or before their value, less one."""
+    marked = rows.join(starts.withColumn("_start", F.lit(1)), [*by, value], "left")
+    order = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn(name, F.sum(F.coalesce("_start", F.lit(0))).over(order) - 1).drop("_start")
+
+
 def chunks_by_length(times: DataFrame, by: list[str], time: str, length: float) -> DataFrame:
-    """chunk: a new one begins length or more after the one before began. The choice depends on all earlier ones, so the distinct times of a group are walked in order."""
-    import numpy as np
-    import pandas as pd
-
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(time, kind="stable")
-        x, out, at, k = p[time].to_numpy(), np.zeros(len(p), np.int64), 0, 0
-        while at < len(x):
-            to = max(int(np.searchsorted(x, x[at] + length)), at + 1)
-            out[at:to], at, k = k, to, k + 1
-        return p.assign(chunk=out)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in times.schema)
-    return times.groupBy(*by).applyInPandas(walk, f"{fields}, chunk bigint")
+    """chunk: a new one begins at the first time that is length or more after the one before began; times are the distinct ones of an axis."""
+    if length <= 0:
+        raise ValueError("length: above 0")
+    axis = written(times.select(*by, time).distinct(), "axis")
+    starts = orbit(following(axis, by, time, F.col(time) + length, "_next"), by, time, "_next")
+    return _parts(times, by, time, starts, "chunk")
+
+
+def coarsened(tiles: DataFrame, by: list[str], order: str, n: str, least: int, most: int) -> DataFrame:
+    """tiles (in an order; n chunks each, 1 or more) with tile: they are merged one after another while the merged one has no more than least chunks and would have no more than most."""
+    up = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    laid = written(tiles.withColumn("_sum", F.sum(n).over(up)), "tiles")
+    points = laid.select(*by, "_sum", (F.col("_sum") - F.col(n)).alias("_before"), F.lead("_sum").over(Window.partitionBy(*by).orderBy(order)).alias("_after"))
+    # the next start stands behind the first tile with more than least, or is the first one that doesn't fit; sums name tiles
+    enough = following(points, by, "_sum", F.col("_before") + least + 1, "_full")
+    behind = points.select(*by, F.col("_sum").alias("_full"), F.col("_after").alias("_next1"))
+    steps = following(enough.drop("_after"), by, "_sum", F.greatest(F.col("_before") + most + 1, F.col("_sum") + 1), "_next2").join(behind, [*by, "_full"], "left")
+    steps = steps.select(*by, "_sum", F.least("_next1", "_next2").alias("_next"))
+    return _parts(laid, by, "_sum", orbit(steps, by, "_sum", "_next"), "tile").drop("_sum")
 
 
 def baselines(ants: DataFrame) -> DataFrame:

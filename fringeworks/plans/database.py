@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from math import pi
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import database, rebin, store
 from ..sources.tables import fresh_path
-from ..sources.views import VC, VL, visibilities
+from ..sources.views import SLOT_DAYS, VC, VL, visibilities
 from .queries import GRID, RB, SOL, _grid, _solutions
 from .registry import query
 from .tiles import corrs
@@ -102,11 +105,11 @@ def is_slice_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cube(spark, sf_dir).groupBy("ant", "chan").agg(F.bool_or(~F.col("masked")).alias("valid"))
 
 
-@query(f"with {VL}, {SOL} select ant, chan, time, value, false as masked from sol where ant < 5", "value")
+@query(f"with {VL}, {SOL} select ant, chan, time, value, false as masked from sol", "value")
 def load_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As they are, on a grid that has them all."""
     s = _solutions(spark, sf_dir)
-    return database.loaded(s.where("ant < 5").select("ant", "chan", "time"), s, ["ant", "chan"], "time", False)
+    return database.loaded(s.select("ant", "chan", "time"), s, ["ant", "chan"], "time", False)
 
 
 @query(f"""with {VL}, {SOL}, {GRID}, n as (select ant, chan, time, value, row_number() over w as k, count(*) over (partition by ant, chan) as m from sol window w as (partition by ant, chan order by time)),
@@ -120,19 +123,27 @@ def transfer_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- gain tables
 
-#: Fitted-like 2 x 2 values on times and channels, of which some are absent.
-JONES = f"jo as (select t as time, chan, ant1 as ant, corr, avg(re) as value, avg(w) / 1000 as error from vc where (t + chan) % 5 <> 0 group by all), jg as (select distinct j.time, j.ant, c.chan from jo j, (select distinct chan from jo) c)"
+#: 2 x 2 values on times and channels, of which some are absent, by what a table holds of them: elements, their phases, or delays, in nanoseconds, of a line through the phases over channels of 1 MHz; of one channel there is none.
+WIDTH = 1e6
+VALUES = {"elements": "avg(re)", "phases": "atan2(avg(im), avg(re))", "delays": f"case when min(chan) < max(chan) then regr_slope(atan2(im, re), chan::double) / {2 * pi * WIDTH!r} / 1e-9::double end"}
+
 
+def _jones_sql(kind: str) -> str:
+    chan = "0::bigint" if kind == "delays" else "chan"
+    return f"jo as (select t as time, {chan} as chan, ant1 as ant, corr, {VALUES[kind]} as value, avg(w) / 1000 as error from vc where (t + chan) % 5 <> 0 group by all), jg as (select distinct j.time, j.ant, c.chan from jo j, (select distinct chan from jo) c)"
 
-def _jones(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _jones(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     c = corrs(spark, sf_dir).where("(t + chan) % 5 <> 0")
-    return c.groupBy(F.col("t").alias("time"), "chan", F.col("ant1").alias("ant"), "corr").agg(F.avg("re").alias("value"), (F.avg("w") / 1000).alias("error"))
+    value = {"elements": F.avg("re"), "phases": F.atan2(F.avg("im"), F.avg("re")), "delays": F.when(F.min("chan") < F.max("chan"), F.regr_slope(F.atan2("im", "re"), F.col("chan").cast("double"))) / (2 * pi * WIDTH) / 1e-9}[kind]
+    chan = F.lit(0).cast("bigint") if kind == "delays" else F.col("chan")
+    return c.groupBy(F.col("t").alias("time"), chan.alias("chan"), F.col("ant1").alias("ant"), "corr").agg(value.alias("value"), (F.avg("w") / 1000).alias("error"))
 
 
-def _gain_table(spark: SparkSession, sf_dir: str, pair: tuple[int, int], scale: float) -> DataFrame:
-    """Rows of (field, time, spw, antenna) with arrays over the window's channels: a pair of elements with flags, and their errors. Windows are of four channels."""
-    j = _jones(spark, sf_dir)
-    at = lambda c, k: F.max(F.when(F.col("corr") == pair[k], F.col(c) * scale))
+def _gain_table(spark: SparkSession, sf_dir: str, pair: tuple[int, int], kind: str) -> DataFrame:
+    """Rows of (field, time, spw, antenna) with arrays over the window's channels: a pair of elements with flags, and their errors. Windows are of four channels; a delay is one for all."""
+    j = _jones(spark, sf_dir, kind)
+    at = lambda c, k: F.max(F.when(F.col("corr") == pair[k], F.col(c)))
     wide = j.groupBy("time", "ant", "chan").agg(*[at(c, k).alias(f"{c}{k}") for c in ("value", "error") for k in (0, 1)])
     chans = j.select("chan").distinct()
     full = j.select("time", "ant").distinct().join(F.broadcast(chans)).join(wide, ["time", "ant", "chan"], "left")
@@ -143,47 +154,47 @@ def _gain_table(spark: SparkSession, sf_dir: str, pair: tuple[int, int], scale:
     return t.select(F.lit(0).cast("bigint").alias("field"), "time", "spw", F.col("ant").alias("antenna1"), F.lit(-1).cast("bigint").alias("antenna2"), *[F.col(f"x.{c}").alias(n) for c, n in (("p0", "param0"), ("p1", "param1"), ("e0", "error0"), ("e1", "error1"), ("flag", "flags"))])
 
 
-def _gain_sql(pair: tuple[int, int], scale: str) -> str:
-    cell = lambda c, k: f"round(coalesce(max({c}) filter (corr = {pair[k]}) * {scale}, 0.0::double) + 3e-10::double, 6) + 0.0::double"
-    return f"""with {VL}, {RB}, {VC}, {JONES}, wd as (select jg.time, jg.ant, jg.chan, {cell("value", 0)} as p0, {cell("value", 1)} as p1, {cell("error", 0)} as e0, {cell("error", 1)} as e1, count(jo.corr) = 0 as flag
+def _gain_sql(pair: tuple[int, int], kind: str) -> str:
+    cell = lambda c, k: f"round(coalesce(max({c}) filter (corr = {pair[k]}), 0.0::double) + 3e-10::double, 6) + 0.0::double"
+    return f"""with {VL}, {RB}, {VC}, {_jones_sql(kind)}, wd as (select jg.time, jg.ant, jg.chan, {cell("value", 0)} as p0, {cell("value", 1)} as p1, {cell("error", 0)} as e0, {cell("error", 1)} as e1, max(value) filter (corr = {pair[0]}) is null as flag
  from jg left join jo on jo.time = jg.time and jo.ant = jg.ant and jo.chan = jg.chan group by all) select 0::bigint as field, time, chan // 4 as spw, ant as antenna1, -1::bigint as antenna2,
  list(p0 order by chan) as param0, list(p1 order by chan) as param1, list(e0 order by chan) as error0, list(e1 order by chan) as error1, list(flag order by chan) as flags from wd group by all"""
 
 
-@query(_gain_sql((0, 3), "0.1::double"))
+@query(_gain_sql((0, 3), "phases"))
 def caltable_g(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases of a diagonal."""
-    return _gain_table(spark, sf_dir, (0, 3), 0.1)
+    return _gain_table(spark, sf_dir, (0, 3), "phases")
 
 
-@query(_gain_sql((0, 3), "1.0::double"))
+@query(_gain_sql((0, 3), "elements"))
 def caltable_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagonal elements."""
-    return _gain_table(spark, sf_dir, (0, 3), 1.0)
+    return _gain_table(spark, sf_dir, (0, 3), "elements")
 
 
-@query(_gain_sql((1, 2), "1.0::double"))
+@query(_gain_sql((1, 2), "elements"))
 def caltable_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Off-diagonal elements."""
-    return _gain_table(spark, sf_dir, (1, 2), 1.0)
+    return _gain_table(spark, sf_dir, (1, 2), "elements")
 
 
-@query(_gain_sql((0, 3), "(1e-9::double * 1e9::double)"))
+@query(_gain_sql((0, 3), "delays"))
 def caltable_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delays, of which the table's values are taken as nanoseconds and stored in seconds first; the gain table has nanoseconds."""
-    return _gain_table(spark, sf_dir, (0, 3), 1e-9 * 1e9)
+    """Delays in nanoseconds, fitted to the phases of all channels."""
+    return _gain_table(spark, sf_dir, (0, 3), "delays")
 
 
-@query(f"with {VL}, {SOL} select ant, chan, time, value, value * 0.01 as error from sol where ant = 2", "value error")
+@query(f"with {VL}, {SOL} select ant, chan, time, value, value * 0.01 as error from sol", "value error")
 def save_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters with their errors go to a new database, and one antenna's come back."""
+    """Parameters with their errors go to a new database, and come back."""
     path = fresh_path(spark, "export")
     s = _solutions(spark, sf_dir).select("ant", F.col("chan").alias("freq"), "time", "value")
     database.create(spark, path, {"kind": "export"})
     for name, scale in (("gain", 1.0), ("gain.err", 0.01)):
         database.define(spark, path, name, ("ant", "time", "freq"), ("time", "freq"))
         database.append(path, name, s.withColumn("value", F.col("value") * scale), 1)
-    back = lambda n, c: database.get(spark, path, n).where("ant = 2").select("ant", F.col("freq").cast("bigint").alias("chan"), F.col("time").cast("bigint").alias("time"), F.col("value").alias(c))
+    back = lambda n, c: database.get(spark, path, n).select("ant", F.col("freq").cast("bigint").alias("chan"), F.col("time").cast("bigint").alias("time"), F.col("value").alias(c))
     return back("gain", "value").join(back("gain.err", "error"), ["ant", "chan", "time"])
 
 
@@ -209,8 +220,7 @@ def argmin_refant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {VL}, {RB} select t, chan, ant1, ant2, w from rb where floor(t / 8) = 2 and floor(chan / 4) = 1", "w")
 def sel_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk, by its label; the label's parts reach the samples as bounds."""
-    from .queries import cells
-
-    c = cells(spark, sf_dir).withColumn("label", F.concat(F.lit("D0T"), rebin.interval("t", 8), F.lit("F"), rebin.interval("chan", 4)))
-    return c.where("label = 'D0T2F1'").select("t", "chan", "ant1", "ant2", "w")
+    """One chunk, by its label, whose parts become bounds of the table's own columns."""
+    _, ti, fi = map(int, re.fullmatch(r"D(\d+)T(\d+)F(\d+)", "D0T2F1").groups())
+    part = visibilities(spark, sf_dir, (ti * 8 * SLOT_DAYS, (ti + 1) * 8 * SLOT_DAYS - 1), (fi * 4, fi * 4 + 3))
+    return rebin.good_bins(part, SLOT_DAYS).select("t", "chan", "ant1", "ant2", "w")

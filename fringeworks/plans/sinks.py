@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.cx import Cx, cx, diagonal_inverse, polar
 from ..functions.grammar import parse_bin
-from ..operators import flags, flagsets, gains, stats
+from ..operators import flags, flagsets, gains, rebin, stats
 from ..schema import FL
 from ..sources import tables
 from ..sources.views import VL, VT, time_axis, visibilities
@@ -39,13 +39,13 @@ def sink_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(out, "column", "label").select("row", "cell", "flags")
 
 
-@query(f"with {VL}, {RB}, {G} select t, chan, ant1, ant2, (re * gr + im * gi) / (gr * gr + gi * gi) as corrected_re, w, ant1 % 2 as ddid from (select rb.*, p.g_re * q.g_re + p.g_im * q.g_im as gr, p.g_im * q.g_re - p.g_re * q.g_im as gi from rb join g p on p.ant = ant1 join g q on q.ant = ant2) where ant1 % 2 = 1", "corrected_re w")
+@query(f"with {VL}, {RB}, {G} select t, chan, ant1, ant2, (re * gr + im * gi) / (gr * gr + gi * gi) as corrected_re, w, ant1 % 2 as ddid from (select rb.*, p.g_re * q.g_re + p.g_im * q.g_im as gr, p.g_im * q.g_re - p.g_re * q.g_im as gi from rb join g p on p.ant = ant1 join g q on q.ant = ant2)", "corrected_re w")
 def sink_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrected data, weights and flags by data description; what is asked for alone is saved, and a reader prunes to one description."""
+    """Corrected data, weights and flags by data description; what is asked for alone is saved, laid out so that readers prune to a description."""
     c = cells(spark, sf_dir)
     out = gains.corrected(gains.with_gains(c, given_gains(c))).withColumns({"corrected_re": F.col("c_re"), "corrected_im": F.col("c_im"), "ddid": F.col("ant1") % 2})
     back = _stored(out, "tile", "ddid", ("t", "chan", "ant1", "ant2", "corrected_re", "w"))
-    return back.where("ddid = 1").select("t", "chan", "ant1", "ant2", "corrected_re", "w", F.col("ddid").cast("bigint").alias("ddid"))
+    return back.select("t", "chan", "ant1", "ant2", "corrected_re", "w", F.col("ddid").cast("bigint").alias("ddid"))
 
 
 @query(f"with {VL} select {ROW}, null::double as corrected, null::bigint as bitflag from vl")
@@ -66,9 +66,9 @@ def chunk_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- other tables
 
 
-@query("""select c_custkey as id, c_mktsegment as tag, case when c_custkey % 4 = 0 then 'pnt' else 'gau' end as type, c_nationkey / 100.0::double as ra, c_acctbal / 10000 as dec, 1 + c_custkey % 10 / 10.0::double as flux, -0.7::double as alpha from customer where c_acctbal > 0""", "ra dec flux")
+@query("""select c_custkey as id, c_mktsegment as tag, case when c_custkey % 4 = 0 then 'pnt' else 'gau' end as type, c_nationkey / 100.0::double as ra, c_acctbal / 10000 as dec, 1 + c_custkey % 10 / 10.0::double as flux, -0.7::double as alpha from customer""", "ra dec flux")
 def src_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     k, zero = F.col("c_custkey"), F.lit(0.0)
     rows = c.select(k.alias("id"), F.col("c_mktsegment").alias("tag"), F.when(k % 4 == 0, "pnt").otherwise("gau").alias("type"), (F.col("c_nationkey") / 100.0).alias("ra"), (F.col("c_acctbal") / 10000).alias("dec"), (1 + k % 10 / F.lit(10.0)).alias("flux"), F.lit(-0.7).alias("alpha"), zero.alias("curve"), zero.alias("ex"), zero.alias("ey"), zero.alias("pa"))
     path = tables.fresh_path(spark, "catalogue")
@@ -128,15 +128,19 @@ def sel_bin_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_axis(spark, sf_dir).groupBy(F.floor(F.col("time") / seconds).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {VL} select {ROW}, re from vl where scan = 1996 order by tslot, seq")
+@query(f"with {VL} select {ROW}, re from vl order by tslot, seq")
 def sort_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted by ranges of time, so that the result's partitions follow one another."""
-    return visibilities(spark, sf_dir).where("scan = 1996").select(*ROWS, "re").orderBy("tslot", "seq")
+    return visibilities(spark, sf_dir).select(*ROWS, "re").orderBy("tslot", "seq")
 
 
-@query(f"with {VL}, n as (select ant1, ant2, avg(abs(re)) as length from vl where ant1 <> ant2 group by 1, 2) select ant1, ant2, length, row_number() over (order by length, ant1, ant2) as place from n", "length")
+@query("""with a as (select n_nationkey::bigint as ant, avg(s_acctbal) as x, min(s_acctbal) as y, max(s_acctbal) as z from supplier join nation on s_nationkey = n_nationkey group by 1),
+ n as (select p.ant as ant1, q.ant as ant2, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) as length from a p join a q on p.ant < q.ant) select ant1, ant2, length, row_number() over (order by length, ant1, ant2) as place from n""", "length", 4)
 def sort_baseline_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = visibilities(spark, sf_dir).where("ant1 <> ant2").groupBy("ant1", "ant2").agg(F.avg(F.abs("re")).alias("length"))
+    """Baselines by the distance of their antennas' positions; a row a baseline, few beside their data."""
+    s, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    ants = n.join(s, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").cast("bigint").alias("ant"), F.col("n_name").alias("name"))
+    n = rebin.baselines(ants.agg(F.avg("s_acctbal").alias("x"), F.min("s_acctbal").alias("y"), F.max("s_acctbal").alias("z"))).select("ant1", "ant2", "length")
     return n.withColumn("place", F.row_number().over(Window.orderBy("length", "ant1", "ant2")).cast("bigint"))
 
 

@@ -225,19 +225,26 @@ def exportables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gauss_newton.exported(gauss_newton.posterior_errors(_gains(spark, sf_dir)))
 
 
-@query(f"with {_rounds(2)} select {I}, ant, gr as g_re, gi as g_im from g2", "g_re g_im", 4)
+#: Sums of single samples, without re-binning: parts of them may come from different batches.
+RAW = f"""{VL}, b as (select floor(tslot / {SLOT_DAYS})::bigint as t, chan, ant1, ant2, re, im, mre, mim, w from vl where fl = 0 and ant1 <> ant2 union all select floor(tslot / {SLOT_DAYS})::bigint, chan, ant2, ant1, re, -im, mre, -mim, w from vl where fl = 0 and ant1 <> ant2)"""
+
+
+@query(f"with {_rounds(2).replace(f'{VL}, {RB}, {BOTH}', RAW)} select {I}, ant, gr as g_re, gi as g_im from g2", "g_re g_im", 4)
 def stream_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each micro-batch of the table as a stream is solved by itself and stored under its number; without a limit on its files, a stream that takes what is there has one."""
-    path = f"{sf_dir}/lineitem.parquet"
-    # a stream's source is a folder, or a pattern, which may also meet a single file
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/lineitem.parque[t]")
+    return streamed_gains(spark, f"{sf_dir}/lineitem.parque[t]", f"{sf_dir}/lineitem.parquet")
+
+
+def streamed_gains(spark: SparkSession, source: str, like: str, files: int | None = None) -> DataFrame:
+    """Gains of a stream of files (a folder, or a pattern; columns as in the table like), however they fall into micro-batches, of so many files each: a batch leaves its sums by baseline and interval
+    under its number, the sums of all batches add up, and the iterations run on these."""
+    options = {"maxFilesPerTrigger": str(files)} if files else {}
+    stream = spark.readStream.schema(spark.read.parquet(like).schema).options(**options).parquet(source)
 
-    def solve(batch: DataFrame) -> DataFrame:
-        both = rebin.hermitian(rebin.good_bins(visibilities_of(batch), SLOT_DAYS))
-        h = gauss_newton.diagonal(written(gauss_newton.normal_sums(gauss_newton.intervals(both, T_INT, F_INT)), "sums"), 2)
-        return gauss_newton.last(h, 2).select("ti", "fi", "ant", "g_re", "g_im")
+    def sums(batch: DataFrame) -> DataFrame:
+        v = visibilities_of(batch).where("fl = 0").withColumn("t", F.floor(F.col("tslot") / SLOT_DAYS)).select("t", "chan", "ant1", "ant2", "re", "im", "mre", "mim", "w")
+        return gauss_newton.normal_sums(gauss_newton.intervals(rebin.hermitian(v), T_INT, F_INT))
 
     out = fresh_path(spark, "stream")
-    run = windows.solved(stream, solve, out, fresh_path(spark, "progress"))
-    run.awaitTermination()
-    return spark.read.parquet(out).select("ti", "fi", "ant", "g_re", "g_im")
+    windows.solved(stream, sums, out, fresh_path(spark, "progress")).awaitTermination()
+    parts = spark.read.parquet(out).groupBy("ti", "fi", "ant1", "ant2").agg(*[F.sum(c).alias(c) for c in ("z_re", "z_im", "v", "n")])
+    return gauss_newton.last(gauss_newton.diagonal(written(parts, "sums"), 2), 2).select("ti", "fi", "ant", "g_re", "g_im")

@@ -134,7 +134,10 @@ def chunk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scan", "tslot", F.col("chunk").cast("bigint").alias("chunk"))
 
 
-@query()
+CHUNK_STARTS = """with recursive {}, nx as (select a.g, a.x, min(b.x) as nxt from d a left join d b on b.g = a.g and b.x >= a.x + {} group by all), st as (select g, min(x) as s from d group by 1 union all select st.g, nx.nxt from st join nx on nx.g = st.g and nx.x = st.s where nx.nxt is not null)"""
+
+
+@query(CHUNK_STARTS.format(f"{VL}, d as (select distinct scan as g, tslot as x from vl)", 20) + " select d.g as scan, d.x as tslot, count(*) - 1 as chunk from d join st on st.g = d.g and st.s <= d.x group by all")
 def chunk_time_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebin.chunks_by_length(visibilities(spark, sf_dir).select("scan", "tslot").distinct(), ["scan"], "tslot", 20)
 
@@ -155,7 +158,7 @@ def freq_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis.withColumn("first", F.min("place").over(Window.partitionBy("ddid")))
 
 
-@query(f"with {VL} select chan, (chan // 3)::bigint as chunk from (select distinct chan from vl)")
+@query(CHUNK_STARTS.format(f"{VL}, d as (select distinct 0 as g, chan as x from vl)", 2.5) + " select d.x as chan, count(*) - 1 as chunk from d join st on st.s <= d.x group by all")
 def chunk_freq_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk begins 2.5 MHz or more after the one before began; channels are 1 MHz apart."""
     _, width = parse_bin("2.5MHz")
@@ -192,18 +195,29 @@ def rows_by_ddid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(F.min("tslot").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("label", F.concat(F.lit("D"), "ddid", F.lit("T"), "tchunk"))
 
 
-SPANS = "sp as (select l_orderkey as k, l_orderkey % 64 as g, min(date_diff('day', date '1995-01-01', cast(l_shipdate as date))) as lo, max(date_diff('day', date '1995-01-01', cast(l_shipdate as date))) as hi from lineitem group by 1), sq as (select *, lo + least(hi - lo, 3) as top from sp)"
+SPANS = "sp as (select l_orderkey as k, (l_orderkey // 2048)::bigint as g, min(date_diff('day', date '1995-01-01', cast(l_shipdate as date))) as lo, max(date_diff('day', date '1995-01-01', cast(l_shipdate as date))) as hi from lineitem group by 1), sq as (select *, lo + least(hi - lo, 3) as top from sp)"
 
 
 @query(f"with {SPANS}, r as (select *, max(top) over (partition by g order by lo, top rows between unbounded preceding and 1 preceding) as reach from sq), i as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by g order by lo, top rows unbounded preceding) as part from r) select g, min(lo) as first, max(top) as last, count(*) as n from i group by g, part")
 def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row chunks that overlap, by groups of 2048 orders."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
     s = li.groupBy(F.col("l_orderkey")).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    s = s.select((F.col("l_orderkey") % 64).alias("g"), "lo", (F.col("lo") + F.least(F.col("hi") - F.col("lo"), F.lit(3))).alias("hi"))
+    s = s.select(F.floor(F.col("l_orderkey") / 2048).alias("g"), "lo", (F.col("lo") + F.least(F.col("hi") - F.col("lo"), F.lit(3))).alias("hi"))
     return rebin.merged_spans(s, ["g"], "lo", "hi")
 
 
+@query(f"""with recursive {SPANS}, r as (select *, max(top) over (partition by g order by lo, top rows between unbounded preceding and 1 preceding) as reach from sq), i as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by g order by lo, top rows unbounded preceding) as part from r),
+ o as (select g, min(lo) as first, max(top) as last, count(*) as n, row_number() over (partition by g order by min(lo)) as i from i group by g, part), walk as (select g, i, n as have, 0::bigint as tile from o where i = 1
+ union all select o.g, o.i, case when have > 4 or have + o.n > 16 then o.n else have + o.n end, case when have > 4 or have + o.n > 16 then tile + 1 else tile end from walk join o on o.g = walk.g and o.i = walk.i + 1)
+ select g, tile, min(first) as first, max(last) as last, sum(n)::bigint as n, count(*) as merged from walk join o using (g, i) group by g, tile""")
+def tile_coarsen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles one after another are merged up to more than 4 chunks, never beyond 16."""
+    t = rebin.coarsened(tile_merge(spark, sf_dir), ["g"], "first", "n", 4, 16)
+    return t.groupBy("g", "tile").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("merged"))
+
+
 @query(f"with {VL}, {RB} select floor(t / 8)::bigint as chunk, min(t) as t_lo, max(t) as t_hi, min(chan) as f_lo, max(chan) as f_hi, count(*) as n from rb group by 1")
 def chunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir).groupBy(F.floor(F.col("t") / 8).alias("chunk"))

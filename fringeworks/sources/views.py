@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ANTS, SLOT_DAYS = 7, 30
 
 
-def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibilities_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+FIRST_DAY = date(1995, 1, 1)
+
+
+def visibilities(spark: SparkSession, sf_dir: str, days: tuple[int, int] | None = None, chans: tuple[int, int] | None = None) -> DataFrame:
+    """Bounds of days and channels, both ends included, are put to the table's own columns, so that they reach its scan."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if days:
+        lo, hi = (FIRST_DAY + timedelta(days=d) for d in (days[0], days[1] + 1))
+        li = li.where(f"l_shipdate >= timestamp_ntz'{lo}' and l_shipdate < timestamp_ntz'{hi}'")
+    if chans:
+        li = li.where(F.col("l_linenumber").between(chans[0] + 1, chans[1] + 1))
+    return visibilities_of(li)
 
 
 def visibilities_of(li: DataFrame) -> DataFrame:
     """Of lineitem, a table or a stream: tslot, chan, ant1 <= ant2, data re/im, weight w, model mre/mim, scan, flags fl, seq (the order of rows). Keys repeat: re-bin before dense use."""
     a, b = F.col("l_partkey") % ANTS, F.col("l_suppkey") % ANTS
-    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit(str(FIRST_DAY)).cast("date"))
     return li.select(
         day.cast("bigint").alias("tslot"), (F.col("l_linenumber") - 1).cast("bigint").alias("chan"), F.least(a, b).alias("ant1"), F.greatest(a, b).alias("ant2"), (F.col("l_extendedprice") / 1e4).alias("re"),
         (F.when(a > b, -1.0).otherwise(1.0) * F.col("l_discount") * 10).alias("im"), F.col("l_quantity").alias("w"), (F.col("l_extendedprice") / 1e4 * (1 - F.col("l_discount"))).alias("mre"), F.lit(0.0).alias("mim"),

@@ -1,10 +1,15 @@
-"""Streams give what batches give; planes against brute force."""
+"""Streams give what batches give; planes, chunks and tiles against brute force."""
+
+import random
 
 import numpy as np
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from fringeworks.functions.algebra import parse_models
 from fringeworks.operators import rebin, store
+from fringeworks.plans import solvers
 from fringeworks.streaming import windows
 
 
@@ -42,3 +47,55 @@ def test_chunks_by_length(spark):
 
 def test_models():
     assert parse_models("A+-B:C,1") == [[[(1, "A"), (-1, "B")], [(1, "C")]], [[(1, "1")]]]
+
+
+def test_greedy_chunks(spark):
+    """Chunks of random axes in several groups are those of a walk, also where one has a single time."""
+    rnd = random.Random(6)
+    rows = {g: sorted({rnd.randrange(400) for _ in range(rnd.choice([1, 5, 120]))}) for g in range(7)}
+    for length in (1, 7, 55.5):
+        want = {}
+        for g, times in rows.items():
+            start, k = times[0], 0
+            for x in times:
+                if x >= start + length:
+                    start, k = x, k + 1
+                want[g, x] = k
+        d = spark.createDataFrame([(g, x, "kept") for g, t in rows.items() for x in t], "g long, t long, more string").repartition(3)
+        got = rebin.chunks_by_length(d, ["g"], "t", length).collect()
+        assert {(r.g, r.t): r.chunk for r in got} == want and {r.more for r in got} == {"kept"}
+    assert rebin.chunks_by_length(d.limit(0), ["g"], "t", 5).count() == 0
+
+
+def test_coarse_tiles(spark):
+    rnd = random.Random(7)
+    rows = {g: [rnd.choice([1, 1, 2, 3, 9, 30]) for _ in range(rnd.choice([1, 4, 60]))] for g in range(6)}
+    for least, most in ((4, 16), (1, 3), (10, 10**6)):
+        want = {}
+        for g, sizes in rows.items():
+            have, k = sizes[0], 0
+            for i, n in enumerate(sizes):
+                if i:
+                    have, k = (n, k + 1) if have > least or have + n > most else (have + n, k)
+                want[g, i] = k
+        d = spark.createDataFrame([(g, i, n) for g, s in rows.items() for i, n in enumerate(s)], "g long, i long, n long")
+        assert {(r.g, r.i): r.tile for r in rebin.coarsened(d, ["g"], "i", "n", least, most).collect()} == want
+
+
+@pytest.mark.parametrize("files", [None, 1, 2])
+def test_solve_over_batches(spark, tmp_path, files):
+    """However a table's files fall into micro-batches, the gains are those of the table at once."""
+    table = spark.read.parquet(f"{SF}/lineitem.parquet")
+    table.repartition(3).write.parquet(str(tmp_path / "parts"))
+    got = solvers.streamed_gains(spark, str(tmp_path / "parts"), f"{SF}/lineitem.parquet", files).collect()
+    want = {(r.ti, r.fi, r.ant): (r.g_re, r.g_im) for r in solvers.streamed_gains(spark, f"{SF}/lineitem.parque[t]", f"{SF}/lineitem.parquet").collect()}
+    assert len(got) == len(want) and all(np.allclose((r.g_re, r.g_im), want[r.ti, r.fi, r.ant]) for r in got)
+
+
+def test_bounds_reach_the_scan(spark, capsys):
+    from fringeworks.plans import database
+
+    database.sel_single(spark, SF).explain("formatted")
+    shown = capsys.readouterr().out
+    pushed = next(line for line in shown.splitlines() if "PushedFilters" in line)
+    assert "l_shipdate" in pushed and "l_linenumber" in pushed
