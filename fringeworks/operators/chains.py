@@ -10,9 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cx import Cx, cx, polar
+from ..functions.cx import Cx, cx, polar, sandwich
 from ..sources.tables import written
-from .gauss_newton import KEY, diagonal
+from .gauss_newton import KEY, diagonal, element_sums, full_update, unit_elements
 
 # ---------------------------------------------------------------- several directions
 
@@ -224,3 +224,51 @@ def solve_until(sums: DataFrame, epsilon: float, delta: float, most: int, quorum
     for d in done:
         out = out.unionByName(d)
     return out.select(*KEY, "ant", "g_re", "g_im", F.col("rounds").cast("bigint").alias("rounds"), "state")
+
+
+# ---------------------------------------------------------------- robust fits
+
+#: Degrees of freedom that are tried.
+FREEDOMS = (2, 100)
+
+
+def digamma(x: Column) -> Column:
+    """For x > 0: six steps up, then the asymptotic series, whose error there is below 1e-8."""
+    up = x + 6
+    y = 1 / (up * up)
+    return F.log(up) - 0.5 / up - y * (1 / F.lit(12.0) - y * (1 / F.lit(120.0) - y / 252)) - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
+
+
+def student_weights(samples: DataFrame, g: DataFrame, freedoms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """samples (ti, fi, ant1, ant2, d, m, ...) with u: weights of a Student-t distribution of the residuals under 2 x 2 gains, of mean 1 in each interval, where v (of freedoms: ti, fi, v) are its
+    degrees of freedom and the variances of the four elements are those of the interval; and the freedoms that fit these weights best."""
+    wide = g.groupBy(*KEY, "ant").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(f"g_{c}"))).alias(f"g{i}{j}_{c}") for i in (0, 1) for j in (0, 1) for c in ("re", "im")])
+    names = [f"g{i}{j}_{c}" for i in (0, 1) for j in (0, 1) for c in ("re", "im")]
+    x = _ends(samples, wide, names)
+    mat = lambda end: tuple(tuple(cx(f"{end}_g{i}{j}_re", f"{end}_g{i}{j}_im") for j in (0, 1)) for i in (0, 1))
+    cell = lambda c, k: cx(F.col(c)[k]["re"], F.col(c)[k]["im"])
+    made = sandwich(mat("p"), ((cell("m", 0), cell("m", 1)), (cell("m", 2), cell("m", 3))), mat("q"))
+    x = x.withColumns({f"_r{k}": (cell("d", k) - made[k // 2][k % 2]).abs2() for k in range(4)}).drop(*[f"{end}_{n}" for end in "pq" for n in names])
+    x = written(x, "residuals")
+    by = x.groupBy(*KEY).agg(*[F.greatest(F.avg(f"_r{k}"), F.lit(1e-12)).alias(f"_c{k}") for k in range(4)]).join(freedoms, list(KEY))
+    x = x.join(by, list(KEY))
+    x = x.withColumn("u", (F.col("v") + 4) / (F.col("v") + sum((F.col(f"_r{k}") / F.col(f"_c{k}") for k in range(1, 4)), F.col("_r0") / F.col("_c0"))))
+    mean = x.groupBy(*KEY, "v").agg(F.avg("u").alias("_u"), F.avg(F.log("u") - F.col("u")).alias("_l"))
+    k, half = F.col("k").cast("double"), (F.col("v") + 4) / 2
+    cost = F.abs(F.log(k / 2) - digamma(k / 2) + F.col("_l") + 1 + digamma(half) - F.log(half))
+    tried = mean.withColumn("k", F.explode(F.sequence(*map(F.lit, FREEDOMS))))
+    # rounded, so that freedoms that are as good as each other don't hang on the order of sums
+    best = tried.groupBy(*KEY).agg(F.min_by(k, F.struct(F.round(cost, 9), k)).alias("v"))
+    out = x.join(mean.select(*KEY, "_u"), list(KEY)).withColumn("u", F.col("u") / F.col("_u"))
+    return out.drop("v", "_u", *[f"_{c}{k}" for c in "rc" for k in range(4)]), written(best, "freedoms")
+
+
+def robust(samples: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """2 x 2 gains (ti, fi, ant, i, j, g_re, g_im) and freedoms (ti, fi, v): in each round samples (from both ends, as for element_sums) get weights by their residuals, element sums are formed with
+    these, and gains take one step. A round reads the samples once and leaves rows of baselines."""
+    g = unit_elements(samples)
+    freedoms = samples.select(*KEY).distinct().withColumn("v", F.lit(float(FREEDOMS[0])))
+    for n in range(1, rounds + 1):
+        weighted, freedoms = student_weights(samples, g, freedoms)
+        g = full_update(*element_sums(weighted.withColumn("w", F.col("w") * F.col("u"))), g, n)
+    return g.drop("n"), freedoms

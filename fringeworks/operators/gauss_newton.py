@@ -6,7 +6,9 @@ Histories have rows (k, ti, fi, ant, ...): k = 0 are the unit gains that iterati
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cx import cx, polar
@@ -75,49 +77,63 @@ def phases(sums: DataFrame, iterations: int) -> DataFrame:
 
 def element_sums(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of samples from both ends with d and m as arrays of four (re, im) structs (00, 01, 10, 11), ti and fi: sums over a baseline's samples of w d_ik conj(m_jl), rows (i, k, j, l),
-    and of w m_il conj(m_js), rows (i, l, j, s)."""
+    and of w m_il conj(m_js), rows (i, l, j, s). Samples stay single rows: all products are columns of one aggregate, and become rows of baselines after it."""
 
-    def products(x: str, y: str, names: tuple[str, ...]) -> DataFrame:
-        cells = []
-        for a in range(4):
-            for b in range(4):
-                p = cx(F.col(x)[a]["re"], F.col(x)[a]["im"]) * cx(F.col(y)[b]["re"], F.col(y)[b]["im"]).conj()
-                cells.append(F.struct(*[F.lit(v).alias(n) for v, n in zip((a // 2, a % 2, b // 2, b % 2), names, strict=True)], (F.col("w") * p.re).alias("re"), (F.col("w") * p.im).alias("im")))
-        long = samples.select(*KEY, "ant1", "ant2", F.explode(F.array(*cells)).alias("x")).select(*KEY, "ant1", "ant2", "x.*")
-        return long.groupBy(*KEY, "ant1", "ant2", *names).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    def total(x: str, a: int, y: str, b: int) -> Column:
+        p = cx(F.col(x)[a]["re"], F.col(x)[a]["im"]) * cx(F.col(y)[b]["re"], F.col(y)[b]["im"]).conj()
+        return F.struct(F.sum(F.col("w") * p.re).alias("re"), F.sum(F.col("w") * p.im).alias("im"))
 
-    return written(products("d", "m", ("i", "k", "j", "l")), "dm"), written(products("m", "m", ("i", "l", "j", "s")), "mm")
+    pairs = [(a, b) for a in range(4) for b in range(4)]
+    wide = samples.groupBy(*KEY, "ant1", "ant2").agg(*[total("d", a, "m", b).alias(f"d{a}{b}") for a, b in pairs], *[total("m", a, "m", b).alias(f"m{a}{b}") for a, b in pairs if a <= b])
+    wide = written(wide, "elements")
 
+    def rows(cell: Callable[[int, int], tuple[Column, Column]], names: tuple[str, ...]) -> DataFrame:
+        cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (a // 2, a % 2, b // 2, b % 2), strict=True)], *[x.alias(n) for n, x in zip(("re", "im"), cell(a, b), strict=True)]) for a, b in pairs]
+        return wide.select(*KEY, "ant1", "ant2", F.explode(F.array(*cells)).alias("x")).select(*KEY, "ant1", "ant2", "x.*")
 
-def full(dm: DataFrame, mm: DataFrame, iterations: int, leakage: bool = False) -> DataFrame:
-    """History of 2 x 2 gains (with leakage, of those with a unit diagonal), elements as rows (i, j, g_re, g_im): JHR = sum D G_q M_qp, JHJ = sum (G_q M_qp)^H (G_q M_qp), update JHR JHJ^-1, even iterations the mean with the one before."""
+    at = lambda n: (F.col(n)["re"], F.col(n)["im"])
+    mm = lambda a, b: at(f"m{a}{b}") if a <= b else (F.col(f"m{b}{a}")["re"], -F.col(f"m{b}{a}")["im"])
+    return rows(lambda a, b: at(f"d{a}{b}"), ("i", "k", "j", "l")), rows(mm, ("i", "l", "j", "s"))
+
+
+def unit_elements(rows: DataFrame) -> DataFrame:
+    """Unit 2 x 2 gains of each interval and antenna (ant1) of rows: (ti, fi, ant, n, i, j, g_re, g_im), n = 0."""
     unit = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(i == j)).alias("g_re"), F.lit(0.0).alias("g_im")) for i in (0, 1) for j in (0, 1)]
-    g = dm.select(*KEY, F.col("ant1").alias("ant")).distinct().select(*KEY, "ant", F.lit(0).alias("n"), F.explode(F.array(*unit)).alias("x")).select(*KEY, "ant", "n", "x.*")
-    out = g
+    return rows.select(*KEY, F.col("ant1").alias("ant")).distinct().select(*KEY, "ant", F.lit(0).alias("n"), F.explode(F.array(*unit)).alias("x")).select(*KEY, "ant", "n", "x.*")
+
+
+def full_update(dm: DataFrame, mm: DataFrame, g: DataFrame, n: int, leakage: bool = False) -> DataFrame:
+    """2 x 2 gains of round n from those before: JHR = sum D G_q M_qp, JHJ = sum (G_q M_qp)^H (G_q M_qp), update JHR JHJ^-1, even rounds the mean with the one before."""
     by = [*KEY, "ant1"]
+    el = lambda a, b, c, d: g.select(*KEY, F.col("ant").alias("ant2"), F.col("i").alias(a), F.col("j").alias(b), F.col("g_re").alias(c), F.col("g_im").alias(d))
+    # (G_q M_qp)_kj = sum_l G_kl conj(M_jl)
+    r = cx("re", "im") * cx("g_re", "g_im")
+    jhr = dm.join(el("k", "l", "g_re", "g_im"), [*KEY, "ant2", "k", "l"]).groupBy(*by, "i", "j").agg(F.sum(r.re).alias("re"), F.sum(r.im).alias("im"))
+    # conj((G M^H)_ki) (G M^H)_kj = conj(G_kl) G_ks m_il conj(m_js)
+    h = cx("re", "im") * cx("a_re", "a_im").conj() * cx("b_re", "b_im")
+    jhj = mm.join(el("k", "l", "a_re", "a_im"), [*KEY, "ant2", "l"]).join(el("k", "s", "b_re", "b_im"), [*KEY, "ant2", "k", "s"]).groupBy(*by, "i", "j").agg(F.sum(h.re).alias("re"), F.sum(h.im).alias("im"))
+    wide = lambda x, tag: x.groupBy(*by).agg(*[F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c))).alias(f"{tag}{i}{j}_{c}") for i in (0, 1) for j in (0, 1) for c in ("re", "im")])
+    both = wide(jhr, "r").join(wide(jhj, "h"), by)
+    e = lambda tag, i, j: cx(f"{tag}{i}{j}_re", f"{tag}{i}{j}_im")
+    det = e("h", 0, 0) * e("h", 1, 1) - e("h", 0, 1) * e("h", 1, 0)
+    inverse = ((e("h", 1, 1), -e("h", 0, 1)), (-e("h", 1, 0), e("h", 0, 0)))
+    cells = []
+    for i in (0, 1):
+        for j in (0, 1):
+            u = (e("r", i, 0) * inverse[0][j] + e("r", i, 1) * inverse[1][j]).over(det)
+            u = cx(F.lit(1.0), F.lit(0.0)) if leakage and i == j else u
+            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), u.re.alias("u_re"), u.im.alias("u_im")))
+    new = both.where(det.abs2() > 0).select(*KEY, F.col("ant1").alias("ant"), F.explode(F.array(*cells)).alias("x")).select(*KEY, "ant", "x.*")
+    half = 0.5 if n % 2 == 0 else 0.0
+    mean = lambda c: (F.col(f"u_{c}") * (1 - half) + F.col(f"g_{c}") * half).alias(f"g_{c}")
+    return written(new.join(g.drop("n"), [*KEY, "ant", "i", "j"]).select(*KEY, "ant", F.lit(n).alias("n"), "i", "j", mean("re"), mean("im")), "gains")
+
+
+def full(dm: DataFrame, mm: DataFrame, iterations: int, leakage: bool = False) -> DataFrame:
+    """History of 2 x 2 gains (with leakage, of those with a unit diagonal), elements as rows (i, j, g_re, g_im)."""
+    g = out = unit_elements(dm)
     for n in range(1, iterations + 1):
-        el = lambda a, b, c, d: g.select(*KEY, F.col("ant").alias("ant2"), F.col("i").alias(a), F.col("j").alias(b), F.col("g_re").alias(c), F.col("g_im").alias(d))
-        # (G_q M_qp)_kj = sum_l G_kl conj(M_jl)
-        r = cx("re", "im") * cx("g_re", "g_im")
-        jhr = dm.join(el("k", "l", "g_re", "g_im"), [*KEY, "ant2", "k", "l"]).groupBy(*by, "i", "j").agg(F.sum(r.re).alias("re"), F.sum(r.im).alias("im"))
-        # conj((G M^H)_ki) (G M^H)_kj = conj(G_kl) G_ks m_il conj(m_js)
-        h = cx("re", "im") * cx("a_re", "a_im").conj() * cx("b_re", "b_im")
-        jhj = mm.join(el("k", "l", "a_re", "a_im"), [*KEY, "ant2", "l"]).join(el("k", "s", "b_re", "b_im"), [*KEY, "ant2", "k", "s"]).groupBy(*by, "i", "j").agg(F.sum(h.re).alias("re"), F.sum(h.im).alias("im"))
-        wide = lambda x, tag: x.groupBy(*by).agg(*[F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c))).alias(f"{tag}{i}{j}_{c}") for i in (0, 1) for j in (0, 1) for c in ("re", "im")])
-        both = wide(jhr, "r").join(wide(jhj, "h"), by)
-        e = lambda tag, i, j: cx(f"{tag}{i}{j}_re", f"{tag}{i}{j}_im")
-        det = e("h", 0, 0) * e("h", 1, 1) - e("h", 0, 1) * e("h", 1, 0)
-        inverse = ((e("h", 1, 1), -e("h", 0, 1)), (-e("h", 1, 0), e("h", 0, 0)))
-        cells = []
-        for i in (0, 1):
-            for j in (0, 1):
-                u = (e("r", i, 0) * inverse[0][j] + e("r", i, 1) * inverse[1][j]).over(det)
-                u = cx(F.lit(1.0), F.lit(0.0)) if leakage and i == j else u
-                cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), u.re.alias("u_re"), u.im.alias("u_im")))
-        new = both.where(det.abs2() > 0).select(*KEY, F.col("ant1").alias("ant"), F.explode(F.array(*cells)).alias("x")).select(*KEY, "ant", "x.*")
-        half = 0.5 if n % 2 == 0 else 0.0
-        g = new.join(g.drop("n"), [*KEY, "ant", "i", "j"]).select(*KEY, "ant", F.lit(n).alias("n"), "i", "j", (F.col("u_re") * (1 - half) + F.col("g_re") * half).alias("g_re"), (F.col("u_im") * (1 - half) + F.col("g_im") * half).alias("g_im"))
-        g = written(g, "gains")
+        g = full_update(dm, mm, g, n, leakage)
         out = out.unionByName(g)
     return out
 

@@ -12,7 +12,7 @@ from ..sources.tables import written
 from ..sources.views import VL
 from .queries import BOTH, RB, cells
 from .registry import query
-from .solvers import F_INT, SUMS, T_INT, _full_rounds, _samples, elements
+from .solvers import ELEMENTS, F_INT, SUMS, T_INT, _full_rounds, _samples, element_samples, elements, full_round
 from .tiles import KEY, SAMPLE
 
 BASE = f"{VL}, {RB}, {BOTH}"
@@ -177,6 +177,39 @@ def solve_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im")
 
 
+# ---------------------------------------------------------------- robust fits
+
+ROBUST_ROUNDS = 2
+
+
+def _digamma(x: str) -> str:
+    return f"(ln({x} + 6) - 0.5 / ({x} + 6) - 1 / (({x} + 6) * ({x} + 6)) * (1 / 12.0::double - 1 / (({x} + 6) * ({x} + 6)) * (1 / 120.0::double - 1 / (({x} + 6) * ({x} + 6)) / 252)) - ({' + '.join(f'1 / ({x} + {i})' for i in range(6))}))"
+
+
+def _robust_sql(rounds: int) -> str:
+    out = f"{ELEMENTS}, v0 as (select distinct ti, fi, 2.0::double as v from e)"
+    for k in range(1, rounds + 1):
+        key, g = "ti, fi, t, chan, ant1, ant2", f"g{k - 1}"
+        out += f""", rs{k} as materialized (select e.ti, e.fi, e.t, e.chan, e.ant1, e.ant2, p.i, q.i as j, sum((p.gr * mr - p.gi * mi) * q.gr + (p.gr * mi + p.gi * mr) * q.gi) as kr, sum((p.gr * mi + p.gi * mr) * q.gr - (p.gr * mr - p.gi * mi) * q.gi) as ki
+ from e join {g} p on p.ti = e.ti and p.fi = e.fi and p.ant = e.ant1 and p.j = e.i join {g} q on q.ti = e.ti and q.fi = e.fi and q.ant = e.ant2 and q.j = e.j group by all),
+ sq{k} as materialized (select {key}, i, j, (re - kr) * (re - kr) + (im - ki) * (im - ki) as r2 from e join rs{k} using ({key}, i, j)), cv{k} as (select ti, fi, i, j, greatest(avg(r2), 1e-12::double) as c from sq{k} group by all),
+ su{k} as materialized (select {key}, any_value(v) as v, (any_value(v) + 4) / (any_value(v) + sum(r2 / c)) as u from sq{k} join cv{k} using (ti, fi, i, j) join v{k - 1} using (ti, fi) group by all),
+ mw{k} as (select ti, fi, avg(u) as mu, avg(ln(u) - u) as ml, any_value(v) as v from su{k} group by all),
+ v{k} as materialized (select ti, fi, arg_min(f, cost * 1e6::double + f / 1e6::double) as v from (select ti, fi, f, round(abs(ln(f / 2) - {_digamma("(f / 2)")} + ml + 1 + {_digamma("((v + 4) / 2)")} - ln((v + 4) / 2)), 9) as cost from mw{k}, (select unnest(range(2, 101))::double as f)) group by all),
+ we{k} as materialized (select e.* exclude (w), w * u / mu as w from e join su{k} using ({key}) join mw{k} using (ti, fi)),
+ dm{k} as materialized (select d.ti, d.fi, d.ant1, d.ant2, d.i, d.j as k, m.i as j, m.j as l, sum(d.w * (d.re * m.mr + d.im * m.mi)) as re, sum(d.w * (d.im * m.mr - d.re * m.mi)) as im from we{k} d join we{k} m using (t, chan, ant1, ant2) group by all),
+ mm{k} as materialized (select d.ti, d.fi, d.ant1, d.ant2, d.i, d.j as l, m.i as j, m.j as s, sum(d.w * (d.mr * m.mr + d.mi * m.mi)) as re, sum(d.w * (d.mi * m.mr - d.mr * m.mi)) as im from we{k} d join we{k} m using (t, chan, ant1, ant2) group by all)"""
+        out += full_round(k, f"dm{k}", f"mm{k}")
+    return out
+
+
+@query(f"with {_robust_sql(ROBUST_ROUNDS)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im, v as freedoms from g{ROBUST_ROUNDS} join v{ROBUST_ROUNDS} using (ti, fi)", "g_re g_im", 4)
+def solve_robust_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2 x 2 gains under Student-t weights, and the degrees of freedom of each interval."""
+    g, v = chains.robust(element_samples(spark, sf_dir), ROBUST_ROUNDS)
+    return g.join(v, ["ti", "fi"]).select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im", F.col("v").alias("freedoms"))
+
+
 # ---------------------------------------------------------------- a loop that stops by itself
 
 MOST, EPSILON, DELTA = 6, 0.02, 0.02

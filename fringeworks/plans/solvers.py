@@ -81,16 +81,15 @@ ELEMENTS = f"""{VL}, {RB}, {VC}, x as (select floor(t / {T_INT})::bigint as ti,
  g0 as (select distinct ti, fi, ant1 as ant, i, j, (i = j)::int::double as gr, 0.0::double as gi from e)"""
 
 
-def _full_rounds(n: int, leakage: bool = False) -> str:
-    out = ELEMENTS
-    for k in range(1, n + 1):
-        half = "(u.ur + g.gr) / 2 as gr, (u.ui + g.gi) / 2 as gi" if k % 2 == 0 else "u.ur as gr, u.ui as gi"
-        if leakage:
-            half = f"case when u.i = u.j then 1 else {half.split(' as gr')[0]} end as gr, case when u.i = u.j then 0 else {half.split(', ')[1].split(' as gi')[0]} end as gi"
-        at = lambda t, c, i, j: f"max({c}) filter (i = {i} and j = {j}) as {t}{i}{j}{c}"
-        wide = lambda t: ", ".join(at(t, c, i, j) for i in (0, 1) for j in (0, 1) for c in ("re", "im"))
-        out += f""", r{k} as (select a.ti, a.fi, ant1 as ant, a.i, a.j, sum(re * gr - im * gi) as re, sum(re * gi + im * gr) as im from dm a join g{k - 1} g on g.ti = a.ti and g.fi = a.fi and g.ant = a.ant2 and g.i = a.k and g.j = a.l group by all),
- h{k} as (select a.ti, a.fi, ant1 as ant, a.i, a.j, sum((a.re * p.gr + a.im * p.gi) * q.gr - (a.im * p.gr - a.re * p.gi) * q.gi) as re, sum((a.re * p.gr + a.im * p.gi) * q.gi + (a.im * p.gr - a.re * p.gi) * q.gr) as im from mm a
+def full_round(k: int, dm: str = "dm", mm: str = "mm", leakage: bool = False) -> str:
+    """Round k of 2 x 2 gains, from g{k - 1} and the names of element sums."""
+    half = "(u.ur + g.gr) / 2 as gr, (u.ui + g.gi) / 2 as gi" if k % 2 == 0 else "u.ur as gr, u.ui as gi"
+    if leakage:
+        half = f"case when u.i = u.j then 1 else {half.split(' as gr')[0]} end as gr, case when u.i = u.j then 0 else {half.split(', ')[1].split(' as gi')[0]} end as gi"
+    at = lambda t, c, i, j: f"max({c}) filter (i = {i} and j = {j}) as {t}{i}{j}{c}"
+    wide = lambda t: ", ".join(at(t, c, i, j) for i in (0, 1) for j in (0, 1) for c in ("re", "im"))
+    out = f""", r{k} as (select a.ti, a.fi, ant1 as ant, a.i, a.j, sum(re * gr - im * gi) as re, sum(re * gi + im * gr) as im from {dm} a join g{k - 1} g on g.ti = a.ti and g.fi = a.fi and g.ant = a.ant2 and g.i = a.k and g.j = a.l group by all),
+ h{k} as (select a.ti, a.fi, ant1 as ant, a.i, a.j, sum((a.re * p.gr + a.im * p.gi) * q.gr - (a.im * p.gr - a.re * p.gi) * q.gi) as re, sum((a.re * p.gr + a.im * p.gi) * q.gi + (a.im * p.gr - a.re * p.gi) * q.gr) as im from {mm} a
  join g{k - 1} p on p.ti = a.ti and p.fi = a.fi and p.ant = a.ant2 and p.j = a.l join g{k - 1} q on q.ti = a.ti and q.fi = a.fi and q.ant = a.ant2 and q.i = p.i and q.j = a.s group by all),
  w{k} as (select * from (select ti, fi, ant, {wide("r")} from r{k} group by all) join (select ti, fi, ant, {wide("h")} from h{k} group by all) using (ti, fi, ant)),
  t{k} as (select *, h00re * h11re - h00im * h11im - h01re * h10re + h01im * h10im as dr, h00re * h11im + h00im * h11re - h01re * h10im - h01im * h10re as di from w{k}),
@@ -102,8 +101,12 @@ def _full_rounds(n: int, leakage: bool = False) -> str:
     return out
 
 
-def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The model of the off-diagonals gets a share of the data, as one of zero leaves JHJ diagonal."""
+def _full_rounds(n: int, leakage: bool = False) -> str:
+    return ELEMENTS + "".join(full_round(k, leakage=leakage) for k in range(1, n + 1))
+
+
+def element_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with all their correlations from both ends. The model of the off-diagonals gets a share of the data, as one of zero leaves JHJ diagonal."""
     c = gauss_newton.intervals(corrs(spark, sf_dir).where("ant1 <> ant2"), T_INT, F_INT)
     model = F.col("mre") + F.when(F.col("corr").isin(1, 2), 0.05 * F.col("re")).otherwise(0.0)
     at = lambda re, im, k: F.struct(F.max(F.when(F.col("corr") == k, re)).alias("re"), F.max(F.when(F.col("corr") == k, im)).alias("im"))
@@ -111,7 +114,11 @@ def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = c.groupBy("ti", "fi", *SAMPLE).agg(cells_(F.col("re"), F.col("im")).alias("d"), cells_(model, F.lit(0.0)).alias("m"), F.max("w").alias("w"))
     turned = lambda a: F.array(*[F.struct(F.col(a)[k]["re"].alias("re"), (-F.col(a)[k]["im"]).alias("im")) for k in (0, 2, 1, 3)])
     back = s.select("ti", "fi", "t", "chan", F.col("ant2").alias("ant1"), F.col("ant1").alias("ant2"), turned("d").alias("d"), turned("m").alias("m"), "w")
-    return gauss_newton.element_sums(s.unionByName(back))
+    return s.unionByName(back)
+
+
+def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return gauss_newton.element_sums(element_samples(spark, sf_dir))
 
 
 @query(f"with {_full_rounds(2)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im from g2", "g_re g_im", 5)

@@ -1,4 +1,4 @@
-"""Robust fits of dense chunks; tests hold them in closed loops. Other fits are joins and sums, see solvers and fits."""
+"""A robust chain of dense chunks; tests hold it in closed loops. Other fits are joins and sums, see solvers and fits."""
 
 from __future__ import annotations
 
@@ -15,11 +15,6 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrs(spark, sf_dir).where("ant1 <> ant2").withColumn("chunk", F.floor(F.col("t") / 8))
 
 
-@query()
-def solve_robust_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.solve_chain(chunks(spark, sf_dir), [Term("full", robust=True)], [20])
-
-
 @query()
 def solve_chain_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.solve_chain(chunks(spark, sf_dir), [Term("diag", 1, 0, True), Term("full", 0, 0, True)], [10, 10, 10, 10])

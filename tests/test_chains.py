@@ -118,3 +118,47 @@ def test_active_intervals(spark):
     noisy = gauss_newton.normal_sums(noisy).join(noisy.groupBy("ti", "fi", "ant1", "ant2").agg(F.sum(cx("re", "im").abs2()).alias("dd")), ["ti", "fi", "ant1", "ant2"])
     assert {r.state for r in chains.solve_until(noisy, 1e-9, 0.01, 20).collect()} == {"stalled"}
     assert chains.solve_until(sums.limit(0), 1e-5, 0.01, 3).count() == 0
+
+
+def test_digamma(spark):
+    known = {0.5: -1.9635100260214235, 1.0: -0.5772156649015329, 3.0: 0.9227843350984671, 52.0: sum(1 / i for i in range(1, 52)) - 0.5772156649015329}
+    for x, y in known.items():
+        assert abs(spark.range(1).select(chains.digamma(F.lit(x))).first()[0] - y) < 1e-8
+
+
+def test_robust(spark):
+    """Outliers lose weight: gains are far nearer to the true ones than those of a plain fit, and the freedoms are few where there are outliers and many where there are none."""
+    rng = np.random.default_rng(6)
+    true = [np.eye(2) + 0.1 * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2))) for _ in range(ANTS)]
+    cell = lambda x: [(float(v.real), float(v.imag)) for v in x.reshape(-1)]
+    noise = lambda s: s * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2)))
+    rows, made, bad = [], [], set()
+    for ti in (0, 1):
+        for s in range(25):
+            for p in range(ANTS):
+                for q in range(p + 1, ANTS):
+                    m = np.eye(2) + noise(0.3)
+                    d = true[p] @ m @ true[q].conj().T
+                    made.append((p, q, m, d))
+                    wild = ti == 0 and rng.random() < 0.06
+                    if wild:
+                        bad.add((s, p, q))
+                    d = d + noise(3.0 if wild else 0.01)
+                    rows += [(ti, 0, s, p, q, cell(d), cell(m), 1.0), (ti, 0, s, q, p, cell(d.conj().T), cell(m.conj().T), 1.0)]
+    samples = spark.createDataFrame(rows, "ti bigint, fi bigint, s bigint, ant1 bigint, ant2 bigint, d array<struct<re:double,im:double>>, m array<struct<re:double,im:double>>, w double").repartition(4).cache()
+
+    def misfit(g, ti):
+        got = {p: np.zeros((2, 2), complex) for p in range(ANTS)}
+        for r in g:
+            if r.ti == ti:
+                got[r.ant][r.i, r.j] = complex(r.g_re, r.g_im)
+        return np.median([np.abs(got[p] @ m @ got[q].conj().T - d).max() for p, q, m, d in made])
+
+    g, v = chains.robust(samples, 8)
+    plain = gauss_newton.last(gauss_newton.full(*gauss_newton.element_sums(samples), 8), 8, "n").collect()
+    robust, free = g.collect(), {r.ti: r.v for r in v.collect()}
+    assert misfit(robust, 0) < 0.3 * misfit(plain, 0) and misfit(robust, 1) < 1.5 * misfit(plain, 1) + 1e-3
+    assert free[0] <= 4 < free[1]
+    weighted = chains.student_weights(samples, g, v)[0].where("ti = 0 and ant1 < ant2").select("s", "ant1", "ant2", "u").collect()
+    wild = [r.u for r in weighted if (r.s, r.ant1, r.ant2) in bad]
+    assert max(wild) < 0.1 and abs(np.mean([r.u for r in weighted]) - 1) < 0.05
