@@ -7,6 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def hulls(points: DataFrame, width: int = 256) -> DataFrame:
+    """id, k, x, y: the convex outline of each id's points (id, x, y; whole numbers, in any order, repeated or in a line), anticlockwise from the lowest of its leftmost ones. Of each column the lowest and
+    the highest point are kept, before any shuffle; strips of so many columns become outlines of their own by a monotone chain, folded over sorted arrays, and these outlines' points once more."""
+
+    def chain(sorted_: Column, sign: int) -> Column:
+        """Points that turn one way only: a new one takes away those at the end that would turn the other way, or not at all."""
+
+        def put(kept: Column, p: Column) -> Column:
+            def stays(s: Column, k: Column) -> Column:
+                o = F.get(kept, k - 1)
+                return (k == 0) | (sign * ((s["x"] - o["x"]) * (p["y"] - o["y"]) - (s["y"] - o["y"]) * (p["x"] - o["x"])) > 0)
+
+            return F.concat(F.filter(kept, stays), F.array(p))
+
+        return F.aggregate(sorted_, F.array().cast("array<struct<x:bigint,y:bigint>>"), put)
+
+    columns = points.groupBy("id", F.col("x").cast("bigint").alias("x")).agg(F.min("y").cast("bigint").alias("lo"), F.max("y").cast("bigint").alias("hi"))
+    at = lambda y: F.sort_array(F.collect_list(F.struct("x", F.col(y).alias("y"))))
+    strips = columns.groupBy("id", F.floor(F.col("x") / width).alias("strip")).agg(at("lo").alias("low"), at("hi").alias("high"))
+    strips = strips.select("id", chain(F.col("low"), 1).alias("low"), chain(F.col("high"), -1).alias("high"))
+    whole = strips.groupBy("id").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("low", "high")])
+    around = F.array_distinct(F.concat(chain(F.col("low"), 1), F.reverse(chain(F.col("high"), -1))))
+    return whole.select("id", F.posexplode(around).alias("k", "p")).select("id", F.col("k").cast("bigint").alias("k"), "p.x", "p.y")
+
+
 def edges(hull: DataFrame) -> DataFrame:
     """id, k, x, y, x2, y2, nx, ny: each edge and its normal towards the inside of an anticlockwise outline."""
     order = Window.partitionBy("id").orderBy("k")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..sources.tables import fresh_path
 from ..streaming import windows
 from .queries import _grid, _solutions
 from .registry import query
@@ -28,6 +29,16 @@ def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("ant", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "n")
 
 
+@query("select chan, epoch_us(time_bucket(interval 30 day, l_shipdate, timestamp '1970-01-01')) as start, count(*) as n, count(*) filter (l_returnflag = 'R') as flagged from (select *, (l_linenumber - 1)::bigint as chan from lineitem) group by all")
+def stream_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts of flags by channel and 30 days, over the table as a stream; no row comes later than the watermark allows."""
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema).parquet(f"{sf_dir}/lineitem.parque[t]")
+    rows = stream.select(F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_linenumber") - 1).cast("bigint").alias("chan"), (F.col("l_returnflag") == "R").alias("flag"))
+    path = fresh_path(spark, "running")
+    windows.running(rows, "ts", "30 days", "3650 days", ["chan"], path, fresh_path(spark, "progress"), flagged=F.count_if("flag")).awaitTermination()
+    return windows.current(spark, path, ["chan"]).select("chan", F.unix_micros("start").alias("start"), "n", "flagged")
+
+
 @query(doubles="value")
 def reinterpolate_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.interpolated_plane(_grid(spark, sf_dir), _solutions(spark, sf_dir), ["ant"], ("time", "chan"))

@@ -72,6 +72,23 @@ def predict_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.predicted(v, cat, ["t", "chan", "ant1", "ant2"])
 
 
+_STOKES = (("i", "flux"), ("q", "0.1::double * flux * (n % 3)"), ("u", "-0.05::double * flux * (cl % 4)"), ("v", "0.02::double * flux"))
+
+
+@query(f"""with {VL}, {RB}, {SRC}, {LM}, {CL}, v as (select *, 10.0::double * (ant2 - ant1) as u, 5.0::double * (t % 10) as v, 2.0::double * ant1 as w_m, 1e9::double + chan * 1e7::double as freq from rb), s as (select (cm % 2 + 2) % 2 as dir, l, m, alpha, {", ".join(f"{x} as s{c}" for c, x in _STOKES)} from cl),
+ p as (select v.*, s.*, -2 * pi() * (u * l + v * m + w_m * (sqrt(1 - l * l - m * m) - 1)) * freq / 299792458.0::double as ph, pow(freq / 1e9::double, alpha) as a from v, s),
+ x as (select t, chan, ant1, ant2, dir, {", ".join(f"sum(s{c} * a * cos(ph)) as {c}r, sum(s{c} * a * sin(ph)) as {c}i" for c in "iquv")} from p group by all)
+ select t, chan, ant1, ant2, dir, 0::bigint as corr, ir + qr as m_re, ii + qi as m_im from x union all select t, chan, ant1, ant2, dir, 1, ur - vi, ui + vr from x
+ union all select t, chan, ant1, ant2, dir, 2, ur + vi, ui - vr from x union all select t, chan, ant1, ant2, dir, 3, ir - qr, ii - qi from x""", "m_re m_im", 3)
+def predict_stokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polarised sky in two directions, as linear feeds see it."""
+    cat = predict.clusters(sources(spark, sf_dir), 0.02)
+    flux = F.col("flux")
+    cat = cat.withColumns({"i": flux, "q": 0.1 * flux * (F.col("n") % 3), "u": -0.05 * flux * (F.floor(F.col("l") / 0.02) % 4), "v": 0.02 * flux, "lx": F.lit(0.0), "mx": F.lit(0.0), "ratio": F.lit(1.0), "dir": F.pmod(F.floor(F.col("m") / 0.02), F.lit(2))})
+    v = cells(spark, sf_dir).withColumns({"u": 10.0 * (F.col("ant2") - F.col("ant1")), "v": 5.0 * (F.col("t") % 10), "w_m": 2.0 * F.col("ant1"), "freq": 1e9 + F.col("chan") * 1e7})
+    return predict.predicted_brightness(v, cat, ["t", "chan", "ant1", "ant2"])
+
+
 # ---------------------------------------------------------------- angles and Jones
 
 
@@ -136,6 +153,21 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("id", F.explode(F.array(corner(0, x, y), corner(1, x + a, y + 1), corner(2, x + a, y + b + 1), corner(3, x, y + b))).alias("c")).select("id", "c.*")
 
 
+#: Each part's nine points in no order, some of them equal or in a line.
+POINTS = "pt as (select p_partkey as id, p_partkey * 7 % 400 + (j * 5 + p_partkey) % 9 as x, p_partkey * 13 % 300 + (j * j * 3 + p_partkey * j) % 7 as y from part, (select unnest(range(9)) as j))"
+
+
+@query(f"""with {POINTS}, d as (select distinct * from pt), pair as (select a.id, a.x, a.y, b.x as x2, b.y as y2 from d a join d b on a.id = b.id and (a.x <> b.x or a.y <> b.y)),
+ s as (select pair.*, (x2 - pair.x) * (c.y - pair.y) - (y2 - pair.y) * (c.x - pair.x) as side, (c.x - pair.x) * (c.x - x2) + (c.y - pair.y) * (c.y - y2) as along from pair join d c using (id))
+ select id, x, y, x2, y2 from s group by all having bool_and(side > 0 or (side = 0 and along <= 0))""")
+def region_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the convex outlines of unordered points."""
+    p, j = F.col("p_partkey"), F.col("j")
+    pts = spark.read.parquet(f"{sf_dir}/part.parquet").select(p, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))).alias("j"))
+    pts = pts.select(p.alias("id"), (p * 7 % 400 + (j * 5 + p) % 9).alias("x"), (p * 13 % 300 + (j * j * 3 + p * j) % 7).alias("y"))
+    return regions.edges(regions.hulls(pts)).select("id", "x", "y", "x2", "y2")
+
+
 @query(f"with {QUAD}, {EDGES} select id, k, x, y, x2, y2, y - y2 as nx, x2 - x as ny from e")
 def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.edges(outlines(spark, sf_dir))

@@ -1,5 +1,8 @@
 """Outlines against known answers."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from fringeworks.operators import regions
@@ -41,3 +44,31 @@ def test_stitched_weights_sum_to_one(spark):
     pixels = regions.normalised(regions.rasterised(hulls(spark, 1, 2, 3)))
     total = pixels.groupBy("x", "y").agg(F.sum("weight").alias("w")).where("abs(w - 1) > 1e-9").count()
     assert total == 0
+
+
+@pytest.mark.parametrize("width", [256, 4])
+def test_hulls(spark, width):
+    """Outlines of points in any order, of strips and as a whole; points inside, repeated, in a line, and alone."""
+    rnd = random.Random(width)
+    rows, want = [], {}
+    for i, corners in OUTLINES.items():
+        if i in (1, 2, 3):
+            continue
+        inside = [(sum(c[0] for c in corners) // len(corners), sum(c[1] for c in corners) // len(corners))]
+        rows += [(i, *p) for p in corners + inside + corners[:2]]
+        want[i] = {tuple(c) for c in corners}
+    rows += [(10, k, 2 * k) for k in range(9)] + [(11, 5, 5)] * 3 + [(12, 3, y) for y in (4, 9, 1)]
+    want |= {10: {(0, 0), (8, 16)}, 11: {(5, 5)}, 12: {(3, 1), (3, 9)}}
+    clouds = {20 + i: [(rnd.randint(-30, 30), rnd.randint(-30, 30)) for _ in range(rnd.choice([3, 8, 60]))] for i in range(8)}
+    rows += [(i, *p) for i, c in clouds.items() for p in c]
+    rnd.shuffle(rows)
+    got = {}
+    for r in regions.hulls(spark.createDataFrame(rows, "id long, x long, y long").repartition(3), width).orderBy("id", "k").collect():
+        got.setdefault(r.id, []).append((r.x, r.y))
+    assert all(set(got[i]) == w and len(got[i]) == len(w) for i, w in want.items())
+    for i, cloud in clouds.items():
+        h = got[i]
+        assert h[0] == min(cloud) and set(h) <= set(cloud)
+        for a, b, c in zip(h, h[1:] + h[:1], h[2:] + h[:2]):
+            side = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+            assert all(side(p) >= 0 for p in cloud) and (len(h) < 3 or side(c) > 0)

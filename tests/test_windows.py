@@ -99,3 +99,22 @@ def test_bounds_reach_the_scan(spark, capsys):
     shown = capsys.readouterr().out
     pushed = next(line for line in shown.splitlines() if "PushedFilters" in line)
     assert "l_shipdate" in pushed and "l_linenumber" in pushed
+
+
+def test_running_counts(spark, tmp_path):
+    """Three batches of a file each: rows out of order are counted, a row after the watermark is dropped and said to be, and the state goes on from batch to batch."""
+    files = [[(t, t // 60 % 2) for t in range(0, 6000, 60)], [(t, 1) for t in range(9000, 5000, -90)], [(9500, 0), (8700, 1), (100, 0), (200, 1), (9600, 1)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(t, k, t % 4 == 0) for t, k in rows], "s long, k long, flag boolean").select(F.timestamp_seconds("s").alias("ts"), "k", "flag").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = windows.running(stream, "ts", "10 minutes", "20 minutes", ["k"], str(tmp_path / "out"), str(tmp_path / "c"), flagged=F.count_if("flag"))
+    assert query.awaitTermination(240)
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+    got = windows.current(spark, str(tmp_path / "out"), ["k"])
+    want = {}
+    for t, k in [x for f in files for x in f if x not in ((100, 0), (200, 1)) or f is files[0]]:
+        n, flagged = want.get((k, t // 600 * 600), (0, 0))
+        want[k, t // 600 * 600] = (n + 1, flagged + (t % 4 == 0))
+    assert {(r.k, int(r.start.timestamp())): (r.n, r.flagged) for r in got.select("k", "start", "n", "flagged").collect()} == want
+    assert windows.dropped(query, got) == 2
