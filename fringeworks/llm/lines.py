@@ -205,10 +205,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     variants = common.written(variants.select("key", "at", F.struct("hash", "hash2").alias("id"), F.struct(*_PLACE).alias("place"), "words"), "variants")
     # most variants are of one line only; the few that several lines have go on
     several = variants.groupBy("key").agg(F.min("id.hash").alias("a"), F.max("id.hash").alias("b")).where("a <> b").select("key")
-    # as a table its size is known, so that where it is small the variants stay where they are
     several = common.written(several, "several")
+    near = docs.sparkSession.sparkContext.broadcast(common.key_filter(several, "key", several.count()))
+
+    def shared(keys: pa.Array) -> pa.Array:
+        return pa.array(common.with_hits(near.value, common.hash_column(keys), 2))
+
+    # a filter of these keys, of bounded size, keeps nearly all other variants where they are
+    kept = variants.where(F.arrow_udf(shared, "boolean")("key")).select("key", "at", "id", "place")
     # a class is emitted once a slab, at its earliest place there; the class is its earliest
-    entry = common.split_join(variants.select("key", "at", "id", "place"), several, ["key"]).groupBy("key", "at", "id").agg(F.min("place").alias("place"))
+    entry = common.split_join(kept, several, ["key"]).groupBy("key", "at", "id").agg(F.min("place").alias("place"))
     entry = common.written(entry, "entries")
     cut, whole, best = entry.where("at >= 0"), entry.where("at < 0"), F.min(F.struct("place", "id")).alias("best")
     swap = cut.groupBy("key", "at").agg(best, F.max("id").alias("hi"), F.min("id").alias("lo")).where("lo <> hi").select("key", "at", "best")
