@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def append(slices: DataFrame, path: str) -> None:
@@ -29,8 +30,6 @@ def mismatched(grid: DataFrame, solutions: DataFrame, keys: list[str]) -> DataFr
 def interpolated(targets: DataFrame, solutions: DataFrame, keys: list[str], axis: str) -> DataFrame:
     """Linear interpolation along one axis, extrapolated from the two nearest points. Neighbours come from a merged order, not from pairs: for each target the last two
     points at or before it and the first two after."""
-    from pyspark.sql.window import Window
-
     point = solutions.select(*keys, F.col(axis).alias("x"), F.col("value").alias("y"), F.lit(0).alias("ask"))
     ask = targets.select(*keys, F.col(axis).alias("x"), F.lit(None).cast("double").alias("y"), F.lit(1).alias("ask"))
     # frames run from the beginning only, as a frame to the end is summed anew for each row: what comes after is what came before in the order turned round
@@ -52,8 +51,6 @@ def interpolated(targets: DataFrame, solutions: DataFrame, keys: list[str], axis
 
 def latest_at_or_before(asks: DataFrame, starts: DataFrame, keys: list[str], axis: str, value: str) -> DataFrame:
     """asks with the value that began last at or before them; before the first, the first. A merged order of both, never pairs of them."""
-    from pyspark.sql.window import Window
-
     rest = [c for c in asks.columns if c not in (*keys, axis)]
     a = asks.select(*keys, axis, F.struct(*rest).alias("_rest"), F.lit(None).cast(starts.schema[value].dataType).alias(value), F.lit(1).alias("_ask"))
     s = starts.select(*keys, axis, F.lit(None).cast(a.schema["_rest"].dataType).alias("_rest"), value, F.lit(0).alias("_ask"))
@@ -86,34 +83,34 @@ def norm01(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return rows.join(ends, by).withColumn("n", n).drop("_lo", "_hi")
 
 
-def interpolated_plane(targets: DataFrame, solutions: DataFrame, keys: list[str], axes: tuple[str, str]) -> DataFrame:
-    """Bilinear interpolation along two axes, clamped outside the grid. Absent grid points are filled along the first axis, then from the nearest filled line.
-    One call a parameter's plane (keys): its grid is bounded by the two axes."""
-    import numpy as np
-    import pandas as pd
+def _neighbours(asks: DataFrame, points: DataFrame, keys: list[str], axis: str, rest: list[str]) -> DataFrame:
+    """asks with the points (structs of axis and rest) at or next to their place on the axis, below (_lo) and above (_hi); beyond the ends both are the last point. One merged order, never pairs."""
+    shape = F.struct(axis, *rest)
+    p = points.select(*keys, F.col(axis).alias("_x"), shape.alias("_p"), F.lit(0).alias("_ask"))
+    a = asks.select(*keys, F.col(axis).alias("_x"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.lit(1).alias("_ask"), F.struct(*asks.columns).alias("_row"))
+    laid = p.withColumn("_row", F.lit(None).cast(a.schema["_row"].dataType)).unionByName(a)
+    over = lambda way: F.last("_p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(way, "_ask").rowsBetween(Window.unboundedPreceding, 0))
+    laid = laid.withColumns({"_below": over(F.col("_x").asc()), "_above": over(F.col("_x").desc())}).where("_ask = 1")
+    return laid.select("_row.*", F.coalesce("_below", "_above").alias("_lo"), F.coalesce("_above", "_below").alias("_hi"))
 
-    x, y = axes
 
-    def one(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(t) or not len(s):
-            return t[[*keys, x, y]].assign(value=np.nan)
-        xs, ys = np.unique(s[x]), np.unique(s[y])
-        plane = np.full((len(xs), len(ys)), np.nan)
-        plane[np.searchsorted(xs, s[x]), np.searchsorted(ys, s[y])] = s["value"]
-        for j in range(len(ys)):
-            ok = np.isfinite(plane[:, j])
-            if ok.any():
-                plane[:, j] = np.interp(xs, xs[ok], plane[ok, j])
-        filled = np.flatnonzero(np.isfinite(plane[0]))
-        if not len(filled):
-            return t[[*keys, x, y]].assign(value=np.nan)
-        plane = plane[:, filled[np.abs(ys[filled][None] - ys[:, None]).argmin(axis=1)]]
-        i, j = (np.clip(np.searchsorted(g, v, side="right") - 1, 0, max(len(g) - 2, 0)) for g, v in ((xs, t[x]), (ys, t[y])))
-        part = lambda g, v, k: np.clip((v - g[k]) / np.maximum(g[np.minimum(k + 1, len(g) - 1)] - g[k], 1e-300), 0, 1)
-        a, b = part(xs, t[x].to_numpy(float), i), part(ys, t[y].to_numpy(float), j)
-        i2, j2 = np.minimum(i + 1, len(xs) - 1), np.minimum(j + 1, len(ys) - 1)
-        value = (plane[i, j] * (1 - a) + plane[i2, j] * a) * (1 - b) + (plane[i, j2] * (1 - a) + plane[i2, j2] * a) * b
-        return t[[*keys, x, y]].assign(value=value)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.select(*keys, x, y).schema)
-    return targets.groupBy(*keys).cogroup(solutions.groupBy(*keys)).applyInPandas(one, f"{fields}, value double")
+def _between(at: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Linear between two points, the one's value where they are the same; beyond them, the value at the end."""
+    part = F.least(F.greatest((at - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))
+    return F.when(x0 == x1, y0).otherwise(y0 + (y1 - y0) * part)
+
+
+def interpolated_plane(targets: DataFrame, solutions: DataFrame, keys: list[str], axes: tuple[str, str]) -> DataFrame:
+    """Linear interpolation along the first axis on the two lines (of the second axis) that enclose a target, then between these; ends are held outside the grid. Absent points are made up by their
+    line's others, absent lines by the next ones; a parameter without any has no value. Merged orders and joins, whatever a plane's size."""
+    x, y = axes
+    t = targets.select(*keys, x, y).distinct()
+    near = _neighbours(t, solutions.select(*keys, y).distinct(), keys, y, [])
+    ends = near.select(*keys, x, y, F.col(f"_lo.{y}").alias("_y0"), F.col(f"_hi.{y}").alias("_y1"))
+    asks = ends.select(*keys, x, F.col("_y0").alias("_line")).union(ends.select(*keys, x, F.col("_y1").alias("_line"))).where("_line is not null").distinct()
+    lines = solutions.select(*keys, F.col(y).alias("_line"), x, "value")
+    found = _neighbours(asks, lines, [*keys, "_line"], x, ["value"])
+    found = found.select(*keys, x, "_line", _between(F.col(x), F.col(f"_lo.{x}"), F.col(f"_hi.{x}"), F.col("_lo.value"), F.col("_hi.value")).alias("_v"))
+    for k in (0, 1):
+        ends = ends.join(found.withColumnsRenamed({"_line": f"_y{k}", "_v": f"_v{k}"}), [*keys, x, f"_y{k}"], "left")
+    return ends.select(*keys, x, y, _between(F.col(y), F.col("_y0"), F.col("_y1"), F.col("_v0"), F.col("_v1")).alias("value"))

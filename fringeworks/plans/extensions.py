@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import store
 from ..sources.tables import fresh_path
+from ..sources.views import VL
 from ..streaming import windows
-from .queries import _grid, _solutions
+from .queries import GRID, SOL, _grid, _solutions
 from .registry import query
 
 
@@ -39,6 +40,12 @@ def stream_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.current(spark, path, ["chan"]).select("chan", F.unix_micros("start").alias("start"), "n", "flagged")
 
 
-@query(doubles="value")
+@query(f"""with {VL}, {SOL}, {GRID}, g as (select ant, time, chan + 0.5::double as chan from grid), ln as (select distinct ant, chan from sol),
+ t as (select g.ant, g.time, g.chan, max(ln.chan) filter (ln.chan <= g.chan) as lo, min(ln.chan) filter (ln.chan >= g.chan) as hi from g left join ln using (ant) group by all), e as (select ant, time, chan, coalesce(lo, hi) as c0, coalesce(hi, lo) as c1 from t),
+ a as (select ant, time, c0 as line from e union select ant, time, c1 from e), n as (select a.ant, a.time, a.line, max(s.time) filter (s.time <= a.time) as t0, min(s.time) filter (s.time >= a.time) as t1, arg_max(s.value, s.time) filter (s.time <= a.time) as v0, arg_min(s.value, s.time) filter (s.time >= a.time) as v1
+ from a join sol s on s.ant = a.ant and s.chan = a.line group by all), v as (select ant, time, line, case when t0 is null then v1 when t1 is null or t0 = t1 then v0 else v0 + (v1 - v0) * (time - t0) / (t1 - t0) end as v from n)
+ select e.ant, e.time, e.chan, case when c0 = c1 then p.v else p.v + (q.v - p.v) * (e.chan - c0) / (c1 - c0) end as value from e left join v p on p.ant = e.ant and p.time = e.time and p.line = c0 left join v q on q.ant = e.ant and q.time = e.time and q.line = c1""", "value")
 def reinterpolate_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.interpolated_plane(_grid(spark, sf_dir), _solutions(spark, sf_dir), ["ant"], ("time", "chan"))
+    """Solutions on a grid of their times, half a channel up."""
+    grid = _grid(spark, sf_dir).select("ant", "time", (F.col("chan") + 0.5).alias("chan"))
+    return store.interpolated_plane(grid, _solutions(spark, sf_dir).withColumn("chan", F.col("chan").cast("double")), ["ant"], ("time", "chan"))

@@ -39,6 +39,18 @@ def test_plane(spark):
     assert all(np.isclose(r.value, f(min(max(r.time, 0), 4), min(r.chan, 4))) for r in got) and len(got) == len(asks)
 
 
+def test_planes_of_appended_slices(spark):
+    """Slices of gains by time and of a bandpass by frequency, with gaps between them, on a finer grid: steps become slopes, ends are held, and a parameter without solutions has no values."""
+    s = [("G", 0, float(t), 0.0, float(i0)) for i0, i1 in ((0, 2), (4, 6), (7, 9)) for t in range(i0, i1)] + [("B", 0, 0.0, float(f), float(i0)) for i0, i1 in ((0, 2), (4, 6), (7, 9)) for f in range(i0, i1)]
+    asks = [(p, 0, t / 2, f * 1.5) for p in "GBX" for t in range(20) for f in range(7)]
+    schema = "param string, ant long, time double, freq double"
+    got = {(r.param, r.time, r.freq): r.value for r in store.interpolated_plane(spark.createDataFrame(asks, schema), spark.createDataFrame(s, schema + ", value double"), ["param", "ant"], ("time", "freq")).collect()}
+    at = [0, 1, 4, 5, 7, 8], [0.0, 0.0, 4.0, 4.0, 7.0, 7.0]
+    for p, _, t, f in asks:
+        want = {"G": np.interp(t, *at), "B": np.interp(f, *at), "X": None}[p]
+        assert got[p, t, f] is None if want is None else abs(got[p, t, f] - want) < 1e-12
+
+
 def test_chunks_by_length(spark):
     d = spark.createDataFrame([(0, x) for x in (0, 1, 9, 10, 11, 30, 35, 41)], "scan long, t long")
     got = {r.t: r.chunk for r in rebin.chunks_by_length(d, ["scan"], "t", 10).collect()}
