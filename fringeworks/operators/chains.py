@@ -226,6 +226,44 @@ def solve_until(sums: DataFrame, epsilon: float, delta: float, most: int, quorum
     return out.select(*KEY, "ant", "g_re", "g_im", F.col("rounds").cast("bigint").alias("rounds"), "state")
 
 
+# ---------------------------------------------------------------- leakages and a phase between the hands
+
+
+def _offsets(g: DataFrame) -> DataFrame:
+    """pzd by interval: the phase of the sum over antennas of the first diagonal element over the second."""
+    at = lambda i, c: F.max(F.when((F.col("i") == i) & (F.col("j") == i), F.col(f"g_{c}")))
+    d = g.groupBy(*KEY, "ant").agg(*[at(i, c).alias(f"d{i}_{c}") for i in (0, 1) for c in ("re", "im")])
+    r = cx("d0_re", "d0_im") * cx("d1_re", "d1_im").conj()
+    size = F.when(cx("d1_re", "d1_im").abs2() > 0, cx("d1_re", "d1_im").abs2())
+    return d.groupBy(*KEY).agg(F.coalesce(F.atan2(F.sum(r.im / size), F.sum(r.re / size)), F.lit(0.0)).alias("pzd"))
+
+
+def _restricted(g: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Gains whose diagonal is 1 and exp(-i pzd), the same for all antennas of an interval."""
+    own = {"re": F.when(F.col("i") == 0, 1.0).otherwise(F.cos("pzd")), "im": F.when(F.col("i") == 0, 0.0).otherwise(-F.sin("pzd"))}
+    diagonal_ = F.col("i") == F.col("j")
+    return g.join(offsets, list(KEY)).select(*KEY, "ant", "n", "i", "j", *[F.when(diagonal_, x).otherwise(F.col(f"g_{c}")).alias(f"g_{c}") for c, x in own.items()])
+
+
+def polarised(samples: DataFrame, offsets: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """2 x 2 gains (ti, fi, ant, i, j, g_re, g_im) of free leakages and one phase between the hands for all antennas of an interval, and that phase (ti, fi, pzd), in turns: a step of all elements,
+    then the phase from its diagonals, which become 1 and exp(-i pzd). offsets: the phase to start from, of the cross hands. Even rounds take the mean with the gains before, and its phase. The
+    alternation asks for leakages and cross hands that are small beside the diagonal; else it may leave the solution."""
+    dm, mm = element_sums(samples)
+    g = written(_restricted(unit_elements(samples), offsets), "polarised")
+    for n in range(1, rounds + 1):
+        new = full_update(dm, mm, g, 1)
+        offsets = _offsets(new)
+        new = _restricted(new, offsets)
+        if n % 2 == 0:
+            old = g.select(*KEY, "ant", "i", "j", F.col("g_re").alias("o_re"), F.col("g_im").alias("o_im"))
+            new = written(new.join(old, [*KEY, "ant", "i", "j"]).select(*KEY, "ant", "n", "i", "j", *[((F.col(f"g_{c}") + F.col(f"o_{c}")) / 2).alias(f"g_{c}") for c in ("re", "im")]), "means")
+            offsets = _offsets(new)
+            new = _restricted(new, offsets)
+        g = written(new, "polarised")
+    return g.drop("n"), written(offsets, "offsets")
+
+
 # ---------------------------------------------------------------- robust fits
 
 #: Degrees of freedom that are tried.

@@ -152,7 +152,8 @@ def delays(cells: DataFrame, by: list[str], size: int) -> DataFrame:
     import math
 
     k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("k")
-    x = cells.select(*by, "chan", "re", "im", k)
+    # spectra of a group are added up first, so rows multiply by the size once a channel
+    x = cells.groupBy(*by, "chan").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).select(*by, "chan", "re", "im", k)
     phase = -2 * math.pi * F.col("k") * F.col("chan") / size
     s = x.groupBy(*by, "k").agg(F.sum(F.col("re") * F.cos(phase) - F.col("im") * F.sin(phase)).alias("a"), F.sum(F.col("re") * F.sin(phase) + F.col("im") * F.cos(phase)).alias("b"))
     power = F.round(F.col("a") * F.col("a") + F.col("b") * F.col("b"), 6)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import database, rebin, store
-from ..sources.tables import fresh_path
+from ..sources.tables import fresh_path, written
 from ..sources.views import SLOT_DAYS, VC, VL, visibilities
 from .queries import GRID, RB, SOL, _grid, _solutions
 from .registry import query
@@ -22,7 +22,7 @@ WRITES = f"""{VL}, {SOL}, wr as (select 'G' as param, 1::bigint as seq, ant, cha
 
 def _database(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "solutions")
-    s = _solutions(spark, sf_dir)
+    s = written(_solutions(spark, sf_dir), "solved")
     ants = s.select("ant").distinct().count()
     database.create(spark, path, {"antennas": str(ants), "kind": "gains"})
     database.define(spark, path, "G", ("ant", "time", "freq"), ("time", "freq"))

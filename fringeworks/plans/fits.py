@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cx import Cx, cx
-from ..operators import chains, gauss_newton, rebin
+from ..operators import chains, gains, gauss_newton, rebin
 from ..operators.chains import Term
 from ..sources.tables import written
 from ..sources.views import VL
@@ -177,6 +177,36 @@ def solve_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im")
 
 
+# ---------------------------------------------------------------- leakages and a phase between the hands
+
+POL_ROUNDS = 2
+
+
+def _pol_sql(rounds: int) -> str:
+    ratio = "sum((a.gr * b.gr + a.gi * b.gi) / (b.gr * b.gr + b.gi * b.gi))", "sum((a.gi * b.gr - a.gr * b.gi) / (b.gr * b.gr + b.gi * b.gi))"
+    phase = lambda g: f"select a.ti, a.fi, atan2({ratio[1]}, {ratio[0]}) as pzd from (select * from {g} where i = 0 and j = 0) a join (select * from {g} where i = 1 and j = 1) b using (ti, fi, ant) group by all"
+    held = lambda g, z: f"select ti, fi, ant, i, j, case when i = 1 and j = 1 then cos(pzd) when i = j then 1 else gr end as gr, case when i = 1 and j = 1 then -sin(pzd) when i = j then 0 else gi end as gi from {g} join {z} using (ti, fi)"
+    hands = "(re * mr + im * mi) / sqrt(mr * mr + mi * mi)", "(im * mr - re * mi) / sqrt(mr * mr + mi * mi)"
+    out = ELEMENTS.replace("g0 as (", "one as (") + f""", z0 as (select ti, fi, atan2(sum(case when i = 0 then {hands[1]} else -{hands[1]} end), sum({hands[0]})) as pzd from e where i <> j group by all), g0 as materialized ({held("one", "z0")})"""
+    for k in range(1, rounds + 1):
+        out += full_round(2 * k - 1) + f", y{k} as materialized ({phase(f'g{2 * k - 1}')}), q{k} as materialized ({held(f'g{2 * k - 1}', f'y{k}')})"
+        if k % 2:
+            out += f", z{k} as (select * from y{k}), g{2 * k} as materialized (select * from q{k})"
+        else:
+            out += f", o{k} as materialized (select ti, fi, ant, i, j, (q.gr + g.gr) / 2 as gr, (q.gi + g.gi) / 2 as gi from q{k} q join g{2 * k - 2} g using (ti, fi, ant, i, j)), z{k} as materialized ({phase(f'o{k}')}), g{2 * k} as materialized ({held(f'o{k}', f'z{k}')})"
+    return out
+
+
+@query(f"with {_pol_sql(POL_ROUNDS)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im, pzd from g{2 * POL_ROUNDS} join z{POL_ROUNDS} using (ti, fi)", "g_re g_im pzd", 4)
+def solve_polarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leakages and the phase between the hands, which starts from the cross hands."""
+    samples = element_samples(spark, sf_dir)
+    hands = F.explode(F.array(*[F.struct(F.lit(k).alias("corr"), *[F.col(c)[k][p].alias(n) for c, p, n in (("d", "re", "re"), ("d", "im", "im"), ("m", "re", "mre"), ("m", "im", "mim"))]) for k in (1, 2)])).alias("x")
+    start = gains.hand_phase(samples.select("ti", "fi", hands).select("ti", "fi", "x.*"), ["ti", "fi"])
+    g, z = chains.polarised(samples, written(start, "offsets"), POL_ROUNDS)
+    return g.join(z, ["ti", "fi"]).select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im", "pzd")
+
+
 # ---------------------------------------------------------------- robust fits
 
 ROBUST_ROUNDS = 2

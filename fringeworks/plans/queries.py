@@ -346,12 +346,28 @@ def mat2_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("tslot", "chan", "ant1", "ant2", "w", bad.alias("singular"), inverse[0][0].re.alias("i_re"), inverse[0][0].im.alias("i_im"))
 
 
-@query(f"with {VL} select tslot, chan, ant1, ant2, w, re * cos(0.3) * cos(0.2) + mre * cos(0.3) * -sin(0.2) - mre * sin(0.3) * cos(0.2) + w * sin(0.3) * sin(0.2) as v00 from vl", "v00")
+_TURNED = ", ".join(
+    f"{' + '.join(f'({p} * {q}) * {v}{c}' for p, v, q in terms)} as v{k}_{'re' if c == 'r' else 'im'}"
+    for k, terms in enumerate([[(p, v, q) for p, row in zip(ps, ("ab", "cd")) for v, q in zip(row, qs)] for ps in (("cos(pa)", "-sin(pa)"), ("sin(pa)", "cos(pa)")) for qs in (("cos(qa)", "-sin(qa)"), ("sin(qa)", "cos(qa)"))])
+    for c in "ri"
+)
+
+
+@query(f"""with {VL}, {RB}, {VC}, w as (select t, chan, ant1, ant2, {", ".join(f"max(re) filter (corr = {k}) as {c}r, max(im) filter (corr = {k}) as {c}i" for k, c in enumerate("abcd"))}, 0.1::double * ant1 + 0.01::double * t as pa, 0.1::double * ant2 + 0.01::double * t as qa from vc group by all)
+ select t, chan, ant1, ant2, {_TURNED} from w""", " ".join(f"v{k}_{c}" for k in range(4) for c in ("re", "im")))
 def pa_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zero, real = F.lit(0.0), lambda c: Cx(c, F.lit(0.0))
-    rot = lambda x: ((real(F.cos(F.lit(x))), real(-F.sin(F.lit(x)))), (real(F.sin(F.lit(x))), real(F.cos(F.lit(x)))))
-    v = ((Cx(F.col("re"), zero), Cx(F.col("mre"), zero)), (Cx(F.col("mre"), zero), Cx(F.col("w"), zero)))
-    return visibilities(spark, sf_dir).select("tslot", "chan", "ant1", "ant2", "w", sandwich(rot(0.3), v, rot(0.2))[0][0].re.alias("v00"))
+    """Linear feeds are turned by the angles of both ends, R_p V R_q^T, which are looked up by time and antenna."""
+    c = correlations(cells(spark, sf_dir))
+    at = lambda k, x: F.max(F.when(F.col("corr") == k, F.col(x)))
+    v = c.groupBy("t", "chan", "ant1", "ant2").agg(*[at(k, x).alias(f"{x}{k}") for k in range(4) for x in ("re", "im")])
+    table = c.select("t", F.explode(F.array("ant1", "ant2")).alias("ant")).distinct().withColumn("angle", 0.1 * F.col("ant") + 0.01 * F.col("t"))
+    for k in (1, 2):
+        v = v.join(table.select("t", F.col("ant").alias(f"ant{k}"), F.col("angle").alias(f"a{k}")), ["t", f"ant{k}"])
+    real = lambda x: Cx(x, F.lit(0.0))
+    turn = lambda a: ((real(F.cos(a)), real(-F.sin(a))), (real(F.sin(a)), real(F.cos(a))))
+    cell = lambda k: cx(f"re{k}", f"im{k}")
+    out = sandwich(turn(F.col("a1")), ((cell(0), cell(1)), (cell(2), cell(3))), turn(F.col("a2")))
+    return v.select("t", "chan", "ant1", "ant2", *[x.alias(f"v{k}_{n}") for k in range(4) for n, x in (("re", out[k // 2][k % 2].re), ("im", out[k // 2][k % 2].im))])
 
 
 @query(f"with {VL}, s as (select ant1, ant2, chan, sum(mre * re) as nr, sum(-mre * im) as ni, sum(re * re + im * im) as dd from vl where fl = 0 group by 1, 2, 3) select ant1, ant2, chan, case when dd = 0 then 1 else nr / dd end as g_re, case when dd = 0 then 0 else ni / dd end as g_im from s", "g_re g_im")

@@ -9,6 +9,7 @@ from ..functions.cx import Cx, cx
 from ..functions.grammar import globbed
 from ..operators import flags, gains, rebin, stats, store
 from ..schema import FL, FLAG_BITS
+from ..sources.tables import written
 from ..sources.views import SLOT_DAYS, VC, VE, VL, spectra, visibilities
 from .queries import BOTH, RB, SOL, _solutions, cells
 from .registry import query
@@ -57,10 +58,22 @@ def flagset_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(F.broadcast(k.where("name <> 'click'").agg(F.bit_or("mask").alias("rest"))))
 
 
-@query(f"with {VL}, s as (select tslot, chan, sum(re) as x, bool_and(fl <> 0) as gone from vl group by all) select tslot, chan, case when gone then 0 else x end as x, gone from s", "x")
+@query(f"""with {VL}, s as (select tslot, chan, ant1 as ant, sum(re) as x, bool_and(fl <> 0) as gone from vl group by all), t as (select tslot, bool_and(gone) as gone_t from s group by 1), c as (select chan, bool_and(gone) as gone_c from s group by 1)
+ select 'time-ant' as part, s.tslot, null::bigint as chan, s.ant, sum(case when gone_t then 0 else x end) as x from s join t using (tslot) group by all union all select 'chan-ant', null, s.chan, s.ant, sum(case when gone_c then 0 else x end) from s join c using (chan) group by all
+ union all select 'time-chan', s.tslot, s.chan, null, sum(case when gone_t or gone_c then 0 else x end) from s join t using (tslot) join c using (chan) group by all""", "x")
 def stats_apply_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = visibilities(spark, sf_dir).groupBy("tslot", "chan").agg(F.sum("re").alias("x"), F.bool_and(F.col("fl") != 0).alias("gone"))
-    return s.withColumn("x", F.when(F.col("gone"), 0.0).otherwise(F.col("x")))
+    """Sums by time and antenna, channel and antenna, and time and channel: those of times or channels that are flagged throughout become 0."""
+    s = visibilities(spark, sf_dir).groupBy("tslot", "chan", F.col("ant1").alias("ant")).agg(F.sum("re").alias("x"), F.bool_and(F.col("fl") != 0).alias("gone"))
+    s = written(s, "sums")
+    for c, name in (("tslot", "gone_t"), ("chan", "gone_c")):
+        s = s.join(s.groupBy(c).agg(F.bool_and("gone").alias(name)), c)
+    s = written(s, "flagged")
+    out = None
+    for part, keys, gone in (("time-ant", ("tslot", "ant"), F.col("gone_t")), ("chan-ant", ("chan", "ant"), F.col("gone_c")), ("time-chan", ("tslot", "chan"), F.col("gone_t") | F.col("gone_c"))):
+        rows = s.groupBy(*keys).agg(F.sum(F.when(gone, 0.0).otherwise(F.col("x"))).alias("x"))
+        rows = rows.select(F.lit(part).alias("part"), *[(F.col(c) if c in keys else F.lit(None).cast("bigint")).alias(c) for c in ("tslot", "chan", "ant")], "x")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 _BITS = "(values " + ", ".join(f"('{n}', {b}::bigint)" for n, b in FLAG_BITS.items()) + ") as c(name, bit)"

@@ -38,10 +38,13 @@ def weight_offdiag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrs(spark, sf_dir).groupBy(*SAMPLE).agg(F.sqrt(at(0) * at(3)).alias("w_off"))
 
 
-@query(f"with {VL}, {RB}, {VC} select {KEY}, corr, sqrt(w) as w_root, sqrt(w) * re as d_re, sqrt(w) * im as d_im, sqrt(w) * mre as m_re from vc", "w_root d_re d_im m_re")
+@query(f"with {VL}, {RB}, {VC} select {KEY}, corr, sqrt(w) as w_root, sqrt(w) * re as d_re, sqrt(w) * im as d_im, sqrt(w) * mre as m_re, case when bad then 0 else re end as z_re, case when bad then 0 else im end as z_im, case when bad then 0 else mre end as mz_re from (select *, fl <> 0 or im > 0.9 as bad from vc)", "w_root d_re d_im m_re z_re z_im mz_re")
 def weighted_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.sqrt("w")
-    return corrs(spark, sf_dir).select(*SAMPLE, "corr", w.alias("w_root"), (w * F.col("re")).alias("d_re"), (w * F.col("im")).alias("d_im"), (w * F.col("mre")).alias("m_re"))
+    """Data and model times the roots of weights; and as they are without weights, zero where flagged."""
+    w, c = F.sqrt("w"), corrs(spark, sf_dir)
+    c = c.withColumn("fl", flags.raised(F.col("im") > 0.9, FL["PRIOR"]))
+    plain = lambda x: F.when(F.col("fl") != 0, 0.0).otherwise(F.col(x))
+    return c.select(*SAMPLE, "corr", w.alias("w_root"), (w * F.col("re")).alias("d_re"), (w * F.col("im")).alias("d_im"), (w * F.col("mre")).alias("m_re"), plain("re").alias("z_re"), plain("im").alias("z_im"), plain("mre").alias("mz_re"))
 
 
 @query(f"with {VL}, {RB}, {VC} select {KEY}, avg(w) as w_mean, avg(w) / avg(avg(w)) over () as w_norm from vc group by all", "w_mean w_norm")

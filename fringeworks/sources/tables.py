@@ -24,7 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
+#: Folders of intermediate tables of this process.
+_tables: list[str] = []
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes every folder of fresh_path() in this process, for callers that have stored their results."""
+    for path in _tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _tables.clear()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

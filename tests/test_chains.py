@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_solvers import observed
 
 from fringeworks.functions.cx import cx
-from fringeworks.operators import chains, gauss_newton, rebin
+from fringeworks.operators import chains, gains, gauss_newton, rebin
 from fringeworks.operators.chains import Term
 
 ANTS, SLOTS, CHANS, DIRS = 7, 12, 6, 3
@@ -162,3 +162,31 @@ def test_robust(spark):
     weighted = chains.student_weights(samples, g, v)[0].where("ti = 0 and ant1 < ant2").select("s", "ant1", "ant2", "u").collect()
     wild = [r.u for r in weighted if (r.s, r.ant1, r.ant2) in bad]
     assert max(wild) < 0.1 and abs(np.mean([r.u for r in weighted]) - 1) < 0.05
+
+
+def test_leakages_and_an_offset(spark):
+    """An injected phase between the hands and leakages are found, from a start at the cross hands' phase, and the diagonals are those of the offset."""
+    rng = np.random.default_rng(8)
+    offset = 0.7
+    true = [np.array([[1, 0.01 * complex(*rng.normal(size=2))], [0.01 * complex(*rng.normal(size=2)), np.exp(-1j * offset)]]) for _ in range(ANTS)]
+    cell = lambda x: [(float(v.real), float(v.imag)) for v in x.reshape(-1)]
+    rows = []
+    for s in range(20):
+        for p in range(ANTS):
+            for q in range(p + 1, ANTS):
+                m = np.array([[1, 0.3], [0.3, 1]]) + 0.1 * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2)))
+                d = true[p] @ m @ true[q].conj().T
+                rows += [(0, 0, p, q, cell(d), cell(m), 1.0), (0, 0, q, p, cell(d.conj().T), cell(m.conj().T), 1.0)]
+    samples = spark.createDataFrame(rows, "ti bigint, fi bigint, ant1 bigint, ant2 bigint, d array<struct<re:double,im:double>>, m array<struct<re:double,im:double>>, w double").cache()
+    far = chains.polarised(samples, spark.createDataFrame([(0, 0, 0.5)], "ti bigint, fi bigint, pzd double"), 4)[1].first()["pzd"]
+    assert 0.5 < far < offset
+    cross = samples.select("ti", "fi", F.explode(F.array(*[F.struct(F.lit(k).alias("corr"), F.col("d")[k]["re"].alias("re"), F.col("d")[k]["im"].alias("im"), F.col("m")[k]["re"].alias("mre"), F.col("m")[k]["im"].alias("mim")) for k in (1, 2)])).alias("x")).select("ti", "fi", "x.*")
+    start = gains.hand_phase(cross, ["ti", "fi"])
+    assert abs(start.first()["pzd"] - offset) < 0.1
+    g, z = chains.polarised(samples, start, 6)
+    assert abs(z.first()["pzd"] - offset) < 0.05
+    for r in g.collect():
+        if r.i == r.j:
+            assert abs(complex(r.g_re, r.g_im) - (1 if r.i == 0 else np.exp(-1j * z.first()["pzd"]))) < 1e-12
+        else:
+            assert abs(complex(r.g_re, r.g_im) - true[r.ant][r.i, r.j]) < 5e-2
