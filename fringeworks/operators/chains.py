@@ -10,9 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cx import Cx, cx, polar, sandwich
+from ..functions.cx import Cx, Mat, cx, mat_inverse, polar, sandwich
 from ..sources.tables import written
-from .gauss_newton import KEY, diagonal, element_sums, full_update, unit_elements
+from .gauss_newton import KEY, diagonal, element_sums, full, full_update, last, started, unit_elements
 
 # ---------------------------------------------------------------- several directions
 
@@ -144,6 +144,22 @@ def scaled_axis(cells: DataFrame, axis: str, name: str) -> DataFrame:
     return cells.join(ends, list(KEY)).withColumn(name, (F.col(axis) - F.col("_lo")) / wide).drop("_lo", "_hi")
 
 
+#: Kinds of slopes: the axes that a phase depends on besides its offset, as columns of slots t and channels chan. Users add their own, of one or two axes.
+SLOPES: dict[str, tuple[str, ...]] = {"f-slope": ("chan",), "t-slope": ("t",), "tf-plane": ("t", "chan"), "if-slope": ("1d / (chan + 1)",), "fif-slope": ("chan", "1d / (chan + 1)")}
+
+
+def slope_sums(both: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
+    """Of samples from both ends with ti and fi: sums z and v by interval, place and baseline, with the kind's axes scaled within an interval; and these columns' names."""
+    if kind not in SLOPES:
+        raise ValueError(f"slopes: {', '.join(SLOPES)}")
+    z, m = cx("re", "im") * cx("mre", "mim").conj(), cx("mre", "mim")
+    axes = {f"_a{i}": F.expr(axis) for i, axis in enumerate(SLOPES[kind], 1)}
+    sums = both.withColumns(axes).groupBy(*KEY, *axes, "ant1", "ant2").agg(F.sum(F.col("w") * z.re).alias("z_re"), F.sum(F.col("w") * z.im).alias("z_im"), F.sum(F.col("w") * m.abs2()).alias("v"))
+    for axis in axes:
+        sums = scaled_axis(sums, axis, axis.replace("_a", "x"))
+    return sums, [axis.replace("_a", "x") for axis in axes]
+
+
 def _solved(a: list[list[Column]], b: list[Column]) -> list[Column]:
     """The solution of a symmetric system of two or three equations; where it is singular, of the first one alone."""
     n = len(b)
@@ -277,36 +293,130 @@ def digamma(x: Column) -> Column:
     return F.log(up) - 0.5 / up - y * (1 / F.lit(12.0) - y * (1 / F.lit(120.0) - y / 252)) - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
 
 
+ELEMENTS = [f"g{i}{j}_{c}" for i in (0, 1) for j in (0, 1) for c in ("re", "im")]
+
+
+def _wide(g: DataFrame) -> DataFrame:
+    """2 x 2 gains with their elements as columns, a row an antenna and interval."""
+    return g.groupBy(*KEY, "ant").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(f"g_{c}"))).alias(f"g{i}{j}_{c}") for i in (0, 1) for j in (0, 1) for c in ("re", "im")])
+
+
+def _gain(end: str) -> Mat:
+    return tuple(tuple(cx(f"{end}_g{i}{j}_re", f"{end}_g{i}{j}_im") for j in (0, 1)) for i in (0, 1))
+
+
+def _cells(column: str) -> Mat:
+    """An array of four (re, im) structs as a matrix."""
+    return tuple(tuple(cx(F.col(column)[2 * i + j]["re"], F.col(column)[2 * i + j]["im"]) for j in (0, 1)) for i in (0, 1))
+
+
+def _array(m: Mat) -> Column:
+    return F.array(*[F.struct(x.re.alias("re"), x.im.alias("im")) for row in m for x in row])
+
+
 def student_weights(samples: DataFrame, g: DataFrame, freedoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """samples (ti, fi, ant1, ant2, d, m, ...) with u: weights of a Student-t distribution of the residuals under 2 x 2 gains, of mean 1 in each interval, where v (of freedoms: ti, fi, v) are its
-    degrees of freedom and the variances of the four elements are those of the interval; and the freedoms that fit these weights best."""
-    wide = g.groupBy(*KEY, "ant").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(f"g_{c}"))).alias(f"g{i}{j}_{c}") for i in (0, 1) for j in (0, 1) for c in ("re", "im")])
-    names = [f"g{i}{j}_{c}" for i in (0, 1) for j in (0, 1) for c in ("re", "im")]
-    x = _ends(samples, wide, names)
-    mat = lambda end: tuple(tuple(cx(f"{end}_g{i}{j}_re", f"{end}_g{i}{j}_im") for j in (0, 1)) for i in (0, 1))
-    cell = lambda c, k: cx(F.col(c)[k]["re"], F.col(c)[k]["im"])
-    made = sandwich(mat("p"), ((cell("m", 0), cell("m", 1)), (cell("m", 2), cell("m", 3))), mat("q"))
-    x = x.withColumns({f"_r{k}": (cell("d", k) - made[k // 2][k % 2]).abs2() for k in range(4)}).drop(*[f"{end}_{n}" for end in "pq" for n in names])
+    degrees of freedom and the variances of the four elements are those of the interval; and the freedoms that fit these weights best, with var, the mean variance of the two diagonal elements."""
+    x = _ends(samples, _wide(g), ELEMENTS)
+    made, data = sandwich(_gain("p"), _cells("m"), _gain("q")), _cells("d")
+    x = x.withColumns({f"_r{k}": (data[k // 2][k % 2] - made[k // 2][k % 2]).abs2() for k in range(4)}).drop(*[f"{end}_{n}" for end in "pq" for n in ELEMENTS])
     x = written(x, "residuals")
-    by = x.groupBy(*KEY).agg(*[F.greatest(F.avg(f"_r{k}"), F.lit(1e-12)).alias(f"_c{k}") for k in range(4)]).join(freedoms, list(KEY))
+    by = x.groupBy(*KEY).agg(*[F.greatest(F.avg(f"_r{k}"), F.lit(1e-12)).alias(f"_c{k}") for k in range(4)]).join(freedoms.select(*KEY, "v"), list(KEY))
     x = x.join(by, list(KEY))
     x = x.withColumn("u", (F.col("v") + 4) / (F.col("v") + sum((F.col(f"_r{k}") / F.col(f"_c{k}") for k in range(1, 4)), F.col("_r0") / F.col("_c0"))))
-    mean = x.groupBy(*KEY, "v").agg(F.avg("u").alias("_u"), F.avg(F.log("u") - F.col("u")).alias("_l"))
+    mean = x.groupBy(*KEY, "v").agg(F.avg("u").alias("_u"), F.avg(F.log("u") - F.col("u")).alias("_l"), F.max((F.col("_c0") + F.col("_c3")) / 2).alias("var"))
     k, half = F.col("k").cast("double"), (F.col("v") + 4) / 2
     cost = F.abs(F.log(k / 2) - digamma(k / 2) + F.col("_l") + 1 + digamma(half) - F.log(half))
     tried = mean.withColumn("k", F.explode(F.sequence(*map(F.lit, FREEDOMS))))
     # rounded, so that freedoms that are as good as each other don't hang on the order of sums
-    best = tried.groupBy(*KEY).agg(F.min_by(k, F.struct(F.round(cost, 9), k)).alias("v"))
+    best = tried.groupBy(*KEY).agg(F.min_by(k, F.struct(F.round(cost, 9), k)).alias("v"), F.max("var").alias("var"))
     out = x.join(mean.select(*KEY, "_u"), list(KEY)).withColumn("u", F.col("u") / F.col("_u"))
     return out.drop("v", "_u", *[f"_{c}{k}" for c in "rc" for k in range(4)]), written(best, "freedoms")
 
 
-def robust(samples: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """2 x 2 gains (ti, fi, ant, i, j, g_re, g_im) and freedoms (ti, fi, v): in each round samples (from both ends, as for element_sums) get weights by their residuals, element sums are formed with
-    these, and gains take one step. A round reads the samples once and leaves rows of baselines."""
-    g = unit_elements(samples)
+def robust(samples: DataFrame, rounds: int, kind: str = "full", start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """2 x 2 gains (ti, fi, ant, i, j, g_re, g_im) of a kind and freedoms (ti, fi, v): in each round samples (from both ends, as for element_sums) get weights by their residuals, element sums are
+    formed with these, and gains take one step. A round reads the samples once and leaves rows of baselines."""
+    g = started(samples, start)
     freedoms = samples.select(*KEY).distinct().withColumn("v", F.lit(float(FREEDOMS[0])))
     for n in range(1, rounds + 1):
         weighted, freedoms = student_weights(samples, g, freedoms)
-        g = full_update(*element_sums(weighted.withColumn("w", F.col("w") * F.col("u"))), g, n)
-    return g.drop("n"), freedoms
+        g = full_update(*element_sums(weighted.withColumn("w", F.col("w") * F.col("u"))), g, n, kind)
+    return g.drop("n"), freedoms.select(*KEY, "v")
+
+
+# Fixed values of the rule for weights that are too low: a factor, the correlations that count, the freedoms to start from, and the variance below which an interval isn't flagged.
+LOW_FACTOR, LOW_CORRELATIONS, LOW_START, LOW_VARIANCE = 1.26, 2, 5.0, 2e-2
+
+
+def with_low_weights(weighted: DataFrame, freedoms: DataFrame, sigma: float) -> DataFrame:
+    """weighted (samples with u) with low: whether the weight lies under what the interval's freedoms v (and sigma) ask for, factor / v (v + correlations) / (v + sigma)."""
+    v = F.col("_v")
+    limit = LOW_FACTOR / v * (v + LOW_CORRELATIONS) / (v + sigma)
+    return weighted.join(freedoms.select(*KEY, F.col("v").alias("_v")), list(KEY)).withColumn("low", F.col("u") < limit).drop("_v")
+
+
+def robust_flagged(samples: DataFrame, rounds: int, sigma: float = 3.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gains and freedoms of a robust fit without the samples whose weights are too low, and the samples with wflag: 1 those flagged before the fit, by residuals under unit gains (not in intervals
+    of low variance), 2 those flagged by the weights that the fit came to, else 0. A fit with all samples of an interval flagged has no rows for it."""
+    start = samples.select(*KEY).distinct().withColumn("v", F.lit(LOW_START))
+    first, v = student_weights(samples, unit_elements(samples), start)
+    quiet = v.select(*KEY, (F.col("var") < LOW_VARIANCE).alias("_quiet"))
+    first = written(with_low_weights(first, v, sigma).join(quiet, list(KEY)).withColumn("low", F.col("low") & ~F.col("_quiet")).drop("_quiet", "u"), "flagged")
+    kept = first.where("not low").drop("low")
+    g, v = robust(kept, rounds)
+    after, _ = student_weights(kept, g, v)
+    after = with_low_weights(after, v, sigma).withColumn("wflag", F.when(F.col("low"), 2).otherwise(0)).drop("u", "low")
+    return g, v, after.unionByName(first.where("low").drop("low").withColumn("wflag", F.lit(1)))
+
+
+# ---------------------------------------------------------------- chains of 2 x 2 terms
+
+
+@dataclass(frozen=True)
+class MatrixTerm(Term):
+    """A term of 2 x 2 gains: its kind, and whether its fit is robust."""
+
+    kind: str = "full"
+    robust: bool = False
+
+
+def folded_samples(samples: DataFrame, terms: list[MatrixTerm], gains: list[DataFrame | None], k: int) -> DataFrame:
+    """Samples (ti and fi of the finest intervals, d, m, ...) as term k sees them, in its own intervals: terms to the right go into the model, from the last on, those to the left are taken off the data, from
+    the first on. Samples go where a gain to be taken off is singular."""
+    right, left = range(len(terms) - 1, k, -1), range(k)
+    for j in [*right, *left]:
+        if gains[j] is None:
+            continue
+        own = _wide(gains[j]).withColumnsRenamed({"ti": "_ti", "fi": "_fi"})
+        x = samples.withColumns({"_ti": terms[j].key("ti"), "_fi": terms[j].key("fi")})
+        for end, ant in (("q", "ant2"), ("p", "ant1")):
+            x = x.join(own.select("_ti", "_fi", F.col("ant").alias(ant), *[F.col(c).alias(f"{end}_{c}") for c in ELEMENTS]), ["_ti", "_fi", ant])
+        p, q = _gain("p"), _gain("q")
+        if j > k:
+            x = x.withColumn("m", _array(sandwich(p, _cells("m"), q)))
+        else:
+            (p, bad), (q, worse) = mat_inverse(p, 1e-12), mat_inverse(q, 1e-12)
+            x = x.where(~bad & ~worse).withColumn("d", _array(sandwich(p, _cells("d"), q)))
+        samples = x.select(*samples.columns)
+    return samples.withColumns({n: terms[k].key(n) for n in KEY})
+
+
+def matrix_chain(samples: DataFrame, terms: list[MatrixTerm], recipe: list[int]) -> DataFrame:
+    """(term, ti, fi, ant, i, j, g_re, g_im) of the terms of a product of 2 x 2 gains; samples from both ends with d, m, w and ti, fi of the finest intervals. recipe: rounds, dealt to the terms in
+    turn; a robust turn starts from the gains of the term's last one and from the fewest freedoms. A turn reads the samples once and writes them as its term sees them; all rounds then run on rows of
+    baselines, but for robust ones, which read these samples once each."""
+    gains: list[DataFrame | None] = [None] * len(terms)
+    for turn, count in enumerate(recipe):
+        k = turn % len(terms)
+        seen = written(folded_samples(samples, terms, gains, k), "folded")
+        if terms[k].robust:
+            gains[k] = robust(seen, count, terms[k].kind, gains[k])[0]
+        else:
+            gains[k] = last(full(*element_sums(seen), count, terms[k].kind, gains[k]), count, "n")
+    out = None
+    for k, g in enumerate(gains):
+        if g is not None:
+            rows = g.select(F.lit(k).cast("bigint").alias("term"), *KEY, "ant", "i", "j", "g_re", "g_im")
+            out = rows if out is None else out.unionByName(rows)
+    return out

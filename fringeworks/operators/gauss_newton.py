@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cx import cx, polar
+from ..functions.cx import Cx, Mat, cx, polar
 from ..sources.tables import written
 
 KEY = ("ti", "fi")
@@ -102,8 +102,55 @@ def unit_elements(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.col("ant1").alias("ant")).distinct().select(*KEY, "ant", F.lit(0).alias("n"), F.explode(F.array(*unit)).alias("x")).select(*KEY, "ant", "n", "x.*")
 
 
-def full_update(dm: DataFrame, mm: DataFrame, g: DataFrame, n: int, leakage: bool = False) -> DataFrame:
-    """2 x 2 gains of round n from those before: JHR = sum D G_q M_qp, JHJ = sum (G_q M_qp)^H (G_q M_qp), update JHR JHJ^-1, even rounds the mean with the one before."""
+Restriction = Callable[[Mat, Mat, Mat], Mat]
+
+
+def _diagonal_of(both: Callable[[Mat, Mat], tuple[Cx, Cx]]) -> Restriction:
+    """A restriction to diagonal gains, whose two elements both makes of JHR and JHJ."""
+
+    def restrict(_: Mat, r: Mat, h: Mat) -> Mat:
+        zero = cx(F.lit(0.0), F.lit(0.0))
+        a, b = both(r, h)
+        return ((a, zero), (zero, b))
+
+    return restrict
+
+
+def _ratio(x: Cx, size: Column) -> Cx:
+    """x over a size; null where that is none."""
+    return Cx(x.re / F.when(size > 0, size), x.im / F.when(size > 0, size))
+
+
+def _hands(r: Mat, h: Mat) -> tuple[Cx, Cx]:
+    return _ratio(r[0][0], h[0][0].re), _ratio(r[1][1], h[1][1].re)
+
+
+def _common(r: Mat, h: Mat) -> tuple[Cx, Cx]:
+    g = _ratio(r[0][0] + r[1][1], h[0][0].re + h[1][1].re)
+    return g, g
+
+
+def _leakage(u: Mat, r: Mat, h: Mat) -> Mat:
+    one = cx(F.lit(1.0), F.lit(0.0))
+    return ((one, u[0][1]), (u[1][0], one))
+
+
+#: Kinds of 2 x 2 gains: what becomes of an update, given also JHR and JHJ. Users add their own; an element that comes out null keeps its value of the round before.
+KINDS: dict[str, Restriction] = {
+    "full": lambda u, r, h: u,
+    "diag": _diagonal_of(_hands),
+    "phase": _diagonal_of(lambda r, h: tuple(_ratio(g, g.abs()) for g in _hands(r, h))),
+    "amp": _diagonal_of(lambda r, h: tuple(Cx(g.abs(), F.lit(0.0)) for g in _hands(r, h))),
+    "scalar": _diagonal_of(_common),
+    "leakage": _leakage,
+}
+
+
+def full_update(dm: DataFrame, mm: DataFrame, g: DataFrame, n: int, kind: str = "full") -> DataFrame:
+    """2 x 2 gains of round n from those before: JHR = sum D G_q M_qp, JHJ = sum (G_q M_qp)^H (G_q M_qp), update JHR JHJ^-1 as the kind restricts it, even rounds the mean with the one before.
+    Where JHJ is singular, or an antenna has no samples, gains stay as they were."""
+    if kind not in KINDS:
+        raise ValueError(f"kinds: {', '.join(KINDS)}")
     by = [*KEY, "ant1"]
     el = lambda a, b, c, d: g.select(*KEY, F.col("ant").alias("ant2"), F.col("i").alias(a), F.col("j").alias(b), F.col("g_re").alias(c), F.col("g_im").alias(d))
     # (G_q M_qp)_kj = sum_l G_kl conj(M_jl)
@@ -114,26 +161,34 @@ def full_update(dm: DataFrame, mm: DataFrame, g: DataFrame, n: int, leakage: boo
     jhj = mm.join(el("k", "l", "a_re", "a_im"), [*KEY, "ant2", "l"]).join(el("k", "s", "b_re", "b_im"), [*KEY, "ant2", "k", "s"]).groupBy(*by, "i", "j").agg(F.sum(h.re).alias("re"), F.sum(h.im).alias("im"))
     wide = lambda x, tag: x.groupBy(*by).agg(*[F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c))).alias(f"{tag}{i}{j}_{c}") for i in (0, 1) for j in (0, 1) for c in ("re", "im")])
     both = wide(jhr, "r").join(wide(jhj, "h"), by)
-    e = lambda tag, i, j: cx(f"{tag}{i}{j}_re", f"{tag}{i}{j}_im")
-    det = e("h", 0, 0) * e("h", 1, 1) - e("h", 0, 1) * e("h", 1, 0)
-    inverse = ((e("h", 1, 1), -e("h", 0, 1)), (-e("h", 1, 0), e("h", 0, 0)))
-    cells = []
-    for i in (0, 1):
-        for j in (0, 1):
-            u = (e("r", i, 0) * inverse[0][j] + e("r", i, 1) * inverse[1][j]).over(det)
-            u = cx(F.lit(1.0), F.lit(0.0)) if leakage and i == j else u
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), u.re.alias("u_re"), u.im.alias("u_im")))
-    new = both.where(det.abs2() > 0).select(*KEY, F.col("ant1").alias("ant"), F.explode(F.array(*cells)).alias("x")).select(*KEY, "ant", "x.*")
+    matrix = lambda tag: tuple(tuple(cx(f"{tag}{i}{j}_re", f"{tag}{i}{j}_im") for j in (0, 1)) for i in (0, 1))
+    top, own = matrix("r"), matrix("h")
+    det = own[0][0] * own[1][1] - own[0][1] * own[1][0]
+    det = Cx(F.when(det.abs2() > 0, det.re), F.when(det.abs2() > 0, det.im))
+    inverse = ((own[1][1], -own[0][1]), (-own[1][0], own[0][0]))
+    update = tuple(tuple((top[i][0] * inverse[0][j] + top[i][1] * inverse[1][j]).over(det) for j in (0, 1)) for i in (0, 1))
+    limited = KINDS[kind](update, top, own)
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), limited[i][j].re.alias("u_re"), limited[i][j].im.alias("u_im")) for i in (0, 1) for j in (0, 1)]
+    new = both.select(*KEY, F.col("ant1").alias("ant"), F.explode(F.array(*cells)).alias("x")).select(*KEY, "ant", "x.*")
     half = 0.5 if n % 2 == 0 else 0.0
-    mean = lambda c: (F.col(f"u_{c}") * (1 - half) + F.col(f"g_{c}") * half).alias(f"g_{c}")
-    return written(new.join(g.drop("n"), [*KEY, "ant", "i", "j"]).select(*KEY, "ant", F.lit(n).alias("n"), "i", "j", mean("re"), mean("im")), "gains")
+    step = lambda c: F.coalesce(F.col(f"u_{c}") * (1 - half) + F.col(f"g_{c}") * half, f"g_{c}").alias(f"g_{c}")
+    return written(g.drop("n").join(new, [*KEY, "ant", "i", "j"], "left").select(*KEY, "ant", F.lit(n).alias("n"), "i", "j", step("re"), step("im")), "gains")
+
+
+def started(rows: DataFrame, start: DataFrame | None) -> DataFrame:
+    """The 2 x 2 gains that iterations begin with: those of start (ti, fi, ant, i, j, g_re, g_im), unit gains for the rest."""
+    g = unit_elements(rows)
+    if start is None:
+        return g
+    old = start.select(*KEY, "ant", "i", "j", F.col("g_re").alias("_re"), F.col("g_im").alias("_im"))
+    return written(g.join(old, [*KEY, "ant", "i", "j"], "left").select(*KEY, "ant", "n", "i", "j", F.coalesce("_re", "g_re").alias("g_re"), F.coalesce("_im", "g_im").alias("g_im")), "gains")
 
 
-def full(dm: DataFrame, mm: DataFrame, iterations: int, leakage: bool = False) -> DataFrame:
-    """History of 2 x 2 gains (with leakage, of those with a unit diagonal), elements as rows (i, j, g_re, g_im)."""
-    g = out = unit_elements(dm)
+def full(dm: DataFrame, mm: DataFrame, iterations: int, kind: str = "full", start: DataFrame | None = None) -> DataFrame:
+    """History of 2 x 2 gains of a kind, elements as rows (i, j, g_re, g_im)."""
+    g = out = started(dm, start)
     for n in range(1, iterations + 1):
-        g = full_update(dm, mm, g, n, leakage)
+        g = full_update(dm, mm, g, n, kind)
         out = out.unionByName(g)
     return out
 

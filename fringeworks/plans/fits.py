@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cx import Cx, cx
 from ..operators import chains, gains, gauss_newton, rebin
-from ..operators.chains import Term
+from ..operators.chains import MatrixTerm, Term
 from ..sources.tables import written
 from ..sources.views import VL
 from .queries import BOTH, RB, cells
@@ -138,42 +138,52 @@ def _slope_sql(t: str, f: str, axes: list[str]) -> str:
     return f"with {out} " + " union all ".join(f"select p.ti, p.fi, p.ant, {i}::bigint as param, {v} as value from p_{SLOPE_ROUNDS} p left join p_{SLOPE_ROUNDS} o on o.ti = p.ti and o.fi = p.fi and o.ant = 0" for i, v in enumerate(own))
 
 
-def _slopes(spark: SparkSession, sf_dir: str, f_whole: bool, axes: tuple[str, ...]) -> DataFrame:
+INVERSE = "(1.0::double / (chan + 1))"
+
+
+def _slopes(spark: SparkSession, sf_dir: str, kind: str, f_whole: bool = True) -> DataFrame:
     c = rebin.hermitian(cells(spark, sf_dir)).withColumns({"ti": F.floor(F.col("t") / 8), "fi": F.lit(0).cast("bigint") if f_whole else F.col("chan")})
-    z, m = cx("re", "im") * cx("mre", "mim").conj(), cx("mre", "mim")
-    sums = c.groupBy("ti", "fi", *axes, "ant1", "ant2").agg(F.sum(F.col("w") * z.re).alias("z_re"), F.sum(F.col("w") * z.im).alias("z_im"), F.sum(F.col("w") * m.abs2()).alias("v"))
-    names = []
-    for i, axis in enumerate(axes, 1):
-        names.append(f"x{i}")
-        sums = chains.scaled_axis(sums, axis, names[-1])
-    return chains.slopes(written(sums, "sums"), names, SLOPE_ROUNDS)
+    sums, axes = chains.slope_sums(c, kind)
+    return chains.slopes(written(sums, "sums"), axes, SLOPE_ROUNDS)
 
 
 @query(_slope_sql("floor(t / 8)::bigint", "0::bigint", ["chan"]), "value", 4)
 def solve_f_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phase and a delay an antenna."""
-    return _slopes(spark, sf_dir, True, ("chan",))
+    return _slopes(spark, sf_dir, "f-slope")
 
 
 @query(_slope_sql("floor(t / 8)::bigint", "chan", ["t"]), "value", 4)
 def solve_t_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phase and a rate an antenna and channel."""
-    return _slopes(spark, sf_dir, False, ("t",))
+    return _slopes(spark, sf_dir, "t-slope", False)
 
 
 @query(_slope_sql("floor(t / 8)::bigint", "0::bigint", ["t", "chan"]), "value", 4)
 def solve_tf_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phase, a rate and a delay an antenna."""
-    return _slopes(spark, sf_dir, True, ("t", "chan"))
+    return _slopes(spark, sf_dir, "tf-plane")
+
+
+@query(_slope_sql("floor(t / 8)::bigint", "0::bigint", [INVERSE]), "value", 4)
+def solve_if_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phase and a slope over inverse frequency an antenna."""
+    return _slopes(spark, sf_dir, "if-slope")
+
+
+@query(_slope_sql("floor(t / 8)::bigint", "0::bigint", ["chan", INVERSE]), "value", 4)
+def solve_fif_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phase, a delay and a slope over inverse frequency an antenna."""
+    return _slopes(spark, sf_dir, "fif-slope")
 
 
 # ---------------------------------------------------------------- leakages
 
 
-@query(f"with {_full_rounds(3, True)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im from g3", "g_re g_im", 5)
+@query(f"with {_full_rounds(3, "leakage")} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im from g3", "g_re g_im", 5)
 def solve_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 x 2 gains of which only the off-diagonals are free."""
-    g = gauss_newton.last(gauss_newton.full(*elements(spark, sf_dir), 3, leakage=True), 3, "n")
+    g = gauss_newton.last(gauss_newton.full(*elements(spark, sf_dir), 3, "leakage"), 3, "n")
     return g.select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im")
 
 
@@ -216,21 +226,27 @@ def _digamma(x: str) -> str:
     return f"(ln({x} + 6) - 0.5 / ({x} + 6) - 1 / (({x} + 6) * ({x} + 6)) * (1 / 12.0::double - 1 / (({x} + 6) * ({x} + 6)) * (1 / 120.0::double - 1 / (({x} + 6) * ({x} + 6)) / 252)) - ({' + '.join(f'1 / ({x} + {i})' for i in range(6))}))"
 
 
-def _robust_sql(rounds: int) -> str:
-    out = f"{ELEMENTS}, v0 as (select distinct ti, fi, 2.0::double as v from e)"
-    for k in range(1, rounds + 1):
-        key, g = "ti, fi, t, chan, ant1, ant2", f"g{k - 1}"
-        out += f""", rs{k} as materialized (select e.ti, e.fi, e.t, e.chan, e.ant1, e.ant2, p.i, q.i as j, sum((p.gr * mr - p.gi * mi) * q.gr + (p.gr * mi + p.gi * mr) * q.gi) as kr, sum((p.gr * mi + p.gi * mr) * q.gr - (p.gr * mr - p.gi * mi) * q.gi) as ki
- from e join {g} p on p.ti = e.ti and p.fi = e.fi and p.ant = e.ant1 and p.j = e.i join {g} q on q.ti = e.ti and q.fi = e.fi and q.ant = e.ant2 and q.j = e.j group by all),
- sq{k} as materialized (select {key}, i, j, (re - kr) * (re - kr) + (im - ki) * (im - ki) as r2 from e join rs{k} using ({key}, i, j)), cv{k} as (select ti, fi, i, j, greatest(avg(r2), 1e-12::double) as c from sq{k} group by all),
+def _weights_sql(k: int, e: str = "e") -> str:
+    """Weights of round k (su, their means mw), the freedoms v{k} that fit them and the weighted elements we{k}, of elements e under g{k - 1} and v{k - 1}."""
+    key, g = "ti, fi, t, chan, ant1, ant2", f"g{k - 1}"
+    return f""", rs{k} as materialized (select e.ti, e.fi, e.t, e.chan, e.ant1, e.ant2, p.i, q.i as j, sum((p.gr * mr - p.gi * mi) * q.gr + (p.gr * mi + p.gi * mr) * q.gi) as kr, sum((p.gr * mi + p.gi * mr) * q.gr - (p.gr * mr - p.gi * mi) * q.gi) as ki
+ from {e} e join {g} p on p.ti = e.ti and p.fi = e.fi and p.ant = e.ant1 and p.j = e.i join {g} q on q.ti = e.ti and q.fi = e.fi and q.ant = e.ant2 and q.j = e.j group by all),
+ sq{k} as materialized (select {key}, i, j, (re - kr) * (re - kr) + (im - ki) * (im - ki) as r2 from {e} e join rs{k} using ({key}, i, j)), cv{k} as (select ti, fi, i, j, greatest(avg(r2), 1e-12::double) as c from sq{k} group by all),
  su{k} as materialized (select {key}, any_value(v) as v, (any_value(v) + 4) / (any_value(v) + sum(r2 / c)) as u from sq{k} join cv{k} using (ti, fi, i, j) join v{k - 1} using (ti, fi) group by all),
  mw{k} as (select ti, fi, avg(u) as mu, avg(ln(u) - u) as ml, any_value(v) as v from su{k} group by all),
  v{k} as materialized (select ti, fi, arg_min(f, cost * 1e6::double + f / 1e6::double) as v from (select ti, fi, f, round(abs(ln(f / 2) - {_digamma("(f / 2)")} + ml + 1 + {_digamma("((v + 4) / 2)")} - ln((v + 4) / 2)), 9) as cost from mw{k}, (select unnest(range(2, 101))::double as f)) group by all),
- we{k} as materialized (select e.* exclude (w), w * u / mu as w from e join su{k} using ({key}) join mw{k} using (ti, fi)),
+ we{k} as materialized (select e.* exclude (w), w * u / mu as w from {e} e join su{k} using ({key}) join mw{k} using (ti, fi))"""
+
+
+def _robust_round(k: int, e: str = "e", kind: str = "full", mean: bool | None = None) -> str:
+    sums = f""",
  dm{k} as materialized (select d.ti, d.fi, d.ant1, d.ant2, d.i, d.j as k, m.i as j, m.j as l, sum(d.w * (d.re * m.mr + d.im * m.mi)) as re, sum(d.w * (d.im * m.mr - d.re * m.mi)) as im from we{k} d join we{k} m using (t, chan, ant1, ant2) group by all),
  mm{k} as materialized (select d.ti, d.fi, d.ant1, d.ant2, d.i, d.j as l, m.i as j, m.j as s, sum(d.w * (d.mr * m.mr + d.mi * m.mi)) as re, sum(d.w * (d.mi * m.mr - d.mr * m.mi)) as im from we{k} d join we{k} m using (t, chan, ant1, ant2) group by all)"""
-        out += full_round(k, f"dm{k}", f"mm{k}")
-    return out
+    return _weights_sql(k, e) + sums + full_round(k, f"dm{k}", f"mm{k}", kind, mean)
+
+
+def _robust_sql(rounds: int) -> str:
+    return f"{ELEMENTS}, v0 as (select distinct ti, fi, 2.0::double as v from e)" + "".join(_robust_round(k) for k in range(1, rounds + 1))
 
 
 @query(f"with {_robust_sql(ROBUST_ROUNDS)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im, v as freedoms from g{ROBUST_ROUNDS} join v{ROBUST_ROUNDS} using (ti, fi)", "g_re g_im", 4)
@@ -240,6 +256,80 @@ def solve_robust_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(v, ["ti", "fi"]).select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im", F.col("v").alias("freedoms"))
 
 
+SIGMA = 3.0
+
+
+def _flagged_sql(rounds: int) -> str:
+    """Round 1 weighs under unit gains with the freedoms to start from; the fit is rounds 11 on; round 99 weighs under its gains."""
+    low = lambda k: f"u / mu < {chains.LOW_FACTOR}::double / v{k}.v * (v{k}.v + {chains.LOW_CORRELATIONS}) / (v{k}.v + {SIGMA}::double)"
+    key, last_ = "ti, fi, t, chan, ant1, ant2", 10 + rounds
+    out = f"""{ELEMENTS}, v0 as (select distinct ti, fi, {chains.LOW_START}::double as v from e){_weights_sql(1)}, qv as (select ti, fi, avg(c) < {chains.LOW_VARIANCE}::double as quiet from cv1 where i = j group by all),
+ lo1 as materialized (select {key}, {low(1)} and not quiet as low from su1 join mw1 using (ti, fi) join v1 using (ti, fi) join qv using (ti, fi)), ek as materialized (select e.* from e join lo1 using ({key}) where not low),
+ v10 as (select distinct ti, fi, 2.0::double as v from ek), g10 as (select distinct ti, fi, ant1 as ant, i, j, (i = j)::int::double as gr, 0.0::double as gi from ek)"""
+    out += "".join(_robust_round(k, "ek", mean=(k - 10) % 2 == 0) for k in range(11, last_ + 1))
+    out += f", g98 as (select * from g{last_}), v98 as (select * from v{last_}){_weights_sql(99, 'ek')}"
+    return out + f", lo2 as (select {key}, {low(last_)} as low from su99 join mw99 using (ti, fi) join v{last_} using (ti, fi))"
+
+
+@query(f"with {_flagged_sql(ROBUST_ROUNDS)} select ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im, v as freedoms from g98 join v98 using (ti, fi)", "g_re g_im", 4)
+def solve_robust_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robust fit without the samples whose weights under unit gains are too low."""
+    g, v, _ = chains.robust_flagged(element_samples(spark, sf_dir), ROBUST_ROUNDS, SIGMA)
+    return g.join(v, ["ti", "fi"]).select("ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im", F.col("v").alias("freedoms"))
+
+
+@query(f"with {_flagged_sql(ROBUST_ROUNDS)} select t, chan, ant1, ant2, 1::bigint as wflag from lo1 where low and ant1 < ant2 union all select t, chan, ant1, ant2, 2::bigint from lo2 where low and ant1 < ant2")
+def flag_low_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that a robust fit flags, before (1) and after it (2)."""
+    flags = chains.robust_flagged(element_samples(spark, sf_dir), ROBUST_ROUNDS, SIGMA)[2]
+    return flags.where("wflag > 0 and ant1 < ant2").select("t", "chan", "ant1", "ant2", F.col("wflag").cast("bigint").alias("wflag"))
+
+
+MATRIX_TERMS, MATRIX_RECIPE = [MatrixTerm(1, 0, "diag", True), MatrixTerm(8, 0, "full", True)], [2, 2, 1]
+
+
+def _sandwich_sql(e: str, g: str, re: str, im: str, own: MatrixTerm) -> str:
+    """P X Q^H of the elements (re, im) of e, with a term's gains."""
+    t, f = _term_key(own, "e.")
+    pr, pi = f"(p.gr * {re} - p.gi * {im})", f"(p.gr * {im} + p.gi * {re})"
+    return f"""(select t, chan, ant1, ant2, p.i, q.i as j, sum({pr} * q.gr + {pi} * q.gi) as kr, sum({pi} * q.gr - {pr} * q.gi) as ki from {e} e
+ join {g} p on p.ti = {t} and p.fi = {f} and p.ant = e.ant1 and p.j = e.i join {g} q on q.ti = {t} and q.fi = {f} and q.ant = e.ant2 and q.j = e.j group by all)"""
+
+
+def _matrix_chain_sql() -> str:
+    """Elements start in intervals of a slot and a channel; each turn has its own table of elements and its rounds."""
+    out = ELEMENTS.replace(f"floor(t / {T_INT})::bigint as ti, floor(chan / {F_INT})::bigint as fi", "t as ti, chan as fi")
+    now, at = [None, None], 100
+    for turn, count in enumerate(MATRIX_RECIPE):
+        k, j = turn % 2, 1 - turn % 2
+        t, f = _term_key(MATRIX_TERMS[k], "e.")
+        if now[j] and j > k:
+            out += f", fo{turn} as materialized (select {t} as ti, {f} as fi, e.t, e.chan, e.ant1, e.ant2, e.i, e.j, e.re, e.im, kr as mr, ki as mi, e.w from e join {_sandwich_sql('e', now[j], 'mr', 'mi', MATRIX_TERMS[j])} x using (t, chan, ant1, ant2, i, j))"
+        elif now[j]:
+            wide = ", ".join(f"max(g{c}) filter (i = {i} and j = {m}) as {x}_{c}" for (i, m), x in zip(((0, 0), (0, 1), (1, 0), (1, 1)), "abcd", strict=True) for c in "ri")
+            over = lambda x, sign: f"{sign}({x}_r * det_r + {x}_i * det_i) / size, {sign}({x}_i * det_r - {x}_r * det_i) / size"
+            rows = f"(0, 0, {over('d', '')}), (0, 1, {over('b', '-')}), (1, 0, {over('c', '-')}), (1, 1, {over('a', '')})"
+            out += f""", iw{turn} as (select *, det_r * det_r + det_i * det_i as size from (select *, a_r * d_r - a_i * d_i - b_r * c_r + b_i * c_i as det_r, a_r * d_i + a_i * d_r - b_r * c_i - b_i * c_r as det_i from (select ti, fi, ant, {wide} from {now[j]} group by all))),
+ iv{turn} as materialized (select ti, fi, ant, x.i, x.j, x.gr, x.gi from iw{turn}, lateral (values {rows}) x(i, j, gr, gi) where size > 1e-24),
+ fo{turn} as materialized (select {t} as ti, {f} as fi, e.t, e.chan, e.ant1, e.ant2, e.i, e.j, kr as re, ki as im, e.mr, e.mi, e.w from e join {_sandwich_sql('e', f'iv{turn}', 're', 'im', MATRIX_TERMS[j])} x using (t, chan, ant1, ant2, i, j))"""
+        else:
+            out += f", fo{turn} as materialized (select {t} as ti, {f} as fi, e.* exclude (ti, fi) from e)"
+        start = f"left join {now[k]} o using (ti, fi, ant, i, j)" if now[k] else ""
+        first = "coalesce(o.gr, x.gr) as gr, coalesce(o.gi, x.gi) as gi" if now[k] else "x.gr, x.gi"
+        out += f", g{at} as (select x.ti, x.fi, x.ant, x.i, x.j, {first} from (select distinct ti, fi, ant1 as ant, i, j, (i = j)::int::double as gr, 0.0::double as gi from fo{turn}) x {start}), v{at} as (select distinct ti, fi, 2.0::double as v from fo{turn})"
+        out += "".join(_robust_round(at + n, f"fo{turn}", MATRIX_TERMS[k].kind, n % 2 == 0) for n in range(1, count + 1))
+        now[k] = f"g{at + count}"
+        at += 100
+    return out + " select * from (" + " union all ".join(f"select {k}::bigint as term, ti, fi, ant, i::bigint as i, j::bigint as j, gr as g_re, gi as g_im from {g}" for k, g in enumerate(now)) + ")"
+
+
+@query(f"with {_matrix_chain_sql()}", "g_re g_im", 4)
+def solve_chain_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagonal gains by slot before full ones by eight slots, both robust, in turns."""
+    g = chains.matrix_chain(element_samples(spark, sf_dir, 1, 1), MATRIX_TERMS, MATRIX_RECIPE)
+    return g.select("term", "ti", "fi", "ant", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "g_re", "g_im")
+
+
 # ---------------------------------------------------------------- a loop that stops by itself
 
 MOST, EPSILON, DELTA = 6, 0.02, 0.02

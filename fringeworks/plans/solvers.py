@@ -81,33 +81,37 @@ ELEMENTS = f"""{VL}, {RB}, {VC}, x as (select floor(t / {T_INT})::bigint as ti,
  g0 as (select distinct ti, fi, ant1 as ant, i, j, (i = j)::int::double as gr, 0.0::double as gi from e)"""
 
 
-def full_round(k: int, dm: str = "dm", mm: str = "mm", leakage: bool = False) -> str:
-    """Round k of 2 x 2 gains, from g{k - 1} and the names of element sums."""
-    half = "(u.ur + g.gr) / 2 as gr, (u.ui + g.gi) / 2 as gi" if k % 2 == 0 else "u.ur as gr, u.ui as gi"
-    if leakage:
-        half = f"case when u.i = u.j then 1 else {half.split(' as gr')[0]} end as gr, case when u.i = u.j then 0 else {half.split(', ')[1].split(' as gi')[0]} end as gi"
+def full_round(k: int, dm: str = "dm", mm: str = "mm", kind: str = "full", mean: bool | None = None) -> str:
+    """Round k of 2 x 2 gains, from g{k - 1} and the names of element sums; even rounds take means unless told."""
+    half = [f"(u.u{c} + g.g{c}) / 2" if (k % 2 == 0 if mean is None else mean) else f"u.u{c}" for c in "ri"]
+    if kind == "leakage":
+        half = [f"case when g.i = g.j then {one} else {x} end" for one, x in zip((1, 0), half, strict=True)]
+    new = f"g{k} as materialized (select g.ti, g.fi, g.ant, g.i, g.j, coalesce({half[0]}, g.gr) as gr, coalesce({half[1]}, g.gi) as gi from g{k - 1} g left join u{k} u using (ti, fi, ant, i, j))"
     at = lambda t, c, i, j: f"max({c}) filter (i = {i} and j = {j}) as {t}{i}{j}{c}"
     wide = lambda t: ", ".join(at(t, c, i, j) for i in (0, 1) for j in (0, 1) for c in ("re", "im"))
     out = f""", r{k} as (select a.ti, a.fi, ant1 as ant, a.i, a.j, sum(re * gr - im * gi) as re, sum(re * gi + im * gr) as im from {dm} a join g{k - 1} g on g.ti = a.ti and g.fi = a.fi and g.ant = a.ant2 and g.i = a.k and g.j = a.l group by all),
  h{k} as (select a.ti, a.fi, ant1 as ant, a.i, a.j, sum((a.re * p.gr + a.im * p.gi) * q.gr - (a.im * p.gr - a.re * p.gi) * q.gi) as re, sum((a.re * p.gr + a.im * p.gi) * q.gi + (a.im * p.gr - a.re * p.gi) * q.gr) as im from {mm} a
  join g{k - 1} p on p.ti = a.ti and p.fi = a.fi and p.ant = a.ant2 and p.j = a.l join g{k - 1} q on q.ti = a.ti and q.fi = a.fi and q.ant = a.ant2 and q.i = p.i and q.j = a.s group by all),
- w{k} as (select * from (select ti, fi, ant, {wide("r")} from r{k} group by all) join (select ti, fi, ant, {wide("h")} from h{k} group by all) using (ti, fi, ant)),
+ w{k} as (select * from (select ti, fi, ant, {wide("r")} from r{k} group by all) join (select ti, fi, ant, {wide("h")} from h{k} group by all) using (ti, fi, ant))"""
+    if kind == "diag":
+        hand = ", ".join(f"({i}, {j}, {f'r{i}{i}re / h{i}{i}re, r{i}{i}im / h{i}{i}re' if i == j else '0.0::double, 0.0::double'})" for i in (0, 1) for j in (0, 1))
+        return out + f", u{k} as (select ti, fi, ant, x.i, x.j, x.ur, x.ui from w{k}, lateral (values {hand}) x(i, j, ur, ui) where h00re > 0 and h11re > 0), {new}"
+    return out + f""",
  t{k} as (select *, h00re * h11re - h00im * h11im - h01re * h10re + h01im * h10im as dr, h00re * h11im + h00im * h11re - h01re * h10im - h01im * h10re as di from w{k}),
  n{k} as (select ti, fi, ant, 0 as i, 0 as j, r00re * h11re - r00im * h11im - r01re * h10re + r01im * h10im as nr, r00re * h11im + r00im * h11re - r01re * h10im - r01im * h10re as ni, dr, di from t{k}
  union all select ti, fi, ant, 0, 1, -r00re * h01re + r00im * h01im + r01re * h00re - r01im * h00im, -r00re * h01im - r00im * h01re + r01re * h00im + r01im * h00re, dr, di from t{k}
  union all select ti, fi, ant, 1, 0, r10re * h11re - r10im * h11im - r11re * h10re + r11im * h10im, r10re * h11im + r10im * h11re - r11re * h10im - r11im * h10re, dr, di from t{k}
  union all select ti, fi, ant, 1, 1, -r10re * h01re + r10im * h01im + r11re * h00re - r11im * h00im, -r10re * h01im - r10im * h01re + r11re * h00im + r11im * h00re, dr, di from t{k}),
- u{k} as (select ti, fi, ant, i, j, (nr * dr + ni * di) / (dr * dr + di * di) as ur, (ni * dr - nr * di) / (dr * dr + di * di) as ui from n{k} where dr * dr + di * di > 0), g{k} as materialized (select u.ti, u.fi, u.ant, u.i, u.j, {half} from u{k} u join g{k - 1} g using (ti, fi, ant, i, j))"""
-    return out
+ u{k} as (select ti, fi, ant, i, j, (nr * dr + ni * di) / (dr * dr + di * di) as ur, (ni * dr - nr * di) / (dr * dr + di * di) as ui from n{k} where dr * dr + di * di > 0), {new}"""
 
 
-def _full_rounds(n: int, leakage: bool = False) -> str:
-    return ELEMENTS + "".join(full_round(k, leakage=leakage) for k in range(1, n + 1))
+def _full_rounds(n: int, kind: str = "full") -> str:
+    return ELEMENTS + "".join(full_round(k, kind=kind) for k in range(1, n + 1))
 
 
-def element_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def element_samples(spark: SparkSession, sf_dir: str, t_int: int = T_INT, f_int: int = F_INT) -> DataFrame:
     """Samples with all their correlations from both ends. The model of the off-diagonals gets a share of the data, as one of zero leaves JHJ diagonal."""
-    c = gauss_newton.intervals(corrs(spark, sf_dir).where("ant1 <> ant2"), T_INT, F_INT)
+    c = gauss_newton.intervals(corrs(spark, sf_dir).where("ant1 <> ant2"), t_int, f_int)
     model = F.col("mre") + F.when(F.col("corr").isin(1, 2), 0.05 * F.col("re")).otherwise(0.0)
     at = lambda re, im, k: F.struct(F.max(F.when(F.col("corr") == k, re)).alias("re"), F.max(F.when(F.col("corr") == k, im)).alias("im"))
     cells_ = lambda re, im: F.array(*[at(re, im, k) for k in range(4)])

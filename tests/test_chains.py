@@ -7,7 +7,7 @@ from test_solvers import observed
 
 from fringeworks.functions.cx import cx
 from fringeworks.operators import chains, gains, gauss_newton, rebin
-from fringeworks.operators.chains import Term
+from fringeworks.operators.chains import MatrixTerm, Term
 
 ANTS, SLOTS, CHANS, DIRS = 7, 12, 6, 3
 SCHEMA = "t bigint, chan bigint, ant1 bigint, ant2 bigint, re double, im double, w double, " + ", ".join(f"m{d}_re double, m{d}_im double" for d in range(DIRS))
@@ -190,3 +190,154 @@ def test_leakages_and_an_offset(spark):
             assert abs(complex(r.g_re, r.g_im) - (1 if r.i == 0 else np.exp(-1j * z.first()["pzd"]))) < 1e-12
         else:
             assert abs(complex(r.g_re, r.g_im) - true[r.ant][r.i, r.j]) < 5e-2
+
+
+# ---------------------------------------------------------------- 2 x 2 gains of a kind
+
+MATRICES = "ti bigint, fi bigint, s bigint, ant1 bigint, ant2 bigint, d array<struct<re:double,im:double>>, m array<struct<re:double,im:double>>, w double"
+
+
+def both_ends(ti, fi, s, p, q, d, m):
+    cell = lambda x: [(float(v.real), float(v.imag)) for v in x.reshape(-1)]
+    return [(ti, fi, s, p, q, cell(d), cell(m), 1.0), (ti, fi, s, q, p, cell(d.conj().T), cell(m.conj().T), 1.0)]
+
+
+def a_model(rng):
+    return np.eye(2) + 0.3 * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2)))
+
+
+def a_gain(rng, kind):
+    size, phase, off = rng.uniform(0.8, 1.2, 2), np.exp(1j * rng.normal(0, 0.3, 2)), 0.1 * (rng.normal(size=2) + 1j * rng.normal(size=2))
+    diagonal = {"phase": phase, "amp": size, "scalar": size[:1] * phase[:1] * np.ones(2), "leakage": np.ones(2)}.get(kind, size * phase)
+    g = np.diag(diagonal).astype(complex)
+    if kind in ("full", "leakage"):
+        g[0, 1], g[1, 0] = off
+    return g
+
+
+def matrices(rows, *key):
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[k] for k in key), np.zeros((2, 2), complex))[r.i, r.j] = complex(r.g_re, r.g_im)
+    return out
+
+
+@pytest.mark.parametrize("kind", gauss_newton.KINDS)
+def test_kinds(spark, kind):
+    """Gains of each kind come out, up to what their kind leaves open, in two intervals; an antenna whose model is zero keeps unit gains."""
+    rng = np.random.default_rng(9)
+    true = [[a_gain(rng, kind) for _ in range(ANTS)] for _ in (0, 1)]
+    rows, made = [], []
+    for ti in (0, 1):
+        for s in range(6):
+            for p in range(ANTS):
+                for q in range(p + 1, ANTS):
+                    m = a_model(rng) * (q < ANTS - 1)
+                    d = true[ti][p] @ m @ true[ti][q].conj().T
+                    made.append((ti, p, q, m, d))
+                    rows += both_ends(ti, 0, s, p, q, d, m)
+    samples = spark.createDataFrame(rows, MATRICES).repartition(4)
+    got = matrices(gauss_newton.last(gauss_newton.full(*gauss_newton.element_sums(samples), 12, kind), 12, "n").collect(), "ti", "ant")
+    assert decibels([np.abs(got[ti, p] @ m @ got[ti, q].conj().T - d).max() for ti, p, q, m, d in made])
+    assert all(np.array_equal(got[ti, ANTS - 1], np.eye(2)) for ti in (0, 1))
+    if kind not in ("full", "leakage"):
+        assert all(g[0, 1] == g[1, 0] == 0 for g in got.values())
+    with pytest.raises(ValueError, match="kinds"):
+        gauss_newton.full_update(samples, samples, samples, 1, "other")
+
+
+def _chain_rows(rng, wild):
+    """Diagonal gains by slot times full ones of the whole, with outliers; and what they make without noise."""
+    left, right = [[a_gain(rng, "diag") for _ in range(ANTS)] for _ in range(3)], [a_gain(rng, "full") for _ in range(ANTS)]
+    rows, made = [], []
+    for t in range(3):
+        for s in range(12):
+            for p in range(ANTS):
+                for q in range(p + 1, ANTS):
+                    m = a_model(rng)
+                    d = left[t][p] @ right[p] @ m @ (left[t][q] @ right[q]).conj().T
+                    made.append((t, p, q, m, d))
+                    noise = (8.0 if rng.random() < wild else 0.003) * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2)))
+                    rows += both_ends(t, s, s, p, q, d + noise, m)
+    return rows, made
+
+
+@pytest.mark.parametrize("robust", [False, True])
+def test_matrix_chain(spark, robust):
+    """A product of two 2 x 2 terms with intervals of their own is found on every baseline; with outliers, by its robust form far better than by the plain one."""
+    rows, made = _chain_rows(np.random.default_rng(10), 0.04 if robust else 0)
+    samples = spark.createDataFrame(rows, MATRICES).repartition(4).cache()
+
+    def errors(weighted):
+        out = matrices(chains.matrix_chain(samples, [MatrixTerm(1, 0, "diag", weighted), MatrixTerm(0, 0, "full", weighted)], [4, 4, 4, 4]).collect(), "term", "ti", "fi", "ant")
+        assert {k[:3] for k in out} == {(0, t, 0) for t in range(3)} | {(1, 0, 0)}
+        g = lambda t, a: out[0, t, 0, a] @ out[1, 0, 0, a]
+        return [np.abs(g(t, p) @ m @ g(t, q).conj().T - d).max() for t, p, q, m, d in made]
+
+    if robust:
+        assert np.median(errors(True)) < 0.3 * np.median(errors(False))
+    else:
+        error = errors(False)
+        assert np.median(error) < 0.03 and np.percentile(error, 95) < 0.1
+        one = chains.matrix_chain(samples, [MatrixTerm(0, 0)], [3]).orderBy("ant", "i", "j").collect()
+        plain = gauss_newton.last(gauss_newton.full(*gauss_newton.element_sums(samples.withColumns({"ti": F.lit(0).cast("bigint"), "fi": F.lit(0).cast("bigint")})), 3), 3, "n").orderBy("ant", "i", "j").collect()
+        assert np.allclose([(r.g_re, r.g_im) for r in one], [(r.g_re, r.g_im) for r in plain])
+        assert chains.matrix_chain(samples.limit(0), [MatrixTerm(1, 0, "diag", True), MatrixTerm()], [1, 1]).count() == 0
+
+
+def test_low_weights(spark):
+    """Planted outliers are flagged before the fit, in the interval that has them and none beside them; a quiet interval is left alone, and gains are as good as those of clean data."""
+    rng = np.random.default_rng(11)
+    true, bad, rows, made = [a_gain(rng, "full") for _ in range(ANTS)], set(), [], []
+    for ti in (0, 1):
+        for s in range(25):
+            for p in range(ANTS):
+                for q in range(p + 1, ANTS):
+                    m = a_model(rng)
+                    d = true[p] @ m @ true[q].conj().T if ti == 0 else m
+                    made.append((ti, p, q, m, d))
+                    wild = ti == 0 and rng.random() < 0.03
+                    if wild:
+                        bad.add((s, p, q))
+                    rows += both_ends(ti, 0, s, p, q, d + (20.0 if wild else 0.01) * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2))), m)
+    samples = spark.createDataFrame(rows, MATRICES).repartition(4).cache()
+    g, v, flags = chains.robust_flagged(samples, 6)
+    flags = flags.cache()
+    assert flags.count() == len(rows) and set(flags.columns) == {*samples.columns, "wflag"}
+    first = {(r.s, r.ant1, r.ant2) for r in flags.where("wflag = 1 and ant1 < ant2").collect()}
+    assert first <= bad and len(first) >= 0.9 * len(bad) and flags.where("wflag = 1 and ti = 1").count() == 0
+    assert flags.where("wflag = 1 and ant1 > ant2").count() == len(first)
+    got = matrices(g.where("ti = 0").collect(), "ant")
+    assert np.median([np.abs(got[p,] @ m @ got[q,].conj().T - d).max() for ti, p, q, m, d in made if ti == 0]) < 0.02
+    assert v.count() == 2
+    empty = chains.robust_flagged(samples.limit(0), 1)
+    assert [x.count() for x in empty] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("kind", chains.SLOPES)
+def test_slope_kinds(spark, kind):
+    """Samples of known phases over each kind's axes."""
+    rng = np.random.default_rng(12)
+    count = len(chains.SLOPES[kind])
+    true = rng.uniform(-0.5, 0.5, (ANTS, 1 + count))
+    true[0] = 0
+    scaled = lambda x: (x - x.min()) / np.ptp(x)
+    t, f = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    axis = {"t": t, "chan": f, "1d / (chan + 1)": 1 / (f + 1)}
+    x = np.stack([np.ones(len(t)), *[scaled(axis[a]) for a in chains.SLOPES[kind]]], -1)
+    rows = []
+    for i in range(len(t)):
+        for p in range(ANTS):
+            for q in range(ANTS):
+                if p != q:
+                    z = np.exp(1j * (true[p] - true[q]) @ x[i])
+                    rows.append((0, 0, int(t[i]), int(f[i]), p, q, float(z.real), float(z.imag), 1.0, 0.0, 1.0))
+    both = spark.createDataFrame(rows, "ti bigint, fi bigint, t bigint, chan bigint, ant1 bigint, ant2 bigint, re double, im double, mre double, mim double, w double")
+    sums, axes = chains.slope_sums(both, kind)
+    got = chains.slopes(sums.cache(), axes, 14).collect()
+    made = np.zeros_like(true)
+    for r in got:
+        made[r.ant, r.param] = r.value
+    assert np.abs((made - true) @ x.T).max() < 1e-2
+    with pytest.raises(ValueError, match="slopes"):
+        chains.slope_sums(both, "other")

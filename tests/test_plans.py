@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from fringeworks.plans import database, extensions, fits, queries, sinks, sky, solvers, solving, statistics, tiles  # noqa: F401
+from fringeworks.plans import database, extensions, fits, queries, sinks, sky, solvers, statistics, tiles  # noqa: F401
 from fringeworks.plans.registry import QUERIES, SQL
 
 
