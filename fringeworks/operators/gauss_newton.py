@@ -148,7 +148,7 @@ KINDS: dict[str, Restriction] = {
 
 def full_update(dm: DataFrame, mm: DataFrame, g: DataFrame, n: int, kind: str = "full") -> DataFrame:
     """2 x 2 gains of round n from those before: JHR = sum D G_q M_qp, JHJ = sum (G_q M_qp)^H (G_q M_qp), update JHR JHJ^-1 as the kind restricts it, even rounds the mean with the one before.
-    Where JHJ is singular, or an antenna has no samples, gains stay as they were."""
+    Elements that a kind fixes are as it says; of the others, those that JHJ leaves open (it is singular) stay as they were, and so do all of an antenna without samples."""
     if kind not in KINDS:
         raise ValueError(f"kinds: {', '.join(KINDS)}")
     by = [*KEY, "ant1"]

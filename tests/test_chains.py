@@ -222,32 +222,54 @@ def matrices(rows, *key):
     return out
 
 
+def a_step(d, m, g, kind):
+    """A round of one interval, antenna by antenna, of (p, q, data, model) from both ends."""
+    out = {}
+    for a in range(ANTS):
+        y = [(x, g[q] @ v.conj().T) for (p, q), x, v in zip(d, d.values(), m.values(), strict=True) if p == a]
+        r, h = sum(x @ v for x, v in y), sum(v.conj().T @ v for _, v in y)
+        if abs(np.linalg.det(h)) == 0:
+            out[a] = g[a]
+            continue
+        hands = np.diag(r) / np.diag(h).real
+        whole = r @ np.linalg.inv(h)
+        leak = whole.copy()
+        leak[[0, 1], [0, 1]] = 1
+        out[a] = {"full": whole, "diag": np.diag(hands), "phase": np.diag(hands / abs(hands)), "amp": np.diag(abs(hands)), "scalar": np.eye(2) * np.trace(r) / np.trace(h).real, "leakage": leak}[kind]
+    return out
+
+
 @pytest.mark.parametrize("kind", gauss_newton.KINDS)
 def test_kinds(spark, kind):
-    """Gains of each kind come out, up to what their kind leaves open, in two intervals; an antenna whose model is zero keeps unit gains."""
+    """A round of each kind against one antenna by antenna, from gains of before; an antenna whose model is zero keeps them."""
     rng = np.random.default_rng(9)
-    true = [[a_gain(rng, kind) for _ in range(ANTS)] for _ in (0, 1)]
-    rows, made = [], []
-    for ti in (0, 1):
-        for s in range(6):
-            for p in range(ANTS):
-                for q in range(p + 1, ANTS):
-                    m = a_model(rng) * (q < ANTS - 1)
-                    d = true[ti][p] @ m @ true[ti][q].conj().T
-                    made.append((ti, p, q, m, d))
-                    rows += both_ends(ti, 0, s, p, q, d, m)
-    samples = spark.createDataFrame(rows, MATRICES).repartition(4)
-    got = matrices(gauss_newton.last(gauss_newton.full(*gauss_newton.element_sums(samples), 12, kind), 12, "n").collect(), "ti", "ant")
-    assert decibels([np.abs(got[ti, p] @ m @ got[ti, q].conj().T - d).max() for ti, p, q, m, d in made])
-    assert all(np.array_equal(got[ti, ANTS - 1], np.eye(2)) for ti in (0, 1))
-    if kind not in ("full", "leakage"):
-        assert all(g[0, 1] == g[1, 0] == 0 for g in got.values())
+    true, before = ([a_gain(rng, k) for _ in range(ANTS)] for k in (kind, kind))
+    rows, data, model = [], {}, {}
+    for p in range(ANTS):
+        for q in range(p + 1, ANTS):
+            m = a_model(rng) * (q < ANTS - 1)
+            d = true[p] @ m @ true[q].conj().T
+            rows += both_ends(0, 0, 0, p, q, d, m)
+            data |= {(p, q): d, (q, p): d.conj().T}
+            model |= {(p, q): m, (q, p): m.conj().T}
+    start = spark.createDataFrame([(0, 0, a, i, j, float(g[i, j].real), float(g[i, j].imag)) for a, g in enumerate(before) for i in (0, 1) for j in (0, 1)], "ti bigint, fi bigint, ant bigint, i int, j int, g_re double, g_im double")
+    g = gauss_newton.full(*gauss_newton.element_sums(spark.createDataFrame(rows, MATRICES)), 1, kind, start)
+    got, want = matrices(gauss_newton.last(g, 1, "n").collect(), "ant"), a_step(data, model, before, kind)
+    for a in range(ANTS):
+        assert np.allclose(got[a,], want[a]), (a, got[a,], want[a])
+    assert np.allclose(got[ANTS - 1,], before[ANTS - 1])
+
+
+def test_other_kinds(spark):
     with pytest.raises(ValueError, match="kinds"):
-        gauss_newton.full_update(samples, samples, samples, 1, "other")
+        gauss_newton.full_update(None, None, None, 1, "other")
+    with pytest.raises(ValueError, match="slopes"):
+        chains.slope_sums(None, "other")
 
 
-def _chain_rows(rng, wild):
-    """Diagonal gains by slot times full ones of the whole, with outliers; and what they make without noise."""
+def test_matrix_chain(spark):
+    """Gains by slot times full ones of the whole: what they make comes nearer the data with each turn than one term can, and no samples give no gains."""
+    rng = np.random.default_rng(10)
     left, right = [[a_gain(rng, "diag") for _ in range(ANTS)] for _ in range(3)], [a_gain(rng, "full") for _ in range(ANTS)]
     rows, made = [], []
     for t in range(3):
@@ -257,87 +279,48 @@ def _chain_rows(rng, wild):
                     m = a_model(rng)
                     d = left[t][p] @ right[p] @ m @ (left[t][q] @ right[q]).conj().T
                     made.append((t, p, q, m, d))
-                    noise = (8.0 if rng.random() < wild else 0.003) * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2)))
-                    rows += both_ends(t, s, s, p, q, d + noise, m)
-    return rows, made
-
-
-@pytest.mark.parametrize("robust", [False, True])
-def test_matrix_chain(spark, robust):
-    """A product of two 2 x 2 terms with intervals of their own is found on every baseline; with outliers, by its robust form far better than by the plain one."""
-    rows, made = _chain_rows(np.random.default_rng(10), 0.04 if robust else 0)
-    samples = spark.createDataFrame(rows, MATRICES).repartition(4).cache()
-
-    def errors(weighted):
-        out = matrices(chains.matrix_chain(samples, [MatrixTerm(1, 0, "diag", weighted), MatrixTerm(0, 0, "full", weighted)], [4, 4, 4, 4]).collect(), "term", "ti", "fi", "ant")
-        assert {k[:3] for k in out} == {(0, t, 0) for t in range(3)} | {(1, 0, 0)}
-        g = lambda t, a: out[0, t, 0, a] @ out[1, 0, 0, a]
-        return [np.abs(g(t, p) @ m @ g(t, q).conj().T - d).max() for t, p, q, m, d in made]
-
-    if robust:
-        assert np.median(errors(True)) < 0.3 * np.median(errors(False))
-    else:
-        error = errors(False)
-        assert np.median(error) < 0.03 and np.percentile(error, 95) < 0.1
-        one = chains.matrix_chain(samples, [MatrixTerm(0, 0)], [3]).orderBy("ant", "i", "j").collect()
-        plain = gauss_newton.last(gauss_newton.full(*gauss_newton.element_sums(samples.withColumns({"ti": F.lit(0).cast("bigint"), "fi": F.lit(0).cast("bigint")})), 3), 3, "n").orderBy("ant", "i", "j").collect()
-        assert np.allclose([(r.g_re, r.g_im) for r in one], [(r.g_re, r.g_im) for r in plain])
-        assert chains.matrix_chain(samples.limit(0), [MatrixTerm(1, 0, "diag", True), MatrixTerm()], [1, 1]).count() == 0
+                    rows += both_ends(t, s, s, p, q, d, m)
+    samples = spark.createDataFrame(rows, MATRICES).repartition(2)
+    terms = [MatrixTerm(1, 0, "diag"), MatrixTerm(0, 0)]
+    out = matrices(chains.matrix_chain(samples, terms, [3, 3, 3]).collect(), "term", "ti", "fi", "ant")
+    assert {k[:3] for k in out} == {(0, t, 0) for t in range(3)} | {(1, 0, 0)}
+    g = lambda t, a: out[0, t, 0, a] @ out[1, 0, 0, a]
+    error = np.median([np.abs(g(t, p) @ m @ g(t, q).conj().T - d).max() for t, p, q, m, d in made])
+    alone = np.median([np.abs(out[0, t, 0, p] @ m @ out[0, t, 0, q].conj().T - d).max() for t, p, q, m, d in made])
+    assert error < 0.02 and error < alone / 3
+    assert chains.matrix_chain(samples.limit(0), [MatrixTerm(1, 0, "diag", True)], [1]).count() == 0
 
 
 def test_low_weights(spark):
-    """Planted outliers are flagged before the fit, in the interval that has them and none beside them; a quiet interval is left alone, and gains are as good as those of clean data."""
+    """Planted outliers are flagged before the fit, in the interval that has them and none beside them, from both ends; a quiet interval is left alone."""
     rng = np.random.default_rng(11)
-    true, bad, rows, made = [a_gain(rng, "full") for _ in range(ANTS)], set(), [], []
+    true, bad, rows = [a_gain(rng, "full") for _ in range(ANTS)], set(), []
     for ti in (0, 1):
         for s in range(25):
             for p in range(ANTS):
                 for q in range(p + 1, ANTS):
                     m = a_model(rng)
                     d = true[p] @ m @ true[q].conj().T if ti == 0 else m
-                    made.append((ti, p, q, m, d))
                     wild = ti == 0 and rng.random() < 0.03
                     if wild:
                         bad.add((s, p, q))
                     rows += both_ends(ti, 0, s, p, q, d + (20.0 if wild else 0.01) * (rng.normal(size=(2, 2)) + 1j * rng.normal(size=(2, 2))), m)
-    samples = spark.createDataFrame(rows, MATRICES).repartition(4).cache()
-    g, v, flags = chains.robust_flagged(samples, 6)
-    flags = flags.cache()
-    assert flags.count() == len(rows) and set(flags.columns) == {*samples.columns, "wflag"}
-    first = {(r.s, r.ant1, r.ant2) for r in flags.where("wflag = 1 and ant1 < ant2").collect()}
-    assert first <= bad and len(first) >= 0.9 * len(bad) and flags.where("wflag = 1 and ti = 1").count() == 0
-    assert flags.where("wflag = 1 and ant1 > ant2").count() == len(first)
-    got = matrices(g.where("ti = 0").collect(), "ant")
-    assert np.median([np.abs(got[p,] @ m @ got[q,].conj().T - d).max() for ti, p, q, m, d in made if ti == 0]) < 0.02
-    assert v.count() == 2
-    empty = chains.robust_flagged(samples.limit(0), 1)
-    assert [x.count() for x in empty] == [0, 0, 0]
-
-
-@pytest.mark.parametrize("kind", chains.SLOPES)
-def test_slope_kinds(spark, kind):
-    """Samples of known phases over each kind's axes."""
-    rng = np.random.default_rng(12)
-    count = len(chains.SLOPES[kind])
-    true = rng.uniform(-0.5, 0.5, (ANTS, 1 + count))
-    true[0] = 0
-    scaled = lambda x: (x - x.min()) / np.ptp(x)
-    t, f = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
-    axis = {"t": t, "chan": f, "1d / (chan + 1)": 1 / (f + 1)}
-    x = np.stack([np.ones(len(t)), *[scaled(axis[a]) for a in chains.SLOPES[kind]]], -1)
-    rows = []
-    for i in range(len(t)):
-        for p in range(ANTS):
-            for q in range(ANTS):
-                if p != q:
-                    z = np.exp(1j * (true[p] - true[q]) @ x[i])
-                    rows.append((0, 0, int(t[i]), int(f[i]), p, q, float(z.real), float(z.imag), 1.0, 0.0, 1.0))
+    samples = spark.createDataFrame(rows, MATRICES).repartition(2)
+    _, v, flags = chains.robust_flagged(samples, 1)
+    assert set(flags.columns) == {*samples.columns, "wflag"}
+    flags = flags.collect()
+    assert len(flags) == len(rows) and v.count() == 2
+    first = {(r.s, r.ant1, r.ant2) for r in flags if r.wflag == 1 and r.ant1 < r.ant2}
+    assert first <= bad and len(first) >= 0.8 * len(bad)
+    assert {(r.s, r.ant2, r.ant1) for r in flags if r.wflag == 1 and r.ant1 > r.ant2} == first and not any(r.wflag == 1 and r.ti == 1 for r in flags)
+
+
+def test_slope_axes(spark):
+    """Sums by place with the axes of a kind scaled within each interval."""
+    rows = [(ti, 0, t, f, 0, 1, 1.0, 2.0, 0.5, 0.0, 2.0) for ti in (0, 1) for t in (3, 5) for f in range(3)]
     both = spark.createDataFrame(rows, "ti bigint, fi bigint, t bigint, chan bigint, ant1 bigint, ant2 bigint, re double, im double, mre double, mim double, w double")
-    sums, axes = chains.slope_sums(both, kind)
-    got = chains.slopes(sums.cache(), axes, 14).collect()
-    made = np.zeros_like(true)
-    for r in got:
-        made[r.ant, r.param] = r.value
-    assert np.abs((made - true) @ x.T).max() < 1e-2
-    with pytest.raises(ValueError, match="slopes"):
-        chains.slope_sums(both, "other")
+    for kind, places in {"if-slope": [(1.0,), (0.25,), (0.0,)], "fif-slope": [(0.0, 1.0), (0.5, 0.25), (1.0, 0.0)], "tf-plane": [(t, f) for t in (0.0, 1.0) for f in (0.0, 0.5, 1.0)]}.items():
+        sums, axes = chains.slope_sums(both, kind)
+        n = 6 / len(places)
+        got = {(r.ti, *[round(r[a], 9) for a in axes]): (r.z_re, r.z_im, r.v) for r in sums.collect()}
+        assert got == {(ti, *p): (n * 1.0, n * 2.0, n * 0.5) for ti in (0, 1) for p in places}
