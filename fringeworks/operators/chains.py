@@ -388,16 +388,17 @@ def folded_samples(samples: DataFrame, terms: list[MatrixTerm], gains: list[Data
     for j in [*right, *left]:
         if gains[j] is None:
             continue
-        own = _wide(gains[j]).withColumnsRenamed({"ti": "_ti", "fi": "_fi"})
+        own = _wide(gains[j])
+        if j < k:  # inverted once an antenna, not once a sample
+            plain = tuple(tuple(cx(f"g{a}{b}_re", f"g{a}{b}_im") for b in (0, 1)) for a in (0, 1))
+            inverse, bad = mat_inverse(plain, 1e-12)
+            own = own.where(~bad).select(*KEY, "ant", *[c.alias(f"g{a}{b}_{part}") for a in (0, 1) for b in (0, 1) for part, c in (("re", inverse[a][b].re), ("im", inverse[a][b].im))])
+        own = own.withColumnsRenamed({"ti": "_ti", "fi": "_fi"})
         x = samples.withColumns({"_ti": terms[j].key("ti"), "_fi": terms[j].key("fi")})
         for end, ant in (("q", "ant2"), ("p", "ant1")):
             x = x.join(own.select("_ti", "_fi", F.col("ant").alias(ant), *[F.col(c).alias(f"{end}_{c}") for c in ELEMENTS]), ["_ti", "_fi", ant])
-        p, q = _gain("p"), _gain("q")
-        if j > k:
-            x = x.withColumn("m", _array(sandwich(p, _cells("m"), q)))
-        else:
-            (p, bad), (q, worse) = mat_inverse(p, 1e-12), mat_inverse(q, 1e-12)
-            x = x.where(~bad & ~worse).withColumn("d", _array(sandwich(p, _cells("d"), q)))
+        side = "m" if j > k else "d"
+        x = x.withColumn(side, _array(sandwich(_gain("p"), _cells(side), _gain("q"))))
         samples = x.select(*samples.columns)
     return samples.withColumns({n: terms[k].key(n) for n in KEY})
 
