@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+
+#: Ids that a row of _lists() holds, on average at most; rows of numbers that go to every task whole.
+BLOCK, WHOLE = 1024, 1 << 18
+
 
 def hulls(points: DataFrame, width: int = 256) -> DataFrame:
     """id, k, x, y: the convex outline of each id's points (id, x, y; whole numbers, in any order, repeated or in a line), anticlockwise from the lowest of its leftmost ones. Of each column the lowest and
@@ -88,21 +93,66 @@ def _in_cells(box: DataFrame, size: int) -> DataFrame:
     return box.withColumn("gx", cell("x0", "x1")).withColumn("gy", cell("y0", "y1"))
 
 
+def _beside(rows: DataFrame, numbers: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to a table of few columns. It goes to every task if it has no more than WHOLE rows, else both are shuffled: Spark's guess, which doesn't see how explode() multiplies rows, would send either one through the driver."""
+    numbers = written(numbers, "numbers")
+    return rows.join(F.broadcast(numbers) if numbers.count() <= WHOLE else numbers.hint("merge"), on)
+
+
+def _lists(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, block, ids: the names of rows with equal keys, some BLOCK a row; a hash deals them out, so a key of many rows is no hot task. Keys are counted by their hashes: a shared one makes more, shorter lists."""
+    n = rows.groupBy(F.xxhash64(key).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    block = F.pmod(F.xxhash64(name), F.ceil(F.col("_n") / BLOCK)).alias("block")
+    return written(_beside(rows.withColumn("_h", F.xxhash64(key)), n, ["_h"]).groupBy(key, block).agg(F.collect_list(name).alias("ids")), "lists")
+
+
+def _outlines(hull: DataFrame) -> DataFrame:
+    """corners, block, ids: outlines with the same corners are one row, or few."""
+    corners = F.transform(F.sort_array(F.collect_list(F.struct("k", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    return _lists(hull.groupBy("id").agg(corners.alias("corners")), "corners", "id")
+
+
+def _sides(corners: Column) -> Column:
+    """x, y, nx, ny of each edge as in edges(), normals of length 1."""
+
+    def side(c: Column, i: Column) -> Column:
+        nxt = F.get(corners, (i + 1) % F.size(corners))
+        nx, ny = c["y"] - nxt["y"], nxt["x"] - c["x"]
+        length = F.sqrt(nx * nx + ny * ny)
+        return F.struct(c["x"].alias("x"), c["y"].alias("y"), (nx / length).alias("nx"), (ny / length).alias("ny"))
+
+    return F.transform(corners, side)
+
+
+def _ends(corners: str, pad: float) -> dict[str, Column]:
+    at = lambda f, c: f(F.transform(corners, lambda v: v[c]))
+    return {f"{c}{i}": at(f, c) + (2 * i - 1) * pad for c in "xy" for i, f in enumerate((F.array_min, F.array_max))}
+
+
+def _dealt(met: DataFrame, by: list[str], *lists: DataFrame) -> DataFrame:
+    """Pairs of lists are dealt out before they become pairs of ids, which may be millions a row; without lists of several ids they stay where they are."""
+    if all(x.where(F.size("ids") > 1).isEmpty() for x in lists):
+        return met
+    return met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def overlapping(hull: DataFrame, size: int, gap: float = 0.5) -> DataFrame:
-    """Pairs a < b of outlines that no normal of an edge keeps more than gap apart. Their boxes, padded by half the gap, meet in the grid cells that they touch; a pair counts in the cell of its common corner alone."""
-    e = edges(hull)
-    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
-    shape = e.groupBy("id").agg((F.min("x") - gap / 2).alias("x0"), (F.max("x") + gap / 2).alias("x1"), (F.min("y") - gap / 2).alias("y0"), (F.max("y") + gap / 2).alias("y1"), F.collect_list(F.struct("x", "y", (F.col("nx") / length).alias("nx"), (F.col("ny") / length).alias("ny"))).alias("e"))
+    """Pairs a < b of outlines that no normal of an edge keeps more than gap apart. Outlines with the same corners are tested once, by lists. Their boxes, padded by half the gap, meet in the grid cells that
+    they touch; a pair counts in the cell of its common corner alone."""
+    lists = _outlines(hull)
+    shape = lists.select(F.array_min("ids").alias("id"), "ids", _sides(F.col("corners")).alias("e"), *[v.alias(c) for c, v in _ends("corners", gap / 2).items()])
     cell = _in_cells(shape, size)
-    a, b = (cell.select("gx", "gy", *[F.col(c).alias(f"{c}{k}") for c in ("id", "x0", "x1", "y0", "y1", "e")]) for k in "ab")
-    met = a.join(b, ["gx", "gy"]).where("ida < idb and x0a <= x1b and x0b <= x1a and y0a <= y1b and y0b <= y1a")
+    a, b = (cell.select("gx", "gy", *[F.col(c).alias(f"{c}{k}") for c in ("id", "ids", "x0", "x1", "y0", "y1", "e")]) for k in "ab")
+    met = a.join(b.hint("merge"), ["gx", "gy"]).where("ida <= idb and x0a <= x1b and x0b <= x1a and y0a <= y1b and y0b <= y1a")
     met = met.where((F.floor(F.greatest("x0a", "x0b") / size) == F.col("gx")) & (F.floor(F.greatest("y0a", "y0b") / size) == F.col("gy")))
 
     def apart(n: Column) -> Column:
         pa, pb = (F.transform(c, lambda v: v["x"] * n["nx"] + v["y"] * n["ny"]) for c in ("ea", "eb"))
         return (F.array_min(pb) - F.array_max(pa) > gap) | (F.array_min(pa) - F.array_max(pb) > gap)
 
-    return met.where(~F.exists(F.concat("ea", "eb"), apart)).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    met = met.where(~F.exists(F.concat("ea", "eb"), apart)).select("ida", "idb", "idsa", "idsb")
+    pairs = _dealt(met, ["ida", "idb"], lists).select((F.col("ida") == F.col("idb")).alias("_one"), F.explode("idsa").alias("a"), "idsb").select("_one", "a", F.explode("idsb").alias("b"))
+    return pairs.where("not _one or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def containing(hull: DataFrame, points: DataFrame, size: int, tolerance: float = 0.5) -> DataFrame:

@@ -21,6 +21,31 @@ def test_overlaps_by_separating_axes(spark):
     assert got == {(1, 2)}
 
 
+def copies(spark, n, *kinds):
+    """n outlines of each kind: id % number of kinds tells which."""
+    rows = [(i, k, x, y) for i in range(n * len(kinds)) for k, (x, y) in enumerate(OUTLINES[kinds[i % len(kinds)]])]
+    return spark.createDataFrame(rows, "id bigint, k bigint, x bigint, y bigint")
+
+
+def test_equal_outlines_are_tested_once(spark, monkeypatch):
+    """Copies are few rows until their pairs are written out; lists cut short lose no pair, within a list, between lists of one outline and of two."""
+    monkeypatch.setattr(regions, "BLOCK", 16)
+    hull = copies(spark, 100, 1, 2, 3)
+    lists = regions._outlines(hull).collect()
+    assert len(lists) <= 21 and sorted(i for r in lists for i in r.ids) == list(range(300))
+    got = [(r.a, r.b) for r in regions.overlapping(hull, 16).collect()]
+    want = {(a, b) for b in range(300) for a in range(b) if a % 3 == b % 3 or (a % 3 < 2 and b % 3 < 2)}
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("whole", [1 << 18, 3])
+def test_one_outline_in_another_order_of_rows(spark, monkeypatch, whole):
+    """Counts that don't go to every task give the same lists."""
+    monkeypatch.setattr(regions, "WHOLE", whole)
+    hull = copies(spark, 30, 1, 4, 5, 6, 3).orderBy("y", "id")
+    assert sorted(sorted(r.ids) for r in regions._outlines(hull).collect()) == [list(range(i, 150, 5)) for i in range(5)]
+
+
 def test_points_within(spark):
     points = spark.createDataFrame([(1, -1000, -1000), (2, 0, 0), (3, -40, 30), (4, 31, 10), (5, 29, 10)], "point bigint, x bigint, y bigint")
     got = {r.point for r in regions.containing(hulls(spark, 1), points, 16).collect()}
