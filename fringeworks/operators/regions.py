@@ -55,13 +55,24 @@ def areas(hull: DataFrame) -> DataFrame:
     return s.select("id", "area", (F.col("area") + F.col("_on") / 2 + 1).cast("bigint").alias("pixels"))
 
 
-def rasterised(hull: DataFrame) -> DataFrame:
-    """Pixels within or on each outline; rows multiply by the area of a region's own box."""
+def _cells_of_boxes(hull: DataFrame) -> DataFrame:
+    """Every pixel of each outline's own box: id, x, y, and _in, whether it lies within or on the outline."""
     e = edges(hull)
     h = e.groupBy("id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.collect_list(F.struct("x", "y", "nx", "ny")).alias("_e"))
     cell = h.select("id", "_e", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("px")).select("id", "_e", "px", F.explode(F.sequence("y0", "y1")).alias("py"))
     inside = F.forall("_e", lambda s: (F.col("px") - s["x"]) * s["nx"] + (F.col("py") - s["y"]) * s["ny"] >= 0)
-    return cell.where(inside).select("id", F.col("px").alias("x"), F.col("py").alias("y"))
+    return cell.select("id", F.col("px").alias("x"), F.col("py").alias("y"), inside.alias("_in"))
+
+
+def rasterised(hull: DataFrame) -> DataFrame:
+    """Pixels within or on each outline; rows multiply by the area of a region's own box."""
+    return _cells_of_boxes(hull).where("_in").drop("_in")
+
+
+def _beside(rows: DataFrame, numbers: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to a table of few columns. It goes to every task if it has no more than WHOLE rows, else both are shuffled: Spark's guess, which doesn't see how explode() multiplies rows, would send either one through the driver."""
+    numbers = written(numbers, "numbers")
+    return rows.join(F.broadcast(numbers) if numbers.count() <= WHOLE else numbers.hint("merge"), on)
 
 
 def normalised(pixels: DataFrame) -> DataFrame:
@@ -93,12 +104,6 @@ def _in_cells(box: DataFrame, size: int) -> DataFrame:
     return box.withColumn("gx", cell("x0", "x1")).withColumn("gy", cell("y0", "y1"))
 
 
-def _beside(rows: DataFrame, numbers: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined to a table of few columns. It goes to every task if it has no more than WHOLE rows, else both are shuffled: Spark's guess, which doesn't see how explode() multiplies rows, would send either one through the driver."""
-    numbers = written(numbers, "numbers")
-    return rows.join(F.broadcast(numbers) if numbers.count() <= WHOLE else numbers.hint("merge"), on)
-
-
 def _lists(rows: DataFrame, key: str, name: str) -> DataFrame:
     """key, block, ids: the names of rows with equal keys, some BLOCK a row; a hash deals them out, so a key of many rows is no hot task. Keys are counted by their hashes: a shared one makes more, shorter lists."""
     n = rows.groupBy(F.xxhash64(key).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
@@ -166,13 +171,12 @@ def containing(hull: DataFrame, points: DataFrame, size: int, tolerance: float =
 
 
 def extracted(hull: DataFrame, image: DataFrame, width: int, height: int, outside: float = 0.0) -> DataFrame:
-    """The window of each outline's box out of an image of pixels (x, y, value; absent ones are 0): id, x, y, value, where pixels outside the outline or the image have the value outside."""
-    box = boxes(hull)
-    window = box.select("id", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("id", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
-    inner = rasterised(hull).withColumn("_in", F.lit(True))
-    inside = F.col("_in").isNotNull() & F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
-    got = window.join(inner, ["id", "x", "y"], "left").join(image.select("x", "y", "value"), ["x", "y"], "left")
-    return got.select("id", "x", "y", F.when(inside, F.coalesce("value", F.lit(0.0))).otherwise(outside).alias("value"))
+    """The window of each outline's box out of an image of pixels (x, y, value; absent ones are 0): id, x, y, value, where pixels outside the outline or the image have the value outside.
+    Windows are laid out once, and only the image is joined: it goes to every task if it has no more than WHOLE pixels."""
+    on = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    pixels = image.where(on).select("x", "y", "value")
+    got = _cells_of_boxes(hull).join(F.broadcast(pixels) if width * height <= WHOLE else pixels.hint("merge"), ["x", "y"], "left")
+    return got.select("id", "x", "y", F.when(F.col("_in") & on, F.coalesce("value", F.lit(0.0))).otherwise(outside).alias("value"))
 
 
 def aligned(hull: DataFrame, square: bool = False, odd: bool = True) -> DataFrame:

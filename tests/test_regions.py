@@ -65,6 +65,37 @@ def test_windows_beyond_the_image(spark):
     assert got == {(-2, 0): -1, (-2, 1): -1, (-1, 0): -1, (-1, 1): -1, (0, 0): 1, (0, 1): 2, (1, 0): 11, (1, 1): 12}
 
 
+def broadcast_rows(df):
+    """Row counts of the tables that a plan sends to every task."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        else:
+            found += [node.metrics().apply("numOutputRows").value()] if name == "BroadcastExchangeExec" else []
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("whole", [1 << 18, 3])
+def test_windows_send_only_the_image(spark, monkeypatch, whole):
+    """Pixels of outlines are never broadcast, however small Spark takes their table for; an image of many pixels isn't either."""
+    monkeypatch.setattr(regions, "WHOLE", whole)
+    image = spark.createDataFrame([(x, y, float(x + y)) for x in range(4) for y in range(4)], "x bigint, y bigint, value double")
+    got = regions.extracted(copies(spark, 2, 1, 2), image, 4, 4, -1.0)
+    assert broadcast_rows(got) == ([16] if whole > 16 else [])
+    inside = {(r.id, r.x, r.y) for r in regions.rasterised(copies(spark, 2, 1, 2)).collect()}
+    rows = got.collect()
+    assert len(rows) == 2 * (71 * 141 + 61 * 181)
+    for r in rows:
+        assert r.value == (r.x + r.y if 0 <= r.x < 4 and 0 <= r.y < 4 and (r.id, r.x, r.y) in inside else -1)
+
+
 def test_stitched_weights_sum_to_one(spark):
     pixels = regions.normalised(regions.rasterised(hulls(spark, 1, 2, 3)))
     total = pixels.groupBy("x", "y").agg(F.sum("weight").alias("w")).where("abs(w - 1) > 1e-9").count()
