@@ -78,7 +78,7 @@ def _beside(rows: DataFrame, numbers: DataFrame, on: list[str]) -> DataFrame:
 def normalised(pixels: DataFrame) -> DataFrame:
     """Each pixel's weight: 1 over the regions that paint it. Counted by pixel before the join, so a hot pixel is no hot task."""
     n = pixels.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n"))
-    return pixels.join(n, ["x", "y"]).select("id", "x", "y", (1 / F.col("_n")).alias("weight"))
+    return _beside(pixels, n, ["x", "y"]).select("id", "x", "y", (1 / F.col("_n")).alias("weight"))
 
 
 def stitched(values: DataFrame) -> DataFrame:

@@ -96,6 +96,18 @@ def test_windows_send_only_the_image(spark, monkeypatch, whole):
         assert r.value == (r.x + r.y if 0 <= r.x < 4 and 0 <= r.y < 4 and (r.id, r.x, r.y) in inside else -1)
 
 
+@pytest.mark.parametrize("whole", [1 << 18, 3])
+def test_weights_send_only_counts(spark, monkeypatch, tmp_path, whole):
+    """From a table that Spark takes for small, only the counts of pixels go to every task, none of them if they are many."""
+    monkeypatch.setattr(regions, "WHOLE", whole)
+    copies(spark, 40, 5).write.parquet(f"{tmp_path}/hull")
+    pixels = regions.rasterised(spark.read.parquet(f"{tmp_path}/hull"))
+    got = regions.normalised(pixels)
+    assert broadcast_rows(got) == ([25] if whole > 25 else [])
+    rows = got.collect()
+    assert len(rows) == 1000 and {r.weight for r in rows} == {1 / 40}
+
+
 def test_stitched_weights_sum_to_one(spark):
     pixels = regions.normalised(regions.rasterised(hulls(spark, 1, 2, 3)))
     total = pixels.groupBy("x", "y").agg(F.sum("weight").alias("w")).where("abs(w - 1) > 1e-9").count()
