@@ -114,6 +114,18 @@ def test_stitched_weights_sum_to_one(spark):
     assert total == 0
 
 
+@pytest.mark.parametrize("whole", [1 << 18, 3])
+def test_stitched_image_sends_only_counts(spark, monkeypatch, tmp_path, whole):
+    """The image of regions from a stored table, each pixel the mean of what paints it."""
+    monkeypatch.setattr(regions, "WHOLE", whole)
+    copies(spark, 20, 4, 6).write.parquet(f"{tmp_path}/hull")
+    pixels = regions.rasterised(spark.read.parquet(f"{tmp_path}/hull"))
+    got = regions.stitched(regions.normalised(pixels).withColumn("value", F.col("id").cast("double")))
+    assert broadcast_rows(got) == ([34] if whole > 34 else [])
+    square = {(x, y): 19.0 for x in range(100, 105) for y in range(100, 105)} | {(x, y): 20.0 for x in range(104, 107) for y in range(105, 108)}
+    assert {(r.x, r.y): round(r.value, 9) for r in got.collect()} == square
+
+
 @pytest.mark.parametrize("width", [256, 4])
 def test_hulls(spark, width):
     """Outlines of points in any order, of strips and as a whole; points inside, repeated, in a line, and alone."""
