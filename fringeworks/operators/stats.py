@@ -16,6 +16,16 @@ def channel_noise(spectra: DataFrame, row: str, chan: str, value: str, by: list[
     return d.groupBy(*by).agg(F.sqrt(F.sum(F.col("_d") * F.col("_d") / 4) / F.count(F.lit(1))).alias("noise"), F.count(F.lit(1)).alias("n"))
 
 
+def at_extremes(rows: DataFrame, by: str, arg: str, value: str, place: str) -> DataFrame:
+    """by, best, worst: arg where value is largest and where it is smallest in its group; of equal values the row of the least place. Rows without arg or value don't count.
+    Extremes are found first, so that places are compared between the rows that have them alone."""
+    x = rows.select(by, arg, place, F.when(F.col(arg).isNotNull(), F.col(value)).alias("_v"))
+    ends = F.broadcast(x.groupBy(F.col(by).alias("_by")).agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo")))
+    x = x.join(ends, F.col(by).eqNullSafe(F.col("_by"))).where("_v = _hi or _v = _lo or _hi is null")
+    first = lambda end: F.min_by(arg, F.when(F.col("_v") == F.col(end), F.col(place)))
+    return x.groupBy(by).agg(first("_hi").alias("best"), first("_lo").alias("worst"))
+
+
 def marginals(rows: DataFrame, sets: list[list[str]], *aggregates: Column) -> DataFrame:
     """Aggregates over several groupings in one pass."""
     names = sorted({c for s in sets for c in s})

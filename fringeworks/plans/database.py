@@ -8,9 +8,9 @@ from math import pi
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import database, rebin, store
+from ..operators import database, rebin, stats, store
 from ..sources.tables import fresh_path, written
-from ..sources.views import SLOT_DAYS, VC, VL, visibilities
+from ..sources.views import SLOT_DAYS, VC, VL, visibilities, visibilities_of
 from .queries import GRID, RB, SOL, _grid, _solutions
 from .registry import query
 from .tiles import corrs
@@ -207,8 +207,9 @@ def stats_io(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {VL}, d as (select ant1, arg_max(tslot, re) as best, arg_min(tslot, re) as worst from vl where fl = 0 group by 1) select ant1 as ant, best, worst from d")
 def argmax_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = visibilities(spark, sf_dir).where("fl = 0").groupBy(F.col("ant1").alias("ant"))
-    return v.agg(F.max_by("tslot", "re").alias("best"), F.min_by("tslot", "re").alias("worst"))
+    """Days of each antenna's largest and smallest value; of equal values the first row's, in the order of the table's files."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("place", F.struct("_metadata.file_path", "_metadata.row_index"))
+    return stats.at_extremes(visibilities_of(li, "place").where("fl = 0").withColumnRenamed("ant1", "ant"), "ant", "tslot", "re", "place")
 
 
 @query(f"with {VL}, c as (select ant1 as ant, avg(case when fl <> 0 then 1.0 else 0.0 end) as bad, count(*) as n from vl group by 1) select arg_min(ant, bad * 1000 + ant) as ref, min(bad) as bad from c", "bad")

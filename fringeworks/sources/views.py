@@ -24,15 +24,15 @@ def visibilities(spark: SparkSession, sf_dir: str, days: tuple[int, int] | None
     return visibilities_of(li)
 
 
-def visibilities_of(li: DataFrame) -> DataFrame:
-    """Of lineitem, a table or a stream: tslot, chan, ant1 <= ant2, data re/im, weight w, model mre/mim, scan, flags fl, seq (the order of rows). Keys repeat: re-bin before dense use."""
+def visibilities_of(li: DataFrame, *more: str) -> DataFrame:
+    """Of lineitem, a table or a stream: tslot, chan, ant1 <= ant2, data re/im, weight w, model mre/mim, scan, flags fl, seq (the order of rows), and more columns as they are. Keys repeat: re-bin before dense use."""
     a, b = F.col("l_partkey") % ANTS, F.col("l_suppkey") % ANTS
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit(str(FIRST_DAY)).cast("date"))
     return li.select(
         day.cast("bigint").alias("tslot"), (F.col("l_linenumber") - 1).cast("bigint").alias("chan"), F.least(a, b).alias("ant1"), F.greatest(a, b).alias("ant2"), (F.col("l_extendedprice") / 1e4).alias("re"),
         (F.when(a > b, -1.0).otherwise(1.0) * F.col("l_discount") * 10).alias("im"), F.col("l_quantity").alias("w"), (F.col("l_extendedprice") / 1e4 * (1 - F.col("l_discount"))).alias("mre"), F.lit(0.0).alias("mim"),
         F.year("l_shipdate").cast("bigint").alias("scan"), (F.when(F.col("l_returnflag") == "R", 1).otherwise(0).bitwiseOR(F.when(a == b, 32768).otherwise(0))).cast("bigint").alias("fl"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"), *more,
     )
 
 

@@ -1,9 +1,14 @@
 """The solution database on a small grid with known values, exact medians against numpy, and flag sets."""
 
+from datetime import datetime, timedelta
+
+import duckdb
 import numpy as np
 import pytest
 
 from fringeworks.operators import database, flagsets, stats, store
+from fringeworks.plans import database as plans  # noqa: F401
+from fringeworks.plans.registry import QUERIES, SQL
 from fringeworks.sources.tables import fresh_path
 
 
@@ -94,3 +99,24 @@ def test_flagsets(spark):
     with pytest.raises(Exception):
         flagsets.created(flagsets.loaded(full, order), spark.createDataFrame([("one more",)], "name string")).collect()
     assert {r.name: r.mask for r in flagsets.from_names(spark.createDataFrame([("u", 0), ("v", 1)], "name string, place bigint")).collect()} == {"u": 1, "v": 2}
+
+
+def test_first_of_equal_extremes(spark, tmp_path):
+    """Rows in two files: of equal prices the first row's day, by the SQL too; rows without day or price don't count, an antenna with no others has no days."""
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    day = lambda d: None if d is None else datetime(1995, 1, 1) + timedelta(days=d)
+    row = lambda k, ant, price, d: (k, ant, ant + 1, 1, 1.0, price, 0.0, 0.0, "N", "O", day(d))
+    files = [
+        [row(9, 0, 5e4, 40), row(8, 0, 9e4, 30), row(7, 0, 9e4, 10), row(6, 0, 1e4, 20), row(5, 1, None, 3), row(4, 1, 7e4, None), row(3, 0, 9e5, None)],
+        [row(2, 0, 9e4, 5), row(1, 0, 1e4, 6), row(1, 0, 1e4, 50), row(1, 2, float("nan"), 8), row(1, 2, 3e4, 9), row(1, 2, float("nan"), 7)],
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (part,) = (tmp_path / str(i)).glob("part-*.parquet")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        part.rename(tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
+    got = {(r.ant, r.best, r.worst) for r in QUERIES["argmax_delay"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 30, 20), (1, None, None), (2, 8, 9)}
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert set(con.sql(SQL["argmax_delay"]).fetchall()) == got
