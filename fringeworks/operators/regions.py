@@ -161,13 +161,14 @@ def overlapping(hull: DataFrame, size: int, gap: float = 0.5) -> DataFrame:
 
 
 def containing(hull: DataFrame, points: DataFrame, size: int, tolerance: float = 0.5) -> DataFrame:
-    """Points (point, x, y) within each outline, or at most tolerance outside an edge: id, point. Both meet in grid cells."""
-    e = edges(hull)
-    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
-    shape = e.groupBy("id").agg((F.min("x") - 1).alias("x0"), (F.max("x") + 1).alias("x1"), (F.min("y") - 1).alias("y0"), (F.max("y") + 1).alias("y1"), F.collect_list(F.struct(F.col("x").alias("ex"), F.col("y").alias("ey"), (F.col("nx") / length).alias("nx"), (F.col("ny") / length).alias("ny"))).alias("e"))
-    at = points.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
-    met = _in_cells(shape, size).join(at, ["gx", "gy"])
-    return met.where(F.forall("e", lambda s: (F.col("x") - s["ex"]) * s["nx"] + (F.col("y") - s["ey"]) * s["ny"] >= -tolerance)).select("id", "point")
+    """Points (point, x, y) within each outline, or at most tolerance outside an edge: id, point. Outlines with the same corners and points of one place meet once, by lists, in grid cells."""
+    lists = _outlines(hull)
+    shape = lists.select(F.array_min("ids").alias("_a"), F.col("ids").alias("_ids"), _sides(F.col("corners")).alias("e"), *[v.alias(c) for c, v in _ends("corners", 1).items()])
+    places = _lists(points.select("point", F.struct("x", "y").alias("at")), "at", "point")
+    at = places.select(F.array_min("ids").alias("_b"), F.col("ids").alias("_points"), F.col("at.x").alias("px"), F.col("at.y").alias("py")).withColumns({"gx": F.floor(F.col("px") / size), "gy": F.floor(F.col("py") / size)})
+    met = _in_cells(shape, size).join(at.hint("merge"), ["gx", "gy"])
+    met = met.where(F.forall("e", lambda s: (F.col("px") - s["x"]) * s["nx"] + (F.col("py") - s["y"]) * s["ny"] >= -tolerance)).select("_a", "_b", "_ids", "_points")
+    return _dealt(met, ["_a", "_b"], lists, places).select(F.explode("_ids").alias("id"), "_points").select("id", F.explode("_points").alias("point"))
 
 
 def extracted(hull: DataFrame, image: DataFrame, width: int, height: int, outside: float = 0.0) -> DataFrame:

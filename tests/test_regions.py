@@ -52,6 +52,19 @@ def test_points_within(spark):
     assert got == {2, 3, 5}
 
 
+def test_equal_points_meet_once(spark, monkeypatch):
+    """Copies of outlines and of points are few rows until their pairs are written out; short lists lose none, and a point without a place is nowhere."""
+    monkeypatch.setattr(regions, "BLOCK", 8)
+    met, dealt = [], regions._dealt
+    monkeypatch.setattr(regions, "_dealt", lambda m, *rest: met.append(m.count()) or dealt(m, *rest))
+    places = [(0, 0), (-1000, 7), (-40, 30), (102, 103)]
+    points = spark.createDataFrame([(i, *places[i % 4]) for i in range(80)] + [(80, None, 0)], "point bigint, x bigint, y bigint")
+    got = [(r.id, r.point) for r in regions.containing(copies(spark, 40, 1, 4), points, 16).collect()]
+    want = {(i, p) for i in range(80) for p in range(80) if p % 4 in ((0, 2), (3,))[i % 2]}
+    assert len(got) == len(want) and set(got) == want
+    assert met[0] <= 12 * 12
+
+
 def test_odd_sides(spark):
     box = spark.createDataFrame([(1, k, x, y) for k, (x, y) in enumerate([(-14, 30), (20, 30), (20, 49), (-14, 49)])], "id bigint, k bigint, x bigint, y bigint")
     assert tuple(regions.aligned(box).first()) == (1, -14, 20, 30, 50)
