@@ -106,9 +106,10 @@ def _in_cells(box: DataFrame, size: int) -> DataFrame:
 
 def _lists(rows: DataFrame, key: str, name: str) -> DataFrame:
     """key, block, ids: the names of rows with equal keys, some BLOCK a row; a hash deals them out, so a key of many rows is no hot task. Keys are counted by their hashes: a shared one makes more, shorter lists."""
-    n = rows.groupBy(F.xxhash64(key).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = written(rows.withColumn("_h", F.xxhash64(key)), "keys")
+    n = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
     block = F.pmod(F.xxhash64(name), F.ceil(F.col("_n") / BLOCK)).alias("block")
-    return written(_beside(rows.withColumn("_h", F.xxhash64(key)), n, ["_h"]).groupBy(key, block).agg(F.collect_list(name).alias("ids")), "lists")
+    return written(_beside(rows, n, ["_h"]).groupBy(key, block).agg(F.collect_list(name).alias("ids")), "lists")
 
 
 def _outlines(hull: DataFrame) -> DataFrame:
